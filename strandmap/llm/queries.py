@@ -3,17 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandmap.llm import minhash
+from strandmap.llm import bpe, minhash
 from strandmap.llm.common import table
 
 
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every document, decode it again, and return digests of both."""
+    v = bpe.load_vocabulary(vocabulary_path())
+    ids = bpe.encode(table(spark, sf_dir, "documents"), v, keep=["doc_id"])
+    back = bpe.decode(ids, v)
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: four words a shingle, similarity of 0.8 or more."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
     "op3_minhash": op3_minhash,
 }
 
