@@ -129,13 +129,22 @@ def merge_words(v: Vocabulary, data: np.ndarray, lengths: np.ndarray) -> tuple[n
     return symbols[order], np.bincount(word, minlength=n)
 
 
-# Lower case of letters that Unicode 16 added, which Python's tables lack.
-_NEWER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {p: p + 0x20 for p in range(0x10D50, 0x10D66)}
+# Lower case of letters that Unicode 16 and 17 added, which Python's tables lack.
+_NEWER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5} | {p: p + 0x20 for p in range(0x10D50, 0x10D66)} | {p: p + 0x1B for p in range(0x16EA0, 0x16EB9)}
+# Blocks with letters and digits that Unicode 16 added.
+_NEWER = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105FF), (0x10D40, 0x10D8F), (0x10EC2, 0x10EC4), (0x11380, 0x113FF), (0x116D0, 0x116E3), (0x11BC0, 0x11BFF), (0x13460, 0x143FA), (0x16100, 0x1613F), (0x16D40, 0x16D7F), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5FF)]
 _IS_LETTER, _IS_DIGIT = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
 _CLASS = np.full(0x110000, _UNSEEN, np.uint8)
 _LOWER = np.arange(0x110000, dtype=np.uint32)
 
 
+def _class_of(p: int) -> int:
+    kind = unicodedata.category(chr(p))
+    if kind == "Cn" and any(a <= p <= b for a, b in _NEWER):
+        kind = "L" if _IS_LETTER.match(chr(p)) else "N" if _IS_DIGIT.match(chr(p)) else kind
+    return {"L": _LETTER, "N": _DIGIT}.get(kind[0], _OTHER)
+
+
 def _classes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased code points and their classes."""
     new = np.unique(points[_CLASS[points] == _UNSEEN])
@@ -146,8 +155,7 @@ def _classes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = chr(_NEWER_LOWER.get(p, p)).lower()
         _LOWER[p] = ord(low) if len(low) == 1 else p
         for q in (p, int(_LOWER[p])):
-            c = chr(q)
-            _CLASS[q] = _SPACE if q in _WHITE else _LETTER if _IS_LETTER.match(c) else _DIGIT if _IS_DIGIT.match(c) else _OTHER
+            _CLASS[q] = _SPACE if q in _WHITE else _class_of(q)
     points = _LOWER[points]
     return points, _CLASS[points]
 

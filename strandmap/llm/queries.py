@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmap.llm import bpe, minhash
+from strandmap.llm import ann, bpe, embedding_join, minhash
 from strandmap.llm.common import table
 
 
+def op1_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings by a cosine of 0.95 or more."""
+    return embedding_join.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -28,12 +33,40 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest neighbours of every vector whose vec_id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 QUERIES = {
+    "op1_embedding_join": op1_embedding_join,
+    "op9_ann": op9_ann,
     "op2_bpe": op2_bpe,
     "op3_minhash": op3_minhash,
 }
 
 ORACLE_SQL = {
+    "op1_embedding_join": """
+WITH RECURSIVE v AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, x -> x <> 0)) > 0
+),
+links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+),
+reach AS (
+    SELECT vec_id AS x, vec_id AS y FROM embeddings
+    UNION
+    SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+),
+low AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.x = e.vec_id)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN low ON low.x = e.vec_id
+""",
     "op3_minhash": r"""
 WITH RECURSIVE words AS (
     SELECT doc_id,
