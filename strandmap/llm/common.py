@@ -97,3 +97,14 @@ def fits(df: DataFrame, rows: int) -> bool:
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint behind a check of the number of rows."""
     return F.broadcast(df) if fits(df, rows) else df
+
+
+def smallest_hashes(df: DataFrame, n: int, key: str, text: str, more: dict | None = None) -> DataFrame:
+    """text (null as empty) and ``more`` of about ``n`` rows: those whose keys have the n smallest hashes.
+
+    Only keys are sorted; the chosen ones, n at the most, are broadcast.
+    """
+    keys = df.select(F.col(key).alias("_key"), F.xxhash64(key).alias("_h")).orderBy("_h", "_key").limit(n)
+    chosen = F.broadcast(keys.select("_key").distinct())
+    rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *((c.alias(k) for k, c in (more or {}).items())))
+    return rows.join(chosen, "_key", "left_semi").drop("_key")

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from strandmap.llm import textkernel as K
 from strandmap.llm.common import ship, stored, text_slices
-from strandmap.llm.graph import connected_components
+from strandmap.llm.graph import UnionFind, connected_components
+from strandmap.llm.vectors import runs
 
 U64 = np.uint64
 
@@ -28,7 +29,7 @@ PLACES, BAND = 128, 4
 #: five and a half standard deviations below 0.8.
 ESTIMATE = 0.6
 #: Rows of a bucket that one tile holds on a side.
-TILE = 2048
+TILE = 512
 _SLICE = 2_000_000
 _ELEMENTS = 65_536
 
@@ -144,6 +145,24 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return joined.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long")
 
 
+def _alike(estimate: float):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("x", "y"))
+                keep = (x == y).sum(axis=1) >= estimate * x.shape[1]
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def alike(pairs: DataFrame, classes: DataFrame, estimate: float) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in a share of ``estimate`` of their places or more."""
+    short = classes.select("a", "signature")
+    joined = pairs.join(short.toDF("a", "x"), "a").join(short.toDF("b", "y"), "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(_alike(estimate), "a long, b long")
+
+
 def _tiles(crowded: DataFrame, tile: int) -> DataFrame:
     """Deal crowded buckets over tiles of bounded size that cover every pair of different components.
 
@@ -166,50 +185,61 @@ def _tiles(crowded: DataFrame, tile: int) -> DataFrame:
         lambda j: F.struct(F.least(j, F.col("piece")).alias("x"), F.greatest(j, F.col("piece")).alias("y"), F.when(j >= F.col("piece"), 0).otherwise(1).alias("side")),
     )
     tiles = F.when(F.col("in_main"), main_tiles).otherwise(F.concat(with_main, among))
-    return rows.withColumn("tile", F.explode(tiles)).select("bucket", "tile.x", "tile.y", "tile.side", "a", "component", "n", "signature")
+    return rows.withColumn("t", F.explode(tiles)).select("bucket", "band", "t.x", "t.y", "t.side", "a", "component", "n")
 
 
-def _tile_pairs(percent: int, estimate: float):
-    """Candidates of each tile; tiles come sorted, so each is one run of rows."""
+def _tile_links(percent: int, estimate: float):
+    """Links between different components of a tile, tested on shortened elements.
 
-    def pairs_of(rows: pa.Table):
+    A pair is tested in the first band that it shares only. Elements of 32 bits
+    can make an intersection seem larger but never smaller, so no link is lost;
+    what is found is verified on full sets afterwards. Components that a found
+    link joins need no further pair in the tile.
+    """
+
+    def links_of(rows: pa.Table):
         side = rows["side"].to_numpy()
         ids, comps, sizes = (rows[c].to_numpy() for c in ("a", "component", "n"))
-        width = len(rows["signature"][0].as_py()) // 2
-        signature = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint16).reshape(-1, width)
+        band = int(rows["band"][0].as_py())
+        signature = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint16).reshape(len(ids), -1)
+        elements = [np.frombuffer(v, np.uint32) for v in rows["elements"].to_pylist()]
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if rows["x"][0] == rows["y"][0]:
             right = left
+        same_tile = right is left
+        joined = UnionFind()
         for i in left.tolist():
-            other = right[(comps[right] != comps[i]) & (100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i]))]
-            if len(other):
-                hit = other[(signature[other] == signature[i]).sum(axis=1) >= estimate * width]
-                for j in hit.tolist():
+            other = right[right > i] if same_tile else right
+            other = other[(comps[other] != comps[i]) & (100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i]))]
+            if not len(other):
+                continue
+            equal = signature[other] == signature[i]
+            shared = equal.reshape(len(other), -1, BAND).all(axis=2)
+            hit = other[(shared.argmax(axis=1) == band) & (equal.sum(axis=1) >= estimate * signature.shape[1])]
+            for j in hit.tolist():
+                c, d = int(comps[i]), int(comps[j])
+                if joined.find(c) == joined.find(d):
+                    continue
+                both = common(elements[i], elements[j])
+                if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                    joined.union(c, d)
                     yield (ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        key = None
+        for _, table in runs(batches, ["bucket", "x", "y"]):
+            pairs = np.array(list(links_of(table)), np.int64).reshape(-1, 2)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
 
-        def flush():
-            found = set(pairs_of(pa.Table.from_batches(held)))
-            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+def _short_sets(width: int):
+    def run(batches):
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "x", "y")], axis=1)
-            if not len(keys):
-                continue
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                now = tuple(keys[a].tolist())
-                if held and now != key:
-                    yield flush()
-                    held = []
-                key = now
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield flush()
+            for a, b, sets in _sets(batch, width):
+                short = [np.unique((s >> U64(32)).astype(np.uint32)).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(short, pa.binary())], names=["doc_id", "elements"])
 
     return run
 
@@ -229,31 +259,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     is compared. Every band bucket then links its members to the bucket's
     smallest one, verified on full sets. Only buckets in which several
     components are left get the remaining pairs of different components, in
-    tiles of bounded size. No bucket has a cap.
+    tiles of bounded size that test pairs in place. No bucket has a cap.
     """
     feats = stored(signatures(docs, width), "minhash")
     classes = feats.where("n_shingles > 0 and doc_id is not null").groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("a"), F.first("signature").alias("signature"))
     classes = stored(classes, "classes")
-    n_bands = PLACES // BAND
-    band = F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * 2 * BAND + 1, F.lit(2 * BAND))))
-    members = classes.select("a", F.col("n_shingles").alias("n"), F.explode(band).alias("bucket"))
-    centres = members.groupBy("bucket").agg(F.min(F.struct("a", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
+    band = F.transform(F.sequence(F.lit(0), F.lit(PLACES // BAND - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring("signature", i * 2 * BAND + 1, F.lit(2 * BAND))).alias("bucket")))
+    members = classes.select("a", F.col("n_shingles").alias("n"), F.explode(band).alias("m")).select("a", "n", "m.band", "m.bucket")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
+    members = stored(members.join(shared, "bucket", "left_semi"), "buckets")
+    centres = members.groupBy("bucket").agg(F.min(F.struct("a", "n")).alias("c"))
     centres = centres.select("bucket", F.col("c.a").alias("centre"), F.col("c.n").alias("centre_n"))
     close = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * percent
     star = members.join(centres, "bucket").where(F.col("a") != F.col("centre")).where(close)
-    star = stored(star.select(F.col("centre").alias("a"), F.col("a").alias("b")).distinct(), "star")
+    star = star.select(F.col("centre").alias("a"), F.col("a").alias("b")).distinct()
+    star = stored(alike(star, classes, ESTIMATE), "star")
     links = stored(verify(star, docs, width, percent), "links")
     first = stored(connected_components(links), "components")
 
     # Buckets that hold members of several components need the pairs between them.
-    labelled = classes.join(first.withColumnRenamed("node", "a"), "a", "left").select("a", F.col("n_shingles").alias("n"), F.coalesce("component", "a").alias("component"), "signature")
-    lean = labelled.select("a", "component", F.explode(band).alias("bucket"))
-    mixed = lean.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low < high and m > 2")
-    crowded = labelled.select("a", "n", "component", "signature", F.explode(band).alias("bucket")).join(mixed.select("bucket"), "bucket", "left_semi")
-    crowded = stored(crowded, "crowded")
-    tiles = _tiles(crowded, TILE).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    more = tiles.mapInArrow(_tile_pairs(percent, ESTIMATE), "a long, b long").distinct()
-    more = stored(more.join(star, ["a", "b"], "left_anti"), "more")
+    labelled = members.join(first.withColumnRenamed("node", "a"), "a", "left").select("a", "n", "band", "bucket", F.coalesce("component", "a").alias("component"))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low < high and m > 2")
+    crowded = stored(labelled.join(mixed.select("bucket"), "bucket", "left_semi"), "crowded")
+    wanted = crowded.select("a").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.toDF("doc_id"), "doc_id", "left_semi")
+    short = texts.mapInArrow(_short_sets(width), "doc_id long, elements binary").dropDuplicates(["doc_id"]).toDF("a", "elements")
+    payload = short.join(classes.select("a", "signature"), "a")
+    tiles = _tiles(crowded, TILE).join(payload, "a").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    more = stored(tiles.mapInArrow(_tile_links(percent, ESTIMATE), "a long, b long").distinct(), "more")
     links = links.unionByName(verify(more, docs, width, percent))
     groups = connected_components(links).withColumnRenamed("node", "a")
 

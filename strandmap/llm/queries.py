@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmap.llm import ann, bpe, embedding_join, minhash
+from strandmap.llm import ann, bpe, embedding_join, minhash, quality, toxicity
 from strandmap.llm.common import table
 
 
@@ -33,6 +33,27 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected quality grade of every document.
+
+    Ratings: 0 for rejected documents, 1 for accepted ones that are toxic, 2
+    for other accepted ones. Rows of the held-out fold teach nothing.
+    """
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~toxicity.held_out())
+    rating = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    rated = docs.select("doc_id", "text").join(labels.select("doc_id", rating.alias("grade")).dropna().dropDuplicates(["doc_id"]), "doc_id")
+    return quality.grade(docs, quality.fit(rated, n_grades=3), wanted=1, least=0.5, keep=["doc_id"])
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; predicted from 0.7 on."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_from_labels(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest neighbours of every vector whose vec_id is divisible by 100."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -41,6 +62,8 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_embedding_join": op1_embedding_join,
+    "op5_quality": op5_quality,
+    "op7_toxicity": op7_toxicity,
     "op9_ann": op9_ann,
     "op2_bpe": op2_bpe,
     "op3_minhash": op3_minhash,
