@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmap.llm import textkernel as K
-from strandmap.llm.common import ship, stored, text_slices
+from strandmap.llm.common import maybe_broadcast, ship, stored, text_slices
 from strandmap.llm.graph import UnionFind, connected_components
 from strandmap.llm.vectors import runs
 
@@ -30,6 +30,8 @@ PLACES, BAND = 128, 4
 ESTIMATE = 0.6
 #: Rows of a bucket that one tile holds on a side.
 TILE = 512
+#: Ids that are broadcast at most.
+BROADCAST_IDS = 1_000_000
 _SLICE = 2_000_000
 _ELEMENTS = 65_536
 
@@ -136,10 +138,15 @@ def _verified(percent: int):
     return run
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts of the wanted doc_ids; up to ``BROADCAST_IDS`` of them spare the texts a shuffle."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(maybe_broadcast(wanted, BROADCAST_IDS), "doc_id", "left_semi")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose full shingle sets are similar enough."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    texts = _texts_of(docs, wanted)
     sets = stored(texts.mapInArrow(_full_sets(width), "doc_id long, elements binary").dropDuplicates(["doc_id"]), "sets")
     joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long")
@@ -282,7 +289,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low < high and m > 2")
     crowded = stored(labelled.join(mixed.select("bucket"), "bucket", "left_semi"), "crowded")
     wanted = crowded.select("a").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.toDF("doc_id"), "doc_id", "left_semi")
+    texts = _texts_of(docs, wanted.toDF("doc_id"))
     short = texts.mapInArrow(_short_sets(width), "doc_id long, elements binary").dropDuplicates(["doc_id"]).toDF("a", "elements")
     payload = short.join(classes.select("a", "signature"), "a")
     tiles = _tiles(crowded, TILE).join(payload, "a").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmap.llm import ann, bpe, embedding_join, minhash, quality, toxicity
+from strandmap.llm import ann, bpe, embedding_join, minhash, mixing, quality, toxicity
 from strandmap.llm.common import table
 
 
@@ -46,6 +46,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(docs, quality.fit(rated, n_grades=3), wanted=1, least=0.5, keep=["doc_id"])
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix all documents: sources weigh 5, 2, 1 in turn and share 150 % of all words, 200 % of a source at most."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=[5, 2, 1], share=1.5, cap=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; predicted from 0.7 on."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,6 +69,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_embedding_join": op1_embedding_join,
     "op5_quality": op5_quality,
+    "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op9_ann": op9_ann,
     "op2_bpe": op2_bpe,
