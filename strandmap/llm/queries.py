@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmap.llm import ann, bpe, embedding_join, minhash, mixing, quality, toxicity
-from strandmap.llm.common import table
+from strandmap.llm import ann, bpe, embedding_join, minhash, mixing, quality, toxicity, warc
+from strandmap.llm.common import shared_path, table
 
 
 def op1_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,14 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive all pages as ARC, convert the archives to WARC, and read those back."""
+    arc, archive = shared_path(spark, "arc"), shared_path(spark, "warc")
+    warc.write_arc(table(spark, sf_dir, "pages"), arc)
+    warc.arc_to_warc(spark, arc, archive)
+    return warc.read_warc(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected quality grade of every document.
 
@@ -68,6 +76,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_embedding_join": op1_embedding_join,
+    "op4_warc": op4_warc,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
