@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandmap.llm import textkernel as K
-from strandmap.llm.common import ship, smallest_hashes, text_slices
+from strandmap.llm.common import ship, text_slices
 from strandmap.llm.features import style_features
 
 #: Hashed features, and rated texts that fit the model at most.
@@ -81,14 +81,18 @@ def fit_shares(x: np.ndarray, grades: np.ndarray, n_grades: int, steps: int = 25
     return Model(w, raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))]))
 
 
-def fit(rated: DataFrame, n_grades: int, text: str = "text", grade: str = "grade", key: str = "doc_id") -> Model:
-    """Fit on at most ``MOST_RATED`` rated texts, those whose keys have the smallest hashes.
+def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, text: str = "text", grade: str = "grade", key: str = "doc_id") -> Model:
+    """Fit on the texts of at most ``MOST_RATED`` ratings (key, grade), those whose keys have the smallest hashes.
 
-    Grades are whole numbers from 0 to n_grades - 1; other rows are left out.
-    Without rated texts all weights are zero.
+    Grades are whole numbers from 0 to n_grades - 1; other ratings are left
+    out. Of several ratings of a key the lowest counts. Without rated texts all
+    weights are zero. The chosen ratings are broadcast, so texts stay in place.
     """
-    ship(rated.sparkSession)
-    sample = smallest_hashes(rated.where(F.col(grade).between(0, n_grades - 1)), MOST_RATED, key, text, {"grade": F.col(grade).cast("int")}).repartition(12)
+    ship(docs.sparkSession)
+    ratings = ratings.where(F.col(grade).between(0, n_grades - 1)).groupBy(F.col(key).alias("_key")).agg(F.min(F.col(grade).cast("int")).alias("grade"))
+    ratings = ratings.orderBy(F.xxhash64("_key"), "_key").limit(MOST_RATED)
+    texts = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(ratings), "_key").select("grade", "text")
     rows = sorted((r.grade, bytes(r.f), bytes(r.c)) for r in sample.mapInArrow(_sample_features, "grade int, f binary, c binary").collect())
     if not rows:
         return Model(np.zeros(SIZE), np.arange(n_grades - 1, dtype=float))

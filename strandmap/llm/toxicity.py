@@ -204,6 +204,6 @@ def fit_from_labels(docs: DataFrame, labels: DataFrame) -> Model:
     """
     labels = labels.where(~held_out()).select(F.col("doc_id"), F.col("toxic")).dropna()
     counts = labels.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("k")).first()
-    toxic = labels.where("toxic = 1").select("doc_id").distinct()
-    positive = docs.join(F.broadcast(toxic) if (counts.k or 0) <= 1_000_000 else toxic, "doc_id", "left_semi")
+    toxic = labels.where("toxic = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_POSITIVE)
+    positive = docs.join(F.broadcast(toxic), "doc_id", "left_semi")
     return fit(positive, docs.where(~held_out()), (counts.k or 0) / counts.n if counts.n else 0.05)
