@@ -304,6 +304,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are the first of their group, with all their columns."""
-    kept = near_duplicates(docs, width, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept_id"), F.col("doc_id") == F.col("_kept_id"), "left_semi").unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` that are the first of their group, with all their columns.
+
+    The ids that go are broadcast up to ``BROADCAST_IDS`` of them. Rows with a
+    null doc_id stay, as do all rows of a doc_id that stays.
+    """
+    gone = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = maybe_broadcast(stored(gone, "gone"), BROADCAST_IDS)
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
