@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmap.llm import ann, bpe, embedding_join, minhash, mixing, quality, toxicity, warc
+from strandmap.llm import ann, bpe, embedding_join, licenses, minhash, mixing, pii, quality, toxicity, warc
 from strandmap.llm.common import shared_path, table
 
 
@@ -50,8 +50,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out())
     rating = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
-    rated = docs.select("doc_id", "text").join(labels.select("doc_id", rating.alias("grade")).dropna().dropDuplicates(["doc_id"]), "doc_id")
-    return quality.grade(docs, quality.fit(rated, n_grades=3), wanted=1, least=0.5, keep=["doc_id"])
+    ratings = labels.select("doc_id", rating.alias("grade")).dropna()
+    return quality.grade(docs, quality.fit(docs, ratings, n_grades=3), wanted=1, least=0.5, keep=["doc_id"])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,22 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document: the best match, and the number of licenses found."""
+    found = licenses.scan(table(spark, sf_dir, "documents"), least=0.8, keep=["doc_id"])
+    best = F.try_element_at("matches", F.lit(1))
+    return found.select("doc_id", best["license"].alias("license"), best["dice"].alias("dice"), F.size("matches").alias("n_licenses"))
+
+
+#: The key of the surrogates of these queries; real runs bring their own.
+SURROGATE_KEY = b"strandmap"
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for personal data."""
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY).select("doc_id", "n_entities", "text")
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest neighbours of every vector whose vec_id is divisible by 100."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -80,6 +96,8 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
+    "op8_licenses": op8_licenses,
+    "op10_pii": op10_pii,
     "op9_ann": op9_ann,
     "op2_bpe": op2_bpe,
     "op3_minhash": op3_minhash,
