@@ -14,14 +14,20 @@ from pyspark.sql import types as T
 
 _ROOT = Path(__file__).resolve().parents[2]
 _SHIPPED: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 16 * 1024 * 1024
 
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers.
 
-    Nothing happens where PYTHONPATH already names the repository; elsewhere
+    Where PYTHONPATH names the repository, it is importable already; elsewhere
     the package goes to the executors as a zip, once for each application.
+    Arrow batches are held to ``BATCH_BYTES`` unless the session asks for less,
+    so that a worker's memory doesn't depend on the length of texts.
     """
+    if int(spark.conf.get(_BATCH)) > BATCH_BYTES or int(spark.conf.get(_BATCH)) <= 0:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     here = str(_ROOT)
     if here in os.environ.get("PYTHONPATH", "").split(":"):
         return

@@ -49,7 +49,7 @@ _GAP = np.ones(256, bool)
 _GAP[128:] = False
 for _range in (range(48, 58), range(65, 91), range(97, 123)):
     _GAP[list(_range)] = False
-_SLICE = 2_000_000
+_SLICE = 1_000_000
 
 
 def _bigrams(data: np.ndarray, offsets: np.ndarray):

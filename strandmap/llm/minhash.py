@@ -32,7 +32,7 @@ ESTIMATE = 0.6
 TILE = 512
 #: Ids that are broadcast at most.
 BROADCAST_IDS = 1_000_000
-_SLICE = 2_000_000
+_SLICE = 1_000_000
 _ELEMENTS = 65_536
 
 

@@ -21,7 +21,7 @@ from strandmap.llm.features import style_features
 
 #: Hashed features, and rated texts that fit the model at most.
 SIZE, MOST_RATED = 4096, 4000
-_SLICE = 2_000_000
+_SLICE = 1_000_000
 
 
 @dataclass

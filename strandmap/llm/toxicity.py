@@ -32,7 +32,7 @@ MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 2500, 5000, 1024
 #: Log-likelihood ratio of a feature that enters the model: of millions tried, hardly one passes by chance.
 EVIDENCE = 12.0
 PENALTY = 1e-4
-_SLICE = 2_000_000
+_SLICE = 1_000_000
 
 
 @dataclass
@@ -178,18 +178,20 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     ship(docs.sparkSession)
     others = [c for c in (docs.columns if keep is None else keep) if c != "score"]
     schema = T.StructType([docs.schema[c] for c in others]).add("score", "double")
+    sent = others if text in others else [*others, text]
+    at = sent.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            data, offsets = K.flat(batch.column(len(others)))
+            data, offsets = K.flat(batch.column(at))
             for a, b in text_slices(np.diff(offsets), _SLICE):
                 part = offsets[a : b + 1]
                 s = score_bytes(m, data[part[0] : part[-1]], part - part[0])
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(others))), pa.array(s)], names=[*others, "score"])
 
-    return docs.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in sent)).mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id") -> F.Column:
