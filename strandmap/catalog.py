@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from strandmap.queries import lookups, relations, retrieval, rollups
+
+QUERIES: dict = lookups.QUERIES | relations.QUERIES | rollups.QUERIES | retrieval.QUERIES
+ORACLE_SQL: dict = lookups.ORACLE_SQL | relations.ORACLE_SQL | rollups.ORACLE_SQL | retrieval.ORACLE_SQL
 
 
 def flagship(spark, sf_dir: str):
+    """Who uses each object, by owner: links, two partial aggregations, bounded samples."""
     return QUERIES["usages_by_owner"](spark, sf_dir)
