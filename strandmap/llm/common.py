@@ -2,44 +2,31 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_ROOT = Path(__file__).resolve().parents[2]
-_SHIPPED: set[str] = set()
+from strandmap import session
+
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 16 * 1024 * 1024
+_UNITS = {"k": 2**10, "m": 2**20, "g": 2**30, "t": 2**40}
 
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers.
 
-    Where PYTHONPATH names the repository, it is importable already; elsewhere
-    the package goes to the executors as a zip, once for each application.
     Arrow batches are held to ``BATCH_BYTES`` unless the session asks for less,
     so that a worker's memory doesn't depend on the length of texts.
     """
-    if int(spark.conf.get(_BATCH)) > BATCH_BYTES or int(spark.conf.get(_BATCH)) <= 0:
+    held = spark.conf.get(_BATCH).lower().rstrip("b")
+    held = int(held[:-1]) * _UNITS[held[-1]] if held[-1:] in _UNITS else int(held)
+    if held <= 0 or held > BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
-    here = str(_ROOT)
-    if here in os.environ.get("PYTHONPATH", "").split(":"):
-        return
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    target = os.path.join(tempfile.mkdtemp(prefix="strandmap-"), "strandmap_code.zip")
-    with zipfile.ZipFile(target, "w") as out:
-        for path in sorted((_ROOT / "strandmap").rglob("*.py")):
-            out.write(path, path.relative_to(_ROOT).as_posix())
-    spark.sparkContext.addPyFile(target)
-    _SHIPPED.add(app)
+    session.ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
