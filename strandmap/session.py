@@ -1,10 +1,33 @@
-"""Where lineage is cut."""
+"""Where lineage is cut, and how code reaches the executors."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_ROOT = Path(__file__).resolve().parents[1]
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers.
+
+    Where PYTHONPATH names the repository, it is importable already; elsewhere
+    it goes to the executors as a zip, once for each application.
+    """
+    app = spark.sparkContext.applicationId
+    if str(_ROOT) in os.environ.get("PYTHONPATH", "").split(":") or app in _SHIPPED:
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="strandmap-"), "strandmap_code.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted((_ROOT / "strandmap").rglob("*.py")):
+            out.write(path, path.relative_to(_ROOT).as_posix())
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
 
 
 def cut(df: DataFrame) -> DataFrame:
