@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmap.llm.common import ship, stored
+from strandmap.llm.common import lean, ship, stored
 from strandmap.llm.vectors import matrix, runs, usable
 
 #: Rows that fit the index, whatever the size of the table; rows of a part on average; parts at most.
@@ -230,13 +230,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     n_parts = 2 ** max(0, min(int(math.log2(MOST_PARTS)), round(math.log2(max(1, shape.n / PART_ROWS)))))
     router = fit_router(x, n_parts, recall, k)
     rows, asked = (df.repartition(max(2, math.ceil(shape.n / 20_000))) for df in (rows, asked))
-    placed = stored(rows.mapInArrow(_assign(router, width), "id long, v array<double>, part long"), "ann-rows")
-    routed = asked.mapInArrow(_route(router, width), "id long, v array<double>, part long")
+    placed = stored(rows.mapInArrow(lean(_assign(router, width)), "id long, v array<double>, part long"), "ann-rows")
+    routed = asked.mapInArrow(lean(_route(router, width)), "id long, v array<double>, part long")
     pieces = placed.groupBy("part").agg(F.ceil(F.count("*") / PIECE).cast("long").alias("pieces"))
     candidates = placed.join(pieces, "part").select("id", "v", "part", F.pmod(F.xxhash64("id"), "pieces").alias("piece"), F.lit(0).alias("side"))
     sent = routed.join(pieces, "part").select("id", "v", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(1).alias("side"))
     dealt = candidates.unionByName(sent).repartition("part", "piece").sortWithinPartitions("part", "piece")
-    found = dealt.mapInArrow(_rerank(width, k), "query_id long, vec_id long, score double")
+    found = dealt.mapInArrow(lean(_rerank(width, k)), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandmap.llm import textkernel as K
-from strandmap.llm.common import ship, text_slices
+from strandmap.llm.common import lean, ship, text_slices
 
 U64 = np.uint64
 _NEVER = np.iinfo(np.int64).max
 #: Characters and words that are worked on or remembered at a time.
-SLICE_CHARS, REMEMBERED = 1_000_000, 400_000
+SLICE_CHARS, REMEMBERED = 500_000, 200_000
 
 # Marks that no valid text holds: unpaired surrogates.
 _FIRST_MARK = 0xD800
@@ -324,7 +324,7 @@ def encode(docs: DataFrame, v: Vocabulary, text: str = "text", keep: list[str] |
                 packed = _binary(ids.astype("<u4").view(np.uint8), counts * 4)
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(others))] + [pa.array(counts), packed], names=[*others, "n_tokens", "ids"])
 
-    return docs.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{text}`").alias("_text")).mapInArrow(lean(run), schema)
 
 
 def decode(tokens: DataFrame, v: Vocabulary, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -346,10 +346,11 @@ def decode(tokens: DataFrame, v: Vocabulary, ids: str = "ids", keep: list[str] |
                 out, sizes = decode_ids(vocabulary, part, np.diff(offsets[a : b + 1]) // 4)
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(others))] + [_binary(out, sizes, pa.string())], names=[*others, "decoded"])
 
-    return tokens.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{ids}`").alias("_ids")).mapInArrow(run, schema)
+    return tokens.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{ids}`").alias("_ids")).mapInArrow(lean(run), schema)
 
 
 def unpack_ids(packed: F.Column) -> F.Column:
     """The packed ids as an array of integers."""
-    word = lambda i: F.conv(F.hex(F.reverse(F.substring(packed, i * 4 + 1, F.lit(4)))), 16, 10).cast("int")
+    digits = lambda i: F.hex(F.substring(packed, i * 4 + 1, F.lit(4)))
+    word = lambda i: F.conv(F.concat(*(F.substring(digits(i), k, 2) for k in (7, 5, 3, 1))), 16, 10).cast("int")
     return F.when(F.length(packed) >= 4, F.transform(F.sequence(F.lit(0), (F.length(packed) / 4).cast("int") - 1), word)).otherwise(F.array().cast("array<int>"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmap.llm.common import ship, stored
+from strandmap.llm.common import lean, ship, stored
 from strandmap.llm.graph import connected_components, forest
 from strandmap.llm.vectors import matrix, runs, usable
 
@@ -167,13 +167,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
         return ids.select(id_col, F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept"))
     pivots = choose_pivots(classes, shape.n)
     width, reach = shape.width, math.sqrt(max(0.0, 2 - 2 * least))
-    homed = stored(classes.select("rep", "m", "v").repartition(max(1, math.ceil(shape.n / 20_000)) * 2).mapInArrow(_homes(pivots, width), "rep long, m long, v array<double>, home long, far double"), "homes")
+    homed = stored(classes.select("rep", "m", "v").repartition(max(1, math.ceil(shape.n / 20_000)) * 2).mapInArrow(lean(_homes(pivots, width)), "rep long, m long, v array<double>, home long, far double"), "homes")
     radii = np.full(len(pivots), -1.0)
     for r in homed.groupBy("home").agg(F.max("far").alias("far")).collect():  # a row for each pivot
         radii[r.home] = r.far
-    copies = stored(homed.mapInArrow(_copies(pivots, width, reach, radii, None), "rep long, m long, v array<double>, cell long, own int"), "copies")
+    copies = stored(homed.mapInArrow(lean(_copies(pivots, width, reach, radii, None)), "rep long, m long, v array<double>, cell long, own int"), "copies")
     tiles = _blocks(copies, shape.n).repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y")
-    found = stored(tiles.mapInArrow(_cell_links(width, least), "rep long, n long, a long, b long"), "cell-links")
+    found = stored(tiles.mapInArrow(lean(_cell_links(width, least)), "rep long, n long, a long, b long"), "cell-links")
     counts = found.where("rep is not null").groupBy("rep").agg(F.sum("n").alias("n"))
     groups = connected_components(_with_repeats(found.where("a is not null").select("a", "b"), classes, rows)).withColumnRenamed("node", "rep")
     per_class = classes.join(counts, "rep", "left").join(groups, "rep", "left")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmap.llm.common import ship, stored
+from strandmap.llm.common import lean, ship, stored
 
 _EDGE = "a long, b long"
 
@@ -87,7 +87,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = links.select("a", "b").where("a is not null and b is not null and a <> b")
     hooks: list[DataFrame] = []
     while True:
-        edges = stored(edges.mapInArrow(_forests, _EDGE).distinct(), "forest")
+        edges = stored(edges.mapInArrow(lean(_forests), _EDGE).distinct(), "forest")
         if edges.isEmpty():
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandmap.llm import textkernel as K
-from strandmap.llm.common import ship, text_slices
+from strandmap.llm.common import lean, ship, text_slices
 
 U64 = np.uint64
 
@@ -168,4 +168,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
                     f.sort(key=lambda m: (-m["dice"], m["license"]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(others))), pa.array(found, arrow)], names=[*others, "matches"])
 
-    return docs.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{text}`").alias("_text")).mapInArrow(lean(run), schema)

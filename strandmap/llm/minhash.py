@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmap.llm import textkernel as K
-from strandmap.llm.common import maybe_broadcast, ship, stored, text_slices
+from strandmap.llm.common import lean, maybe_broadcast, ship, stored, text_slices
 from strandmap.llm.graph import UnionFind, connected_components
 from strandmap.llm.vectors import runs
 
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, n_shingles, set_key (128 bits that stand for the set) and signature of each row."""
     ship(docs.sparkSession)
     schema = "doc_id long, n_shingles long, set_key binary, signature binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_features(width), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_features(width)), schema)
 
 
 def _full_sets(width: int):
@@ -147,9 +147,9 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     """The pairs (a, b) of doc_ids whose full shingle sets are similar enough."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = _texts_of(docs, wanted)
-    sets = stored(texts.mapInArrow(_full_sets(width), "doc_id long, elements binary").dropDuplicates(["doc_id"]), "sets")
+    sets = stored(texts.mapInArrow(lean(_full_sets(width)), "doc_id long, elements binary").dropDuplicates(["doc_id"]), "sets")
     joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long")
+    return joined.select("a", "b", "x", "y").mapInArrow(lean(_verified(percent)), "a long, b long")
 
 
 def _alike(estimate: float):
@@ -167,7 +167,7 @@ def alike(pairs: DataFrame, classes: DataFrame, estimate: float) -> DataFrame:
     """The pairs (a, b) whose signatures agree in a share of ``estimate`` of their places or more."""
     short = classes.select("a", "signature")
     joined = pairs.join(short.toDF("a", "x"), "a").join(short.toDF("b", "y"), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(_alike(estimate), "a long, b long")
+    return joined.select("a", "b", "x", "y").mapInArrow(lean(_alike(estimate)), "a long, b long")
 
 
 def _tiles(crowded: DataFrame, tile: int) -> DataFrame:
@@ -290,11 +290,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     crowded = stored(labelled.join(mixed.select("bucket"), "bucket", "left_semi"), "crowded")
     wanted = crowded.select("a").distinct()
     texts = _texts_of(docs, wanted.toDF("doc_id"))
-    short = texts.mapInArrow(_short_sets(width), "doc_id long, elements binary").dropDuplicates(["doc_id"]).toDF("a", "elements")
+    short = texts.mapInArrow(lean(_short_sets(width)), "doc_id long, elements binary").dropDuplicates(["doc_id"]).toDF("a", "elements")
     payload = short.join(classes.select("a", "signature"), "a")
     tiles = _tiles(crowded, TILE).join(payload, "a").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    more = stored(tiles.mapInArrow(_tile_links(percent, ESTIMATE), "a long, b long").distinct(), "more")
-    links = links.unionByName(verify(more, docs, width, percent))
+    more = stored(tiles.mapInArrow(lean(_tile_links(percent, ESTIMATE)), "a long, b long").distinct(), "more")
+    links = links.unionByName(stored(verify(more, docs, width, percent), "more-links"))
     groups = connected_components(links).withColumnRenamed("node", "a")
 
     per_class = classes.select("set_key", "n_shingles", "a").join(groups, "a", "left").select("set_key", "n_shingles", F.coalesce("component", "a").alias("class_component"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandmap.llm import textkernel as K
-from strandmap.llm.common import fits, ship, stored, text_slices
+from strandmap.llm.common import fits, lean, ship, stored, text_slices
 
 #: Entities with later draws that are broadcast at most; draws of an entity at most before its format widens.
 BROADCAST_DRAWS, DRAWS = 200_000, 40
@@ -225,7 +225,7 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
     smallest stays and the others draw again.
     """
     schema = "type string, canonical string, draw int, surrogate string"
-    table = stored(entities.select("type", "canonical", F.lit(0).alias("draw")).mapInArrow(_draw(key), schema), "surrogates")
+    table = stored(entities.select("type", "canonical", F.lit(0).alias("draw")).mapInArrow(lean(_draw(key)), schema), "surrogates")
     taken = entities.select("type", F.col("canonical").alias("surrogate"))
     for _ in range(3 * DRAWS):
         winners = table.groupBy("type", "surrogate").agg(F.min("canonical").alias("winner"))
@@ -234,7 +234,7 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
         bad = judged.where("bad").select("type", "canonical", (F.col("draw") + 1).alias("draw"))
         if bad.isEmpty():
             return judged.drop("bad")
-        table = stored(judged.where("not bad").drop("bad").unionByName(bad.mapInArrow(_draw(key), schema)), "surrogates")
+        table = stored(judged.where("not bad").drop("bad").unionByName(bad.mapInArrow(lean(_draw(key)), schema)), "surrogates")
     raise ValueError("no distinct surrogates found")
 
 
@@ -249,7 +249,7 @@ def replace(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """
     ship(docs.sparkSession)
     column = F.col(f"`{text}`").cast("string")
-    found = docs.select(column.alias("text")).mapInArrow(_distinct_entities, "type string, canonical string").distinct()
+    found = docs.select(column.alias("text")).mapInArrow(lean(_distinct_entities), "type string, canonical string").distinct()
     entities = stored(found, "entities")
     later = assign(entities, key).where("draw > 0").select("type", "canonical", "draw")
     others = [c for c in docs.columns if c not in ("n_entities", "entities", text)]
@@ -287,7 +287,7 @@ def replace(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
                 texts = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(others))), texts, pa.array(counts), pa.array(where, spans)], names=[*others, text, "n_entities", "entities"])
 
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(lean(run), schema)
     return out.select(*[c for c in docs.columns if c not in ("n_entities", "entities")], "n_entities", "entities")
 
 
@@ -302,6 +302,6 @@ def _with_draws(rows: DataFrame, later: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("_hash").take(pa.array(r)), pa.array(kinds), pa.array(values)], names=["_hash", "type", "canonical"])
 
     rows = rows.withColumn("_hash", F.sha2(F.col("_text"), 256))
-    mine = rows.select("_hash", "_text").mapInArrow(run, "_hash string, type string, canonical string").distinct()
+    mine = rows.select("_hash", "_text").mapInArrow(lean(run), "_hash string, type string, canonical string").distinct()
     mine = mine.join(later, ["type", "canonical"]).groupBy("_hash").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(" ", "type", "canonical"), "draw"))).alias("_draws"))
     return rows.join(mine, "_hash", "left").drop("_hash")

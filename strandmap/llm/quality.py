@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandmap.llm import textkernel as K
-from strandmap.llm.common import ship, text_slices
+from strandmap.llm.common import lean, ship, text_slices
 from strandmap.llm.features import style_features
 
 #: Hashed features, and rated texts that fit the model at most.
@@ -93,7 +93,7 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, text: str = "text",
     ratings = ratings.orderBy(F.xxhash64("_key"), "_key").limit(MOST_RATED)
     texts = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sample = texts.join(F.broadcast(ratings), "_key").select("grade", "text")
-    rows = sorted((r.grade, bytes(r.f), bytes(r.c)) for r in sample.mapInArrow(_sample_features, "grade int, f binary, c binary").collect())
+    rows = sorted((r.grade, bytes(r.f), bytes(r.c)) for r in sample.mapInArrow(lean(_sample_features), "grade int, f binary, c binary").collect())
     if not rows:
         return Model(np.zeros(SIZE), np.arange(n_grades - 1, dtype=float))
     x = np.zeros((len(rows), SIZE), np.float32)
@@ -129,4 +129,4 @@ def grade(docs: DataFrame, model: Model, wanted: int = 1, least: float = 0.5, te
                 tail = above[:, wanted - 1] if wanted >= 1 else np.ones(b - a)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(others))), pa.array(above.sum(axis=1)), pa.array(tail), pa.array(tail >= least)], names=[*others, *new])
 
-    return docs.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{text}`").alias("_text")).mapInArrow(lean(run), schema)

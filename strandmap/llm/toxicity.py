@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandmap.llm import textkernel as K
-from strandmap.llm.common import ship, smallest_hashes, stored, text_slices
+from strandmap.llm.common import lean, ship, smallest_hashes, stored, text_slices
 from strandmap.llm.features import letter_words, word_and_prefix_hashes
 
 U64 = np.uint64
@@ -66,13 +66,13 @@ def fit(positive: DataFrame, unlabelled: DataFrame, prior: float, text: str = "t
     ship(positive.sparkSession)
     sample = smallest_hashes(positive, MOST_POSITIVE, key, text).withColumn("positive", F.lit(True)).unionByName(smallest_hashes(unlabelled, MOST_UNLABELLED, key, text).withColumn("positive", F.lit(False)))
     sample = stored(sample.repartition(12), "toxicity-sample")
-    rows = sample.mapInArrow(_text_features, "positive boolean, features binary").collect()
+    rows = sample.mapInArrow(lean(_text_features), "positive boolean, features binary").collect()
     sets = [(bool(r.positive), np.frombuffer(r.features, np.uint32)) for r in rows]
     prior = min(max(prior, 1e-3), 0.9)
     chosen = choose_features([f for y, f in sets if y], [f for y, f in sets if not y], prior)
     if not len(chosen):
         return Model(chosen, np.zeros(2), float(np.log(prior / (1 - prior))))
-    rows = sorted((bool(r.positive), bytes(r.present), r.hits, r.words) for r in sample.mapInArrow(_designs(chosen), "positive boolean, present binary, hits long, words long").collect())
+    rows = sorted((bool(r.positive), bytes(r.present), r.hits, r.words) for r in sample.mapInArrow(lean(_designs(chosen)), "positive boolean, present binary, hits long, words long").collect())
     x = np.zeros((len(rows), len(chosen) + 2), np.float32)
     for i, (_, present, hits, words) in enumerate(rows):
         x[i, np.frombuffer(present, np.uint16)] = 1
@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
                 s = score_bytes(m, data[part[0] : part[-1]], part - part[0])
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(others))), pa.array(s)], names=[*others, "score"])
 
-    return docs.select(*(F.col(f"`{c}`") for c in sent)).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in sent)).mapInArrow(lean(run), schema)
 
 
 def held_out(key: str = "doc_id") -> F.Column:

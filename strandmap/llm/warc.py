@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmap.llm.common import fits, ship
+from strandmap.llm.common import fits, lean, ship
 
 _SPACE_IN_URL = str.maketrans({chr(c): f"%{c:02X}" for c in range(33)} | {"\x7f": "%7F"})
 #: Rows of the table of repeated payloads that are broadcast at most.
@@ -93,7 +93,7 @@ def write_arc(pages: DataFrame, path: str, version: int | None = None, payload:
     """
     ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(payload).cast("binary").alias("payload"))
-    rows.mapInArrow(_arc_rows(version, ip, date), "record binary").select(F.col("record").cast("string")).write.options(lineSep="\n", **_GZIP).text(path)
+    rows.mapInArrow(lean(_arc_rows(version, ip, date)), "record binary").select(F.col("record").cast("string")).write.options(lineSep="\n", **_GZIP).text(path)
 
 
 class _Reader:
@@ -246,12 +246,12 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least: int =
     """
     ship(spark)
     records = _files(spark, arc_path)
-    lean = records.mapInArrow(_converted(False), _CONVERTED)
-    groups = lean.where(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.max(F.struct("page_id", "record_id", "uri", "date")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    small = records.mapInArrow(lean(_converted(False)), _CONVERTED)
+    groups = small.where(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.max(F.struct("page_id", "record_id", "uri", "date")).alias("first"), F.count("*").alias("n")).where("n > 1")
     groups = groups.select("digest", "payload_bytes", F.col("first.record_id").alias("to"), F.col("first.uri").alias("to_uri"), F.col("first.date").alias("to_date"))
     if fits(groups, BROADCAST_GROUPS):
         groups = F.broadcast(groups)
-    rows = records.mapInArrow(_converted(True), _CONVERTED).join(groups, ["digest", "payload_bytes"], "left")
+    rows = records.mapInArrow(lean(_converted(True)), _CONVERTED).join(groups, ["digest", "payload_bytes"], "left")
     revisit = F.col("to").isNotNull() & (F.col("to") != F.col("record_id"))
     block = F.when(revisit, F.col("head")).otherwise(F.concat("head", "payload"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -318,8 +318,8 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
     records give no rows.
     """
     ship(spark)
-    rows = _files(spark, path).mapInArrow(_warc_rows(with_payload), _READ)
-    lean = _files(spark, path).mapInArrow(_warc_rows(False), _READ)
-    targets = lean.where("record_type = 'revisit'").select(F.col("refers_to_id").alias("record_id")).distinct()
-    targets = lean.where("record_type = 'response'").join(targets, "record_id", "left_semi").groupBy("record_id").agg(F.max("page_id").alias("refers_to"))
+    rows = _files(spark, path).mapInArrow(lean(_warc_rows(with_payload)), _READ)
+    small = _files(spark, path).mapInArrow(lean(_warc_rows(False)), _READ)
+    targets = small.where("record_type = 'revisit'").select(F.col("refers_to_id").alias("record_id")).distinct()
+    targets = small.where("record_type = 'response'").join(targets, "record_id", "left_semi").groupBy("record_id").agg(F.max("page_id").alias("refers_to"))
     return rows.join(targets.withColumnRenamed("record_id", "refers_to_id"), "refers_to_id", "left")
