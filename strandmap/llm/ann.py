@@ -112,7 +112,7 @@ def fit_router(x: np.ndarray, n_parts: int, recall: float, k: int, seed: int = 7
     """Fit on a sample ``x``; n_parts is a power of two."""
     rng = np.random.default_rng(seed)
     width = x.shape[1]
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    mean, scale = (x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)) if len(x) else (np.zeros(width), np.ones(width))
     hidden = 64
     router = Router(mean, scale, rng.normal(0, math.sqrt(2 / width), (width, hidden)), np.zeros(hidden), rng.normal(0, math.sqrt(1 / hidden), (hidden, n_parts)), np.zeros(n_parts), 1)
     if n_parts == 1 or len(x) < 4 * n_parts:

@@ -156,7 +156,7 @@ def parse_arc(content: bytes) -> Iterator[dict]:
 
     The version comes from the latest version block; without one, the number of
     fields of the line tells it. A declared length that passes the end of the
-    file is cut there and marked.
+    file is cut there and marked; lines that are no header are passed over.
     """
     reader, version = _Reader(content), 0
     while (line := reader.line()) is not None:

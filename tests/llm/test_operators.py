@@ -1,0 +1,456 @@
+import base64
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from strandmap.llm import ann, bpe, embedding_join, graph, licenses, minhash, mixing, pii, quality, queries, textkernel, toxicity, warc
+from strandmap.llm.common import shared_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_of(spark, texts, extra=False):
+    rows = [(i, t, "en", f"s{(i or 0) % 3}", len(t or "")) for i, t in texts]
+    df = spark.createDataFrame(rows, DOCS)
+    return df.withColumn("score", F.lit("old")).withColumn("ids", F.lit("old")).withColumn("component", F.lit(1)).withColumn("a", F.lit(1)) if extra else df
+
+
+def components(nodes, links):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    return {n: find(n) for n in nodes}
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1200)] + [(2000, i) for i in range(2001, 2300)] + [(7, 7)]
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
+    want = components({x for ab in links for x in ab if ab[0] != ab[1]}, links)
+    assert got == want
+    assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 1: embeddings
+
+
+def brute_vectors(rows, least):
+    fine = {i: np.array(v, float) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    links = [(a, b) for a, b in itertools.combinations(sorted(fine), 2) if len(fine[a]) == len(fine[b]) and fine[a] @ fine[b] / np.linalg.norm(fine[a]) / np.linalg.norm(fine[b]) >= least]
+    n = {i: sum(i in ab for ab in links) for i, _ in rows}
+    return n, components([i for i, _ in rows], links)
+
+
+def test_embedding_join(spark, monkeypatch):
+    monkeypatch.setattr(embedding_join, "CELL", 40)
+    monkeypatch.setattr(embedding_join, "BLOCK", 30)
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 6))
+    rows = [(i, (centres[i % 12] + rng.normal(scale=0.25, size=6)).tolist()) for i in range(300)]
+    rows += [(300 + i, rows[0][1]) for i in range(60)]
+    rows += [(400, None), (401, []), (402, [0.0] * 6), (403, [float("nan")] + [1.0] * 5), (404, [None] + [1.0] * 5), (405, [1.0, 0.0]), (406, [2.0, 0.0]), (407, [float("inf")] * 6)]
+    df = spark.createDataFrame([(i, v, "x", 3) for i, v in rows], "vec_id long, embedding array<double>, n string, rep int")
+    out = {r.vec_id: r for r in embedding_join.near_duplicates(df).collect()}
+    n, comp = brute_vectors(rows, 0.95)
+    assert {i: r.n_links for i, r in out.items()} == n
+    assert {i: r.component_id for i, r in out.items()} == comp
+    assert all(r.kept == (r.vec_id == r.component_id) for r in out.values())
+    assert embedding_join.near_duplicates(df.limit(0)).count() == 0
+
+
+# 2: BPE
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.vocabulary_path())
+
+
+def bpe_expected(tokenizer, text):
+    ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+    return ids, tokenizer.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_edge_cases(spark, tokenizer):
+    rng = random.Random(2)
+    alphabet = "aaabbcde'stremvld'' \n\t12é ß!?,.İΣ́ñ漢字😀"
+    texts = [None, "", " ", "<|endoftext|>x<|startoftext|>", "a" * 30_000, "word " * 20_000, "it's I'LL we've!'s"] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    df = docs_of(spark, list(enumerate(texts)) + [(0, "again")], extra=True)
+    v = bpe.load_vocabulary(queries.vocabulary_path())
+    out = bpe.decode(bpe.encode(df, v), v).withColumn("list", bpe.unpack_ids(F.col("ids"))).collect()
+    assert len(out) == len(texts) + 1
+    for r in out:
+        ids, text = bpe_expected(tokenizer, "again" if r.n_chars == 5 and r.doc_id == 0 else texts[r.doc_id])
+        assert (r.n_tokens, r.list, r.decoded, r.lang) == (len(ids), ids, text, "en")
+    assert bpe.encode(df.limit(0), v).count() == 0
+
+
+def test_op2(spark, sf, tokenizer):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.op2_bpe(spark, sf).collect():
+        ids, text = bpe_expected(tokenizer, texts.pop(r.doc_id))
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert not texts
+
+
+# 3: MinHash
+
+
+def shingle_set(text, width):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else {tuple(words)} if words else set()
+
+
+def brute_near(texts, width, percent=80):
+    sets = {i: shingle_set(t, width) for i, t in texts}
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    return {i: len(s) for i, s in sets.items()}, components(sets, links)
+
+
+def planted(n=40, seed=3):
+    rng = random.Random(seed)
+    base = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 6) for _ in range(120)) for _ in range(4)]
+    out = []
+    for i in range(n):
+        words = base[i % 4].split()
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = f"w{rng.random()}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_minhash_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "TILE", 5)
+    texts = [*planted(), None, "", "  \n", "one", "ONE", "one two", "One\tTwo", "a b c d", "A b c D", "É x", "é x", "same " * 5000]
+    texts = list(enumerate(texts)) + [(900, "same " * 5000)]
+    out = {r.doc_id: r for r in minhash.near_duplicates(docs_of(spark, texts, extra=True), width=4).collect()}
+    sizes, comp = brute_near(texts, 4)
+    assert {i: r.n_shingles for i, r in out.items()} == sizes
+    assert {i: r.component_id for i, r in out.items()} == comp
+    assert minhash.near_duplicates(docs_of(spark, []), 4).count() == 0
+
+
+def test_minhash_repeated_and_null_ids(spark):
+    out = minhash.near_duplicates(docs_of(spark, [(1, "x y z w v"), (1, "x y z w v"), (None, "x y z w v"), (2, "x y z w v")]), width=5).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in out) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False)]
+    assert minhash.keep_first(docs_of(spark, [(1, "x y z w v"), (None, "x y z w v"), (2, "x y z w v")])).count() == 2
+
+
+def test_superminhash_estimates_with_low_variance():
+    rng = np.random.default_rng(4)
+    errors = []
+    for _ in range(60):
+        x = rng.integers(0, 2**63, 300, dtype=np.uint64)
+        y = np.concatenate([x[:200], rng.integers(0, 2**63, 100, dtype=np.uint64)])
+        s = minhash.superminhash(np.concatenate([x, y]), np.array([0, 300, 600]))
+        errors.append((s[0] == s[1]).mean() - 0.5)
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.048
+    one = minhash.superminhash(np.array([5], np.uint64), np.array([0, 1, 1]))
+    assert len(set(one[0].tolist())) == 128 and set(one[1].tolist()) == {2**64 - 1}
+
+
+# 4: archives
+
+
+def test_archives(spark):
+    rows = [(1, "http://a/b c", "x"), (2, None, "x"), (3, "http://q", None), (4, "http://q", ""), (5, "u\nv", "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n"), (6, "z", "é" * 1000), (7, "z", "x"), (8, "long", "l" * 3_000_000)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int")
+    for version in (1, 2, None):
+        arc, out = shared_path(spark, "arc"), shared_path(spark, "warc")
+        warc.write_arc(df, arc, version)
+        warc.arc_to_warc(spark, arc, out)
+        got = {r.page_id: r for r in warc.read_warc(spark, out, with_payload=True).collect()}
+        assert set(got) == {r[0] for r in rows} and all(r.digest_ok for r in got.values())
+        for page, _, html in rows:
+            payload = (html or "").encode()
+            twins = [p for p, _, h in rows if (h or "") == (html or "")]
+            r = got[page]
+            assert r.payload_digest == base64.b32encode(hashlib.sha1(payload).digest()).decode() and r.payload_bytes == len(payload)
+            assert (r.record_type, r.refers_to) == (("response", None) if page == max(twins) else ("revisit", max(twins)))
+            assert r.record_type == "revisit" or r.payload == payload
+    empty = shared_path(spark, "arc"), shared_path(spark, "warc")
+    warc.write_arc(df.limit(0), empty[0])
+    warc.arc_to_warc(spark, *empty)
+    assert warc.read_warc(spark, empty[1]).count() == 0
+
+
+def test_arc_parser_follows_version_blocks():
+    one = warc.arc_version_block(1, "a.arc", "20200101000000") + b"\n" + warc.arc_record(1, "http://x/ y", "1.2.3.4", "20200102030405", "text/html", b"line\nhttp://no 1 2 3 4\n", "a.arc") + b"\n"
+    two = warc.arc_version_block(2, "b.arc", "20200101000000") + b"\n" + warc.arc_record(2, "http://z", "1.2.3.4", "2020", "text/plain", b"", "b.arc") + b"\n"
+    rows = list(warc.parse_arc(one + two))
+    assert [(r["url"], r["version"], r["body"], r["whole"]) for r in rows] == [("http://x/%20y", 1, b"line\nhttp://no 1 2 3 4\n", True), ("http://z", 2, b"", True)]
+    assert not list(warc.parse_arc(one[:-10]))[0]["whole"] and not list(warc.parse_arc(one[:-30]))
+    assert warc._iso("2020") == "2020-01-01T00:00:00Z" and warc._iso("20200102030405") == "2020-01-02T03:04:05Z"
+
+
+# 5 and 7: classifiers
+
+
+def fold(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 3 == 1
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    out = {r.doc_id: r for r in queries.op5_quality(spark, sf).collect()}
+    assert len(out) == 1000
+    held = [i for i in labels if fold(i)]
+    assert np.mean([out[i].kept == (labels[i] == 1) for i in held]) >= 0.95
+    assert np.mean([out[i].kept for i in held if labels[i] == 1]) >= 0.97
+
+
+def test_quality_is_ordinal():
+    rng = np.random.default_rng(0)
+    x = rng.random((600, 5)).astype(np.float32)
+    grades = np.digitize(x[:, 0] + rng.normal(scale=0.05, size=600), [0.3, 0.6])
+    m = quality.fit_shares(x, grades, 3)
+    assert np.all(np.diff(m.thresholds) > 0) and np.corrcoef(x @ m.weights, grades)[0, 1] > 0.85
+
+
+def test_quality_edge_cases(spark):
+    df = docs_of(spark, [(1, None), (2, ""), (2, ""), (3, "word " * 50_000), (None, "x")], extra=True).withColumn("kept", F.lit("old"))
+    m = quality.fit(df, spark.createDataFrame([], "doc_id long, grade int"), 3)
+    out = quality.grade(df, m).collect()
+    assert len(out) == 5 and all(0 <= r.tail_prob <= 1 and 0 <= r.expected_grade <= 2 for r in out)
+    assert quality.grade(df.limit(0), m).count() == 0
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    out = {r.doc_id: r for r in queries.op7_toxicity(spark, sf).collect()}
+    assert len(out) == 10000 and all(r.held_out == fold(i) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for i, r in out.items())
+    held = [i for i in labels if fold(i)]
+    hit = sum(out[i].predicted and labels[i] for i in held)
+    assert hit / sum(labels[i] for i in held) >= 0.85 and hit / sum(out[i].predicted for i in held) >= 0.8
+
+
+def test_toxicity_ignores_labels_of_the_held_out_fold(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (toxicity.fit_from_labels(docs, x) for x in (labels, flipped))
+    assert np.array_equal(a.features, b.features) and np.allclose(a.weights, b.weights) and a.bias == b.bias
+
+
+def test_toxicity_edge_cases(spark):
+    df = docs_of(spark, [(1, None), (2, ""), (2, ""), (3, "word " * 50_000), (None, "x")], extra=True)
+    m = toxicity.fit_from_labels(df.select("doc_id", "text"), spark.createDataFrame([], "doc_id long, toxic int"))
+    out = toxicity.score(df, m).collect()
+    assert len(out) == 5 and len({r.score for r in out}) == 1
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    pos = [textkernel_words(rng.sample(words, 20) + ["awful"]) for _ in range(60)]
+    neg = [textkernel_words(rng.sample(words, 20)) for _ in range(200)]
+    chosen = toxicity.choose_features(pos, neg + pos[:10], 0.1)
+    assert len(chosen) >= 1
+    assert toxicity.score(df.limit(0), m).count() == 0
+
+
+def textkernel_words(words):
+    batch = pa.RecordBatch.from_arrays([pa.array([True]), pa.array([" ".join(words)])], names=["positive", "text"])
+    return np.frombuffer(next(iter(toxicity._text_features([batch]))).column(1)[0].as_py(), np.uint32)
+
+
+# 6: mixing
+
+
+def test_mixing(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 40)), "en", [None, "b", "a", "é", "z"][min(4, i % 9)], 1) for i in range(900)] + [(5000, None, "en", "empty", 0), (5001, "", "en", "empty", 0), (5002, "w " * 20_000, "en", "big", 0)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("rate", F.lit("old"))
+    out = mixing.mix(df, [5, 2, 1]).collect()
+    again = mixing.mix(df.repartition(7), [5, 2, 1]).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again)) and len(out) == len(rows)
+    sizes = {}
+    for _, t, _, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    weight = {s: [5, 2, 1][i % 3] for i, s in enumerate(order)}
+    full, capped, total = {s: 2 * n for s, n in sizes.items()}, {}, 1.5 * sum(sizes.values())
+    while True:
+        rest = [s for s in order if s not in capped]
+        level = (total - sum(capped.values())) / sum(weight[s] for s in rest)
+        over = {s: full[s] for s in rest if weight[s] * level > full[s]}
+        if not over:
+            break
+        capped |= over
+    target = {s: capped.get(s, weight[s] * level) for s in order}
+    taken = {s: sum(r.taken for r in out if r.source == s) for s in order}
+    for r in out:
+        assert abs(r.target - target[r.source]) < 1e-6 and r.source_size == sizes[r.source] and 0 <= r.taken <= 2 * r.size
+    for s in order:
+        assert abs(taken[s] - target[s]) <= (20_000 if s == "big" else 45)
+    assert mixing.mix(df.limit(0), [5, 2, 1]).count() == 0
+
+
+def test_balance_of_two_constraints(spark):
+    cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 50), ("b", "x", 30), ("b", "y", 70)], "source string, lang string, size long")
+    targets = {"source": spark.createDataFrame([("a", 140.0), ("b", 110.0)], "key string, target double"), "lang": spark.createDataFrame([("x", 120.0), ("y", 130.0)], "key string, target double")}
+    rows = mixing._tilted(cells, mixing.balance(cells, targets)).collect()
+    for name, t in (("source", {"a": 140, "b": 110}), ("lang", {"x": 120, "y": 130})):
+        for key, want in t.items():
+            assert abs(sum(r["size"] * r.rate for r in rows if r[name] == key) - want) < 0.01
+
+
+# 8: licenses
+
+
+def brute_dice(words, template, least):
+    best = 0.0
+    t = list(zip(template, template[1:]))
+    for i in range(len(words)):
+        for j in range(i + 2, min(len(words), i + 2 * len(template) + 4) + 1):
+            g = list(zip(words[i:j], words[i + 1 : j]))
+            pool = list(t)
+            k = 0
+            for x in g:
+                if x in pool:
+                    pool.remove(x)
+                    k += 1
+            best = max(best, 2 * k / (len(g) + len(t)))
+    return best if best >= least - 1e-12 else 0.0
+
+
+def test_license_scan_against_brute_force(spark):
+    rng = random.Random(8)
+    templates = {"one": "licensed under the apache license version 2 0", "two": "released under the mit license", "rep": "a b a b a c"}
+    vocab = sorted({w for t in templates.values() for w in t.split()}) + ["x", "y"]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 25))) for _ in range(60)]
+    for t in templates.values():
+        for _ in range(15):
+            w = t.split()
+            if rng.random() < 0.6:
+                w[rng.randrange(len(w))] = "z"
+            texts.append("pre x " + " ".join(w) + rng.choice(["", " y post"]))
+    out = {r.doc_id: r for r in licenses.scan(docs_of(spark, list(enumerate(texts)), extra=True), templates).collect()}
+    for i, text in enumerate(texts):
+        want = {n: brute_dice(text.split(), t.split(), 0.8) for n, t in templates.items()}
+        assert {m.license: round(m.dice, 9) for m in out[i].matches} == {n: round(d, 9) for n, d in want.items() if d}
+
+
+def test_license_edge_cases(spark):
+    text = "é LICENSED!! under** CC\tBY-NC 4.0 !"
+    out = {r.doc_id: r.matches for r in licenses.scan(docs_of(spark, [(1, None), (2, ""), (3, "word"), (4, text), (5, "Released under the MIT License. " * 4000)])).collect()}
+    assert out[1] == out[2] == out[3] == [] and out[4][0].license == "CC-BY-NC-4.0" and out[4][0].dice == 1.0 and out[5][0].license == "MIT"
+    raw = text.encode()
+    assert raw[out[4][0].begin : out[4][0].end].decode() == "LICENSED!! under** CC\tBY-NC 4.0"
+    assert licenses.scan(docs_of(spark, [])).count() == 0
+
+
+def test_op8_finds_each_notice(spark):
+    sf = "/root/testdata/sf0.01"
+    found = {r.doc_id: r.license for r in queries.op8_licenses(spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        for name in ("MIT", "GPL-3.0", "Apache-2.0", "CC-BY-NC-4.0"):
+            if licenses.TEMPLATES[name] in r.text:
+                assert found[r.doc_id] is not None
+
+
+# 9: nearest neighbours
+
+
+def test_ann_recall(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(9000, 16))
+    x[5000:5400] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 100 = 0")
+    got = {}
+    for r in ann.nearest(df, asked).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.score, r.vec_id)
+    hits = 0
+    for q in range(0, 9000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        best = np.lexsort((np.arange(len(x)), d))[:10]
+        mine = [got[q][k] for k in range(1, 11)]
+        assert mine == sorted(mine) and all(s == d[v] for s, v in mine)
+        hits += len({v for _, v in mine} & set(best.tolist()))
+    assert hits / 900 >= 0.9
+
+
+def test_ann_edge_cases(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0]), (7, [1.0, 0.1])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, part string")
+    out = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, df).collect())
+    assert out == [(1, 1, 2), (1, 2, 7), (2, 1, 7), (2, 2, 1), (7, 1, 2), (7, 2, 1)]
+    assert ann.nearest(df, df.limit(0)).count() == 0 and ann.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_balanced_bisection():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(100, 4)), rng.normal(size=(100, 4)) + 6])
+    near = ann._nearest(x, x, 5, own=True)
+    label = ann.balanced_parts(x, near, 2)
+    assert label.sum() == 100 and abs(label[:100].mean() - label[100:].mean()) == 1
+
+
+# 10: personal data
+
+
+def test_surrogates(spark):
+    texts = ["Mr John Smith met Mrs. Smith; +1 (017) 555-7713, X@Y.COM, 4111 1111 1111 1111, 10.20.30.40", None, "", "x@y.com +1-017-555-7713 and 1.2.3.4 version 2.0", 'token = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"', "clean text with 12 numbers, 3.14 and a@b", "Госпожа Иванова Анна и Господин Иванов", "x " * 40_000 + "z@z.org"]
+    out = {r.doc_id: r for r in pii.replace(docs_of(spark, list(enumerate(texts)), extra=True), b"key").collect()}
+    assert out[1].text is None and out[2].text == "" and out[5].text == texts[5] and out[5].n_entities == 0
+    mail = re.search(r"\S+@\S+", out[3].text)[0]
+    assert mail != "x@y.com" and mail.upper() + "," in out[0].text and mail.endswith(".com")
+    phone = re.search(r"\+1-(\d{3})-(\d{3})-(\d{4})", out[3].text).groups()
+    assert "+1 ({}) {}-{}".format(*phone) in out[0].text and phone != ("017", "555", "7713")
+    names = re.match(r"Mr (\w+) (\w+) met Mrs. (\w+);", out[0].text).groups()
+    assert names[1] == names[2] != "Smith"
+    card = re.search(r"\d{4} \d{4} \d{4} \d{4}", out[0].text)[0]
+    assert pii.luhn(card.replace(" ", "")) and card[0] == "4" and card != "4111 1111 1111 1111"
+    assert re.fullmatch(r'token = "[0-9A-F]{40}"', out[4].text) and out[4].text != texts[4]
+    assert re.fullmatch(r"Госпожа [А-Я][а-я]+ [А-Я][а-я]+ и Господин [А-Я][а-я]+", out[6].text) and "Иванов" not in out[6].text
+    assert out[7].n_entities == 1 and len(out[7].text) == len(texts[7])
+    assert out[0].lang == "en" and out[0].score == "old"
+    assert pii.replace(docs_of(spark, []), b"key").count() == 0
+
+
+def test_surrogates_are_distinct_and_keyed(spark):
+    values = [f"{a}.{b}.{c}.{d}" for a, b, c, d in itertools.product(range(1, 7), repeat=4)]
+    entities = spark.createDataFrame([("ip", v) for v in values], "type string, canonical string")
+    rows = pii.assign(entities, b"k").collect()
+    assert len({r.surrogate for r in rows}) == len(values) and not {r.surrogate for r in rows} & set(values) and max(r.draw for r in rows) > 0
+    assert pii.surrogate(b"k", "ip", "1.2.3.4") != pii.surrogate(b"other", "ip", "1.2.3.4")
+
+
+def test_later_draws_reach_the_text_both_ways(spark, monkeypatch):
+    values = [f"{a}.{b}.{c}.{d}" for a, b, c, d in itertools.product(range(1, 7), repeat=4)]
+    df = docs_of(spark, [(i, " and ".join(values[i * 36 : i * 36 + 36])) for i in range(36)])
+    a = {r.doc_id: r.text for r in pii.replace(df, b"k").collect()}
+    monkeypatch.setattr(pii, "BROADCAST_DRAWS", 0)
+    b = {r.doc_id: r.text for r in pii.replace(df, b"k").collect()}
+    assert a == b and len({x for t in a.values() for x in t.split(" and ")}) == len(values)
+
+
+# The kernels
+
+
+def test_text_kernel():
+    texts = ["", "A b\tC", None, "  ", "é x y", "longer words here"]
+    data, offsets = textkernel.flat(pa.array(texts))
+    rows, starts, lengths = textkernel.word_spans(data, offsets)
+    words = [data[s : s + n].tobytes().decode() for s, n in zip(starts, lengths, strict=True)]
+    assert list(zip(rows.tolist(), words)) == [(1, "A"), (1, "b"), (1, "C"), (4, "é x"), (4, "y"), (5, "longer"), (5, "words"), (5, "here")]
+    h = textkernel.span_hashes(data, starts, lengths)
+    low, lo = textkernel.flat(pa.array(["a"]))
+    assert textkernel.span_hashes(low, *textkernel.word_spans(low, lo)[1:])[0] == h[0]
