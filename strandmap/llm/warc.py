@@ -164,14 +164,16 @@ def parse_arc(content: bytes) -> Iterator[dict]:
             continue
         v = version or (1 if line.count(b" ") < 9 else 2)
         if line.startswith(b"filedesc://"):
-            fields = line.split(b" ")
-            body = reader.take(int(fields[-1]))
+            last = line.rsplit(b" ", 1)[-1]
+            body = reader.take(int(last) if last.isdigit() else 0)
             version = 2 if body[:1] == b"2" else 1
             continue
         fields = line.rsplit(b" ", 4 if v == 1 else 9)
+        if len(fields) < (5 if v == 1 else 10) or not fields[-1].isdigit():
+            continue
         length = int(fields[-1])
         body = reader.take(length)
-        yield {"url": fields[0].decode("utf-8", "replace"), "ip": fields[1].decode(), "date": fields[2].decode(), "mime": fields[3].decode("utf-8", "replace"), "body": body, "whole": len(body) == length, "version": v}
+        yield {"url": fields[0].decode("utf-8", "replace"), "ip": fields[1].decode("utf-8", "replace"), "date": fields[2].decode("utf-8", "replace"), "mime": fields[3].decode("utf-8", "replace"), "body": body, "whole": len(body) == length, "version": v}
 
 
 def _http(body: bytes) -> tuple[bytes, bytes]:
