@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandmap.queries import lookups, parsers, relations, retrieval, rollups
+from strandmap.queries import extras, lookups, parsers, relations, retrieval, rollups
 
-QUERIES: dict = lookups.QUERIES | relations.QUERIES | rollups.QUERIES | retrieval.QUERIES | parsers.QUERIES
-ORACLE_SQL: dict = lookups.ORACLE_SQL | relations.ORACLE_SQL | rollups.ORACLE_SQL | retrieval.ORACLE_SQL | parsers.ORACLE_SQL
+QUERIES: dict = lookups.QUERIES | relations.QUERIES | rollups.QUERIES | retrieval.QUERIES | parsers.QUERIES | extras.QUERIES
+ORACLE_SQL: dict = lookups.ORACLE_SQL | relations.ORACLE_SQL | rollups.ORACLE_SQL | retrieval.ORACLE_SQL | parsers.ORACLE_SQL | extras.ORACLE_SQL
 
 
 def flagship(spark, sf_dir: str):
