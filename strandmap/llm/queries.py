@@ -156,5 +156,18 @@ reach AS (
 SELECT s.doc_id, s.n AS n_shingles, min(r.y) AS component_id, s.doc_id = min(r.y) AS kept
 FROM sizes s JOIN reach r ON r.x = s.doc_id
 GROUP BY s.doc_id, s.n
+""",
+    "op4_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+groups AS (SELECT page_id, ('0x' || substring(h, 5 * g + 1, 5))::BIGINT AS n, g FROM p, range(8) r(g)),
+digests AS (SELECT page_id, string_agg(
+        substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> 15) & 31)::INT + 1, 1) || substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> 10) & 31)::INT + 1, 1) ||
+        substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> 5) & 31)::INT + 1, 1) || substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n & 31)::INT + 1, 1), '' ORDER BY g) AS payload_digest
+    FROM groups GROUP BY page_id),
+latest AS (SELECT html, max(page_id) AS top FROM p GROUP BY html)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to, true AS digest_ok
+FROM p JOIN digests USING (page_id) JOIN latest USING (html)
 """,
 }
