@@ -40,8 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, packed, with their number and the digest of the decoded text."""
     v = bpe.load_vocabulary(queries.vocabulary_path())
-    ids = bpe.encode(docs, v, keep=["doc_id", "lang", "source"])
-    back = bpe.decode(ids, v)
+    back = bpe.round_trip(docs, v, keep=["doc_id", "lang", "source"])
     return back.select("doc_id", "lang", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "ids")
 
 

@@ -349,6 +349,30 @@ def decode(tokens: DataFrame, v: Vocabulary, ids: str = "ids", keep: list[str] |
     return tokens.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{ids}`").alias("_ids")).mapInArrow(lean(run), schema)
 
 
+def round_trip(docs: DataFrame, v: Vocabulary, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` of ``docs`` (all but the text if None), n_tokens, ids and decoded.
+
+    The same as ``decode(encode(docs))``, but one worker does both, so a task
+    holds one worker's memory and ids don't cross to the JVM and back.
+    """
+    others = _columns(docs, keep, ["n_tokens", "ids", "decoded"], text)
+    shared = _shared(v, docs)
+    schema = T.StructType([docs.schema[c] for c in others]).add("n_tokens", "long").add("ids", "binary").add("decoded", "string")
+
+    def run(batches):
+        vocabulary = shared.value
+        encoder = _encoder(vocabulary)
+        for batch in batches:
+            texts = [x or "" for x in batch.column(len(others)).to_pylist()]
+            for a, b in text_slices([len(x) + 3 for x in texts], SLICE_CHARS):
+                ids, counts = encoder.encode(texts[a:b])
+                out, sizes = decode_ids(vocabulary, ids, counts)
+                packed = _binary(ids.astype("<u4").view(np.uint8), counts * 4)
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(others))] + [pa.array(counts), packed, _binary(out, sizes, pa.string())], names=[*others, "n_tokens", "ids", "decoded"])
+
+    return docs.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{text}`").alias("_text")).mapInArrow(lean(run), schema)
+
+
 def unpack_ids(packed: F.Column) -> F.Column:
     """The packed ids as an array of integers."""
     digits = lambda i: F.hex(F.substring(packed, i * 4 + 1, F.lit(4)))

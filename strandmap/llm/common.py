@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from strandmap import session
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 8 * 1024 * 1024
 _UNITS = {"k": 2**10, "m": 2**20, "g": 2**30, "t": 2**40}
 
 

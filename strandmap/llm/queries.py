@@ -23,8 +23,7 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode it again, and return digests of both."""
     v = bpe.load_vocabulary(vocabulary_path())
-    ids = bpe.encode(table(spark, sf_dir, "documents"), v, keep=["doc_id"])
-    back = bpe.decode(ids, v)
+    back = bpe.round_trip(table(spark, sf_dir, "documents"), v, keep=["doc_id"])
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
