@@ -53,17 +53,20 @@ def classify_merge(old: DataFrame, new: DataFrame, key: str = "path", value: str
 
 
 def as_of(rows: DataFrame, marks: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """Each row with the value of the latest mark strictly before it; rows on a mark are left out.
+    """Each row with the value of the latest mark strictly before it; rows on a mark, and rows without one, are left out.
 
-    Spark has no as-of join: marks and rows are sorted together once.
+    ``order`` holds whole numbers. Spark has no as-of join: marks and rows are
+    put together and sorted once.
     """
-    side = rows.select(*by, order, *[c for c in rows.columns if c not in by and c != order], F.lit(None).cast(marks.schema[value].dataType).alias("_mark"), F.lit(1).alias("_kind"))
-    other = marks.select(*by, order, *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in by and c != order], F.col(value).alias("_mark"), F.lit(0).alias("_kind"))
-    w = Window.partitionBy(*by).orderBy(order)
-    both = side.unionByName(other)
-    before = F.last("_mark", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, -1)) if dict(rows.dtypes)[order] in ("int", "bigint") else F.last("_mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    on_mark = F.max(1 - F.col("_kind")).over(Window.partitionBy(*by, order))
-    return both.withColumn(value, before).withColumn("_on", on_mark).where("_kind = 1 and _on = 0").drop("_mark", "_kind", "_on").where(F.col(value).isNotNull())
+    others = [c for c in rows.columns if c not in (*by, order)]
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    row_side = rows.select(*by, order, *others, F.lit(None).cast(marks.schema[value].dataType).alias("_mark"))
+    mark_side = marks.select(*by, order, *(F.lit(None).cast(kinds[c]).alias(c) for c in others), F.col(value).alias("_mark"))
+    both = row_side.withColumn("_row", F.lit(True)).unionByName(mark_side.withColumn("_row", F.lit(False)))
+    before = F.last("_mark", ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rangeBetween(Window.unboundedPreceding, -1))
+    on_mark = F.max(~F.col("_row")).over(Window.partitionBy(*by, order))
+    out = both.withColumn(value, before).withColumn("_on", on_mark)
+    return out.where(F.col("_row") & ~F.col("_on") & F.col(value).isNotNull()).drop("_mark", "_row", "_on")
 
 
 def nearest(rows: DataFrame, by: list[str], distance: Column, value: str) -> DataFrame:

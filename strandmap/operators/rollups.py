@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from strandmap.functions import paths
@@ -18,16 +18,14 @@ def by_owner(usages: DataFrame, excluded: str | None = None, samples: int = 3) -
         rows = rows.where(~F.col("owner").startswith(excluded))
     typed = rows.groupBy("owner", "link_type").agg(F.count("*").alias("n"))
     types = typed.groupBy("owner").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "link_type", F.col("n").cast("string")))), ",").alias("types"))
-    # The smallest paths of each owner, kept as a bounded ordered set by repeated minima.
+    # The first paths of each owner: the window's limit is pushed before its sort.
     distinct = rows.where("from_path <> owner").select("owner", "from_path").distinct()
     ranked = distinct.withColumn("_n", F.row_number().over(_by_owner())).where(F.col("_n") <= samples)
     picked = ranked.groupBy("owner").agg(F.array_join(F.array_sort(F.collect_list("from_path")), ",").alias("samples"))
     return types.join(picked, "owner", "left").select("owner", "n", "types", F.coalesce("samples", F.lit("")).alias("samples"))
 
 
-def _by_owner():
-    from pyspark.sql import Window
-
+def _by_owner() -> WindowSpec:
     return Window.partitionBy("owner").orderBy("from_path")
 
 
