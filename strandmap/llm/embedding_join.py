@@ -57,7 +57,7 @@ def _homes(pivots, width: int):
     return run
 
 
-def _copies(pivots, width: int, reach: float, radii, sizes):
+def _copies(pivots, width: int, reach: float, radii):
     """Each vector in its cell (own = 1) and, cut into blocks, in the cells of smaller pivots that its range may meet."""
 
     def run(batches):
@@ -126,7 +126,7 @@ def _cell_links(width: int, least: float):
     return run
 
 
-def _blocks(copies: DataFrame, n_classes: int) -> DataFrame:
+def _blocks(copies: DataFrame) -> DataFrame:
     """Deal each cell over blocks: pieces of its own vectors against each other and against pieces of the copies."""
     sizes = copies.groupBy("cell").agg(F.sum("own").alias("n_own"), F.sum(1 - F.col("own")).alias("n_copy"))
     sizes = sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("n_own") / BLOCK)).cast("long").alias("own_pieces"), F.ceil(F.col("n_copy") / BLOCK).cast("long").alias("copy_pieces"))
@@ -171,8 +171,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     radii = np.full(len(pivots), -1.0)
     for r in homed.groupBy("home").agg(F.max("far").alias("far")).collect():  # a row for each pivot
         radii[r.home] = r.far
-    copies = stored(homed.mapInArrow(lean(_copies(pivots, width, reach, radii, None)), "rep long, m long, v array<double>, cell long, own int"), "copies")
-    tiles = _blocks(copies, shape.n).repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y")
+    copies = stored(homed.mapInArrow(lean(_copies(pivots, width, reach, radii)), "rep long, m long, v array<double>, cell long, own int"), "copies")
+    tiles = _blocks(copies).repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y")
     found = stored(tiles.mapInArrow(lean(_cell_links(width, least)), "rep long, n long, a long, b long"), "cell-links")
     counts = found.where("rep is not null").groupBy("rep").agg(F.sum("n").alias("n"))
     groups = connected_components(_with_repeats(found.where("a is not null").select("a", "b"), classes, rows)).withColumnRenamed("node", "rep")
