@@ -69,3 +69,9 @@ def join_paths(links: DataFrame, source: str, target: str) -> DataFrame:
     both = one.unionByName(two)
     base = F.when(F.col("direction") == "forward", F.lit(source)).otherwise(F.lit(target))
     return both.groupBy("direction", "from_path", "to_path").agg(F.array_join(F.array_sort(F.collect_set("link_type")), ",").alias("types")).withColumn("field", paths.relative(F.col("from_path"), base))
+
+
+def resolve_name(objects: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, path): for each bare name the shortest path that ends in it, then the first; names that nothing has are left out."""
+    found = objects.select("path", "name").join(names.select("name").distinct(), "name")
+    return found.groupBy("name").agg(F.min_by("path", F.struct(paths.depth(F.col("path")), F.length("path"), F.col("path"))).alias("path"))

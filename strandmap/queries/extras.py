@@ -8,8 +8,8 @@ from strandmap import ingest
 from strandmap.adapters import OBJECTS_SQL, links, objects, table
 from strandmap.functions import embed, text
 from strandmap.operators import intervals, relations
-from strandmap.plans import lanes
-from strandmap.sources import sinks
+from strandmap.plans import graph, lanes
+from strandmap.sources import layout, sinks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -88,3 +88,19 @@ def embedded_passages(spark, d):
 def usage_histogram(spark, d):
     e = links(spark, d).where(F.col("from_path").startswith("Customer."))
     return e.groupBy("to_path").agg(F.count("*").alias("n_from")).groupBy("n_from").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {OBJECTS_SQL} SELECT name, path FROM (SELECT name, path, row_number() OVER (PARTITION BY name ORDER BY length(path) - length(replace(path, '.', '')), length(path), path) AS i
+FROM objects WHERE name IN (SELECT p_name FROM part WHERE p_size < 10 UNION ALL SELECT n_name FROM nation)) WHERE i = 1"""
+)
+def path_by_name(spark, d):
+    part = table(spark, d, "part").where("p_size < 10").select(F.col("p_name").alias("name"))
+    return graph.resolve_name(objects(spark, d), part.unionByName(table(spark, d, "nation").select(F.col("n_name").alias("name"))))
+
+
+@query()
+def file_classes(spark, d):
+    rels = ["Catalogs/A.xml", "Catalogs/A/Forms/F/Ext/Form.xml", "Reports/R/Templates/T/Ext/Template.xml", "Documents/D/Ext/Help/ru.html", "CommonModules/M/Ext/Module.bsl", "Configuration.xml", "ConfigDumpInfo.xml", "x.png"]
+    rows = spark.createDataFrame([(r,) for r in rels], "rel string")
+    return rows.select("rel", layout.file_class(F.col("rel")).alias("class"), layout.owner_path(F.col("rel")).alias("path"))
