@@ -28,9 +28,11 @@ def impact(links: DataFrame, start: str, depth: int, down: bool = True) -> DataF
 
     down follows links to a node and goes on from the owner of their source; up
     follows links from a node. Each step joins the whole frontier at once; nodes
-    seen before are never expanded again, so cycles end.
+    seen before are never expanded again, so cycles end. Links are persisted while
+    the steps run.
     """
     spark = links.sparkSession
+    links = links.select("from_path", "to_path", "link_type").persist()
     frontier = spark.createDataFrame([(start,)], "node string")
     seen = frontier
     found = None
@@ -44,12 +46,14 @@ def impact(links: DataFrame, start: str, depth: int, down: bool = True) -> DataF
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+    links.unpersist()  # what is found is kept in the checkpoint folder
     return found.groupBy("path", "link_type").agg(F.min("depth").alias("depth"))
 
 
 def reach(links: DataFrame, start: str, depth: int, callers: bool = False) -> DataFrame:
     """(path, depth) of the nodes reached from ``start``, at their first depth, without it."""
     spark = links.sparkSession
+    links = links.select("from_path", "to_path").persist()
     frontier = spark.createDataFrame([(start,)], "node string")
     seen = frontier.withColumn("depth", F.lit(0))
     key, other = ("to_path", "from_path") if callers else ("from_path", "to_path")
@@ -59,6 +63,7 @@ def reach(links: DataFrame, start: str, depth: int, callers: bool = False) -> Da
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(d)))
+    links.unpersist()
     return seen.where("depth > 0").select(F.col("node").alias("path"), "depth")
 
 

@@ -29,6 +29,7 @@ def query_terms(query: str, expand_from: int | None = None, aliases: dict[str, l
 
 
 def _hits(tokens: Column, term: Term) -> Column:
+    # size of null is null, so texts without the term keep a null here
     test = (lambda t: F.startswith(t, F.lit(term.word))) if term.prefix else (lambda t: t == term.word)
     return F.size(F.filter(tokens, test))
 
@@ -37,12 +38,17 @@ def bm25(docs: DataFrame, terms: list[Term], text_col: str = "text") -> DataFram
     """``docs`` with some term, with raw_score by BM25.
 
     One pass counts documents, lengths and document frequencies of the query's
-    terms; a second scores. Nothing is exploded or shuffled.
+    terms; a second scores. Nothing is exploded or shuffled, and only texts
+    that hold a term as a substring are taken apart into words.
     """
-    tokenised = docs.withColumn("_tokens", text.tokens(F.col(text_col)))
-    counted = tokenised.select("*", F.size("_tokens").alias("_len"), *(_hits(F.col("_tokens"), t).alias(f"_tf{i}") for i, t in enumerate(terms))).drop("_tokens")
-    stats = counted.agg(F.count("*").alias("n"), F.avg("_len").alias("avg"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
+    folded = text.fold(F.col(text_col))
+    likely = reduce(lambda a, b: a | b, (folded.contains(t.word) for t in terms), F.lit(False))
+    split = docs.withColumn("_tokens", F.when(likely, text.tokens(F.col(text_col))))
+    hits = [F.coalesce(_hits(F.col("_tokens"), t), F.lit(0)).alias(f"_tf{i}") for i, t in enumerate(terms)]
+    words = F.regexp_count(F.col(text_col), F.lit(r"[\p{L}\p{N}]+"))
+    stats = split.select(words.alias("_len"), *hits).agg(F.count("*").alias("n"), F.avg("_len").alias("avg"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
     average = float(stats["avg"] or 1.0)
+    counted = split.where(likely).select(*docs.columns, F.size("_tokens").alias("_len"), *hits)
 
     def part(i: int) -> Column:
         tf = F.col(f"_tf{i}").cast("double")
