@@ -80,6 +80,16 @@ def tags_all(spark, d):
     return rollups.with_tags(e, "event_type", "user_id", ["error", "purchase"], all_of=True)
 
 
+@query("SELECT user_id, count(DISTINCT event_type) AS n_tags FROM events WHERE event_type IN ('error', 'purchase') GROUP BY user_id")
+def tags_any_whole(spark, d):
+    return rollups.with_tags(table(spark, d, "events"), "event_type", "user_id", ["error", "purchase"], all_of=False)
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS n_tags FROM events WHERE event_type IN ('error', 'purchase') GROUP BY user_id HAVING count(DISTINCT event_type) = 2")
+def tags_all_whole(spark, d):
+    return rollups.with_tags(table(spark, d, "events"), "event_type", "user_id", ["error", "purchase"], all_of=True)
+
+
 @query("SELECT n_name AS tag, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n FROM nation")
 def tag_usage_count(spark, d):
     used = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
