@@ -73,11 +73,16 @@ def meta_text(*parts: Column) -> Column:
     return F.concat_ws(" | ", *(F.nullif(p, F.lit("")) for p in parts))
 
 
-def windows(text: Column, size: int, overlap: int, most: int) -> Column:
-    """Overlapping windows of a text; the last is the first that reaches its end."""
+def windows(text: Column, size: int, overlap: int, most: int | None = None) -> Column:
+    """Overlapping windows of a text; the last is the first that reaches its end.
+
+    ``most`` cuts a text after so many windows; without it they cover the text. A null text has none.
+    """
     step = size - overlap
-    n = F.least(F.lit(most), F.when(F.length(text) <= size, F.lit(1)).otherwise(F.ceil((F.length(text) - size) / F.lit(step)) + 1)).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * step + 1, F.lit(size)))
+    n = F.when(F.length(text) <= size, F.lit(1)).otherwise(F.ceil((F.length(text) - size) / F.lit(step)) + 1)
+    if most is not None:
+        n = F.least(F.lit(most), n)
+    return F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.substring(text, i * step + 1, F.lit(size)))
 
 
 def colour(s: Column, default: str = "#888888") -> Column:

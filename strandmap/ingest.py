@@ -81,10 +81,13 @@ def living_methods(methods: DataFrame, objects: DataFrame, forgiving: str = r"\.
     return methods.join(orphans.select("path"), "path", "left_anti")
 
 
-def passages(objects: DataFrame, size: int = 1100, overlap: int = 130, most: int = 12) -> DataFrame:
-    """(path, ord, text): the meta line of each object with a window of its body (column body; empty for none)."""
+def passages(objects: DataFrame, size: int = 1100, overlap: int = 130, most: int | None = None) -> DataFrame:
+    """(path, ord, text): the meta line of each object with a window of its body (column body; empty or null for none).
+
+    The windows cover the body; ``most`` cuts it after so many.
+    """
     meta = text.meta_text(F.col("path"), F.col("name"), F.col("synonym"), F.col("comment"))
-    pieces = F.when(F.col("body") == "", F.array(F.lit(""))).otherwise(text.windows(F.col("body"), size, overlap, most))
+    pieces = F.when(F.coalesce("body", F.lit("")) == "", F.array(F.lit(""))).otherwise(text.windows(F.col("body"), size, overlap, most))
     each = objects.select("path", meta.alias("meta"), F.posexplode(pieces).alias("ord", "piece"))
     return each.select("path", "ord", F.concat_ws("\n", "meta", F.nullif(F.trim("piece"), F.lit(""))).alias("text"))
 

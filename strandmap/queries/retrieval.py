@@ -74,19 +74,41 @@ c AS (SELECT doc_id, unnest(range(0, k)) AS ord, text FROM n)"""
 
 @query(_CHUNKS + " SELECT doc_id, ord::INTEGER AS ord, length(substring(text, ord * 970 + 1, 1100))::INTEGER AS n, md5(substring(text, ord * 970 + 1, 1100)) AS h FROM c")
 def chunk_windows(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(text.windows(F.col("text"), 1100, 130, 12)).alias("ord", "piece"))
+    return _windows(spark, d, 12)
+
+
+def _windows(spark, d, most=None):
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode(text.windows(F.col("text"), 1100, 130, most)).alias("ord", "piece"))
     return docs.select("doc_id", "ord", F.length("piece").alias("n"), F.md5("piece").alias("h"))
 
 
 @query(_CHUNKS + ", m AS (SELECT c.*, concat_ws(' | ', 'Doc.' || doc_id, nullif(source, ''), nullif(lang, '')) AS meta FROM c JOIN documents USING (doc_id, text)) SELECT doc_id || CASE WHEN ord = 0 THEN '' ELSE '#' || ord END AS id, md5(meta || chr(10) || substring(text, ord * 970 + 1, 1100)) AS h FROM m")
 def passages(spark, d):
+    return _passages(spark, d, 12)
+
+
+def _passages(spark, d, most=None):
     docs = table(spark, d, "documents")
     meta = text.meta_text(F.concat(F.lit("Doc."), F.col("doc_id").cast("string")), F.col("source"), F.col("lang"))
-    each = docs.select("doc_id", meta.alias("meta"), F.posexplode(text.windows(F.col("text"), 1100, 130, 12)).alias("ord", "piece"))
+    each = docs.select("doc_id", meta.alias("meta"), F.posexplode(text.windows(F.col("text"), 1100, 130, most)).alias("ord", "piece"))
     suffix = F.when(F.col("ord") == 0, "").otherwise(F.concat(F.lit("#"), F.col("ord").cast("string")))
     return each.select(F.concat(F.col("doc_id").cast("string"), suffix).alias("id"), F.md5(F.concat_ws("\n", "meta", "piece")).alias("h"))
 
 
+_COVER = """WITH n AS (SELECT doc_id, source, lang, text, CASE WHEN length(text) <= 1100 THEN 1 ELSE ceil((length(text) - 1100) / 970.0)::BIGINT + 1 END AS k FROM documents),
+c AS (SELECT doc_id, source, lang, text, unnest(range(0, k)) AS ord FROM n)"""
+
+
+@query(_COVER + " SELECT doc_id, ord::INTEGER AS ord, length(substring(text, ord * 970 + 1, 1100))::INTEGER AS n, md5(substring(text, ord * 970 + 1, 1100)) AS h FROM c")
+def chunk_windows_whole(spark, d):
+    return _windows(spark, d)
+
+
+@query(_COVER + " SELECT doc_id || CASE WHEN ord = 0 THEN '' ELSE '#' || ord END AS id, md5(concat_ws(' | ', 'Doc.' || doc_id, nullif(source, ''), nullif(lang, '')) || chr(10) || substring(text, ord * 970 + 1, 1100)) AS h FROM c")
+def passages_whole(spark, d):
+    return _passages(spark, d)
+
+
 def _bm25_sql(words: list[str], prefix: tuple[str, ...] = ()) -> str:
     tf = [f"len(list_filter(t, lambda x: {'starts_with(x, ' + repr(w) + ')' if w in prefix else 'x = ' + repr(w)}))" for w in words]
     cols = ", ".join(f"{e}::DOUBLE AS tf{i}" for i, e in enumerate(tf))
