@@ -41,14 +41,99 @@ _NUMBERS = re.compile(
     r"|(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w-]))"
 )
 _TITLE = "|".join(TITLES)
-_NAMES = re.compile(rf"(?<!\w)({_TITLE})\.? ([^\W\d_]+(?:[-'’][^\W\d_]+)*)(?: ([^\W\d_]+(?:[-'’][^\W\d_]+)*))?")
+_WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+_PART = re.compile(r"[^\W\d_]+")
+_TITLED = re.compile(rf"(?<!\w)({_TITLE})(?!\w)")
+# What may stand between a title or an initial and the next word, and between two words: no end of a paragraph, one line break at most.
+_AFTER_TITLE, _AFTER_WORD = re.compile(r"\.\s*|\s+"), re.compile(r"[^\S\r\n]*(?:\r?\n)?[^\S\r\n]*")
+# Words in lower case inside a name, which stay.
+_PARTICLES = frozenset("van von der den de del della di da dos du la le ten ter zu zum zur bin ibn al el y".split())
 _TITLE_BYTES = [t.encode() for t in TITLES]
 _NAME_KINDS = ("given_m", "given_f", "given_n", "surname")
 TYPES = ("email", "secret", "ip", "phone", "ssn", "card", *_NAME_KINDS)
 
 
 def _script(word: str) -> str:
-    return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "latin"
+    if any("Ѐ" <= c <= "ӿ" for c in word):
+        return "cyrillic"
+    return "greek" if any("Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿" for c in word) else "latin"
+
+
+@lru_cache(maxsize=1)
+def _lower_words(text: str) -> frozenset[str]:
+    return frozenset(w for w in _WORD.findall(text) if w.islower())
+
+
+def _run(text: str, at: int) -> tuple[str, list[tuple[int, int]], int]:
+    """(gender or "", (begin, end) of the words, end) of the name behind a title that ends at ``at``.
+
+    The name is a run of words with a capital, initials and particles between
+    them. More titles may come first. A word that follows a word over a line
+    break belongs to the name unless the text has it in lower case too.
+    """
+    gender, words, end, gap = "", [], at, _AFTER_TITLE.match(text, at)
+    while gap:
+        m = _WORD.match(text, gap.end())
+        while m and m.group() in _PARTICLES:
+            space = _AFTER_WORD.match(text, m.end())
+            m = _WORD.match(text, space.end()) if space.end() > m.end() else None
+        if not m or not any(c.isupper() for c in m.group()):
+            break
+        word, a, b = m.group(), m.start(), m.end()
+        if word in TITLES:
+            if words:
+                break
+            gender = gender or TITLES[word].replace("n", "")
+            gap, end = _AFTER_TITLE.match(text, b), b
+            continue
+        if words and re.search(r"[\r\n]", text[end:a]) and len(word) > 1 and words[-1][1] - words[-1][0] > 1 and word.lower() in _lower_words(text):
+            break
+        if words and text[b : b + 1] == "@":
+            break
+        owner = len(word) > 3 and word[-2] in "'’" and word[-1] in "sS"
+        b -= 2 * owner
+        words.append((a, b))
+        end = b
+        if owner:
+            break
+        if b - a == 1 and text[b : b + 1] == ".":
+            gap = _AFTER_TITLE.match(text, b)
+        else:
+            space = _AFTER_WORD.match(text, b)
+            gap = space if space.end() > b else None
+    return gender, words, end
+
+
+def _names(text: str) -> list[tuple[int, int, str, str]]:
+    """Names after titles, and the same words in the rest of the text."""
+    out, known, end = [], {}, 0
+    for m in _TITLED.finditer(text):
+        if m.start() < end:
+            continue
+        more, words, end = _run(text, m.end())
+        gender = TITLES[m.group(1)]
+        gender = more or "n" if gender == "n" else gender
+        for i, (a, b) in enumerate(words):
+            kind = "surname" if i == len(words) - 1 else f"given_{gender}"
+            word = text[a:b]
+            entity = (kind, f"{gender if _script(word) == 'cyrillic' else 'n'}:{word.lower()}")
+            out.append((a, b, *entity))
+            if b - a > 1:
+                for form in (word, word.upper(), word.title(), word.capitalize()):
+                    known.setdefault(form, entity)
+    if known:
+        titled = {a for a, *_ in out}
+        for m in _WORD.finditer(text):
+            at, word = m.start(), m.group()
+            # The word itself, without its 's, or its parts.
+            for part in (word, word[:-2]) if word[-2:-1] in ("'", "’") else (word,):
+                if part in known:
+                    spans = [(at, at + len(part), *known[part])]
+                    break
+            else:
+                spans = [(at + p.start(), at + p.end(), *known[p.group()]) for p in _PART.finditer(word) if p.group() in known] if len(word) > 2 else []
+            out += [e for e in spans if e[0] not in titled]
+    return out
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
@@ -66,16 +151,9 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         else:
             canonical = re.sub(r"[^0-9]", "", value)
         out.append((m.start(), m.end(), kind, canonical))
-    for m in _NAMES.finditer(text):
-        words = [(g, m.start(g), m.end(g)) for g in (2, 3) if m.group(g) and m.group(g)[0].isupper()]
-        if not words or words[0][0] != 2:
-            continue
-        gender = TITLES[m.group(1)]
-        for i, (g, a, b) in enumerate(words):
-            kind = "surname" if i == len(words) - 1 else f"given_{gender}"
-            canonical = f"{gender if _script(m.group(g)) == 'cyrillic' else 'n'}:{m.group(g).lower()}"
-            out.append((a, b, kind, canonical))
-    out.sort()
+    out += _names(text)
+    # Of those that begin at one place the longest counts: an address may begin with a name.
+    out.sort(key=lambda e: (e[0], -e[1]))
     kept, end = [], 0
     for e in out:
         if e[0] >= end:
@@ -114,9 +192,9 @@ def _digits(s: _Stream, n: int) -> str:
 
 
 # Syllables and endings of made-up names.
-_SYLLABLES = {"latin": ["ba", "be", "da", "do", "el", "fa", "ga", "hel", "ja", "ka", "ke", "la", "lo", "ma", "mi", "na", "no", "pe", "ra", "ro", "sa", "se", "ta", "ve"], "cyrillic": ["ба", "бе", "ва", "во", "га", "да", "до", "за", "ка", "ко", "ла", "ле", "ма", "ми", "на", "но", "па", "ра", "ро", "са", "се", "та", "ти", "фе"]}
-_ENDINGS = {("latin", "m"): ["n", "s", "rt", "k"], ("latin", "f"): ["na", "la", "ria", "ta"], ("latin", "n"): ["n", "r", "l", "s"], ("cyrillic", "m"): ["н", "р", "с", "й"], ("cyrillic", "f"): ["на", "ла", "рия", "та"], ("cyrillic", "n"): ["н", "р", "л", "с"]}
-_SURNAME_ENDINGS = {("latin", "n"): ["son", "berg", "well", "ton"], ("cyrillic", "m"): ["нов", "лев", "рин", "ский"], ("cyrillic", "f"): ["нова", "лева", "рина", "ская"], ("cyrillic", "n"): ["ко", "ук", "юк", "енко"]}
+_SYLLABLES = {"latin": ["ba", "be", "da", "do", "el", "fa", "ga", "hel", "ja", "ka", "ke", "la", "lo", "ma", "mi", "na", "no", "pe", "ra", "ro", "sa", "se", "ta", "ve"], "cyrillic": ["ба", "бе", "ва", "во", "га", "да", "до", "за", "ка", "ко", "ла", "ле", "ма", "ми", "на", "но", "па", "ра", "ро", "са", "се", "та", "ти", "фе"], "greek": ["βα", "γα", "δα", "δο", "ζα", "θε", "κα", "κο", "λα", "λε", "μα", "μι", "να", "νο", "πα", "ρα", "ρο", "σα", "σε", "τα", "τι", "φα", "χα", "λο"]}
+_ENDINGS = {("latin", "m"): ["n", "s", "rt", "k"], ("latin", "f"): ["na", "la", "ria", "ta"], ("latin", "n"): ["n", "r", "l", "s"], ("cyrillic", "m"): ["н", "р", "с", "й"], ("cyrillic", "f"): ["на", "ла", "рия", "та"], ("cyrillic", "n"): ["н", "р", "л", "с"], ("greek", "m"): ["νος", "ρης", "κος", "λης"], ("greek", "f"): ["να", "λα", "ρια", "τα"], ("greek", "n"): ["ν", "ρ", "ξ", "ς"]}
+_SURNAME_ENDINGS = {("latin", "n"): ["son", "berg", "well", "ton"], ("cyrillic", "m"): ["нов", "лев", "рин", "ский"], ("cyrillic", "f"): ["нова", "лева", "рина", "ская"], ("cyrillic", "n"): ["ко", "ук", "юк", "енко"], ("greek", "n"): ["ίδης", "άκης", "πουλος", "άτος"]}
 
 
 @lru_cache(maxsize=200_000)
@@ -166,6 +244,8 @@ def render(kind: str, written: str, canonical: str) -> str:
         return canonical
     if kind in _NAME_KINDS:
         word = canonical.partition(":")[2]
+        if len(written) == 1:  # an initial stays one, and is another letter
+            return next(c for c in word if c != written.lower()).upper()
         return word.upper() if len(written) > 1 and written.isupper() else word.capitalize()
     digits = iter(canonical.rpartition("|")[2])
     out = "".join(next(digits, "0") if c.isdigit() else c for c in written)

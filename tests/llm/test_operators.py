@@ -444,6 +444,34 @@ def test_later_draws_reach_the_text_both_ways(spark, monkeypatch):
     assert a == b and len({x for t in a.values() for x in t.split(" and ")}) == len(values)
 
 
+def surrogates_of(text, key=b"key"):
+    out, at = [], 0
+    for a, b, kind, canonical in pii.find(text):
+        out += [text[at:a], pii.render(kind, text[a:b], pii.surrogate(key, kind, canonical))]
+        at = b
+    return "".join(out) + text[at:]
+
+
+def test_names_are_found_whole():
+    for text in ["Dr Anna Maria Schmidt came", "Mr J. Smith left", "Mr. J. R. R. Smith left", "Mr J.R.R. Smith left", "Mr  Smith; Mrs\nSchmidt", "Mr Anna\nSchmidt", "Herr Dr von Schmidt", "Mr Ludwig van Smith", "Mr Smith's house", "Dr Νίκος Παπαδόπουλος"]:
+        new = surrogates_of(text)
+        assert not re.search("Anna|Maria|Schmidt|Smith|Ludwig|Νίκος|Παπαδόπουλος|J\\.|R\\.", new), new
+        strip = lambda x: re.sub(r"(?!Mr|Dr|Herr|Mrs)\b[A-ZΑ-Ω]\w*", "N", x)
+        assert strip(new) == strip(text)
+    assert re.fullmatch("Dr [Α-Ω][α-ωάί]+ [Α-Ω][α-ωάί]+", surrogates_of("Dr Νίκος Παπαδόπουλος"))
+    for text in ["Dr. who", "Miss the bus", "Mr"]:
+        assert surrogates_of(text) == text
+    assert surrogates_of("Mr Smith\nThe next line, the end").endswith("\nThe next line, the end")
+
+
+def test_untitled_repeats_share_the_surrogate(spark):
+    text = "Smith? Mr John Smith came. John and Smith left; SMITH, Smith's, Miller-Smith, smith, Smithson; Smith@x.org. Mr Smith Smith@x.org"
+    new = pii.replace(docs_of(spark, [(0, text), (1, "Smith alone")]), b"key").collect()
+    new = {r.doc_id: r.text for r in new}
+    a, given, b, c, d, e, f, g, h = re.fullmatch(r"(\w+)\? Mr (\w+) (\w+) came\. \2 and (\w+) left; (\w+), (\w+)'s, Miller-(\w+), smith, Smithson; (\w+@\w\.org)\. Mr (\w+) \8", new[0]).groups()
+    assert len({a, b, c, d.capitalize(), e, f, h}) == 1 and d.isupper() and a != "Smith" and given != "John" and new[1] == "Smith alone"
+
+
 # The kernels
 
 
