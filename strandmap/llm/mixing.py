@@ -118,7 +118,7 @@ def round_rates(rates: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _round_piece(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+    pdf = pdf.sort_values(["size", "no_id", "doc_id"], ascending=[False, True, True], kind="stable")
     return pdf.assign(copies=round_rates(pdf["rate"].to_numpy(), pdf["size"].to_numpy())).drop(columns=["key", "piece"])
 
 
@@ -151,12 +151,37 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, cap: float =
     plan = maybe_broadcast(stored(plan, "mix-plan"), 100_000)
     tilted = rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     tilted = tilted.withColumn("piece", F.pmod(F.xxhash64("doc_id", "size"), F.col("pieces"))).drop("pieces")
-    schema = "doc_id long, source string, size long, source_size long, target double, rate double, copies long"
-    out = tilted.select("doc_id", "source", "size", "key", "piece", "source_size", "target", "rate").groupBy("key", "piece").applyInPandas(_round_piece, schema)
+    # pandas would make long ids beside nulls floats.
+    tilted = tilted.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("long")))
+    schema = "doc_id long, no_id boolean, source string, size long, source_size long, target double, rate double, copies long"
+    out = tilted.select("doc_id", "no_id", "source", "size", "key", "piece", "source_size", "target", "rate").groupBy("key", "piece").applyInPandas(_round_piece, schema)
+    out = out.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as ``mixed`` (of the same doc_ids) has copies of them."""
-    copies = mixed.groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    return docs.join(copies, "doc_id").withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("_copies") > 0, F.col("_copies"))))).select(*docs.columns)
+def _row_keys(doc_id: F.Column, source: F.Column, size: F.Column) -> dict[str, F.Column]:
+    """What a row is known by in a mix, without nulls, so that nulls are equal to each other."""
+    return {
+        "_no_id": doc_id.isNull(),
+        "_id": F.coalesce(doc_id.cast("long"), F.lit(0).cast("long")),
+        "_no_source": source.isNull(),
+        "_source": F.coalesce(source.cast("string"), F.lit("")),
+        "_size": size,
+    }
+
+
+def repeat(docs: DataFrame, mixed: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` as often as ``mixed``, their mix, has copies of them.
+
+    Every row takes its own copies: rows are known by doc_id, source and size,
+    nulls included. Rows alike in all three may differ by one copy in the mix;
+    then those first by a hash of the row take the copy more, so the words
+    taken are those of the mix.
+    """
+    keys = _row_keys(F.col("doc_id"), F.col("source"), F.col("size"))
+    plan = mixed.groupBy(*(c.alias(k) for k, c in keys.items())).agg(F.min("copies").alias("_low"), (F.sum("copies") - F.min("copies") * F.count("*")).alias("_more"))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.withColumns(_row_keys(F.col("doc_id").cast("long"), F.col("source"), sizes(docs, text)) | {"_hash": F.xxhash64(*hashed)}).join(plan, list(keys))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_hash"))
+    rows = rows.withColumn("_copies", F.col("_low") + (nth <= F.col("_more")).cast("long"))
+    return rows.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("_copies") > 0, F.col("_copies"))))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -312,6 +312,29 @@ def test_balance_of_two_constraints(spark):
             assert abs(sum(r["size"] * r.rate for r in rows if r[name] == key) - want) < 0.01
 
 
+def test_repeat_gives_each_row_its_own_copies(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(600):
+        doc_id = None if i % 3 == 0 else i % 40 if i % 3 == 1 else 2**60 + i
+        rows.append((doc_id, " ".join(["w"] * rng.randrange(0, 30)) or None, "en", rng.choice(["a", "b", "c", None]), i))
+    df = spark.createDataFrame(rows, DOCS)
+    mixed = mixing.mix(df, [5, 2, 1])
+    want, taken = {}, {}
+    for r in mixed.collect():
+        key = (r.doc_id, r.source, r.size)
+        want.setdefault(key, []).append(r.copies)
+    out = mixing.repeat(df, mixed)
+    assert out.columns == df.columns
+    for r in out.collect():
+        key = (r.doc_id, r.source, len((r.text or "").split()))
+        taken.setdefault(key, {}).setdefault(r.n_chars, []).append(1)
+    assert len({k for k in want if k[0] is None}) > 20 and sum(map(len, want.values())) == 600 and any(len(set(c)) > 1 for c in want.values())
+    for key, copies in want.items():
+        got = sorted(map(len, taken.get(key, {}).values()))
+        assert got == sorted(c for c in copies if c), key
+
+
 # 8: licenses
 
 
