@@ -118,6 +118,34 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if fits(df, rows) else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Rows of one key that a join by shuffle may bring together, and crowded keys that are broadcast at most.
+CROWD, MOST_CROWDS = 1024, 500_000
+
+
+def meet(rows: DataFrame, found: DataFrame, key: list[str], count: str, most: int = MOST_CROWDS) -> DataFrame:
+    """Inner join of ``rows`` with ``found``, which has one row a key and in ``count`` the number of rows that have it.
+
+    Keys of more than ``CROWD`` rows are broadcast, so a crowd stays where it is
+    instead of meeting in one task. Of n rows no more than n / CROWD keys can be
+    crowded; where that passes ``most``, the bound on a crowd rises to n / most.
+    """
+    sums = found.agg(F.sum(count).alias("n"), F.max(count).alias("top")).first()
+    crowd = max(CROWD, (sums.n or 0) // most)
+    if (sums.top or 0) <= crowd:
+        return rows.join(found, key)
+    hot, cold = found.where(F.col(count) > crowd), found.where(F.col(count) <= crowd)
+    apart = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(apart)
+
+
 def smallest_hashes(df: DataFrame, n: int, key: str, text: str, more: dict | None = None) -> DataFrame:
     """text (null as empty) and ``more`` of about ``n`` rows: those whose keys have the n smallest hashes.
 

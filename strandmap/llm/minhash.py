@@ -10,13 +10,15 @@ large sets stop after a few turns.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmap.llm import textkernel as K
-from strandmap.llm.common import lean, maybe_broadcast, ship, stored, text_slices
+from strandmap.llm.common import CROWD, free_name, lean, maybe_broadcast, meet, ship, stored, text_slices
 from strandmap.llm.graph import UnionFind, connected_components
 from strandmap.llm.vectors import runs
 
@@ -28,8 +30,8 @@ PLACES, BAND = 128, 4
 #: A candidate of a crowded bucket is verified if its estimate is this high:
 #: five and a half standard deviations below 0.8.
 ESTIMATE = 0.6
-#: Rows of a bucket that one tile holds on a side.
-TILE = 512
+#: Rows of a bucket that one tile holds on a side, and elements of their sets.
+TILE, TILE_ELEMENTS = 512, 4_000_000
 #: Ids that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 _SLICE = 1_000_000
@@ -83,7 +85,7 @@ def _features(width: int):
     def run(batches):
         for batch in batches:
             for a, b, sets in _sets(batch, width):
-                keys = [K.mix(s).sum(dtype=U64).tobytes() + np.bitwise_xor.reduce(K.mix(s ^ U64(99)), initial=U64(0)).tobytes() for s in sets]
+                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 signatures = short_signatures(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -99,7 +101,7 @@ def _features(width: int):
 
 
 def signatures(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits that stand for the set) and signature of each row."""
+    """doc_id, n_shingles, set_key (a cryptographic digest of the whole set, 128 bits) and signature of each row."""
     ship(docs.sparkSession)
     schema = "doc_id long, n_shingles long, set_key binary, signature binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_features(width)), schema)
@@ -143,44 +145,62 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(maybe_broadcast(wanted, BROADCAST_IDS), "doc_id", "left_semi")
 
 
+def _dealt(pairs: DataFrame, payload: DataFrame) -> DataFrame:
+    """``payload`` (a, one more) of each a of ``pairs``, once for each of its pieces, so that no crowd of pairs meets it in one task."""
+    return pairs.select("a", "piece").distinct().join(payload, "a")
+
+
+def in_pieces(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with a piece: pairs of one a are cut into pieces of about ``CROWD``."""
+    counts = stored(pairs.groupBy("a").agg(F.count("*").alias("m")), "pair-counts")
+    pieces = F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / CROWD)).cast("long")
+    return meet(pairs, counts, ["a"], "m").select("a", "b", pieces.alias("piece"))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full shingle sets are similar enough."""
+    """The pairs (a, b, piece) of doc_ids whose full shingle sets are similar enough, as (a, b)."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = _texts_of(docs, wanted)
-    sets = stored(texts.mapInArrow(lean(_full_sets(width)), "doc_id long, elements binary").dropDuplicates(["doc_id"]), "sets")
-    joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    sets = stored(full_sets(docs, wanted, width), "sets")
+    joined = pairs.join(sets.toDF("b", "y"), "b").join(_dealt(pairs, sets.toDF("a", "x")), ["a", "piece"])
     return joined.select("a", "b", "x", "y").mapInArrow(lean(_verified(percent)), "a long, b long")
 
 
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(doc_id, elements): the whole sorted shingle sets of the wanted doc_ids, 64 bits a shingle."""
+    return _texts_of(docs, wanted).mapInArrow(lean(_full_sets(width)), "doc_id long, elements binary").dropDuplicates(["doc_id"])
+
+
 def _alike(estimate: float):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("x", "y"))
                 keep = (x == y).sum(axis=1) >= estimate * x.shape[1]
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
+                yield batch.select(["a", "b", "piece"]).filter(pa.array(keep))
 
     return run
 
 
 def alike(pairs: DataFrame, classes: DataFrame, estimate: float) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in a share of ``estimate`` of their places or more."""
+    """The pairs (a, b, piece) whose signatures agree in a share of ``estimate`` of their places or more."""
     short = classes.select("a", "signature")
-    joined = pairs.join(short.toDF("a", "x"), "a").join(short.toDF("b", "y"), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(lean(_alike(estimate)), "a long, b long")
+    joined = pairs.join(short.toDF("b", "y"), "b").join(_dealt(pairs, short.toDF("a", "x")), ["a", "piece"])
+    return joined.select("a", "b", "piece", "x", "y").mapInArrow(lean(_alike(estimate)), "a long, b long, piece long")
 
 
-def _tiles(crowded: DataFrame, tile: int) -> DataFrame:
-    """Deal crowded buckets over tiles of bounded size that cover every pair of different components.
+def _tiles(labelled: DataFrame) -> DataFrame:
+    """Deal buckets of several components over tiles of bounded size that cover every pair of different components.
 
     A bucket's most frequent component L needs no comparison with itself: its
     pieces meet only the pieces of the rest R, and these meet each other. So a
     bucket of one large component and a few strays stays linear in its size.
+    Buckets of two rows are left out: the star has tested their only pair.
     """
-    counts = crowded.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    main = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
-    main = main.select("bucket", "main", F.ceil(F.col("n_main") / tile).alias("l_pieces"), F.ceil((F.col("n_all") - F.col("n_main")) / tile).alias("r_pieces"))
-    rows = crowded.join(main, "bucket").withColumn("in_main", F.col("component") == F.col("main"))
+    counts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.sum("n").alias("e"))
+    main = counts.groupBy("bucket").agg(F.max_by(F.struct("component", "k", "e"), F.struct("k", -F.col("component"))).alias("main"), F.sum("k").alias("m"), F.sum("e").alias("e"), F.count("*").alias("components"))
+    pieces = lambda k, e: F.greatest(F.ceil(k / TILE), F.ceil(e / TILE_ELEMENTS))
+    main = main.where("components > 1 and m > 2").select("bucket", "m", F.col("main.component").alias("main"), pieces(F.col("main.k"), F.col("main.e")).alias("l_pieces"), pieces(F.col("m") - F.col("main.k"), F.col("e") - F.col("main.e")).alias("r_pieces"))
+    rows = meet(labelled, stored(main, "crowded"), ["bucket"], "m").withColumn("in_main", F.col("component") == F.col("main"))
     piece = F.pmod(F.xxhash64("a"), F.when(F.col("in_main"), F.col("l_pieces")).otherwise(F.col("r_pieces")))
     rows = rows.withColumn("piece", piece.cast("long"))
     last_l, last_r = (F.col(c).cast("long") - 1 for c in ("l_pieces", "r_pieces"))
@@ -196,12 +216,10 @@ def _tiles(crowded: DataFrame, tile: int) -> DataFrame:
 
 
 def _tile_links(percent: int, estimate: float):
-    """Links between different components of a tile, tested on shortened elements.
+    """Links between different components of a tile, tested on full sets.
 
-    A pair is tested in the first band that it shares only. Elements of 32 bits
-    can make an intersection seem larger but never smaller, so no link is lost;
-    what is found is verified on full sets afterwards. Components that a found
-    link joins need no further pair in the tile.
+    A pair is tested in the first band that it shares only. A link found is
+    true, so the components that it joins need no further pair in the tile.
     """
 
     def links_of(rows: pa.Table):
@@ -209,7 +227,7 @@ def _tile_links(percent: int, estimate: float):
         ids, comps, sizes = (rows[c].to_numpy() for c in ("a", "component", "n"))
         band = int(rows["band"][0].as_py())
         signature = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint16).reshape(len(ids), -1)
-        elements = [np.frombuffer(v, np.uint32) for v in rows["elements"].to_pylist()]
+        elements = [np.frombuffer(v, U64) for v in rows["elements"].to_pylist()]
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if rows["x"][0] == rows["y"][0]:
             right = left
@@ -241,16 +259,6 @@ def _tile_links(percent: int, estimate: float):
     return run
 
 
-def _short_sets(width: int):
-    def run(batches):
-        for batch in batches:
-            for a, b, sets in _sets(batch, width):
-                short = [np.unique((s >> U64(32)).astype(np.uint32)).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(short, pa.binary())], names=["doc_id", "elements"])
-
-    return run
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -269,38 +277,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     tiles of bounded size that test pairs in place. No bucket has a cap.
     """
     feats = stored(signatures(docs, width), "minhash")
-    classes = feats.where("n_shingles > 0 and doc_id is not null").groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("a"), F.first("signature").alias("signature"))
+    full = F.col("n_shingles").isNotNull() & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    classes = feats.where(full).groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("a"), F.first("signature").alias("signature"), F.count("*").alias("m"))
     classes = stored(classes, "classes")
     band = F.transform(F.sequence(F.lit(0), F.lit(PLACES // BAND - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring("signature", i * 2 * BAND + 1, F.lit(2 * BAND))).alias("bucket")))
     members = classes.select("a", F.col("n_shingles").alias("n"), F.explode(band).alias("m")).select("a", "n", "m.band", "m.bucket")
-    shared = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    members = stored(members.join(shared, "bucket", "left_semi"), "buckets")
-    centres = members.groupBy("bucket").agg(F.min(F.struct("a", "n")).alias("c"))
-    centres = centres.select("bucket", F.col("c.a").alias("centre"), F.col("c.n").alias("centre_n"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("m"), F.min(F.struct("a", "n")).alias("c")).where("m > 1")
+    shared = stored(shared.select("bucket", "m", F.col("c.a").alias("centre"), F.col("c.n").alias("centre_n")), "shared")
+    members = stored(meet(members, shared, ["bucket"], "m").drop("m"), "buckets")
     close = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * percent
-    star = members.join(centres, "bucket").where(F.col("a") != F.col("centre")).where(close)
-    star = star.select(F.col("centre").alias("a"), F.col("a").alias("b")).distinct()
-    star = stored(alike(star, classes, ESTIMATE), "star")
+    star = members.where(F.col("a") != F.col("centre")).where(close).select(F.col("centre").alias("a"), F.col("a").alias("b")).distinct()
+    star = stored(in_pieces(stored(star, "star-pairs")), "star")
+    star = stored(alike(star, classes, ESTIMATE), "star-alike")
     links = stored(verify(star, docs, width, percent), "links")
     first = stored(connected_components(links), "components")
 
     # Buckets that hold members of several components need the pairs between them.
     labelled = members.join(first.withColumnRenamed("node", "a"), "a", "left").select("a", "n", "band", "bucket", F.coalesce("component", "a").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low < high and m > 2")
-    crowded = stored(labelled.join(mixed.select("bucket"), "bucket", "left_semi"), "crowded")
-    wanted = crowded.select("a").distinct()
-    texts = _texts_of(docs, wanted.toDF("doc_id"))
-    short = texts.mapInArrow(lean(_short_sets(width)), "doc_id long, elements binary").dropDuplicates(["doc_id"]).toDF("a", "elements")
-    payload = short.join(classes.select("a", "signature"), "a")
-    tiles = _tiles(crowded, TILE).join(payload, "a").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    more = stored(tiles.mapInArrow(lean(_tile_links(percent, ESTIMATE)), "a long, b long").distinct(), "more")
-    links = links.unionByName(stored(verify(more, docs, width, percent), "more-links"))
-    groups = connected_components(links).withColumnRenamed("node", "a")
-
-    per_class = classes.select("set_key", "n_shingles", "a").join(groups, "a", "left").select("set_key", "n_shingles", F.coalesce("component", "a").alias("class_component"))
-    out = feats.select("doc_id", "n_shingles", "set_key").join(per_class, ["set_key", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    tiles = stored(_tiles(labelled), "tiles")
+    sets = full_sets(docs, tiles.select(F.col("a").alias("doc_id")).distinct(), width).toDF("a", "elements")
+    payload = sets.join(classes.select("a", "signature"), "a")
+    dealt = tiles.join(payload, "a").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    more = stored(dealt.mapInArrow(lean(_tile_links(percent, ESTIMATE)), "a long, b long").distinct(), "more")
+    groups = connected_components(links.unionByName(more)).withColumnRenamed("node", "a")
+
+    per_class = stored(classes.select("set_key", "n_shingles", "m", "a").join(groups, "a", "left").select("set_key", "n_shingles", "m", F.coalesce("component", "a").alias("component_id")), "class-components")
+    # Documents with an empty set, and those without an id, stand alone and meet nothing.
+    joined = meet(feats.where(full).select("doc_id", "n_shingles", "set_key"), per_class, ["set_key", "n_shingles"], "m").select("doc_id", "n_shingles", "component_id")
+    alone = feats.where(~full).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return joined.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -309,6 +314,7 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     The ids that go are broadcast up to ``BROADCAST_IDS`` of them. Rows with a
     null doc_id stay, as do all rows of a doc_id that stays.
     """
-    gone = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    mark = free_name(docs, "_gone")
+    gone = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias(mark)).distinct()
     gone = maybe_broadcast(stored(gone, "gone"), BROADCAST_IDS)
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(mark), "left_anti")

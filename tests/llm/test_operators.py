@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandmap.llm import ann, bpe, embedding_join, graph, licenses, minhash, mixing, pii, quality, queries, textkernel, toxicity, warc
+from strandmap.llm import ann, bpe, common, embedding_join, graph, licenses, minhash, mixing, pii, quality, queries, textkernel, toxicity, warc
 from strandmap.llm.common import shared_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -154,6 +154,50 @@ def test_minhash_repeated_and_null_ids(spark):
     assert minhash.keep_first(docs_of(spark, [(1, "x y z w v"), (None, "x y z w v"), (2, "x y z w v")])).count() == 2
 
 
+@pytest.mark.parametrize("most", [500_000, 3])
+def test_minhash_with_crowded_keys(spark, monkeypatch, most):
+    for module in (common, minhash):
+        monkeypatch.setattr(module, "CROWD", 4)
+    monkeypatch.setattr(minhash, "TILE", 4)
+    monkeypatch.setattr(minhash, "TILE_ELEMENTS", 300)
+    meet = common.meet
+    monkeypatch.setattr(minhash, "meet", lambda rows, found, key, count: meet(rows, found, key, count, most))
+    texts = [*planted(60, seed=8), *[" ".join(f"q{i}" for i in range(60))] * 30, *[None, "", " "] * 9]
+    out = {r.doc_id: r for r in minhash.near_duplicates(docs_of(spark, list(enumerate(texts))), width=4).collect()}
+    sizes, comp = brute_near(list(enumerate(texts)), 4)
+    assert {i: (r.n_shingles, r.component_id) for i, r in out.items()} == {i: (sizes[i], comp[i]) for i in comp}
+    assert all(r.kept == (i == r.component_id) for i, r in out.items())
+
+
+def test_tiles_compare_whole_elements():
+    """Elements with equal upper halves stay apart, and a near miss doesn't hide the true links of its components."""
+    rng = np.random.default_rng(3)
+    high = rng.integers(0, 2**31, 40, dtype=np.uint64) << np.uint64(32)
+    base = np.sort(np.concatenate([high[:20] | np.uint64(1), high[:20] | np.uint64(2), high[20:] | np.uint64(5)]))  # 60 elements, 40 upper halves
+    near = np.sort(np.concatenate([base[:54], high[:6] | np.uint64(9)]))  # 54 of 66 are shared: more than 80 %
+    far = np.sort(np.concatenate([base[:53], high[:7] | np.uint64(9)]))  # 53 of 67: less, though no upper half is new
+    for other, linked in ((near, True), (far, False)):
+        assert (100 * minhash.common(base, other) >= 80 * len(np.union1d(base, other))) == linked
+        rows = [(base, 1), (other, 2)]
+        batch = pa.RecordBatch.from_pydict({"bucket": pa.array([7, 7]), "band": pa.array([0, 0], pa.int32()), "x": pa.array([0, 0]), "y": pa.array([0, 0]), "side": pa.array([0, 0], pa.int32()), "a": pa.array([1, 2]), "component": pa.array([1, 2]), "n": pa.array([60, 60]), "elements": pa.array([r.tobytes() for r, _ in rows]), "signature": pa.array([b"s" * 256] * 2)})
+        assert sum(b.num_rows for b in minhash._tile_links(80, 0.6)([batch])) == linked
+
+
+def test_meet_equals_a_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "CROWD", 3)
+    rows = spark.createDataFrame([(i % 7 if i < 40 else 100 + i, i) for i in range(60)] + [(None, -1)], "k long, v long")
+    found = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("m"))
+    want = sorted(map(tuple, rows.join(found, "k").collect()))
+    for most in (500_000, 8, 1):
+        assert sorted(map(tuple, common.meet(rows, found, ["k"], "m", most).collect())) == want
+    assert common.meet(rows.limit(0), found.limit(0), ["k"], "m").count() == 0
+
+
+def test_keep_first_with_clashing_columns(spark):
+    df = docs_of(spark, [(1, "x y z w v"), (2, "x y z w v"), (3, None)]).withColumn("_gone", F.lit(1)).withColumn("__gone", F.lit(2))
+    assert sorted(r.doc_id for r in minhash.keep_first(df).collect()) == [1, 3] and minhash.keep_first(df).columns == df.columns
+
+
 def test_superminhash_estimates_with_low_variance():
     rng = np.random.default_rng(4)
     errors = []
