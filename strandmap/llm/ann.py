@@ -4,8 +4,8 @@ A bounded sample gives a neighbour graph, the graph is cut into balanced parts
 with few cut edges, and a small network learns which parts hold a vector and
 its neighbours. The network then places every row into its most probable part
 and sends each query to its most probable parts, whose rows are reranked by
-exact distance. How many parts a query visits is measured on queries held out
-of the sample, so that the wanted recall is met.
+exact distance. How many parts a query visits is measured on queries that were
+set aside before anything was fitted, so that the wanted recall is met.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmap.llm.common import lean, ship, stored
-from strandmap.llm.vectors import matrix, runs, usable
+from strandmap.llm.vectors import matrix, runs, usable, width_of
 
-#: Rows that fit the index, whatever the size of the table; rows of a part on average; parts at most.
-FIT_ROWS, PART_ROWS, MOST_PARTS = 4096, 4096, 64
+#: Rows that fit the index for each part, and bounds on their number, whatever the size of the table.
+ROWS_A_PART, LEAST_FIT, MOST_FIT = 64, 4096, 65_536
+#: Rows of a part on average, and bounds on the number of parts: small tables are cut into parts too.
+PART_ROWS, LEAST_PARTS, MOST_PARTS = 4096, 8, 1024
 #: Candidates of one piece of a part.
 PIECE = 4096
 _GRAPH_NEIGHBOURS, _HELD_OUT = 10, 256
@@ -109,14 +111,21 @@ def balanced_parts(x: np.ndarray, neighbours: np.ndarray, n_parts: int) -> np.nd
 
 
 def fit_router(x: np.ndarray, n_parts: int, recall: float, k: int, seed: int = 7) -> Router:
-    """Fit on a sample ``x``; n_parts is a power of two."""
+    """Fit on a sample ``x``; n_parts is a power of two.
+
+    A quarter of the sample, ``_HELD_OUT`` rows at most, is set aside first: graph,
+    parts and network never see it, and it tells how many parts a query visits.
+    A sample too small to fit on leaves the network as drawn and visits all parts.
+    """
     rng = np.random.default_rng(seed)
     width = x.shape[1]
+    aside = np.zeros(len(x), bool)
+    aside[rng.choice(len(x), min(_HELD_OUT, len(x) // 4), replace=False)] = True
+    held, x = x[aside], x[~aside]
     mean, scale = (x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)) if len(x) else (np.zeros(width), np.ones(width))
-    hidden = 64
-    router = Router(mean, scale, rng.normal(0, math.sqrt(2 / width), (width, hidden)), np.zeros(hidden), rng.normal(0, math.sqrt(1 / hidden), (hidden, n_parts)), np.zeros(n_parts), 1)
+    hidden = max(64, n_parts)
+    router = Router(mean, scale, rng.normal(0, math.sqrt(2 / width), (width, hidden)), np.zeros(hidden), rng.normal(0, math.sqrt(1 / hidden), (hidden, n_parts)), np.zeros(n_parts), n_parts)
     if n_parts == 1 or len(x) < 4 * n_parts:
-        router.probes = n_parts
         return router
     near = _nearest(x, x, min(_GRAPH_NEIGHBOURS, len(x) - 1), own=True)
     label = balanced_parts(x, near, n_parts)
@@ -145,13 +154,11 @@ def fit_router(x: np.ndarray, n_parts: int, recall: float, k: int, seed: int = 7
                 m += 0.1 * (gr - m)
                 v += 0.001 * (gr * gr - v)
                 w -= 0.003 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    # Measure on held-out queries: their true neighbours among the rest of the sample.
-    held = rng.choice(len(x), min(_HELD_OUT, len(x) // 4), replace=False)
-    pool = np.setdiff1d(np.arange(len(x)), held)
-    true = pool[_nearest(x[held], x[pool], min(k, len(pool)), own=False)]
+    # The true neighbours of the rows set aside, among the rest of the sample.
+    true = _nearest(held, x, min(k, len(x)), own=False)
     home = router.parts(x, 1)[:, 0]
-    order = router.parts(x[held], n_parts)
-    place = np.argmax(order[:, None, :] == home[true][:, :, None], axis=2)
+    place = np.argsort(router.parts(held, n_parts), axis=1)  # of each part in a query's order
+    place = np.take_along_axis(place, home[true], axis=1)
     reached = [(place < n).mean() for n in range(1, n_parts + 1)]
     router.probes = next((n for n, r in enumerate(reached, 1) if r >= recall), n_parts)
     return router
@@ -160,7 +167,7 @@ def fit_router(x: np.ndarray, n_parts: int, recall: float, k: int, seed: int = 7
 def _assign(router: Router, width: int):
     def run(batches):
         for batch in batches:
-            x, lengths = matrix(batch.column("v"), width)
+            x, _ = matrix(batch.column("v"), width)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(router.parts(x, 1)[:, 0].astype(np.int64))], names=["id", "v", "part"])
 
     return run
@@ -177,6 +184,16 @@ def _route(router: Router, width: int):
     return run
 
 
+def _once(ids: np.ndarray, x: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """``rows`` without those that repeat both id and vector of another one."""
+    if len(np.unique(ids[rows])) == len(rows):
+        return rows
+    seen = {}
+    for r in rows.tolist():
+        seen.setdefault((ids[r], lengths[r], x[r].tobytes()), r)
+    return np.array(list(seen.values()), np.int64)
+
+
 def _rerank(width: int, k: int):
     """The k nearest candidates of each query in a piece, by exact distance."""
 
@@ -184,7 +201,7 @@ def _rerank(width: int, k: int):
         for _, table in runs(batches, ["part", "piece"]):
             side, ids = table["side"].to_numpy(), table["id"].to_numpy()
             x, lengths = matrix(table["v"], width)
-            queries, rows = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+            queries, rows = np.flatnonzero(side == 1), _once(ids, x, lengths, np.flatnonzero(side == 0))
             found = []
             if len(rows):
                 norm = (x[rows] ** 2).sum(axis=1)
@@ -210,29 +227,34 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
 
     score is the Euclidean distance in double precision; ties go to the smaller
     id. A row with the query's id is no candidate. Vectors that are null, empty,
-    zero or hold null or non-finite components take no part, on either side;
-    vectors of another length than the query's are no candidates. Repeated
-    rows count once. Empty tables give no rows. The index is fitted on at most
-    ``FIT_ROWS`` rows, places every row, and visits as many parts as ``recall``
-    takes on the sample.
+    zero or hold null or non-finite components take no part, on either side, nor
+    do rows with a null id; vectors of another length than the query's are no
+    candidates. Repeated rows count once; of an id's different vectors the
+    nearest counts. Empty tables give no rows. The index is fitted on
+    ``ROWS_A_PART`` rows for each part, between ``LEAST_FIT`` and ``MOST_FIT``,
+    places every row, and visits as many parts as ``recall`` takes on the rows
+    that were set aside.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = usable(vectors, id_col, vector_col).distinct()
-    asked = usable(queries, id_col, vector_col).distinct()
+    kind = width_of((vectors, vector_col), (queries, vector_col))
+    rows, asked = usable(vectors, id_col, vector_col, kind), usable(queries, id_col, vector_col, kind)
     shape = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
     wide = asked.agg(F.max(F.size("v")).alias("width")).first().width or 0
     width = max(shape.width or 1, wide)
-    sample = rows.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(FIT_ROWS).collect()
+    n_parts = 2 ** round(math.log2(min(MOST_PARTS, max(LEAST_PARTS, shape.n / PART_ROWS))))
+    fitted = min(MOST_FIT, max(LEAST_FIT, ROWS_A_PART * n_parts))
+    sample = rows.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id", "v").limit(fitted).collect()
     x = np.zeros((len(sample), width))
     for i, r in enumerate(sample):
         x[i, : len(r.v)] = r.v
-    n_parts = 2 ** max(0, min(int(math.log2(MOST_PARTS)), round(math.log2(max(1, shape.n / PART_ROWS)))))
     router = fit_router(x, n_parts, recall, k)
     rows, asked = (df.repartition(max(2, math.ceil(shape.n / 20_000))) for df in (rows, asked))
-    placed = stored(rows.mapInArrow(lean(_assign(router, width)), "id long, v array<double>, part long"), "ann-rows")
-    routed = asked.mapInArrow(lean(_route(router, width)), "id long, v array<double>, part long")
-    pieces = placed.groupBy("part").agg(F.ceil(F.count("*") / PIECE).cast("long").alias("pieces"))
+    schema = f"id long, v array<{kind}>, part long"
+    placed = stored(rows.mapInArrow(lean(_assign(router, width)), schema), "ann-rows")
+    routed = asked.mapInArrow(lean(_route(router, width)), schema)
+    # One row a part.
+    pieces = F.broadcast(placed.groupBy("part").agg(F.ceil(F.count("*") / PIECE).cast("long").alias("pieces")))
     candidates = placed.join(pieces, "part").select("id", "v", "part", F.pmod(F.xxhash64("id"), "pieces").alias("piece"), F.lit(0).alias("side"))
     sent = routed.join(pieces, "part").select("id", "v", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(1).alias("side"))
     dealt = candidates.unionByName(sent).repartition("part", "piece").sortWithinPartitions("part", "piece")

@@ -6,11 +6,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, v): ids with vectors of doubles that are neither null nor empty nor zero and wholly finite."""
-    v = F.col(f"`{vector_col}`").cast("array<double>")
+def width_of(*columns: tuple[DataFrame, str]) -> str:
+    """float if all the given vector columns hold 32-bit numbers, else double: what is shuffled is no wider than what was read."""
+    kinds = [df.schema[c].dataType for df, c in columns]
+    return "float" if all(isinstance(k, T.ArrayType) and isinstance(k.elementType, T.FloatType) for k in kinds) else "double"
+
+
+def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", kind: str = "double") -> DataFrame:
+    """(id, v): ids, none null, with vectors that are neither null nor empty nor zero and wholly finite."""
+    v = F.col(f"`{vector_col}`").cast(f"array<{kind}>")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     fine = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0)
     return vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & fine)
