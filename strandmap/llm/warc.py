@@ -12,13 +12,14 @@ form, record types and payload digests.
 Archives are written by Spark's text writer, whose line separator is the end
 of a record, so they land in any file system Spark writes to, survive lost
 executors, and each file is one gzip member. Files are as large as a task's
-share of the rows.
+share of the rows, which is cut down where it passes ``FILE_BYTES``.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmap.llm.common import fits, lean, ship
+from strandmap.llm.common import lean, meet, ship, stored
 
 _SPACE_IN_URL = str.maketrans({chr(c): f"%{c:02X}" for c in range(33)} | {"\x7f": "%7F"})
-#: Rows of the table of repeated payloads that are broadcast at most.
-BROADCAST_GROUPS = 1_000_000
+#: Bytes of the table of repeated payloads that are broadcast at most, and of payloads of one archive file.
+BROADCAST_BYTES, FILE_BYTES = 64_000_000, 512_000_000
 _BYTES = 8_000_000
 #: gzip at its fastest level: archives of this kind are written once, and compression is most of the work.
 _GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
@@ -88,11 +89,15 @@ def write_arc(pages: DataFrame, path: str, version: int | None = None, payload:
     """Write page_id, url and ``payload`` (text in UTF-8 or bytes) as ARC files of HTTP responses.
 
     Null payloads are empty, null urls become urn:none, white space in urls is
-    escaped. version is 1, 2, or None for both in turn by file. An empty table
+    escaped, a null page_id is left empty, repeated rows are records of their
+    own. version is 1, 2, or None for both in turn by file. An empty table
     gives files without records, at most.
     """
     ship(pages.sparkSession)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(payload).cast("binary").alias("payload"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(f"`{payload}`").cast("binary").alias("payload"))
+    shares = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.octet_length("payload")).alias("n")).agg(F.max("n").alias("top"), F.sum("n").alias("all")).first()
+    if (shares.top or 0) > FILE_BYTES:
+        rows = rows.repartition(2 * math.ceil(shares["all"] / FILE_BYTES))
     rows.mapInArrow(lean(_arc_rows(version, ip, date)), "record binary").select(F.col("record").cast("string")).write.options(lineSep="\n", **_GZIP).text(path)
 
 
@@ -105,6 +110,12 @@ class _Reader:
         self.at = 0
         self.buffer = bytearray()
         self.start = 0
+        self.gone = 0
+
+    @property
+    def place(self) -> int:
+        """Bytes of the inflated file that were read."""
+        return self.gone + self.start
 
     def _more(self) -> bool:
         if self.at >= len(self.content) and not (self.zip and self.zip.unconsumed_tail):
@@ -126,6 +137,7 @@ class _Reader:
     def _trim(self) -> None:
         if self.start > 1_000_000:
             del self.buffer[: self.start]
+            self.gone += self.start
             self.start = 0
 
     def line(self) -> bytes | None:
@@ -157,23 +169,28 @@ def parse_arc(content: bytes) -> Iterator[dict]:
     The version comes from the latest version block; without one, the number of
     fields of the line tells it. A declared length that passes the end of the
     file is cut there and marked; lines that are no header are passed over.
+    file is the name in the latest version block, at the place of the record.
     """
-    reader, version = _Reader(content), 0
+    reader, version, name = _Reader(content), 0, ""
+    at = 0
     while (line := reader.line()) is not None:
+        here, at = at, reader.place
         if not line:
             continue
         v = version or (1 if line.count(b" ") < 9 else 2)
         if line.startswith(b"filedesc://"):
             last = line.rsplit(b" ", 1)[-1]
             body = reader.take(int(last) if last.isdigit() else 0)
-            version = 2 if body[:1] == b"2" else 1
+            version, at = 2 if body[:1] == b"2" else 1, reader.place
+            name = line.split(b" ", 1)[0][len(b"filedesc://") :].decode("utf-8", "replace")
             continue
         fields = line.rsplit(b" ", 4 if v == 1 else 9)
         if len(fields) < (5 if v == 1 else 10) or not fields[-1].isdigit():
             continue
         length = int(fields[-1])
         body = reader.take(length)
-        yield {"url": fields[0].decode("utf-8", "replace"), "ip": fields[1].decode("utf-8", "replace"), "date": fields[2].decode("utf-8", "replace"), "mime": fields[3].decode("utf-8", "replace"), "body": body, "whole": len(body) == length, "version": v}
+        at = reader.place
+        yield {"file": name, "at": here, "url": fields[0].decode("utf-8", "replace"), "ip": fields[1].decode("utf-8", "replace"), "date": fields[2].decode("utf-8", "replace"), "mime": fields[3].decode("utf-8", "replace"), "body": body, "whole": len(body) == length, "version": v}
 
 
 def _http(body: bytes) -> tuple[bytes, bytes]:
@@ -223,18 +240,19 @@ def _converted(with_payload: bool):
 
     def rows(batches):
         for batch in batches:
-            for content in batch.column("content"):
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 for r in parse_arc(content.as_py()):
                     head, payload = _http(r["body"])
                     d = digest(payload)
                     page = _header(head, b"x-page-id")
-                    yield record_id(r["url"], r["date"], page, d), _number(page), r["url"], r["ip"], _iso(r["date"]), d, len(payload), head if with_payload else None, payload if with_payload else None
+                    # By its place, so that repeated records differ; the name in the file is the same in every run.
+                    yield record_id(r["file"] or path.as_py().rsplit("/", 1)[-1], r["at"], r["url"], r["date"], d), _number(page), r["url"], r["ip"], _iso(r["date"]), d, len(payload), head if with_payload else None, payload if with_payload else None
 
     return lambda batches: _batches(rows(batches), names, types, lambda r: 200 + len(r[8] or b""))
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
 def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least: int = 0) -> None:
@@ -242,18 +260,23 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least: int =
 
     Records whose payloads are equal and have ``least`` bytes or more share one
     response, that with the largest page id (then record id); the others
-    become revisits that refer to it and hold the HTTP head alone. The table of
-    repeated payloads, not the payloads, meets the records: broadcast up to
-    ``BROADCAST_GROUPS`` rows, else joined by shuffle.
+    become revisits that refer to it and hold the HTTP head alone. Repeated
+    records have ids of their own, so all but one of them are revisits; records
+    without a page id come last. The table of repeated payloads, not the
+    payloads, meets the records: broadcast up to ``BROADCAST_BYTES``, else
+    joined by record id, which no two records share.
     """
     ship(spark)
     records = _files(spark, arc_path)
-    small = records.mapInArrow(lean(_converted(False)), _CONVERTED)
+    small = stored(records.mapInArrow(lean(_converted(False)), _CONVERTED).select("record_id", "page_id", "uri", "date", "digest", "payload_bytes"), "arc-index")
     groups = small.where(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.max(F.struct("page_id", "record_id", "uri", "date")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    groups = groups.select("digest", "payload_bytes", F.col("first.record_id").alias("to"), F.col("first.uri").alias("to_uri"), F.col("first.date").alias("to_date"))
-    if fits(groups, BROADCAST_GROUPS):
-        groups = F.broadcast(groups)
-    rows = records.mapInArrow(lean(_converted(True)), _CONVERTED).join(groups, ["digest", "payload_bytes"], "left")
+    groups = stored(groups.select("digest", "payload_bytes", "n", F.col("first.record_id").alias("to"), F.col("first.uri").alias("to_uri"), F.col("first.date").alias("to_date")), "arc-groups")
+    key = ["digest", "payload_bytes"]
+    full = records.mapInArrow(lean(_converted(True)), _CONVERTED)
+    if (groups.agg(F.sum(F.octet_length("to_uri") + 200)).first()[0] or 0) <= BROADCAST_BYTES:
+        rows = full.join(F.broadcast(groups.drop("n")), key, "left")
+    else:
+        rows = full.join(meet(small, groups, key, "n").select("record_id", "to", "to_uri", "to_date"), "record_id", "left")
     revisit = F.col("to").isNotNull() & (F.col("to") != F.col("record_id"))
     block = F.when(revisit, F.col("head")).otherwise(F.concat("head", "payload"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -316,12 +339,19 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
     """Responses and revisits of WARC files, with the page id that a revisit refers to.
 
     digest_ok tells whether a response's payload has the digest its header
-    names; payload_bytes of a revisit comes from its HTTP head. Folders without
-    records give no rows.
+    names; payload_bytes of a revisit comes from its HTTP head. A revisit whose
+    response is missing refers to null, as does one of a response without a
+    page id. Folders without records give no rows.
     """
     ship(spark)
-    rows = _files(spark, path).mapInArrow(lean(_warc_rows(with_payload)), _READ)
-    small = _files(spark, path).mapInArrow(lean(_warc_rows(False)), _READ)
-    targets = small.where("record_type = 'revisit'").select(F.col("refers_to_id").alias("record_id")).distinct()
-    targets = small.where("record_type = 'response'").join(targets, "record_id", "left_semi").groupBy("record_id").agg(F.max("page_id").alias("refers_to"))
-    return rows.join(targets.withColumnRenamed("record_id", "refers_to_id"), "refers_to_id", "left")
+    files = _files(spark, path)
+    small = stored(files.mapInArrow(lean(_warc_rows(False)), _READ), "warc-index")
+    rows = files.mapInArrow(lean(_warc_rows(True)), _READ) if with_payload else small
+    # Only revisits look for a response, each crowd of them in place.
+    wanted = small.where("record_type = 'revisit' and refers_to_id is not null").groupBy("refers_to_id").agg(F.count("*").alias("n"))
+    responses = small.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("page_id").alias("refers_to"))
+    found = stored(wanted.join(responses, "refers_to_id", "left"), "warc-targets")
+    lone = (F.col("record_type") != "revisit") | F.col("refers_to_id").isNull()
+    columns = [f.split(" ")[0] for f in _READ.split(", ")] + ["refers_to"]
+    revisits = meet(rows.where(~lone), found, ["refers_to_id"], "n").select(*columns)
+    return rows.where(lone).withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionByName(revisits)
