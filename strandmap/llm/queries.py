@@ -40,16 +40,20 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
 
 
+def quality_ratings(labels: DataFrame) -> DataFrame:
+    """Graded ratings (doc_id, grade) from labels: 0 rejected, 1 accepted but toxic, 2 accepted and not toxic."""
+    rating = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    return labels.select("doc_id", rating.alias("grade")).dropna()
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected quality grade of every document.
+    """Expected grade of usefulness of every document, and the chance of grade 1 or better.
 
-    Ratings: 0 for rejected documents, 1 for accepted ones that are toxic, 2
-    for other accepted ones. Rows of the held-out fold teach nothing.
+    The labels have no grades of their own, so they are made of quality and
+    toxicity: see ``quality_ratings``. Rows of the held-out fold teach nothing.
     """
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").where(~toxicity.held_out())
-    rating = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
-    ratings = labels.select("doc_id", rating.alias("grade")).dropna()
+    ratings = quality_ratings(table(spark, sf_dir, "labels").where(~toxicity.held_out()))
     return quality.grade(docs, quality.fit(docs, ratings, n_grades=3), wanted=1, least=0.5, keep=["doc_id"])
 
 

@@ -7,8 +7,8 @@ numpy. With the share p of toxic texts in U, the risk is
 
 so no text has to be confirmed clean, and the part that stands for clean texts
 cannot fall below zero by overfitting. Features are the presence of words and
-of proper prefixes of words, hashed; only those more frequent in P than in U
-enter the model, at most ``MOST_FEATURES`` of them.
+of proper prefixes of words, hashed and counted in Spark; only those more frequent
+in P than in U enter the model, at most ``MOST_FEATURES`` of them.
 """
 
 from __future__ import annotations
@@ -42,20 +42,26 @@ class Model:
     bias: float
 
 
-def _text_features(batches):
-    """Distinct features of each text, as 32 bits each."""
+def _feature_counts(batches):
+    """(feature, texts of P, texts of U that hold it), summed over each slice of texts; a feature has 32 bits."""
     for batch in batches:
         data, offsets = K.flat(batch.column("text"))
+        positive = batch.column("positive").to_numpy(zero_copy_only=False)
         for a, b in text_slices(np.diff(offsets), _SLICE):
             part = offsets[a : b + 1]
             low, rows, words, starts, lengths = letter_words(data[part[0] : part[-1]], part - part[0])
             hashes = word_and_prefix_hashes(low, starts, lengths, PREFIXES)
             bounds = np.searchsorted(rows, np.arange(b - a + 1))  # words come row by row
-            sets = []
+            sides = ([np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)])
             for i in range(b - a):
                 f = hashes[np.unique(words[bounds[i] : bounds[i + 1]])].ravel()
-                sets.append(np.unique((f[f > 0] >> U64(32)).astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("positive").slice(a, b - a), pa.array(sets, pa.binary())], names=["positive", "features"])
+                sides[bool(positive[a + i])].append(np.unique((f[f > 0] >> U64(32)).astype(np.uint32)))
+            counted = [np.unique(np.concatenate(s), return_counts=True) for s in sides]
+            features = np.union1d(counted[0][0], counted[1][0])
+            in_u, in_p = np.zeros(len(features), np.int64), np.zeros(len(features), np.int64)
+            for (found, n), out in zip(counted, (in_u, in_p), strict=True):
+                out[np.searchsorted(features, found)] = n
+            yield pa.RecordBatch.from_arrays([pa.array(features.astype(np.int64)), pa.array(in_p), pa.array(in_u)], names=["feature", "in_p", "in_u"])
 
 
 def fit(positive: DataFrame, unlabelled: DataFrame, prior: float, text: str = "text", key: str = "doc_id") -> Model:
@@ -66,10 +72,10 @@ def fit(positive: DataFrame, unlabelled: DataFrame, prior: float, text: str = "t
     ship(positive.sparkSession)
     sample = smallest_hashes(positive, MOST_POSITIVE, key, text).withColumn("positive", F.lit(True)).unionByName(smallest_hashes(unlabelled, MOST_UNLABELLED, key, text).withColumn("positive", F.lit(False)))
     sample = stored(sample.repartition(12), "toxicity-sample")
-    rows = sample.mapInArrow(lean(_text_features), "positive boolean, features binary").collect()
-    sets = [(bool(r.positive), np.frombuffer(r.features, np.uint32)) for r in rows]
+    sizes = {bool(r.positive): r["count"] for r in sample.groupBy("positive").count().collect()}
+    counts = sample.mapInArrow(lean(_feature_counts), "feature long, in_p long, in_u long").groupBy("feature").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
     prior = min(max(prior, 1e-3), 0.9)
-    chosen = choose_features([f for y, f in sets if y], [f for y, f in sets if not y], prior)
+    chosen = choose_features(counts, sizes.get(True, 0), sizes.get(False, 0), prior)
     if not len(chosen):
         return Model(chosen, np.zeros(2), float(np.log(prior / (1 - prior))))
     rows = sorted((bool(r.positive), bytes(r.present), r.hits, r.words) for r in sample.mapInArrow(lean(_designs(chosen)), "positive boolean, present binary, hits long, words long").collect())
@@ -81,25 +87,22 @@ def fit(positive: DataFrame, unlabelled: DataFrame, prior: float, text: str = "t
     return fit_rows(x[y], x[~y], prior, chosen)
 
 
-def choose_features(p_sets: list[np.ndarray], u_sets: list[np.ndarray], prior: float) -> np.ndarray:
-    """Features of P that are more frequent there than in the clean part of U, by their evidence."""
-    if not p_sets or not u_sets:
-        return np.zeros(0, np.uint32)
-    features, in_p = np.unique(np.concatenate(p_sets), return_counts=True)
-    if not len(features):
+def choose_features(counts: DataFrame, n_p: int, n_u: int, prior: float) -> np.ndarray:
+    """Features of P that are more frequent there than in the clean part of U, by their evidence; only these leave Spark.
+
+    counts: (feature, in_p, in_u), the numbers of texts of P and U that hold a feature.
+    """
+    if not n_p or not n_u:
         return np.zeros(0, np.uint32)
-    in_u = np.zeros(len(features))
-    for s in u_sets:
-        at = np.minimum(np.searchsorted(features, s), len(features) - 1)
-        np.add.at(in_u, at[features[at] == s], 1)
-    rate_p, rate_u = in_p / len(p_sets), in_u / len(u_sets)
+    rate_p, rate_u = F.col("in_p") / n_p, F.col("in_u") / n_u
     # In U a feature of toxic texts alone has the rate prior * rate_p; what is beyond stands for clean texts.
-    clean = np.maximum(0, rate_u - prior * rate_p) / (1 - prior)
-    spread = np.sqrt(rate_u / len(u_sets) + prior**2 * rate_p / len(p_sets)) + 1 / len(u_sets)
-    expected = (clean + spread) * len(p_sets)
-    evidence = in_p * np.log(in_p / expected) - (in_p - expected)
-    good = np.flatnonzero((in_p > expected) & (rate_p > 4 * clean) & (evidence >= EVIDENCE))
-    return features[np.sort(good[np.argsort(-evidence[good], kind="stable")[:MOST_FEATURES]])]
+    clean = F.greatest(F.lit(0.0), rate_u - prior * rate_p) / (1 - prior)
+    spread = F.sqrt(rate_u / n_u + prior**2 * rate_p / n_p) + 1 / n_u
+    rows = counts.where("in_p > 0").select("feature", "in_p", rate_p.alias("rate"), clean.alias("clean"), ((clean + spread) * n_p).alias("expected"))
+    rows = rows.withColumn("evidence", F.col("in_p") * F.log(F.col("in_p") / F.col("expected")) - (F.col("in_p") - F.col("expected")))
+    good = rows.where((F.col("in_p") > F.col("expected")) & (F.col("rate") > 4 * F.col("clean")) & (F.col("evidence") >= EVIDENCE))
+    best = good.orderBy(F.desc("evidence"), "feature").limit(MOST_FEATURES).select("feature").collect()
+    return np.sort(np.array([r.feature for r in best], np.uint32))
 
 
 def _density(hits, words):

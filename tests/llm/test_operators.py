@@ -1,4 +1,5 @@
 import base64
+import functools
 import hashlib
 import itertools
 import random
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandmap.llm import ann, bpe, common, embedding_join, graph, licenses, minhash, mixing, pii, quality, queries, textkernel, toxicity, warc
+from strandmap.llm import ann, bpe, common, embedding_join, features, graph, licenses, minhash, mixing, pii, quality, queries, textkernel, toxicity, warc
 from strandmap.llm.common import shared_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -72,6 +73,25 @@ def test_embedding_join(spark, monkeypatch):
     assert embedding_join.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [1024, 4])
+def test_embedding_join_repeated_and_null_ids(spark, monkeypatch, crowd):
+    monkeypatch.setattr(common, "CROWD", crowd)
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (3, [1.0, 0.02]), (4, [0.01, 1.0]), (None, [1.0, 0.0]), (None, None), (9, [-1.0, -1.0])] + [(20 + i, [-1.0, -1.0]) for i in range(9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embedding_join.near_duplicates(df).collect())
+    want = [(0, 0, 0, True)] * 2 + [(1, 2, 1, True)] * 2 + [(2, 2, 1, False)] + [(3, 2, 1, False)] * 2 + [(4, 1, 1, False), (9, 9, 9, True)] + [(20 + i, 9, 9, False) for i in range(9)]
+    assert out == want
+
+
+def test_op1_uses_cells_on_small_tables(spark, sf):
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    assert len(embedding_join.choose_pivots(table.select(F.col("embedding").alias("v"), F.col("vec_id").alias("rep")), table.count())) == embedding_join.ROOT_PIVOTS
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    n, comp = brute_vectors(rows, 0.95)
+    out = queries.op1_embedding_join(spark, sf).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out} == {i: (n[i], comp[i]) for i in n}
+
+
 # 2: BPE
 
 
@@ -236,11 +256,29 @@ def test_archives(spark):
     assert warc.read_warc(spark, empty[1]).count() == 0
 
 
+@pytest.mark.parametrize("bytes_at_most", [64_000_000, -1])
+def test_archives_with_repeated_rows_and_null_ids(spark, monkeypatch, bytes_at_most):
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", bytes_at_most)
+    monkeypatch.setattr(warc, "FILE_BYTES", 200)
+    monkeypatch.setattr(common, "CROWD", 2)
+    rows = [(1, "u", "same"), (1, "u", "same"), (None, "u", "same"), (2, "v", "other"), (2, "v", "other"), (None, "n", "alone"), (None, "n", "nobody"), (None, "n", "nobody")] + [(10 + i, "e", "") for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    arc, out = shared_path(spark, "arc"), shared_path(spark, "warc")
+    warc.write_arc(df, arc)
+    warc.arc_to_warc(spark, arc, out)
+    for with_payload in (False, True):
+        got = warc.read_warc(spark, out, with_payload).collect()
+        assert len({r.record_id for r in got}) == len(rows)
+        kinds = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in got)
+        assert kinds == sorted([(1, 4, "response", 0), (1, 4, "revisit", 1), (0, 4, "revisit", 1), (2, 5, "response", 0), (2, 5, "revisit", 2), (0, 5, "response", 0), (0, 6, "response", 0), (0, 6, "revisit", 0)] + [(10 + i, 0, "revisit" if i < 8 else "response", 18 if i < 8 else 0) for i in range(9)])
+
+
 def test_arc_parser_follows_version_blocks():
     one = warc.arc_version_block(1, "a.arc", "20200101000000") + b"\n" + warc.arc_record(1, "http://x/ y", "1.2.3.4", "20200102030405", "text/html", b"line\nhttp://no 1 2 3 4\n", "a.arc") + b"\n"
     two = warc.arc_version_block(2, "b.arc", "20200101000000") + b"\n" + warc.arc_record(2, "http://z", "1.2.3.4", "2020", "text/plain", b"", "b.arc") + b"\n"
     rows = list(warc.parse_arc(one + two))
     assert [(r["url"], r["version"], r["body"], r["whole"]) for r in rows] == [("http://x/%20y", 1, b"line\nhttp://no 1 2 3 4\n", True), ("http://z", 2, b"", True)]
+    assert [(r["file"], (one + two)[r["at"] :].split(b" ")[0]) for r in rows] == [("a.arc", b"http://x/%20y"), ("b.arc", b"http://z")]
     assert not list(warc.parse_arc(one[:-10]))[0]["whole"] and not list(warc.parse_arc(one[:-30]))
     assert warc._iso("2020") == "2020-01-01T00:00:00Z" and warc._iso("20200102030405") == "2020-01-02T03:04:05Z"
 
@@ -301,18 +339,82 @@ def test_toxicity_edge_cases(spark):
     m = toxicity.fit_from_labels(df.select("doc_id", "text"), spark.createDataFrame([], "doc_id long, toxic int"))
     out = toxicity.score(df, m).collect()
     assert len(out) == 5 and len({r.score for r in out}) == 1
-    rng = random.Random(1)
-    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
-    pos = [textkernel_words(rng.sample(words, 20) + ["awful"]) for _ in range(60)]
-    neg = [textkernel_words(rng.sample(words, 20)) for _ in range(200)]
-    chosen = toxicity.choose_features(pos, neg + pos[:10], 0.1)
-    assert len(chosen) >= 1
     assert toxicity.score(df.limit(0), m).count() == 0
 
 
-def textkernel_words(words):
-    batch = pa.RecordBatch.from_arrays([pa.array([True]), pa.array([" ".join(words)])], names=["positive", "text"])
-    return np.frombuffer(next(iter(toxicity._text_features([batch]))).column(1)[0].as_py(), np.uint32)
+def plain_features(text):
+    """Words of letters and their prefixes of 3 to 10 bytes, as bytes; and all words."""
+    low = text.lower().encode() if text.isascii() else bytes(features.lower_latin(np.frombuffer(text.encode(), np.uint8)))
+    words = re.findall(rb"[a-z\x80-\xff]+", low)
+    return [(w, [w] + [w[:k] for k in toxicity.PREFIXES if k < len(w)]) for w in words]
+
+
+@functools.lru_cache(maxsize=None)
+def feature_hash(whole, piece):
+    word = np.frombuffer(whole, np.uint8)
+    row = features.word_and_prefix_hashes(word, np.array([0]), np.array([len(word)]), toxicity.PREFIXES)[0]
+    return int(row[0 if piece == whole else 1 + toxicity.PREFIXES.index(len(piece))] >> np.uint64(32))
+
+
+def test_toxicity_against_brute_force(spark):
+    """Document frequencies, choice of features and scores, recomputed text by text in plain Python."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    table = spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit_from_labels(docs, table)
+    known = {i: t for i, t in labels.items() if not fold(i) and t is not None}
+    sides = [[texts[i] for i, t in known.items() if t == 1 and i in texts], [t for i, t in texts.items() if not fold(i)]]
+    held = []
+    for side in sides:
+        n = {}
+        for text in side:
+            for h in {feature_hash(w, p) for w, pieces in plain_features(text) for p in pieces}:
+                n[h] = n.get(h, 0) + 1
+        held.append(n)
+    n_p, n_u, prior = len(sides[0]), len(sides[1]), min(max(sum(known.values()) / len(known), 1e-3), 0.9)
+    evidence = {}
+    for f, k in held[0].items():
+        p, u = k / n_p, held[1].get(f, 0) / n_u
+        clean = max(0.0, u - prior * p) / (1 - prior)
+        expected = (clean + (u / n_u + prior**2 * p / n_p) ** 0.5 + 1 / n_u) * n_p
+        e = k * np.log(k / expected) - (k - expected)
+        if k > expected and p > 4 * clean and e >= toxicity.EVIDENCE:
+            evidence[f] = e
+    assert set(model.features.tolist()) == set(sorted(evidence, key=lambda f: (-evidence[f], f))[: toxicity.MOST_FEATURES]) and len(model.features)
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    got = {r.doc_id: r.score for r in queries.op7_toxicity(spark, sf).collect()}
+    for i, text in texts.items():
+        words = [{feature_hash(w, p) for p in pieces} & weight.keys() for w, pieces in plain_features(text)]
+        hits = sum(bool(w) for w in words)
+        z = model.bias + sum(weight[f] for f in set().union(*words)) + model.weights[-2] * np.log1p(hits) + model.weights[-1] * np.log((hits + 0.3) / (len(words) + 30))
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_quality_against_brute_force(spark, sf):
+    """Scores of the registered query recomputed from the fitted arrays in plain Python."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(~toxicity.held_out())
+    model = quality.fit(docs, queries.quality_ratings(labels), n_grades=3)
+    got = {r.doc_id: r for r in queries.op5_quality(spark, sf).collect()}
+
+    def slot(span, salt, lower):
+        data = np.frombuffer(span, np.uint8)
+        return int(textkernel.mix(textkernel.span_hashes(data, np.array([0]), np.array([len(data)]), lower) ^ np.uint64(salt))[0] % np.uint64(quality.SIZE))
+
+    shape_of = {**{c: "a" for c in range(97, 123)}, **{c: "A" for c in range(65, 91)}, **{c: "9" for c in range(48, 58)}, **{c: "a" for c in range(128, 256)}}
+    for r in docs.limit(60).collect():
+        words = re.findall(rb"[^\x20\x09-\x0D]+", r.text.encode())
+        found = []
+        for k, w in enumerate(words):
+            shape = "".join(c for c, _ in itertools.groupby(shape_of.get(b, chr(b)) for b in w))
+            found += [slot(w, 1, True), slot(shape.encode(), 2, False)]
+            if k and re.sub(rb"[A-Z]", lambda m: m[0].lower(), w) == re.sub(rb"[A-Z]", lambda m: m[0].lower(), words[k - 1]):
+                found.append(12345 % quality.SIZE)
+        s = np.mean(model.weights[found]) if found else 0.0
+        above = 1 / (1 + np.exp(model.thresholds - s))
+        assert abs(got[r.doc_id].expected_grade - above.sum()) < 1e-9 and abs(got[r.doc_id].tail_prob - above[0]) < 1e-9 and got[r.doc_id].kept == (above[0] >= 0.5)
 
 
 # 6: mixing
@@ -347,6 +449,81 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0), [5, 2, 1]).count() == 0
 
 
+def brute_targets(sizes, weights, share, cap):
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    full, capped, total, level = {s: cap * n for s, n in sizes.items()}, {}, share * sum(sizes.values()), 0.0
+    while rest := [s for s in order if s not in capped]:
+        level = (total - sum(capped.values())) / sum(weight[s] for s in rest)
+        over = {s: full[s] for s in rest if weight[s] * level > full[s]}
+        if not over:
+            break
+        capped |= over
+    return {s: capped.get(s, weight[s] * level) for s in order}
+
+
+@pytest.mark.parametrize("cap", [1.5, 2.0, 3.0])
+def test_mixing_at_other_caps(spark, cap):
+    rng = random.Random(16)
+    rows = [(i, " ".join(["w"] * rng.choice([3, 20, 100, 300])), "en", f"s{i % 17 % 5}", 1) for i in range(800)]
+    out = mixing.mix(spark.createDataFrame(rows, DOCS), [5, 2, 1], share=1.3, cap=cap).collect()
+    sizes = {}
+    for _, t, _, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    for s, want in brute_targets(sizes, [5, 2, 1], 1.3, cap).items():
+        assert abs(sum(r.taken for r in out if r.source == s) - want) <= 160 and all(abs(r.target - want) < 1e-6 for r in out if r.source == s)
+    assert all(0 <= r.copies <= np.ceil(cap) for r in out)
+
+
+def test_mixing_tilts_lengths_within_a_source(spark):
+    """The favoured source holds long texts only; so short ones of the other source are taken at a higher rate, and the dual's optimum holds."""
+    rows = [(i, "w " * 500, "en", "a", 1) for i in range(60)] + [(100 + i, "w " * (10 if i % 2 else 500), "en", "b", 1) for i in range(200)]
+    out = mixing.mix(spark.createDataFrame(rows, DOCS), [3, 1], share=0.9, cap=2.0).collect()
+    rates = {(r.source, r.size): r.rate for r in out}
+    assert rates["b", 10] > rates["b", 500] * 1.05
+    logit = {k: np.log(v / (2 - v)) for k, v in rates.items()}
+    free = [r for r in out if r.rate < 2]
+    mu = logit["b", 10] - logit["b", 500]
+    size, whole = sum(r.size for r in free), sum({r.source: r.target for r in free}.values())
+    short = sum(r.size * r.rate for r in free if r.size == 10) - whole * sum(r.size for r in free if r.size == 10) / size
+    # Multipliers sum to zero over the classes, as shifting them together gains nothing.
+    assert abs(short + mixing.SLACK * whole * mu / 2) < 1e-4 * whole
+
+
+def test_op6_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    words = {i: len(re.findall(mixing.WORD, r.text or "")) for i, r in docs.items()}
+    sizes = {}
+    for i, r in docs.items():
+        sizes[r.source] = sizes.get(r.source, 0) + words[i]
+    targets = brute_targets(sizes, [5, 2, 1], 1.5, 2)
+    out = queries.op6_mixing(spark, sf).collect()
+    assert sorted(r.doc_id for r in out) == sorted(docs)
+    assert sorted(map(tuple, queries.op6_mixing(spark, sf).collect())) == sorted(map(tuple, out))
+    taken = {}
+    for r in out:
+        source = docs[r.doc_id].source
+        assert (r.size, r.source_size) == (words[r.doc_id], sizes[source]) and abs(r.target - targets[source]) < 1e-6 and 0 <= r.taken <= 2 * r.size and r.taken == r.copies * r.size
+        taken[source] = taken.get(source, 0) + r.taken
+    assert all(abs(taken[s] / t - 1) < 0.01 for s, t in targets.items() if t)
+
+
+def test_repeat_with_clashing_columns(spark):
+    df = docs_of(spark, [(1, "a b c"), (1, "a b c"), (None, "x y"), (None, "x y"), (2, None)]).withColumns({c: F.lit(c) for c in ("_copies", "_nth", "_id", "_hash", "_row", "_low")})
+    out = mixing.repeat(df, mixing.mix(df, [1], share=2.0))
+    assert out.columns == df.columns and sorted(r.text for r in out.collect() if r.text) == ["a b c"] * 4 + ["x y"] * 4
+    assert mixing.repeat(df.limit(0), mixing.mix(df.limit(0), [1])).count() == 0
+
+
+def test_places_of_sources(spark):
+    names = [f"h{i * 7919 % 1000}" for i in range(1000)] + ["Z", "é", "", None]
+    df = spark.createDataFrame([(n, 1) for n in names], "source string, source_size long").repartition(7)
+    got = {r.source: r.place for r in mixing.ranked_sources(df).collect()}
+    order = sorted((n for n in names if n is not None), key=lambda n: n.encode()) + [None]
+    assert got == {n: i for i, n in enumerate(order)}
+
+
 def test_balance_of_two_constraints(spark):
     cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 50), ("b", "x", 30), ("b", "y", 70)], "source string, lang string, size long")
     targets = {"source": spark.createDataFrame([("a", 140.0), ("b", 110.0)], "key string, target double"), "lang": spark.createDataFrame([("x", 120.0), ("y", 130.0)], "key string, target double")}
@@ -456,8 +633,55 @@ def test_ann_recall(spark):
     assert hits / 900 >= 0.9
 
 
+def brute_nearest(x, q, k=10):
+    d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+    d[q] = np.inf
+    return np.lexsort((np.arange(len(x)), d))[:k].tolist()
+
+
+def test_ann_routes_to_some_parts(spark, monkeypatch):
+    """Clustered vectors: fewer parts are visited than there are, and recall holds on queries that nothing was fitted on."""
+    monkeypatch.setattr(ann, "PART_ROWS", 256)
+    rng = np.random.default_rng(12)
+    x = (rng.normal(size=(24, 12))[rng.integers(0, 24, 6000)] * 4 + rng.normal(size=(6000, 12))).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    made = []
+    fit = ann.fit_router
+    monkeypatch.setattr(ann, "fit_router", lambda *a: made.append((fit(*a), a[1])) or made[-1][0])
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert made[0][1] == 16 and made[0][0].probes <= 8
+    assert np.mean([len(set(got[q]) & set(brute_nearest(x, q))) / 10 for q in range(0, 6000, 100)]) >= 0.9
+
+
+def test_op9_against_brute_force(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = sorted((r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect())
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    place = {i: k for k, i in enumerate(ids.tolist())}
+    got = {}
+    for r in queries.op9_ann(spark, sf).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.score, r.vec_id)
+    assert sorted(got) == [i for i in ids.tolist() if i % 100 == 0]
+    shared = 0
+    for q, found in got.items():
+        mine = [found[k] for k in range(1, 11)]
+        assert mine == sorted(mine) and all(s == np.sqrt(((x[place[v]] - x[place[q]]) ** 2).sum()) for s, v in mine)
+        shared += len({v for _, v in mine} & set(ids[brute_nearest(x, place[q])].tolist()))
+    assert shared >= 0.9 * 10 * len(got)
+
+
+def test_ann_sets_queries_aside_before_fitting(monkeypatch):
+    seen = []
+    monkeypatch.setattr(ann, "balanced_parts", lambda x, near, n: seen.append(x) or np.arange(len(x)) % n)
+    x = np.random.default_rng(3).normal(size=(400, 6))
+    router = ann.fit_router(x, 8, 0.97, 10)
+    assert len(seen[0]) == 300 and 1 <= router.probes <= 8
+
+
 def test_ann_edge_cases(spark):
-    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0]), (7, [1.0, 0.1])]
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0]), (7, [1.0, 0.1]), (None, [1.0, 0.1])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, part string")
     out = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, df).collect())
     assert out == [(1, 1, 2), (1, 2, 7), (2, 1, 7), (2, 2, 1), (7, 1, 2), (7, 2, 1)]
