@@ -30,13 +30,25 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame, computed and kept in the checkpoint folder that the cluster shares.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, and the session's checkpoint folder.
 
-    The folder is ``spark.checkpoint.dir``; a local one is made only where
-    that is unset.
+    Read from ``spark.checkpoint.dir``. Only where that is unset, a local
+    session (tests) makes a folder; on a cluster this raises, as a folder of
+    the driver's machine is none of the executors'.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
+        found = tempfile.mkdtemp(prefix="strandmap-checkpoint-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandmap-checkpoint-"))
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame, computed and kept in the checkpoint folder that the cluster shares."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
