@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import functools
 import gc
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -25,7 +25,8 @@ def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers.
 
     Arrow batches are held to ``BATCH_BYTES`` unless the session asks for less,
-    so that a worker's memory doesn't depend on the length of texts.
+    so that a worker's memory doesn't depend on the length of texts. The limit
+    is a setting of the session and stays, as plans are run later.
     """
     held = spark.conf.get(_BATCH).lower().rstrip("b")
     held = int(held[:-1]) * _UNITS[held[-1]] if held[-1:] in _UNITS else int(held)
@@ -58,18 +59,39 @@ def lean(run):
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (tests) a
-    local folder is made and kept as the session's checkpoint folder.
+    See ``session.shared_dir``: without ``spark.checkpoint.dir`` a local session
+    makes one, and a cluster raises.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="strandmap-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    return session.shared_dir(spark)
+
+
+_SCRATCH: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/strandmap/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/strandmap/{tag}-{uuid.uuid4().hex}"
+    if (kept := _SCRATCH.get()) is not None:
+        kept.append(path)
+    return path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Delete at the end what operators store meanwhile; results have to be written before."""
+    paths: list[str] = []
+    token = _SCRATCH.set(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in paths:
+            drop(spark, path)
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:

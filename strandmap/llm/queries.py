@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,19 +74,34 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License notices of every document: the best match, and the number of licenses found."""
-    found = licenses.scan(table(spark, sf_dir, "documents"), least=0.8, keep=["doc_id"])
+    """Licenses named or quoted in every document: the best match, and the number of different licenses found.
+
+    ``spark.strandmap.licenseTexts`` may name a folder with the texts of more licenses.
+    """
+    folder = spark.conf.get("spark.strandmap.licenseTexts", None)
+    templates = licenses.TEMPLATES | (licenses.folder_templates(folder) if folder else {})
+    found = licenses.scan(table(spark, sf_dir, "documents"), templates, least=0.8, keep=["doc_id"])
     best = F.try_element_at("matches", F.lit(1))
-    return found.select("doc_id", best["license"].alias("license"), best["dice"].alias("dice"), F.size("matches").alias("n_licenses"))
+    names = F.array_distinct(F.transform("matches", lambda m: licenses.license_of(m["license"])))
+    return found.select("doc_id", licenses.license_of(best["license"]).alias("license"), best["dice"].alias("dice"), F.size(names).alias("n_licenses"))
+
 
+_KEYS: dict[str, bytes] = {}
 
-#: The key of the surrogates of these queries; real runs bring their own.
-SURROGATE_KEY = b"strandmap"
+
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The secret key of the surrogates: the session's ``spark.strandmap.surrogateKey``.
+
+    Where that is unset, a random key is drawn for the application, so nobody
+    can try out originals; its surrogates don't match those of other runs.
+    """
+    told = spark.conf.get("spark.strandmap.surrogateKey", None)
+    return told.encode() if told else _KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates for personal data."""
-    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY).select("doc_id", "n_entities", "text")
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark)).select("doc_id", "n_entities", "text")
 
 
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
