@@ -1,10 +1,12 @@
-"""Objects, links and events of the engine from the star-schema tables, as frames and as SQL."""
+"""Objects and links of the engine from the star-schema tables, stored once, and the same as SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandmap import store
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,6 +18,12 @@ def _row(df: DataFrame, head: str, key: str, name: str, comment) -> DataFrame:
 
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, kind, name, comment), stored by kind and sorted by path, so that filters on both skip files and row groups."""
+    path = store.once(spark, sf_dir, "objects", lambda p: store.write_sorted(made_objects(spark, sf_dir), p, "kind", "path"))
+    return spark.read.schema("path string, name string, comment string, kind string").parquet(path).select("path", "kind", "name", "comment")
+
+
+def made_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, kind, name, comment); order lines are distinct, as their keys repeat in the table."""
     t = lambda n: table(spark, sf_dir, n)
     lines = t("lineitem").select("l_orderkey", "l_linenumber").distinct()
@@ -47,6 +55,12 @@ OBJECTS_SQL = """objects AS (
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (from_path, to_path, link_type), stored by type and sorted by target."""
+    path = store.once(spark, sf_dir, "links", lambda p: store.write_sorted(made_links(spark, sf_dir), p, "link_type", "to_path"))
+    return spark.read.schema("from_path string, to_path string, link_type string").parquet(path)
+
+
+def made_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (from_path, to_path, link_type) along the foreign keys."""
     t = lambda n: table(spark, sf_dir, n)
     path = lambda head, c: F.concat(F.lit(head + "."), F.col(c).cast("string"))

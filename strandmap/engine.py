@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from strandmap.functions import paths, refs, text
 from strandmap.operators import lookup, ranking, rollups
-from strandmap.plans import cards, graph, retrieval
+from strandmap.plans import cards, graph, retrieval, search
+from strandmap.plans.index import TextIndex
 
 
 @dataclass
@@ -25,7 +26,7 @@ class Engine:
     objects: DataFrame
     links: DataFrame
     methods: DataFrame
-    corpus: DataFrame
+    corpus: DataFrame | TextIndex
     profile: retrieval.RankProfile | None = None
 
     def _names(self, ref: str) -> list[str]:
@@ -54,13 +55,13 @@ class Engine:
         return self.contexts.join(counts, "name", "left").fillna({"n_methods": 0})
 
     def search_metadata(self, context: str, query: str, kind: str | None = None, prefix: str | None = None, limit: int = 20) -> DataFrame:
-        return retrieval.search(self.corpus, query, limit, prefix=prefix, kind=kind, contexts=self._names(context), profile=self.profile)
+        return search.search(self.corpus, query, limit, prefix=prefix, kind=kind, contexts=self._names(context), profile=self.profile)
 
     def search_under(self, context: str, prefix: str, query: str, limit: int = 20) -> DataFrame:
         return self.search_metadata(context, query, prefix=prefix, limit=limit)
 
     def semantic_search(self, context: str, query: str, vector: list[float], kind: str | None = None, limit: int = 20) -> DataFrame:
-        hits = retrieval.search(self.corpus, query, 4 * limit, vector=vector, kind=kind, contexts=self._names(context), profile=self.profile)
+        hits = search.search(self.corpus, query, 4 * limit, vector=vector, kind=kind, contexts=self._names(context), profile=self.profile)
         return ranking.one_per_leaf(hits, F.col("rank")).orderBy("rank").limit(limit)
 
     def helpsearch(self, context: str, query: str, owner: str | None = None, limit: int = 20) -> DataFrame:

@@ -67,9 +67,13 @@ def _haystack(fields: tuple[str, ...]) -> Column:
 
 def token_search(objects: DataFrame, tokens: list[str], fields: tuple[str, ...] = ("name", "comment", "path"), prefix: str | None = None) -> DataFrame:
     """Objects in which every token, or its stem, occurs in some field."""
+    return filter_objects(objects, prefix=prefix).where(has_tokens(tokens, fields))
+
+
+def has_tokens(tokens: list[str], fields: tuple[str, ...] = ("name", "comment", "path")) -> Column:
     hay = _haystack(fields)
     hit = lambda t: hay.contains(t.lower()) | hay.contains(t.lower()[: max(6, len(t) - 2)])
-    return filter_objects(objects, prefix=prefix).where(reduce(lambda a, b: a & b, map(hit, tokens), F.lit(True)))
+    return reduce(lambda a, b: a & b, map(hit, tokens), F.lit(True))
 
 
 def any_token(objects: DataFrame, tokens: list[str], fields: tuple[str, ...] = ("name", "comment", "path")) -> DataFrame:

@@ -72,11 +72,18 @@ def references(texts: DataFrame, needle: str, key: str, text_col: str = "text")
     """
     low = F.lower(text_col)
     found = texts.where(low.contains(needle.lower())).select(key, F.col(text_col).alias("_text"), F.split(low, f"\\Q{needle.lower()}\\E", -1).alias("_parts"))
-    n = len(needle)
-    # Place of match i: the lengths of the parts before it and of the matches between.
-    ends = F.transform(F.sequence(F.lit(1), F.size("_parts") - 1), lambda i: F.aggregate(F.slice("_parts", 1, i), F.lit(0), lambda s, p: s + F.length(p)) + (i - 1) * n + 1)
-    each = found.select(key, "_text", F.posexplode(ends).alias("nth", "place"))
-    return each.select(key, (F.col("nth") + 1).alias("nth"), text.line_of(F.col("_text"), F.col("place")).alias("line"), text.snippet(F.col("_text"), F.col("place"), n).alias("snippet"))
+    n, lines = len(needle), needle.count("\n")
+    # One pass over the parts keeps the place and the line of each match; no text is cut or summed anew for each of them.
+    breaks = lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))
+    start = F.struct(F.lit(1).alias("place"), F.lit(1).alias("line"), F.array().cast("array<struct<place:int,line:int>>").alias("out"))
+
+    def walk(s, p):
+        here = F.struct((s["place"] + F.length(p)).alias("place"), (s["line"] + breaks(p)).alias("line"))
+        return F.struct((here["place"] + n).alias("place"), (here["line"] + lines).alias("line"), F.array_append(s["out"], here).alias("out"))
+
+    places = F.aggregate(F.slice("_parts", F.lit(1), F.size("_parts") - 1), start, walk, lambda s: s["out"])
+    each = found.select(key, "_text", F.posexplode(places).alias("nth", "at"))
+    return each.select(key, (F.col("nth") + 1).alias("nth"), F.col("at.line").alias("line"), text.snippet(F.col("_text"), F.col("at.place"), n).alias("snippet"))
 
 
 def enclosing(references: DataFrame, methods: DataFrame, by: str = "source_rel") -> DataFrame:

@@ -1,45 +1,46 @@
-"""Lexical recall lanes that join the hybrid pool before re-ranking."""
+"""Lexical recall lanes, which find objects by their names and join the pool before re-ranking."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmap.functions import paths, text
-from strandmap.operators import lookup, relations
+from strandmap.operators import lookup
 from strandmap.plans.retrieval import RankProfile, content_tokens, query_terms, rerank
 
-#: Rows that a lane gives at most; lanes differ in score, so that a better lane's row wins.
-LANE_ROWS = 80
 
+def lane_of(query: str, prefix: str | None = None, profile: RankProfile | None = None) -> tuple[Column, Column]:
+    """(lane, raw score) of an object, both null where no lane finds it: path or name of the whole query, exact names, name stems of roots, all tokens.
 
-def lanes(objects: DataFrame, query: str, prefix: str | None = None, profile: RankProfile | None = None) -> DataFrame:
-    """(path, lane, raw_score): path or name of the whole query, exact names, name stems of roots, and all tokens.
-
-    Every lane is a filter over the objects; all run in one plan, capped by path.
-    Middle-of-name stems only count below a prefix.
+    Middle-of-name stems only count below a prefix. An object takes the first lane that finds it.
     """
     profile = profile or RankProfile()
-    rows = lookup.filter_objects(objects, prefix=prefix)
     words = [t.word for t in query_terms(query)]
     tokens = content_tokens(query)
     aliases = [a for w in words for a in profile.aliases.get(w, [])]
     name = text.fold(F.col("name"))
     root = paths.is_root(F.col("path"))
     stems = [t[: max(6, len(t) - 2)] for t in tokens if len(t) >= 5]
-    tests = [
-        ("identifier", 4.0, (F.col("path") == query) | (F.col("name") == query)),
-        ("name", 3.0, name.isin(words) | F.col("name").isin(aliases)),
-        ("stem", 2.0, root & reduce(lambda a, b: a | b, (name.startswith(s) for s in stems), F.lit(False))),
+    some = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
+    named = [
+        ("identifier", F.lit(4.0), (F.col("path") == query) | (F.col("name") == query)),
+        ("name", F.lit(3.0), name.isin(words) | F.col("name").isin(aliases)),
+        ("stem", F.lit(2.0), root & some(F.startswith(name, F.lit(s)) for s in stems)),
     ]
     if prefix is not None:
-        tests.append(("inside", 1.5, root & reduce(lambda a, b: a | b, (name.contains(s) for s in stems if len(s) >= 8), F.lit(False))))
-    found = [rows.where(test).select("path", F.lit(lane).alias("lane"), F.lit(score).alias("raw_score")).orderBy("path").limit(LANE_ROWS) for lane, score, test in tests]
-    scored = lookup.token_search(rows, tokens).select("path", F.lit("tokens").alias("lane"), F.least(lookup.token_score(tokens) / 20.0, F.lit(1.0)).alias("raw_score"))
-    found.append(scored.orderBy(F.desc("raw_score"), "path").limit(LANE_ROWS))
-    return relations.prefer_first(*found)
+        named.append(("inside", F.lit(1.5), root & some(name.contains(s) for s in stems if len(s) >= 8)))
+    named.append(("tokens", F.least(lookup.token_score(tokens) / 20.0, F.lit(1.0)), lookup.has_tokens(tokens)))
+    return F.coalesce(*(F.when(test, lane) for lane, _, test in named)), F.coalesce(*(F.when(test, score) for _, score, test in named))
+
+
+def lanes(objects: DataFrame, query: str, prefix: str | None = None, profile: RankProfile | None = None) -> DataFrame:
+    """The objects that some lane finds, all of them, with lane and raw_score: one filter over the objects."""
+    lane, score = lane_of(query, prefix, profile)
+    rows = lookup.filter_objects(objects, prefix=prefix).withColumn("lane", lane).where(F.col("lane").isNotNull())
+    return rows.withColumn("raw_score", score)
 
 
 def strong(hits: DataFrame, query: str) -> bool:
@@ -50,6 +51,5 @@ def strong(hits: DataFrame, query: str) -> bool:
 
 
 def find(objects: DataFrame, query: str, prefix: str | None = None, limit: int = 20, profile: RankProfile | None = None) -> DataFrame:
-    """Objects by the lanes alone, re-ranked."""
-    hits = objects.join(F.broadcast(lanes(objects, query, prefix, profile)), "path")  # some hundred rows at most
-    return rerank(hits, query, profile).orderBy(F.desc("score"), "path").limit(limit)
+    """The best objects of all that the lanes find."""
+    return rerank(lanes(objects, query, prefix, profile), query, profile).orderBy(F.desc("score"), "path").limit(limit)

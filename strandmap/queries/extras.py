@@ -9,6 +9,7 @@ from strandmap.adapters import OBJECTS_SQL, links, objects, table
 from strandmap.functions import embed, text
 from strandmap.operators import intervals, relations
 from strandmap.plans import graph, lanes
+from strandmap.queries.parsers import golden
 from strandmap.sources import layout, sinks
 
 QUERIES: dict = {}
@@ -72,13 +73,18 @@ def candidate_union(spark, d):
     return relations.prefer_first(a, b).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"""WITH {OBJECTS_SQL}, h AS (SELECT path, kind, name, contains(lower(name || '  ' || comment || ' ' || path), 'customer')::INT + contains(lower(name || '  ' || comment || ' ' || path), 'building')::INT AS n
+    FROM objects WHERE starts_with(path, 'Customer.') AND length(path) - length(replace(path, '.', '')) = 1 AND (starts_with(lower(name), 'custom') OR starts_with(lower(name), 'buildi')))
+SELECT path, 'stem' AS lane, round(4.0::DOUBLE * (n / 2.0::DOUBLE + CASE WHEN n = 2 THEN 0.35::DOUBLE + least(length(name), 80) / 200.0::DOUBLE WHEN n / 2.0::DOUBLE >= 0.5 THEN 0.15::DOUBLE * n / 2.0::DOUBLE ELSE 0 END)
+    + 0.45::DOUBLE + CASE WHEN n >= 2 THEN 1.25::DOUBLE ELSE 0 END + CASE WHEN n = 0 THEN -2.6::DOUBLE ELSE 0 END + 1.3::DOUBLE + 1.0::DOUBLE, 6) AS score FROM h ORDER BY score DESC, path LIMIT 20"""
+)
 def lane_search(spark, d):
     o = objects(spark, d).withColumn("synonym", F.lit(""))
     return lanes.find(o, "customer building", prefix="Customer").select("path", "lane", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("SELECT item_id, 64 AS n, 1.0::DOUBLE AS norm FROM benchmark WHERE regexp_matches(text, '[\\p{L}\\p{N}]') UNION ALL SELECT item_id, 64, 0.0 FROM benchmark WHERE NOT regexp_matches(text, '[\\p{L}\\p{N}]')".replace("\\\\", "\\"))
 def embedded_passages(spark, d):
     rows = embed.embed(table(spark, d, "benchmark"), function=embed.hashed)
     return rows.select("item_id", F.size("embedding").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
@@ -99,7 +105,19 @@ def path_by_name(spark, d):
     return graph.resolve_name(objects(spark, d), part.unionByName(table(spark, d, "nation").select(F.col("n_name").alias("name"))))
 
 
-@query()
+@query(
+    golden(
+        "rel VARCHAR, class VARCHAR, path VARCHAR",
+        ("Catalogs/A.xml", "object", "Справочники.A"),
+        ("Catalogs/A/Forms/F/Ext/Form.xml", "form", "Справочники.A.Формы.F"),
+        ("Reports/R/Templates/T/Ext/Template.xml", "template", "Отчеты.R.Макеты.T"),
+        ("Documents/D/Ext/Help/ru.html", "help", "Документы.D"),
+        ("CommonModules/M/Ext/Module.bsl", "module", "ОбщиеМодули.M"),
+        ("Configuration.xml", "object", ""),
+        ("ConfigDumpInfo.xml", "info", ""),
+        ("x.png", "other", ""),
+    )
+)
 def file_classes(spark, d):
     rels = ["Catalogs/A.xml", "Catalogs/A/Forms/F/Ext/Form.xml", "Reports/R/Templates/T/Ext/Template.xml", "Documents/D/Ext/Help/ru.html", "CommonModules/M/Ext/Module.bsl", "Configuration.xml", "ConfigDumpInfo.xml", "x.png"]
     rows = spark.createDataFrame([(r,) for r in rels], "rel string")

@@ -23,6 +23,13 @@ def query(sql: str | None = None):
     return add
 
 
+def golden(columns: str, *rows: tuple) -> str:
+    """SQL for rows written out by hand; columns come as "name TYPE, name TYPE"."""
+    word = lambda v: "NULL" if v is None else str(v) if isinstance(v, (bool, int, float)) else "'" + v.replace("'", "''") + "'"
+    names = [c.split() for c in columns.split(", ")]
+    return "SELECT " + ", ".join(f"{n}::{t} AS {n}" for n, t in names) + " FROM (VALUES " + ", ".join(f"({', '.join(map(word, r))})" for r in rows) + f") t({', '.join(n for n, _ in names)})"
+
+
 REPORT = """заголовок до первого узла
 - Справочники.Товары
 	Имя: "Товары"
@@ -69,9 +76,10 @@ XML = """<?xml version="1.0" encoding="UTF-8"?>
 <MetaDataObject xmlns="http://v8.1c.ru/8.3/MDClasses" xmlns:v8="http://v8.1c.ru/8.1/data/core">
 <Document uuid="1"><Properties><Name>Продажа</Name>
 <Synonym><v8:item><v8:lang>ru</v8:lang><v8:content>Продажа товаров</v8:content></v8:item></Synonym><Comment>важно</Comment>
+<ObjectBelonging>Adopted</ObjectBelonging><ExtendedConfigurationObject>base-1</ExtendedConfigurationObject>
 <RegisterRecords><Item>AccumulationRegister.Продажи</Item></RegisterRecords></Properties>
 <ChildObjects>
-<Attribute><Properties><Name>Клиент</Name><Type><v8:Type>cfg:CatalogRef.Клиенты</v8:Type><v8:Type>xs:string</v8:Type><v8:StringQualifiers><v8:Length>10</v8:Length></v8:StringQualifiers></Type></Properties></Attribute>
+<Attribute><Properties><Name>Клиент</Name><Type><v8:Type>cfg:CatalogRef.Клиенты</v8:Type><v8:Type>xs:string</v8:Type><v8:StringQualifiers><v8:Length>10</v8:Length></v8:StringQualifiers></Type><FillChecking>ShowError</FillChecking></Properties></Attribute>
 <TabularSection><Properties><Name>Товары</Name></Properties><ChildObjects>
 <Attribute><Properties><Name>Цена</Name><Type><v8:Type>xs:decimal</v8:Type></Type></Properties></Attribute></ChildObjects></TabularSection>
 </ChildObjects></Document></MetaDataObject>"""
@@ -90,35 +98,78 @@ def xml_nodes(spark, *texts: str):
     return xml_objects.nodes(spark.createDataFrame(rows, "source_rel string, content binary"))
 
 
-@query()
+@query(
+    golden(
+        "path VARCHAR, kind VARCHAR, name VARCHAR, synonym VARCHAR, n_props INTEGER",
+        ("Справочники.Товары", "Справочники", "Товары", "Товары и услуги", 4),
+        ("Справочники.Товары.Реквизиты.Единица", "Реквизиты", "Единица", "", 2),
+        ("Документы.Продажа", "Документы", "Продажа", "", 1),
+    )
+)
 def report_nodes(spark, d):
     rows = text_report.report_objects(text_report.parse_nodes(report_lines(spark)))
     return rows.select("path", "kind", "name", "synonym", F.size("props").alias("n_props"))
 
 
-@query()
+@query(
+    golden(
+        "from_path VARCHAR, to_ref VARCHAR, link_type VARCHAR, to_path VARCHAR",
+        ("Справочники.Товары", "СправочникСсылка.Единицы", "type", "Справочники.Единицы"),
+        ("Справочники.Товары", "Строка", "type", None),
+        ("Справочники.Товары.Реквизиты.Единица", "СправочникСсылка.Единицы", "type", "Справочники.Единицы"),
+        ("Документы.Продажа", "РегистрНакопления.Продажи", "movements", "РегистрыНакопления.Продажи"),
+    )
+)
 def report_links(spark, d):
     return text_report.report_links(text_report.parse_nodes(report_lines(spark))).withColumn("to_path", refs.canonical(F.col("to_ref")))
 
 
-@query()
+_M = "ОбщиеМодули.М.Методы.Module."
+
+
+@query(
+    golden(
+        "path VARCHAR, kind VARCHAR, export BOOLEAN, region VARCHAR, line INTEGER, end_line INTEGER, comment VARCHAR, calls VARCHAR",
+        (_M + "Итог", "Function", True, "Служебные", 4, 9, "Возвращает сумму.", "Сумма"),
+        (_M + "Пустая", "Procedure", False, "Внутри", 11, 11, "", ""),
+        (_M + "Run", "Procedure", True, "Внутри", 12, 15, "", "Run,Итог"),
+        (_M + "Сумма", "Function", False, "Служебные", 17, 19, "", ""),
+        (_M + "Незакрытая", "Procedure", False, "", 21, 23, "", "Сумма"),
+    )
+)
 def module_parse(spark, d):
     found = modules.methods(module_lines(spark))
     return found.select("path", "kind", "export", "region", "line", "end_line", "comment", F.array_join("calls", ",").alias("calls"))
 
 
-@query()
+@query(golden("status VARCHAR, n BIGINT", ("self", 1), ("resolved", 3)))
 def module_calls(spark, d):
     found = modules.methods(module_lines(spark))
     return ingest.call_links(modules.pending_calls(found), found)[1]
 
 
-@query()
+@query(
+    golden(
+        "path VARCHAR, kind VARCHAR, name VARCHAR, synonym VARCHAR, comment VARCHAR, belong VARCHAR, base_object VARCHAR, props VARCHAR",
+        ("Документы.Продажа", "Document", "Продажа", "Продажа товаров", "важно", "Adopted", "base-1", "ExtendedConfigurationObject=base-1;ObjectBelonging=Adopted;RegisterRecords=AccumulationRegister.Продажи"),
+        ("Документы.Продажа.Реквизиты.Клиент", "Attribute", "Клиент", "", "", "Own", "", "FillChecking=ShowError;Type=cfg:CatalogRef.Клиенты|xs:string(Length=10)"),
+        ("Документы.Продажа.ТабличныеЧасти.Товары", "TabularSection", "Товары", "", "", "Own", "", ""),
+        ("Документы.Продажа.ТабличныеЧасти.Товары.Реквизиты.Цена", "TabularSectionAttribute", "Цена", "", "", "Own", "", "Type=xs:decimal"),
+    )
+)
 def xml_parse(spark, d):
-    return xml_objects.objects(xml_nodes(spark)).select("path", "kind", "name", "synonym", "comment")
+    found = xml_objects.objects(xml_nodes(spark))
+    entries = F.transform(F.array_sort(F.map_entries("props")), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|")))
+    return found.select("path", "kind", "name", "synonym", "comment", "belong", "base_object", F.array_join(entries, ";").alias("props"))
 
 
-@query()
+@query(
+    golden(
+        "from_path VARCHAR, to_ref VARCHAR, link_type VARCHAR, to_path VARCHAR",
+        ("Документы.Продажа", "AccumulationRegister.Продажи", "movements", "РегистрыНакопления.Продажи"),
+        ("Документы.Продажа.Реквизиты.Клиент", "CatalogRef.Клиенты", "type", "Справочники.Клиенты"),
+    )
+)
 def xml_links(spark, d):
     return xml_objects.links(xml_nodes(spark)).withColumn("to_path", refs.canonical(F.col("to_ref")))
 
@@ -144,7 +195,20 @@ def html_sections(spark, d):
     return help_html.sections(table(spark, d, "pages"), "page_id").select("page_id", "ord", F.md5("heading").alias("heading"), F.md5("body").alias("body"))
 
 
-@query()
+_SECTIONS = f"""p AS (SELECT page_id, string_split_regex(regexp_replace({_VISIBLE}, '<h[1-3]\\b[^>]*>', chr(1), 'gi'), chr(1)) AS parts FROM pages),
+e AS (SELECT page_id, unnest(range(0, len(parts)))::INTEGER AS ord, unnest(parts) AS part FROM p),
+c AS (SELECT page_id, ord, strpos(lower(part), '</h1>') AS c, part FROM e),
+s AS (SELECT page_id, ord, {_PLAIN.format("CASE WHEN ord > 0 AND c > 0 THEN part[c + 5:] ELSE part END")} AS body FROM c)"""
+
+
+@query(
+    f"""WITH {_SECTIONS},
+w AS (SELECT page_id, ord, list_transform(string_split(replace(body, '. ', '.' || chr(1)), chr(1)), lambda x: [x]) AS sentences, body FROM s WHERE body <> ''),
+k AS (SELECT page_id, ord, CASE WHEN length(body) <= 2600 THEN [body] ELSE list_reduce(sentences, lambda done, x: CASE WHEN length(done[-1]) + 1 + length(x[1]) <= 2600 THEN list_concat(done[:-2], [done[-1] || ' ' || x[1]]) ELSE list_concat(done, x) END) END AS pieces FROM w),
+n AS (SELECT page_id, ord, unnest(range(0, len(pieces))) AS piece, unnest(pieces) AS body FROM k),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord, piece) - 1 AS i FROM n)
+SELECT 'Help.Page.P' || page_id || CASE WHEN i = 0 THEN '' ELSE '.' || i END AS path, md5(body) AS body FROM r"""
+)
 def help_passages(spark, d):
     pages = table(spark, d, "pages").withColumn("owner", F.concat(F.lit("Page.P"), F.col("page_id").cast("string")))
     return help_html.passages(pages, "page_id", "owner").select("path", F.md5("body").alias("body"))
@@ -157,7 +221,7 @@ def normalize_refs(spark, d):
     return made.select("ref", refs.canonical(F.col("ref")).alias("path"))
 
 
-@query()
+@query(golden("rel VARCHAR, role VARCHAR", ("Catalogs/A/Ext/ObjectModule.bsl", "ObjectModule"), ("Catalogs/A/Forms/F/Ext/Form/Module.bsl", "FormModule"), ("CommonModules/M/Ext/Module.bsl", "Module")))
 def form_module_roles(spark, d):
     rows = spark.createDataFrame([("Catalogs/A/Ext/ObjectModule.bsl",), ("Catalogs/A/Forms/F/Ext/Form/Module.bsl",), ("CommonModules/M/Ext/Module.bsl",)], "rel string")
     return rows.select("rel", modules.role_of(F.col("rel")).alias("role"))

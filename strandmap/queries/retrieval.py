@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from strandmap.adapters import LINKS_SQL, OBJECTS_SQL, links, objects, table
 from strandmap.functions import paths, text
-from strandmap.plans import cards, graph, retrieval
+from strandmap import store
+from strandmap.plans import cards, graph, index, retrieval, search
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -53,14 +54,13 @@ def snippet_line(spark, d):
 
 
 @query(
-    """WITH p AS (SELECT doc_id, text, string_split(lower(text), 'the') AS s FROM documents WHERE source = 'src3'),
+    """WITH p AS (SELECT doc_id, text, string_split(lower(text), 'the') AS s FROM documents),
 e AS (SELECT doc_id, text, unnest(range(1, len(s)))::INTEGER AS nth, s FROM p)
 SELECT doc_id, nth, (1 + length(left(text, pos)) - length(replace(left(text, pos), chr(10), '')))::INTEGER AS line FROM (
     SELECT doc_id, text, nth, list_sum(list_transform(s[1:nth], lambda x: length(x)))::BIGINT + (nth - 1) * 3 AS pos FROM e)"""
 )
 def code_references(spark, d):
-    docs = table(spark, d, "documents").where("source = 'src3'")
-    return cards.references(docs, "the", "doc_id").select("doc_id", "nth", F.col("line").cast("int").alias("line"))
+    return cards.references(table(spark, d, "documents"), "the", "doc_id").select("doc_id", "nth", F.col("line").cast("int").alias("line"))
 
 
 @query("SELECT page_id, type_list, preview FROM (SELECT page_id, array_to_string(string_split(url, '/')[1:3], ', ') || CASE WHEN len(string_split(url, '/')) > 3 THEN ', …' ELSE '' END AS type_list, CASE WHEN length(f) > 60 THEN rtrim(substring(f, 1, 60)) || '…' ELSE f END AS preview FROM (SELECT *, trim(regexp_replace(html, '\\s+', ' ', 'g')) AS f FROM pages))".replace("\\\\", "\\"))
@@ -68,54 +68,37 @@ def type_format(spark, d):
     return table(spark, d, "pages").select("page_id", text.type_list(F.split("url", "/"), 3).alias("type_list"), text.preview(F.col("html"), 60).alias("preview"))
 
 
-_CHUNKS = """WITH n AS (SELECT doc_id, text, least(12, CASE WHEN length(text) <= 1100 THEN 1 ELSE ceil((length(text) - 1100) / 970.0)::BIGINT + 1 END) AS k FROM documents),
-c AS (SELECT doc_id, unnest(range(0, k)) AS ord, text FROM n)"""
+_COVER = """WITH n AS (SELECT doc_id, source, lang, text, CASE WHEN length(text) <= 1100 THEN 1 ELSE ceil((length(text) - 1100) / 970.0)::BIGINT + 1 END AS k FROM documents),
+c AS (SELECT doc_id, source, lang, text, unnest(range(0, k)) AS ord FROM n)"""
 
 
-@query(_CHUNKS + " SELECT doc_id, ord::INTEGER AS ord, length(substring(text, ord * 970 + 1, 1100))::INTEGER AS n, md5(substring(text, ord * 970 + 1, 1100)) AS h FROM c")
+@query(_COVER + " SELECT doc_id, ord::INTEGER AS ord, length(substring(text, ord * 970 + 1, 1100))::INTEGER AS n, md5(substring(text, ord * 970 + 1, 1100)) AS h FROM c")
 def chunk_windows(spark, d):
-    return _windows(spark, d, 12)
-
-
-def _windows(spark, d, most=None):
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(text.windows(F.col("text"), 1100, 130, most)).alias("ord", "piece"))
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode(text.windows(F.col("text"), 1100, 130)).alias("ord", "piece"))
     return docs.select("doc_id", "ord", F.length("piece").alias("n"), F.md5("piece").alias("h"))
 
 
-@query(_CHUNKS + ", m AS (SELECT c.*, concat_ws(' | ', 'Doc.' || doc_id, nullif(source, ''), nullif(lang, '')) AS meta FROM c JOIN documents USING (doc_id, text)) SELECT doc_id || CASE WHEN ord = 0 THEN '' ELSE '#' || ord END AS id, md5(meta || chr(10) || substring(text, ord * 970 + 1, 1100)) AS h FROM m")
+@query(_COVER + " SELECT doc_id || CASE WHEN ord = 0 THEN '' ELSE '#' || ord END AS id, md5(concat_ws(' | ', 'Doc.' || doc_id, nullif(source, ''), nullif(lang, '')) || chr(10) || substring(text, ord * 970 + 1, 1100)) AS h FROM c")
 def passages(spark, d):
-    return _passages(spark, d, 12)
-
-
-def _passages(spark, d, most=None):
     docs = table(spark, d, "documents")
     meta = text.meta_text(F.concat(F.lit("Doc."), F.col("doc_id").cast("string")), F.col("source"), F.col("lang"))
-    each = docs.select("doc_id", meta.alias("meta"), F.posexplode(text.windows(F.col("text"), 1100, 130, most)).alias("ord", "piece"))
+    each = docs.select("doc_id", meta.alias("meta"), F.posexplode(text.windows(F.col("text"), 1100, 130)).alias("ord", "piece"))
     suffix = F.when(F.col("ord") == 0, "").otherwise(F.concat(F.lit("#"), F.col("ord").cast("string")))
     return each.select(F.concat(F.col("doc_id").cast("string"), suffix).alias("id"), F.md5(F.concat_ws("\n", "meta", "piece")).alias("h"))
 
 
-_COVER = """WITH n AS (SELECT doc_id, source, lang, text, CASE WHEN length(text) <= 1100 THEN 1 ELSE ceil((length(text) - 1100) / 970.0)::BIGINT + 1 END AS k FROM documents),
-c AS (SELECT doc_id, source, lang, text, unnest(range(0, k)) AS ord FROM n)"""
-
-
-@query(_COVER + " SELECT doc_id, ord::INTEGER AS ord, length(substring(text, ord * 970 + 1, 1100))::INTEGER AS n, md5(substring(text, ord * 970 + 1, 1100)) AS h FROM c")
-def chunk_windows_whole(spark, d):
-    return _windows(spark, d)
+# Names under which the queries over whole texts were first known.
+for _name, _same in (("chunk_windows_whole", chunk_windows), ("passages_whole", passages)):
+    QUERIES[_name], ORACLE_SQL[_name] = _same, ORACLE_SQL[_same.__name__]
 
 
-@query(_COVER + " SELECT doc_id || CASE WHEN ord = 0 THEN '' ELSE '#' || ord END AS id, md5(concat_ws(' | ', 'Doc.' || doc_id, nullif(source, ''), nullif(lang, '')) || chr(10) || substring(text, ord * 970 + 1, 1100)) AS h FROM c")
-def passages_whole(spark, d):
-    return _passages(spark, d)
-
-
-def _bm25_sql(words: list[str], prefix: tuple[str, ...] = ()) -> str:
+def _bm25_sql(words: list[str], prefix: tuple[str, ...] = (), where: str = "true") -> str:
     tf = [f"len(list_filter(t, lambda x: {'starts_with(x, ' + repr(w) + ')' if w in prefix else 'x = ' + repr(w)}))" for w in words]
     cols = ", ".join(f"{e}::DOUBLE AS tf{i}" for i, e in enumerate(tf))
     dfs = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(words)))
     parts = " + ".join(f"ln(1::DOUBLE + (n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a))" for i in range(len(words)))
     some = " OR ".join(f"tf{i} > 0" for i in range(len(words)))
-    return f"""d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), c AS (SELECT doc_id, len(t)::DOUBLE AS l, {cols} FROM d),
+    return f"""d AS (SELECT doc_id, {_TOKENS} AS t FROM documents WHERE {where}), c AS (SELECT doc_id, len(t)::DOUBLE AS l, {cols} FROM d),
 s AS (SELECT count(*) AS n, avg(l) AS a, {dfs} FROM c),
 bm AS (SELECT doc_id, {parts} AS raw FROM c, s WHERE {some})"""
 
@@ -123,15 +106,28 @@ bm AS (SELECT doc_id, {parts} AS raw FROM c, s WHERE {some})"""
 _WORDS = ["than", "heon", "thing"]
 
 
+def _corpus(spark, d):
+    docs = table(spark, d, "documents")
+    path = F.concat(F.lit("Help."), F.col("source"), F.lit("."), F.col("doc_id").cast("string"))
+    rows = docs.select(F.col("lang").alias("context"), path.alias("path"), F.lit("Help").alias("kind"), F.concat(F.lit("Doc"), F.col("doc_id").cast("string")).alias("name"), F.lit("").alias("synonym"), text.clip(F.col("text"), 200).alias("comment"), "text", "doc_id")
+    return rows.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+
+
+def _index(spark, d) -> index.TextIndex:
+    """The full-text index of all documents, built by the first query that asks for it."""
+    path = store.once(spark, d, "documents-index", lambda p: index.build(_corpus(spark, d), p, "doc_id", carry=("context", "kind", "path")))
+    return index.load(spark, path, "doc_id")
+
+
 @query(f"WITH {_bm25_sql(_WORDS)} SELECT doc_id, round(raw, 6) AS raw_score FROM bm ORDER BY raw DESC, doc_id LIMIT 25")
 def bm25_topk(spark, d):
-    hits = retrieval.bm25(table(spark, d, "documents"), retrieval.query_terms("Than heon thing"))
+    hits = _index(spark, d).bm25(retrieval.query_terms("Than heon thing"))
     return retrieval.top(hits, 25, "doc_id").select("doc_id", F.round("raw_score", 6).alias("raw_score"))
 
 
 @query(f"WITH {_bm25_sql(['thatha', 'on'], ('thatha',))} SELECT doc_id, round(raw, 6) AS raw_score FROM bm ORDER BY raw DESC, doc_id LIMIT 25")
 def bm25_prefix_expand(spark, d):
-    hits = retrieval.bm25(table(spark, d, "documents"), retrieval.query_terms("thatha on", expand_from=6))
+    hits = _index(spark, d).bm25(retrieval.query_terms("thatha on", expand_from=6))
     return retrieval.top(hits, 25, "doc_id").select("doc_id", F.round("raw_score", 6).alias("raw_score"))
 
 
@@ -155,9 +151,16 @@ l2 AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY raw DESC, vec_id) AS
 SELECT doc_id, round(sum(1.0::DOUBLE / (60 + r)), 6) AS score FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY doc_id"""
 )
 def rrf_hybrid(spark, d):
-    lexical = retrieval.top(retrieval.bm25(table(spark, d, "documents"), retrieval.query_terms("than heon thing")), 80, "doc_id")
+    lexical = _index(spark, d).bm25(retrieval.query_terms("than heon thing"))
     vector = retrieval.cosine(table(spark, d, "embeddings"), _query_vector(spark, d)).withColumnRenamed("vec_id", "doc_id")
-    return retrieval.fuse([lexical, retrieval.top(vector, 80, "doc_id")], "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    return retrieval.fuse([lexical, vector], "doc_id", 80).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_bm25_sql(_WORDS)} SELECT doc_id, round(raw, 6) AS raw_score FROM bm ORDER BY raw DESC, doc_id LIMIT 25")
+def bm25_scan(spark, d):
+    """The same without an index, over the texts themselves."""
+    hits = retrieval.bm25(table(spark, d, "documents"), retrieval.query_terms("Than heon thing"))
+    return retrieval.top(hits, 25, "doc_id").select("doc_id", F.round("raw_score", 6).alias("raw_score"))
 
 
 @query(
@@ -173,27 +176,38 @@ def rerank_coverage(spark, d):
     return retrieval.rerank(hits, "customer building", profile).select("path", F.round("score", 6).alias("score"))
 
 
-def _corpus(spark, d):
-    docs = table(spark, d, "documents")
-    path = F.concat(F.lit("Help."), F.col("source"), F.lit("."), F.col("doc_id").cast("string"))
-    return docs.select(F.col("lang").alias("context"), path.alias("path"), F.lit("Help").alias("kind"), F.concat(F.lit("Doc"), F.col("doc_id").cast("string")).alias("name"), F.lit("").alias("synonym"), text.clip(F.col("text"), 200).alias("comment"), "text", "doc_id")
-
-
-@query()
+def _search_sql(words: list[str], columns: str, where: str = "true", vector: bool = False, k: int = 20) -> str:
+    """Hybrid search in SQL: two legs of 200, reciprocal ranks, the lane of all tokens, and the terms of the re-ranking that can hold for help pages."""
+    n = len(words)
+    every = " AND ".join(f"contains(h3, '{w}')" for w in words)
+    covers = " + ".join(f"contains(hay, '{w}')::INT" for w in words)
+    second = "UNION ALL SELECT doc_id, row_number() OVER (ORDER BY raw DESC, doc_id) AS r FROM cos JOIN corpus ON vec_id = doc_id QUALIFY r <= 200" if vector else ""
+    return f"""WITH {_bm25_sql(words, where=where)}, {_COS},
+corpus AS (SELECT doc_id, lang AS context, 'Help.' || source || '.' || doc_id AS path, 'Doc' || doc_id AS name, substring(text, 1, 200) AS comment FROM documents WHERE {where}),
+legs AS (SELECT doc_id, row_number() OVER (ORDER BY raw DESC, doc_id) AS r FROM bm QUALIFY r <= 200 {second}),
+fused AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + r)) AS raw FROM legs GROUP BY doc_id),
+folded AS (SELECT *, replace(lower(name || chr(10) || comment || chr(10) || path), 'ё', 'е') AS h3, replace(lower(name || '  ' || comment || ' ' || path), 'ё', 'е') AS hay FROM corpus),
+pool AS (SELECT context, path, doc_id, name, coalesce(raw, 0::DOUBLE) AS raw, {covers} AS n FROM folded LEFT JOIN fused USING (doc_id) WHERE raw IS NOT NULL OR ({every})),
+scored AS (SELECT *, 4.0::DOUBLE * (n / {n}.0::DOUBLE + CASE WHEN n = {n} THEN 0.35::DOUBLE + least(length(name), 80) / 200.0::DOUBLE WHEN n / {n}.0::DOUBLE >= 0.5 THEN 0.15::DOUBLE * n / {n}.0::DOUBLE ELSE 0 END)
+    + CASE WHEN n >= 2 THEN 1.25::DOUBLE + least(0.35::DOUBLE * (n - 2), 0.7::DOUBLE) ELSE 0 END + CASE WHEN n = 0 THEN -2.6::DOUBLE ELSE 0 END
+    + CASE WHEN max(raw) OVER () > 0 THEN raw / max(raw) OVER () ELSE 0 END AS score FROM pool)
+SELECT {columns} FROM (SELECT *, row_number() OVER (ORDER BY score DESC, raw DESC, doc_id)::INTEGER AS rank FROM scored) WHERE rank <= {k}"""
+
+
+@query(_search_sql(_WORDS, "rank, context, path, round(score, 6) AS score", vector=True))
 def semantic_search(spark, d):
-    rows = _corpus(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
-    hits = retrieval.search(rows, "than heon thing", k=20, vector=_query_vector(spark, d))
+    hits = search.search(_index(spark, d), "than heon thing", k=20, vector=_query_vector(spark, d))
     return hits.select("rank", "context", "path", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(_search_sql(_WORDS, "rank, path, round(score, 6) AS score", where="source = 'src3'"))
 def help_search(spark, d):
-    return retrieval.search(_corpus(spark, d), "than heon thing", k=20, prefix="Help.src3", kind="Help").select("rank", "path", F.round("score", 6).alias("score"))
+    return search.search(_index(spark, d), "than heon thing", k=20, prefix="Help.src3", kind="Help").select("rank", "path", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(_search_sql(["than", "heon", "la"], "rank, context, path, round(score, 6) AS score", where="lang IN ('en', 'fr')"))
 def federated_search(spark, d):
-    hits = retrieval.search(_corpus(spark, d), "than heon la", k=20, contexts=["en", "fr"])
+    hits = search.search(_index(spark, d), "than heon la", k=20, contexts=["en", "fr"])
     return hits.select("rank", "context", "path", F.round("score", 6).alias("score"))
 
 

@@ -68,28 +68,24 @@ def context_groups(spark, d):
     return rollups.tag_groups(table(spark, d, "documents"), "lang", "source").withColumnRenamed("lang", "tag")
 
 
-@query("SELECT user_id, count(DISTINCT event_type) AS n_tags FROM events WHERE event_type IN ('error', 'purchase') AND event_id % 50 = 0 GROUP BY user_id")
-def tags_any(spark, d):
-    e = table(spark, d, "events").where("event_id % 50 = 0")
-    return rollups.with_tags(e, "event_type", "user_id", ["error", "purchase"], all_of=False)
-
-
-@query("SELECT user_id, count(DISTINCT event_type) AS n_tags FROM events WHERE event_type IN ('error', 'purchase') AND event_id % 50 = 0 GROUP BY user_id HAVING count(DISTINCT event_type) = 2")
-def tags_all(spark, d):
-    e = table(spark, d, "events").where("event_id % 50 = 0")
-    return rollups.with_tags(e, "event_type", "user_id", ["error", "purchase"], all_of=True)
+_TAGS = "SELECT user_id, count(DISTINCT event_type) AS n_tags FROM events WHERE event_type IN ('error', 'purchase') GROUP BY user_id"
 
 
-@query("SELECT user_id, count(DISTINCT event_type) AS n_tags FROM events WHERE event_type IN ('error', 'purchase') GROUP BY user_id")
-def tags_any_whole(spark, d):
+@query(_TAGS)
+def tags_any(spark, d):
     return rollups.with_tags(table(spark, d, "events"), "event_type", "user_id", ["error", "purchase"], all_of=False)
 
 
-@query("SELECT user_id, count(DISTINCT event_type) AS n_tags FROM events WHERE event_type IN ('error', 'purchase') GROUP BY user_id HAVING count(DISTINCT event_type) = 2")
-def tags_all_whole(spark, d):
+@query(_TAGS + " HAVING count(DISTINCT event_type) = 2")
+def tags_all(spark, d):
     return rollups.with_tags(table(spark, d, "events"), "event_type", "user_id", ["error", "purchase"], all_of=True)
 
 
+# Names under which the queries over all events were first known.
+for _name, _same in (("tags_any_whole", tags_any), ("tags_all_whole", tags_all)):
+    QUERIES[_name], ORACLE_SQL[_name] = _same, ORACLE_SQL[_same.__name__]
+
+
 @query("SELECT n_name AS tag, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n FROM nation")
 def tag_usage_count(spark, d):
     used = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))

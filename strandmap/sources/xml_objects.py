@@ -76,6 +76,20 @@ def _properties(elements: DataFrame) -> DataFrame:
     return direct.join(holders, ["source_rel", "holder"]).select("source_rel", "object", "id", "tag", "text")
 
 
+def properties(elements: DataFrame) -> DataFrame:
+    """(source_rel, object, props): each object's properties by name, their scalars in document order, however deeply nested.
+
+    Name, synonym and comment are columns of their own and are left out, as are
+    empty properties; Type holds the types with their qualifiers.
+    """
+    plain = _properties(elements).where(~F.col("tag").isin("Name", "Synonym", "Comment", "Type")).select("source_rel", "object", "tag", F.col("id").alias("holder"), "text")
+    own = plain.where("text <> ''").select("source_rel", "object", "tag", F.col("holder").alias("id"), "text")
+    nested = elements.where("text <> ''").select("source_rel", "id", "text", F.explode("ancestors").alias("holder")).join(plain.drop("text"), ["source_rel", "holder"])
+    values = own.unionByName(nested.select("source_rel", "object", "tag", "id", "text")).groupBy("source_rel", "object", "tag").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda s: s["text"]).alias("values"))
+    typed = types(elements).select("source_rel", "object", F.lit("Type").alias("tag"), F.col("types").alias("values"))
+    return values.unionByName(typed).groupBy("source_rel", "object").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "values")))).alias("props"))
+
+
 def _named(elements: DataFrame) -> DataFrame:
     """Object elements with their names."""
     wanted = elements.where((F.col("tag").isin(*HEADS) & (F.col("parent_tag") == "MetaDataObject")) | (F.col("tag").isin(*CHILD_SEGMENTS) & (F.col("parent_tag") == "ChildObjects")))
@@ -84,9 +98,10 @@ def _named(elements: DataFrame) -> DataFrame:
 
 
 def objects(elements: DataFrame) -> DataFrame:
-    """(source_rel, id, path, kind, name, synonym, comment): the objects of each file and their children.
+    """(source_rel, id, path, kind, name, synonym, comment, belong, base_object, props): the objects of each file and their children.
 
-    A path joins the segments of an element and of those that hold it; columns
+    belong is Own unless the file says otherwise; base_object is what an adopted
+    object extends. A path joins the segments of an element and of those that hold it; columns
     of table sections get a kind of their own.
     """
     found = _named(elements)
@@ -104,7 +119,12 @@ def objects(elements: DataFrame) -> DataFrame:
     synonym = held.groupBy("source_rel", F.col("object").alias("id")).agg(F.min_by("text", held["id"]).alias("synonym"))
     out = out.select("source_rel", "id", F.array_join(F.transform("c", lambda s: s["label"]), ".").alias("path"), kind.alias("kind"), "name")
     out = out.join(synonym, ["source_rel", "id"], "left").join(props, ["source_rel", "id"], "left")
-    return out.select("source_rel", "id", "path", "kind", "name", F.coalesce("synonym", F.lit("")).alias("synonym"), F.coalesce("comment", F.lit("")).alias("comment"))
+    out = out.join(properties(elements).withColumnRenamed("object", "id"), ["source_rel", "id"], "left")
+    first = lambda tag, default: F.coalesce(F.get(F.try_element_at("props", F.lit(tag)), F.lit(0)), F.lit(default))
+    return out.select(
+        "source_rel", "id", "path", "kind", "name", F.coalesce("synonym", F.lit("")).alias("synonym"), F.coalesce("comment", F.lit("")).alias("comment"),
+        first("ObjectBelonging", "Own").alias("belong"), first("ExtendedConfigurationObject", "").alias("base_object"), F.coalesce("props", F.create_map().cast("map<string,array<string>>")).alias("props"),
+    )
 
 
 def types(elements: DataFrame) -> DataFrame:

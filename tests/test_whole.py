@@ -12,8 +12,8 @@ def test_tags_read_all_events(spark, sf):
         if r.event_type in ("error", "purchase"):
             tags.setdefault(r.user_id, set()).add(r.event_type)
     want = {user: len(t) for user, t in tags.items()}
-    assert dict(map(tuple, catalog.QUERIES["tags_any_whole"](spark, sf).select("user_id", "n_tags").collect())) == want
-    assert dict(map(tuple, catalog.QUERIES["tags_all_whole"](spark, sf).select("user_id", "n_tags").collect())) == {user: n for user, n in want.items() if n == 2}
+    assert dict(map(tuple, catalog.QUERIES["tags_any"](spark, sf).select("user_id", "n_tags").collect())) == want
+    assert dict(map(tuple, catalog.QUERIES["tags_all"](spark, sf).select("user_id", "n_tags").collect())) == {user: n for user, n in want.items() if n == 2}
 
 
 def test_windows_cover_the_text(spark):
