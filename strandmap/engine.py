@@ -65,11 +65,36 @@ class Engine:
         return ranking.one_per_leaf(hits, F.col("rank")).orderBy("rank").limit(limit)
 
     def helpsearch(self, context: str, query: str, owner: str | None = None, limit: int = 20) -> DataFrame:
-        return self.search_metadata(context, query, kind="Help", prefix=f"Help.{owner}" if owner else None, limit=limit)
+        """Help pages by search; where it finds none, those that hold the query as it is written."""
+        prefix = f"Help.{owner}" if owner else None
+        found = self.search_metadata(context, query, kind="Help", prefix=prefix, limit=limit)
+        if not found.isEmpty():
+            return found
+        return lookup.containing(self._in(self.objects, context), query, kinds=("Help",), prefix=prefix).orderBy("path").limit(limit)
+
+    def _spellings(self, path: str) -> list[str]:
+        """The path as given, its canonical form, and the forms in which links name it."""
+        told = F.coalesce(refs.canonical(F.lit(path)), F.lit(path))
+        row = self.objects.sparkSession.range(1).select(told.alias("path"), refs.candidates(told).alias("names")).first()
+        return list(dict.fromkeys([path, row.path, *row.names]))
 
     def get_object(self, context: str, path: str) -> DataFrame:
-        wanted = self.objects.sparkSession.range(1).select(F.coalesce(refs.canonical(F.lit(path)), F.lit(path))).first()[0]
-        return self._in(self.objects, context).where(F.col("path").isin(path, wanted))
+        return self._in(self.objects, context).where(F.col("path").isin(self._spellings(path)))
+
+    def get_object_levels(self, context: str, path: str, level: str = "card") -> dict[str, DataFrame]:
+        """An object at a level: card; links adds its links by type; full adds its structure and the objects below."""
+        levels = ("card", "links", "full")
+        if level not in levels:
+            raise ValueError(f"level {level!r}: one of {', '.join(levels)}")
+        out = {"card": self.get_object(context, path)}
+        if level != "card":
+            links = self._in(self.links, context)
+            outgoing = links.where(F.col("from_path").isin(self._spellings(path))).select("link_type", F.col("to_path").alias("other"), F.lit("out").alias("direction"))
+            incoming = graph.named_usages(links, self._spellings(path)).select("link_type", F.col("from_path").alias("other"), F.lit("in").alias("direction"))
+            out["links"] = outgoing.unionByName(incoming).groupBy("direction", "link_type").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("other")), 1, 50).alias("first"))
+        if level == "full":
+            out |= {"structure": self.get_structure(context, path), "children": self._in(self.objects, context).where(paths.strictly_under(F.col("path"), path))}
+        return out
 
     def get_structure(self, context: str, path: str) -> DataFrame:
         return cards.structure(self._in(self.objects, context), path)
@@ -87,18 +112,22 @@ class Engine:
         links = self._in(self.links, context)
         return graph.usages(links, path) if incoming else links.where(F.col("from_path") == path)
 
-    def find_usages(self, context: str, path: str, link_type: str | None = None) -> DataFrame:
-        return rollups.by_owner(graph.usages(self._in(self.links, context), path, link_type))
+    def find_usages(self, context: str, path: str, link_type: str | None = None, expand: bool = False, limit: int = 200, offset: int = 0) -> DataFrame:
+        """Who uses an object under any of its names: by owner, or with ``expand`` a page of the links themselves."""
+        found = graph.named_usages(self._in(self.links, context), self._spellings(path), link_type)
+        if not expand:
+            return rollups.by_owner(found)
+        return ranking.page(found, limit, offset, F.col("link_type"), F.col("from_path"))
 
     def get_query_path(self, context: str, source: str, target: str) -> DataFrame:
         return graph.join_paths(self._in(self.links, context), source, target)
 
     def trace_impact(self, context: str, path: str, depth: int = 2, down: bool = True) -> DataFrame:
-        return graph.impact(self._in(self.links, context), path, min(5, max(1, depth)), down)
+        return graph.bounded(graph.impact(self._in(self.links, context), path, min(5, max(1, depth)), down), 2000)
 
     def trace_call_chain(self, context: str, path: str, depth: int = 2, callers: bool = False) -> DataFrame:
         calls = self._in(self.links, context).where("link_type = 'calls'")
-        return graph.reach(calls, path, min(5, max(1, depth)), callers)
+        return graph.bounded(graph.reach(calls, path, min(5, max(1, depth)), callers), 2000)
 
     def list_code_modules(self, context: str, prefix: str | None = None) -> DataFrame:
         rows = self._in(self.methods, context)
@@ -114,7 +143,12 @@ class Engine:
         found = lookup.exact_then_prefix(rows, name, limit)
         if not found.isEmpty():
             return found
-        return rows.where(F.lower("name").contains(name.lower())).withColumn("stage", F.lit(2)).orderBy("name", "path").limit(limit)
+        inside = rows.where(F.lower("name").contains(name.lower())).withColumn("stage", F.lit(2)).orderBy("name", "path").limit(limit)
+        if not inside.isEmpty():
+            return inside
+        # Words rather than a name: the hybrid search over methods, by path.
+        hits = search.search(self.corpus, name, limit, contexts=self._names(context), profile=self.profile).where(F.col("kind").isin("Procedure", "Function"))
+        return rows.join(F.broadcast(hits.select("path", F.col("rank").alias("stage"))), "path")
 
     def get_method(self, context: str, path: str) -> DataFrame:
         return self._in(self.methods, context).where(F.col("path") == path)
@@ -131,8 +165,7 @@ class Engine:
         return found.join(starts, "path").select("path", "nth", (F.col("line") + F.col("body_line") - 1).alias("line"), "snippet")
 
     def search_forms(self, context: str, query: str, limit: int = 50) -> DataFrame:
-        hay = F.lower(F.concat_ws(" ", "name", "path", "synonym", "comment"))
-        return self._in(self.objects, context).where((F.col("kind") == "Form") & hay.contains(query.lower())).orderBy("path").limit(limit)
+        return lookup.containing(self._in(self.objects, context), query).orderBy("path").limit(limit)
 
     def get_schema_fields(self, context: str, path: str) -> DataFrame:
         """Fields of a report's composition schema: objects of kind DataCompositionField below it."""

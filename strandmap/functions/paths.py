@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def depth(path: Column) -> Column:
@@ -64,3 +68,9 @@ def method_parent(path: Column, marker: str = "Методы") -> Column:
     """What stands before the methods marker, else the path without its last segment."""
     cut = F.substring_index(path, f".{marker}.", 1)
     return F.when(cut != path, cut).otherwise(parent(path))
+
+
+@F.pandas_udf(T.StringType())
+def nfc(path: pd.Series) -> pd.Series:
+    """Names of files in composed form, in which exports and file systems agree; Spark has no function for it."""
+    return path.map(lambda p: None if p is None else unicodedata.normalize("NFC", p))

@@ -78,11 +78,16 @@ def windows(text: Column, size: int, overlap: int, most: int | None = None) -> C
 
     ``most`` cuts a text after so many windows; without it they cover the text. A null text has none.
     """
+    return windows_of(text, F.lit(size), F.lit(overlap), most)
+
+
+def windows_of(text: Column, size: Column, overlap: Column, most: int | None = None) -> Column:
+    """The same where size and overlap differ from row to row."""
     step = size - overlap
-    n = F.when(F.length(text) <= size, F.lit(1)).otherwise(F.ceil((F.length(text) - size) / F.lit(step)) + 1)
+    n = F.when(F.length(text) <= size, F.lit(1)).otherwise(F.ceil((F.length(text) - size) / step) + 1)
     if most is not None:
         n = F.least(F.lit(most), n)
-    return F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.substring(text, i * step + 1, F.lit(size)))
+    return F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.substring(text, i * step + 1, size))
 
 
 def colour(s: Column, default: str = "#888888") -> Column:

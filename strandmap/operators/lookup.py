@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandmap.functions import paths, text
+from strandmap.sources.xml_objects import HEADS
 
 
 def filter_objects(objects: DataFrame, kind: str | None = None, prefix: str | None = None, without_methods: bool = False, methods_only: bool = False, own_only: bool = False) -> DataFrame:
@@ -25,8 +27,15 @@ def filter_objects(objects: DataFrame, kind: str | None = None, prefix: str | No
     return objects
 
 
+def name_variants(name: str) -> list[str]:
+    """A requested name in four cases, and its words run together, as names of objects are written."""
+    words = [w for w in re.split(r"[\s_-]+", name) if w]
+    compact = ["".join(words), "".join(w[:1].upper() + w[1:] for w in words)] if len(words) > 1 else []
+    return list(dict.fromkeys([name, name.lower(), name.upper(), name[:1].upper() + name[1:], *compact]))
+
+
 def _requests(spark: SparkSession, names: list[str]) -> DataFrame:
-    rows = [(v, i) for i, n in enumerate(names) for v in dict.fromkeys([n, n.lower(), n.upper(), n[:1].upper() + n[1:]])]
+    rows = [(v, i) for i, n in enumerate(names) for v in name_variants(n)]
     return F.broadcast(spark.createDataFrame(rows or [("", -1)], "name string, ordinal int").groupBy("name").agg(F.min("ordinal").alias("ordinal")))  # a request's few names
 
 
@@ -36,7 +45,7 @@ def by_paths(objects: DataFrame, wanted: list[str]) -> DataFrame:
 
 
 def exact_names(objects: DataFrame, names: list[str], prefix: str | None = None) -> DataFrame:
-    """Objects named as requested, in four case variants, with the ordinal of the request."""
+    """Objects named as requested, in the variants of ``name_variants``, with the ordinal of the request."""
     found = filter_objects(objects, prefix=prefix).join(_requests(objects.sparkSession, names), "name")
     best = Window.partitionBy("path").orderBy("ordinal")
     return found.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
@@ -134,3 +143,52 @@ def resolve_contexts(contexts: DataFrame, ref: str) -> DataFrame:
     found = found.withColumn("n_exact", F.sum(F.col("exact").cast("int")).over(w)).withColumn("n", F.count("*").over(w))
     status = F.when((F.col("n_exact") > 0) | (F.col("n") == 1), "resolved").otherwise("candidate")
     return found.where("exact or n_exact = 0").select("name", status.alias("status"))
+
+
+#: Kinds of forms.
+FORMS = ("Form", "ManagedForm", "CommonForm")
+
+
+def containing(objects: DataFrame, needle: str, kinds: tuple[str, ...] = FORMS, fields: tuple[str, ...] = ("name", "path", "synonym", "comment"), prefix: str | None = None) -> DataFrame:
+    """Objects of the kinds with the needle in some field, without regard to case; forms unless told otherwise."""
+    hay = F.lower(F.concat_ws(" ", *(f for f in fields if f in objects.columns)))
+    return filter_objects(objects, prefix=prefix).where(F.col("kind").isin(*kinds) & hay.contains(needle.lower()))
+
+
+def report_scope(kind: str | None, prefix: str | None) -> tuple[str | None, str | None, bool]:
+    """(kind, prefix, roots only) of a search: one for reports without a prefix looks below all reports and keeps their roots."""
+    return (None, HEADS["Report"], True) if kind == "Report" and prefix is None else (kind, prefix, False)
+
+
+def json_number(rows: DataFrame, column: str, field: str, least: float, alias: str) -> DataFrame:
+    """Rows whose JSON column has a whole number of ``least`` or more in a field; broken JSON counts as none."""
+    value = F.try_variant_get(F.try_parse_json(column), f"$.{field}", "bigint")
+    return rows.withColumn(alias, value).where(F.col(alias) >= least)
+
+
+def with_substring(rows: DataFrame, column: str, needle: str, alias: str = "place") -> DataFrame:
+    """Rows that hold a needle, pushed to the scan, with its 1-based place."""
+    return rows.where(F.col(column).contains(needle)).withColumn(alias, F.instr(column, needle).cast("long"))
+
+
+def pending(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Items that are not done yet."""
+    return items.join(done.select(key), key, "left_anti")
+
+
+def compact(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows with blank strings of the given columns as null, others as they are."""
+    return rows.select(*(F.nullif(F.trim(c), F.lit("")).alias(c) if c in columns else F.col(c) for c in rows.columns))
+
+
+def in_request_order(rows: DataFrame, column: str, wanted: list[str]) -> DataFrame:
+    """Rows whose column is among the requested values, with the ordinal of the request."""
+    place = F.array_position(F.array(*map(F.lit, wanted)), F.col(column)) - 1
+    return rows.where(F.col(column).isin(*wanted)).withColumn("ordinal", place.cast("int"))
+
+
+def named_in(texts: DataFrame, key: str, column: str, names: DataFrame) -> DataFrame:
+    """(key, name): the names (column name) that a text holds as a word, each once; an equi-join on words, never one on substrings."""
+    words = texts.select(key, F.explode(F.array_distinct(text.tokens(F.col(column)))).alias("_word"))
+    wanted = names.select("name", text.fold(F.col("name")).alias("_word")).distinct()
+    return words.join(wanted, "_word").select(key, "name").distinct()

@@ -95,3 +95,25 @@ def set_difference(pairs: DataFrame, side: str, item: str, a, b) -> DataFrame:
     """(item, place): only_a, only_b or both, of two sides' item sets."""
     both = pairs.where(F.col(side).isin(a, b)).groupBy(item).agg(F.max((F.col(side) == a).cast("int")).alias("_a"), F.max((F.col(side) == b).cast("int")).alias("_b"))
     return both.select(item, F.when(F.col("_a") + F.col("_b") == 2, "both").when(F.col("_a") == 1, "only_a").otherwise("only_b").alias("place"))
+
+
+def enriched(rows: DataFrame, more: DataFrame, key: str, column: str, alias: str) -> DataFrame:
+    """Rows with a text of their own, or else that of ``more`` for their key, or else an empty one."""
+    theirs = more.select(key, F.col(column).alias("_theirs"))
+    own = F.nullif(F.col(alias), F.lit("")) if alias in rows.columns else F.lit(None).cast("string")
+    return rows.join(theirs, key, "left").withColumn(alias, F.coalesce(own, "_theirs", F.lit(""))).drop("_theirs")
+
+
+def fill_forward(rows: DataFrame, by: list[str], order: str, values: dict[str, Column], piece: int = 50_000) -> DataFrame:
+    """Add columns with the latest non-null value at or before each row of a group.
+
+    A long group is cut into pieces by its order, which is filled on its own;
+    what each piece hands on is one row, so that no group has to fit into a task.
+    """
+    cut = rows.withColumn("_piece", F.floor(F.col(order) / piece)).withColumns({f"_v_{n}": c for n, c in values.items()})
+    inside = Window.partitionBy(*by, "_piece").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = cut.groupBy(*by, "_piece").agg(*(F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))).alias(f"_e_{n}") for n in values))
+    before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    handed = ends.select(*by, "_piece", *(F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_h_{n}") for n in values))
+    filled = cut.withColumns({n: F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in values}).join(handed, [*by, "_piece"])
+    return filled.select(*rows.columns, *(F.coalesce(n, f"_h_{n}").alias(n) for n in values))

@@ -23,6 +23,18 @@ def usages(links: DataFrame, path: str, link_type: str | None = None, below: boo
     return found if link_type is None else found.where(F.col("link_type") == link_type)
 
 
+def named_usages(links: DataFrame, names: list[str], link_type: str | None = None) -> DataFrame:
+    """Links to any of the names by which an object may be referred to (see ``refs.candidates``)."""
+    found = links.where(F.col("to_path").isin(names))
+    return found if link_type is None else found.where(F.col("link_type") == link_type)
+
+
+def bounded(found: DataFrame, most: int) -> DataFrame:
+    """The nearest ``most`` rows of a walk, by depth, type and path, with whether more were found."""
+    more = found.limit(most + 1).count() > most
+    return found.orderBy("depth", *(c for c in ("link_type",) if c in found.columns), "path").limit(most).withColumn("truncated", F.lit(more))
+
+
 def impact(links: DataFrame, start: str, depth: int, down: bool = True) -> DataFrame:
     """(path, link_type, depth) of the edges met from ``start``, each at its least depth.
 
@@ -32,6 +44,8 @@ def impact(links: DataFrame, start: str, depth: int, down: bool = True) -> DataF
     the steps run.
     """
     spark = links.sparkSession
+    if depth < 1:
+        return links.select(F.col("from_path").alias("path"), "link_type", F.lit(0).alias("depth")).limit(0)
     links = links.select("from_path", "to_path", "link_type").persist()
     frontier = spark.createDataFrame([(start,)], "node string")
     seen = frontier

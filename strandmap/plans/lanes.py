@@ -9,25 +9,27 @@ from pyspark.sql import functions as F
 
 from strandmap.functions import paths, text
 from strandmap.operators import lookup
+from strandmap.plans import query_text
 from strandmap.plans.retrieval import RankProfile, content_tokens, query_terms, rerank
 
 
 def lane_of(query: str, prefix: str | None = None, profile: RankProfile | None = None) -> tuple[Column, Column]:
-    """(lane, raw score) of an object, both null where no lane finds it: path or name of the whole query, exact names, name stems of roots, all tokens.
+    """(lane, raw score) of an object, both null where no lane finds it: path or name of the whole query, exact names of its words or phrases, name stems of roots, all tokens.
 
     Middle-of-name stems only count below a prefix. An object takes the first lane that finds it.
     """
     profile = profile or RankProfile()
     words = [t.word for t in query_terms(query)]
     tokens = content_tokens(query)
-    aliases = [a for w in words for a in profile.aliases.get(w, [])]
+    aliases = [a for w in words for a in profile.aliases.get(w, [])] + query_text.alias_terms(query, profile.aliases)
+    candidates = [query_text.fold(c) for c in query_text.name_candidates(query)]
     name = text.fold(F.col("name"))
     root = paths.is_root(F.col("path"))
     stems = [t[: max(6, len(t) - 2)] for t in tokens if len(t) >= 5]
     some = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
     named = [
         ("identifier", F.lit(4.0), (F.col("path") == query) | (F.col("name") == query)),
-        ("name", F.lit(3.0), name.isin(words) | F.col("name").isin(aliases)),
+        ("name", F.lit(3.0), name.isin(*words, *candidates) | F.col("name").isin(aliases)),
         ("stem", F.lit(2.0), root & some(F.startswith(name, F.lit(s)) for s in stems)),
     ]
     if prefix is not None:

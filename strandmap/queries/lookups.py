@@ -137,8 +137,7 @@ def title_disambiguation(spark, d):
 
 @query(_O + "SELECT path, name FROM objects WHERE kind = 'Part' AND contains(lower(name || ' ' || path || ' ' || comment), 'st')")
 def form_search(spark, d):
-    hay = F.lower(F.concat_ws(" ", "name", "path", "comment"))
-    return objects(spark, d).where((F.col("kind") == "Part") & hay.contains("st")).select("path", "name")
+    return lookup.containing(objects(spark, d), "st", kinds=("Part",)).select("path", "name")
 
 
 @query(_O + "SELECT count(*) > 0 AS found FROM objects WHERE path = 'Order.3' OR starts_with(path, 'Order.3.')")
@@ -153,14 +152,12 @@ def exclusion_cascade(spark, d):
 
 @query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events WHERE (props::JSON ->> 'k')::BIGINT >= 90")
 def json_predicate(spark, d):
-    k = F.try_variant_get(F.parse_json("props"), "$.k", "bigint")
-    return table(spark, d, "events").select("event_id", k.alias("k")).where("k >= 90")
+    return lookup.json_number(table(spark, d, "events"), "props", "k", 90, "k").select("event_id", "k")
 
 
 @query("SELECT doc_id, strpos(text, 'License') AS place FROM documents WHERE contains(text, 'License')")
 def substring_prefilter(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").contains("License"))
-    return docs.select("doc_id", F.instr("text", "License").cast("long").alias("place"))
+    return lookup.with_substring(table(spark, d, "documents"), "text", "License").select("doc_id", "place")
 
 
 @query(
@@ -183,12 +180,12 @@ def context_resolve(spark, d):
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)")
 def embed_pending(spark, d):
     done = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
-    return table(spark, d, "documents").select("doc_id").join(done, "doc_id", "left_anti")
+    return lookup.pending(table(spark, d, "documents").select("doc_id"), done, "doc_id")
 
 
-@query("SELECT doc_id, nullif(trim(lang), '') AS lang, nullif(source, '') AS source, n_chars FROM documents")
+@query("SELECT doc_id, nullif(trim(lang), '') AS lang, nullif(trim(source), '') AS source, n_chars FROM documents")
 def compact_projection(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.nullif(F.trim("lang"), F.lit("")).alias("lang"), F.nullif("source", F.lit("")).alias("source"), "n_chars")
+    return lookup.compact(table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), "lang", "source")
 
 
 @query(r"SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS normal, regexp_matches(text, '^[\p{L}\p{N}._]+$') AS is_identifier FROM benchmark")

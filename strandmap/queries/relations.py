@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandmap.adapters import LINKS_SQL, OBJECTS_SQL, links, objects, table
+from strandmap import ingest
 from strandmap.functions import paths, text
-from strandmap.operators import relations
+from strandmap.operators import lookup, relations
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -34,9 +35,9 @@ def context_tag_join(spark, d):
 
 @query("SELECT d.doc_id, CASE WHEN n_chars >= 500 THEN d.source ELSE coalesce('quality ' || quality, '') END AS comment FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def comment_enrich_left(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("n_chars") >= 500, F.col("source")).otherwise("").alias("own"))
-    labels = table(spark, d, "labels").select("doc_id", F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("theirs"))
-    return docs.join(labels, "doc_id", "left").select("doc_id", F.coalesce(F.nullif("own", F.lit("")), "theirs", F.lit("")).alias("comment"))
+    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("n_chars") >= 500, F.col("source")).otherwise("").alias("comment"))
+    labels = table(spark, d, "labels").select("doc_id", F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("said"))
+    return relations.enriched(docs, labels, "doc_id", "said", "comment")
 
 
 @query(_L + "SELECT from_path, to_path, link_type FROM links WHERE to_path IN (SELECT 'Nation.' || n_name FROM nation WHERE n_regionkey = 1)")
@@ -142,9 +143,8 @@ def help_for_owner(spark, d):
 
 @query("WITH w AS (SELECT * FROM (VALUES ('error', 0), ('click', 1), ('view', 2)) t(event_type, ordinal)) SELECT event_type, ordinal, count(*) AS n FROM events JOIN w USING (event_type) GROUP BY ALL")
 def methods_named_ordinal(spark, d):
-    wanted = F.array_position(F.array(*map(F.lit, ("error", "click", "view"))), F.col("event_type")) - 1
-    rows = table(spark, d, "events").where(F.col("event_type").isin("error", "click", "view"))
-    return rows.groupBy("event_type", wanted.cast("int").alias("ordinal")).agg(F.count("*").alias("n"))
+    rows = lookup.in_request_order(table(spark, d, "events"), "event_type", ["error", "click", "view"])
+    return rows.groupBy("event_type", "ordinal").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -154,21 +154,36 @@ SELECT CASE WHEN old.page_id IS NULL THEN 'added' WHEN new.page_id IS NULL THEN
 FROM old FULL JOIN new USING (page_id) GROUP BY action"""
 )
 def stamp_compare(spark, d):
-    pages = table(spark, d, "pages").select("page_id", F.length("html").alias("size"))
-    old = pages.where("page_id % 11 <> 4").select("page_id", F.col("size").alias("old_size"))
-    new = pages.where("page_id % 11 <> 6").select("page_id", (F.col("size") + (F.col("page_id") % 13 == 0).cast("int")).alias("new_size"))
-    action = F.when(F.col("old_size").isNull(), "added").when(F.col("new_size").isNull(), "removed").when(F.col("old_size") == F.col("new_size"), "skip").otherwise("parse")
-    return old.join(new, "page_id", "full_outer").groupBy(action.alias("action")).agg(F.count("*").alias("n"))
+    pages = table(spark, d, "pages").select("page_id", F.lit(0).alias("mtime"), F.length("html").alias("size"))
+    old = pages.where("page_id % 11 <> 4")
+    new = pages.where("page_id % 11 <> 6").withColumn("size", F.col("size") + (F.col("page_id") % 13 == 0).cast("int"))
+    return ingest.compare_stamps(old, new).groupBy("action").agg(F.count("*").alias("n"))
 
 
-_THETA = ["than", "heon", "erthat", "ing", "ble"]
+_WORD = "regexp_extract_all(replace(lower({0}), 'ё', 'е'), '[\\p{{L}}\\p{{N}}]+')".replace("\\\\", "\\")
 
 
-@query("SELECT item_id, (" + " + ".join(f"contains(lower(text), '{w}')::INT" for w in _THETA) + ")::INTEGER AS n_names FROM benchmark")
+@query(
+    f"""WITH names AS (SELECT DISTINCT unnest({_WORD.format('text')}) AS name FROM benchmark), words AS (SELECT DISTINCT doc_id, unnest({_WORD.format('text')}) AS name FROM documents)
+SELECT doc_id, count(*) AS n_names FROM words JOIN names USING (name) GROUP BY doc_id"""
+)
 def substring_theta(spark, d):
-    hay = F.lower("text")
-    n = sum((hay.contains(w).cast("int") for w in _THETA), F.lit(0))
-    return table(spark, d, "benchmark").select("item_id", n.alias("n_names"))
+    """How many of the benchmark's words each document holds."""
+    names = table(spark, d, "benchmark").select(F.explode(text.tokens(F.col("text"))).alias("name")).distinct()
+    return lookup.named_in(table(spark, d, "documents"), "doc_id", "text", names).groupBy("doc_id").agg(F.count("*").alias("n_names"))
+
+
+@query(
+    """WITH old AS (SELECT 'Part.' || p_partkey AS path, p_type AS type FROM part), new AS (SELECT 'Part.' || p_partkey AS path, CASE WHEN p_size > 40 THEN p_type || ' X' ELSE p_type END AS type FROM part WHERE p_size <> 7)
+SELECT CASE WHEN new.path IS NULL THEN 'deleted' WHEN old.type = new.type THEN 'unchanged' ELSE 'changed' END AS status, count(*) AS n FROM old LEFT JOIN new USING (path) GROUP BY 1"""
+)
+def content_hash_of_types(spark, d):
+    """An object whose type alone was edited counts as changed."""
+    part = table(spark, d, "part").select(F.concat(F.lit("Part."), F.col("p_partkey").cast("string")).alias("path"), F.col("p_name").alias("name"), "p_type", "p_size")
+    shaped = lambda df, kind: ingest.with_hash(df.select("path", F.lit("Part").alias("kind"), "name", F.create_map(F.lit("Type"), F.array(kind)).alias("props"), F.lit(0).alias("seq")))
+    old = shaped(part, F.col("p_type"))
+    new = shaped(part.where("p_size <> 7"), F.when(F.col("p_size") > 40, F.concat("p_type", F.lit(" X"))).otherwise(F.col("p_type")))
+    return relations.classify_merge(old, new).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("SELECT 'Customer.' || c_name AS path, 'real' AS origin FROM customer UNION ALL SELECT DISTINCT 'Customer.Customer#' || lpad(((o_custkey * 3))::VARCHAR, 9, '0'), 'synthetic' FROM orders WHERE 'Customer#' || lpad((o_custkey * 3)::VARCHAR, 9, '0') NOT IN (SELECT c_name FROM customer)")

@@ -34,9 +34,13 @@ def token_text(spark, d):
     return docs.select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"), F.array_join(F.slice(t, 1, 5), " ").alias("head"), F.array_max(F.transform(t, lambda x: text.stem(x))).alias("last_stem"))
 
 
-@query(r"SELECT p_partkey, regexp_replace(p_brand, '([a-z])([0-9])', '\1-\2', 'g') AS spaced, length(p_name)::BIGINT AS n FROM part")
+@query(
+    r"""WITH p AS (SELECT p_partkey, replace(p_brand, '#', '') || 'Of' || regexp_replace(p_name, '[^A-Za-z]', '', 'g') AS name FROM part), s AS (SELECT p_partkey, regexp_replace(name, '([\p{Ll}\p{N}])(\p{Lu})', '\1 \2', 'g') AS t FROM p)
+SELECT p_partkey, t[1] || lower(t[2:]) AS spaced, length(t)::BIGINT AS n FROM s"""
+)
 def humanised_names(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.regexp_replace("p_brand", "([a-z])([0-9])", "$1-$2").alias("spaced"), F.length("p_name").cast("long").alias("n"))
+    name = F.concat(F.regexp_replace("p_brand", "#", ""), F.lit("Of"), F.regexp_replace("p_name", "[^A-Za-z]", ""))
+    return table(spark, d, "part").select("p_partkey", text.humanise(name).alias("spaced")).withColumn("n", F.length("spaced").cast("long"))
 
 
 _PLACE = "strpos(lower(text), 'license')"

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MOST_BYTES = 16 * 1024 * 1024
 _KEYWORDS = re.compile(r"(?i)процедура|функция|procedure|function|#область|#region")
 
 
@@ -25,12 +24,11 @@ def _fragments(raw: bytes):
 
 def module_text(raw: bytes) -> str:
     """The longest fragment with keywords, without the binary tail; deflated content is tried where there is none."""
-    raw = raw[:MOST_BYTES]
     found = [f for f in _fragments(raw) if _KEYWORDS.search(f)]
     if not found:
         for start in (0, 2, 16):
             try:
-                found = [f for f in _fragments(zlib.decompressobj(-15 if start else 15).decompress(raw[start:], MOST_BYTES)) if _KEYWORDS.search(f)]
+                found = [f for f in _fragments(zlib.decompressobj(-15 if start else 15).decompress(raw[start:])) if _KEYWORDS.search(f)]
             except zlib.error:
                 continue
             if found:

@@ -98,3 +98,20 @@ def region_counts(found: DataFrame) -> DataFrame:
 def pending_calls(found: DataFrame) -> DataFrame:
     """(caller, callee_name) of each distinct call."""
     return found.select(F.col("path").alias("caller"), F.explode("calls").alias("callee_name")).distinct()
+
+
+def body_from(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Methods (source_rel, name, line) with the body that their module's text (source_rel, text) holds now.
+
+    The header with the name that is nearest to the stored line counts, as edits
+    above it move it; the body runs to the line before the next header or end.
+    """
+    lines = texts.select("source_rel", F.posexplode(F.split("text", r"\r?\n")).alias("at", "raw")).withColumn("code", mask(F.col("raw")))
+    headers = lines.where(F.col("code").rlike(BEGIN)).select("source_rel", (F.col("at") + 1).alias("begin"), F.lower(F.regexp_extract("code", BEGIN, 2)).alias("_name"))
+    wanted = found.select("source_rel", "name", "line", F.lower("name").alias("_name"))
+    near = wanted.join(headers, ["source_rel", "_name"]).groupBy("source_rel", "name", "line").agg(F.min_by("begin", F.struct(F.abs(F.col("begin") - F.col("line")), F.col("begin"))).alias("begin"))
+    ends = lines.where(F.col("code").rlike(END) | F.col("code").rlike(BEGIN)).select("source_rel", (F.col("at") + 1).alias("stop"))
+    closed = near.join(ends, "source_rel", "left").groupBy("source_rel", "name", "line", "begin").agg(F.min(F.when(F.col("stop") > F.col("begin"), F.col("stop"))).alias("stop"))
+    inside = closed.join(lines, "source_rel").where((F.col("at") + 1 > F.col("begin")) & (F.col("stop").isNull() | (F.col("at") + 1 < F.col("stop"))))
+    bodies = inside.groupBy("source_rel", "name", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "raw"))), lambda s: s["raw"]), "\n").alias("body"))
+    return closed.select("source_rel", "name", "line", F.col("begin").alias("found_at")).join(bodies, ["source_rel", "name", "line"], "left").withColumn("body", F.coalesce("body", F.lit("")))

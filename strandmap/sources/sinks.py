@@ -31,6 +31,20 @@ def clone(frame: DataFrame, source: int, target: int) -> DataFrame:
     return frame.where(F.col("entity_id") == source).withColumn("entity_id", F.lit(target).cast("long"))
 
 
+def clone_all(frames: dict[str, DataFrame], entities: DataFrame, source: int, target: int) -> dict[str, DataFrame]:
+    """Every frame's rows of one entity as rows of another: objects, links, stamps, tags, passages alike; only a ready entity is cloned."""
+    if entities.where((F.col("entity_id") == source) & (F.col("status") == "ready")).isEmpty():
+        raise ValueError(f"entity {source} is not ready")
+    if not entities.where(F.col("entity_id") == target).isEmpty():
+        raise ValueError(f"entity {target} exists")
+    return {name: clone(frame, source, target) for name, frame in frames.items()}
+
+
+def orphaned(frame: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity_id, n): rows left of entities that are registered no more. Sources outside the store are never touched."""
+    return frame.join(entities.select("entity_id"), "entity_id", "left_anti").groupBy("entity_id").agg(F.count("*").alias("n"))
+
+
 def insert_new(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys are not stored yet, each once."""
     return rows.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import codecs
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandmap.functions import paths
+from strandmap.operators.relations import fill_forward
 from strandmap.session import ship
 
 # Report keys whose values are links, and their link types.
@@ -48,8 +49,8 @@ def parse_nodes(lines: DataFrame) -> DataFrame:
 
     A node line closes the node before it; an empty value opens a list; quoted
     lines belong to the list opened last in the node; what stands before the
-    first node is left out. The running node and list are filled forward by
-    windows, so a file is sorted once and nothing loops in Python.
+    first node is left out. The running node and list are filled forward piece
+    by piece, so even one huge report is many tasks and nothing loops in Python.
     """
     v = F.col("value")
     node = F.regexp_extract(v, r"^\t*- (.+?)\s*$", 1)
@@ -57,11 +58,10 @@ def parse_nodes(lines: DataFrame) -> DataFrame:
     key = F.regexp_extract(v, r'^\s*([^:"\-][^:"]*):\s*(.*)$', 1)
     rest = F.trim(F.regexp_extract(v, r'^\s*([^:"\-][^:"]*):\s*(.*)$', 2))
     marked = lines.where(F.trim(v) != "").select("source_rel", "line", node.alias("node"), v.rlike(r'^\s*".*"\s*$').alias("is_item"), item.alias("item"), F.trim(key).alias("key"), rest.alias("rest"))
-    w = Window.partitionBy("source_rel").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     is_node, is_key = F.col("node") != "", (F.col("node") == "") & ~F.col("is_item") & (F.col("key") != "")
-    current = F.last(F.when(is_node, F.struct("line", "node")), ignorenulls=True).over(w)
-    opened = F.last(F.when(is_node | is_key, F.struct("line", F.when(is_key & (F.col("rest") == ""), F.col("key")).alias("key"))), ignorenulls=True).over(w)
-    rows = marked.withColumn("n", current).withColumn("o", opened).where(F.col("n").isNotNull())
+    current = F.when(is_node, F.struct("line", "node"))
+    opened = F.when(is_node | is_key, F.struct("line", F.when(is_key & (F.col("rest") == ""), F.col("key")).alias("key")))
+    rows = fill_forward(marked, ["source_rel"], "line", {"n": current, "o": opened}).where(F.col("n").isNotNull())
     nodes = rows.where(is_node).select("source_rel", F.col("node").alias("path"), F.col("line").alias("node_line"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("value"))
     scalars = rows.where(is_key & (F.col("rest") != "")).select("source_rel", F.col("n.node").alias("path"), F.col("n.line").alias("node_line"), "key", "line", F.regexp_replace("rest", '^"(.*)"$', "$1").alias("value"))
     empties = rows.where(is_key & (F.col("rest") == "")).select("source_rel", F.col("n.node").alias("path"), F.col("n.line").alias("node_line"), "key", "line", F.lit(None).cast("string").alias("value"))

@@ -17,11 +17,11 @@ HEADS = {"Catalog": "Справочники", "Document": "Документы",
 # Properties whose items are links, and their link types.
 LINK_PROPERTIES = {"RegisterRecords": "movements", "BasedOn": "based_on", "Content": "composition"}
 
-_NODES = "source_rel string, id int, parent int, tag string, parent_tag string, text string, ancestors array<int>, error string"
+_NODES = "source_rel string, id int, parent int, tag string, parent_tag string, text string, ancestors array<int>, attributes map<string,string>, error string"
 
 
 def _flatten(content: bytes):
-    """(id, parent, tag, parent's tag, text, ancestors) of each element in document order; names without namespaces."""
+    """(id, parent, tag, parent's tag, text, ancestors, attributes) of each element in document order; names without namespaces."""
     stack, n = [], 0
     for event, element in ET.iterparse(_Bytes(content), events=("start", "end")):
         if event == "start":
@@ -29,7 +29,7 @@ def _flatten(content: bytes):
             n += 1
             continue
         number, tag, _ = stack.pop()
-        yield number, stack[-1][0] if stack else -1, tag, stack[-1][1] if stack else "", (element.text or "").strip(), [s[0] for s in stack]
+        yield number, stack[-1][0] if stack else -1, tag, stack[-1][1] if stack else "", (element.text or "").strip(), [s[0] for s in stack], [(k.rpartition("}")[2], v) for k, v in element.attrib.items()]
         element.clear()
 
 
@@ -44,14 +44,14 @@ class _Bytes:
 
 
 def _rows(batches):
-    schema = pa.schema([("source_rel", pa.string()), ("id", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("parent_tag", pa.string()), ("text", pa.string()), ("ancestors", pa.list_(pa.int32())), ("error", pa.string())])
+    schema = pa.schema([("source_rel", pa.string()), ("id", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("parent_tag", pa.string()), ("text", pa.string()), ("ancestors", pa.list_(pa.int32())), ("attributes", pa.map_(pa.string(), pa.string())), ("error", pa.string())])
     for batch in batches:
         for rel, content in zip(batch.column(0), batch.column(1), strict=True):
             rel = rel.as_py()
             try:
                 rows = [(rel, *r, None) for r in _flatten(content.as_py() or b"")]
             except ET.ParseError as e:
-                rows = [(rel, -1, -1, "", "", "", [], str(e))]
+                rows = [(rel, -1, -1, "", "", "", [], [], str(e))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
@@ -175,6 +175,49 @@ def spreadsheet_summary(elements: DataFrame) -> DataFrame:
     )
 
 
+def form_structure(elements: DataFrame) -> DataFrame:
+    """(source_rel, structure): a form's attributes with types, commands, elements and events in one line, as passages take it."""
+    named = elements.where(F.col("tag").isin("Attribute", "Command") & F.col("parent_tag").isin("Attributes", "Commands"))
+    inner = elements.where("text <> ''").select("source_rel", F.explode("ancestors").alias("id"), F.col("id").alias("at"), F.col("tag").alias("leaf"), "text")
+    typed = inner.where("leaf = 'Type'").groupBy("source_rel", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda s: s["text"]), ", ").alias("type"))
+    name = F.coalesce(F.try_element_at("attributes", F.lit("name")), F.lit(""))
+    items = named.join(typed, ["source_rel", "id"], "left").select("source_rel", "id", F.col("parent_tag").alias("part"), F.concat(name, F.when(F.col("type").isNotNull(), F.concat(F.lit(" ("), "type", F.lit(")"))).otherwise("")).alias("word"))
+    shown = elements.where(F.col("parent_tag").isin("ChildItems") & ~F.col("tag").isin("ChildItems")).select("source_rel", "id", F.lit("Elements").alias("part"), F.concat_ws(" ", "tag", name).alias("word"))
+    events = elements.where("tag = 'Event'").select("source_rel", "id", F.lit("Events").alias("part"), F.concat_ws(" ", name, "text").alias("word"))
+    parts = items.unionByName(shown).unionByName(events).groupBy("source_rel", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "word"))), lambda s: s["word"]), "; ").alias("words"))
+    return parts.groupBy("source_rel").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "words"))), lambda s: F.concat(s["part"], F.lit(": "), s["words"])), ". ").alias("structure"))
+
+
+def _named_children(elements: DataFrame, tag: str, wanted: list[str]) -> DataFrame:
+    """(source_rel, id, wanted...): the first text of each wanted child of the elements of a tag."""
+    each = elements.where((F.col("parent_tag") == tag) & F.col("tag").isin(wanted))
+    return each.groupBy("source_rel", F.col("parent").alias("id")).agg(*(F.min_by("text", F.when(F.col("tag") == w, F.col("id"))).alias(w) for w in wanted))
+
+
+def schema_parameters(elements: DataFrame) -> DataFrame:
+    """(source_rel, name): parameters of a composition schema."""
+    return _named_children(elements, "parameter", ["name"]).where(F.col("name").isNotNull()).select("source_rel", "name")
+
+
+def settings_variants(elements: DataFrame) -> DataFrame:
+    """(source_rel, name, presentation): settings variants of a composition schema; the presentation is the first text below it."""
+    found = _named_children(elements, "settingsVariant", ["name"])
+    below = elements.where("tag = 'content' and text <> ''").select("source_rel", F.col("id").alias("at"), "text", F.explode("ancestors").alias("id"))
+    titles = below.groupBy("source_rel", "id").agg(F.min_by("text", "at").alias("presentation"))
+    return found.join(titles, ["source_rel", "id"], "left").select("source_rel", "name", F.coalesce("presentation", F.lit("")).alias("presentation"))
+
+
+def data_set_fields(elements: DataFrame) -> DataFrame:
+    """(source_rel, data_set, data_path, field): fields with the data sets that hold them."""
+    sets = _named_children(elements, "dataSet", ["name"]).select("source_rel", F.col("id").alias("holder"), F.col("name").alias("data_set"))
+    holders = elements.where("tag = 'field' and parent_tag = 'dataSet'").select("source_rel", "id", F.col("parent").alias("holder"))
+    found = _named_children(elements, "field", ["dataPath", "field"])
+    return found.join(holders, ["source_rel", "id"]).join(sets, ["source_rel", "holder"], "left").select("source_rel", "data_set", F.col("dataPath").alias("data_path"), "field")
+
+
 def classify(elements: DataFrame) -> DataFrame:
-    """(source_rel, root): the name of each file's root element."""
-    return elements.where("parent = -1 and id = 0").select("source_rel", F.col("tag").alias("root"))
+    """(source_rel, root, kind): the root element of each file, and whether it is an object, a form, a schema, a spreadsheet or other."""
+    roots = elements.where("parent = -1 and id = 0").select("source_rel", F.col("tag").alias("root"))
+    sheets = elements.where("tag = 'rowsItem'").select("source_rel").distinct().withColumn("sheet", F.lit(True))
+    kind = F.when(F.col("root") == "MetaDataObject", "object").when(F.col("root") == "Form", "form").when(F.col("root") == "DataCompositionSchema", "schema").when(F.col("sheet"), "spreadsheet").otherwise("other")
+    return roots.join(sheets, "source_rel", "left").select("source_rel", "root", kind.alias("kind"))
