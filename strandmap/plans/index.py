@@ -46,6 +46,9 @@ class TextIndex:
 
 def build(docs: DataFrame, path: str, key: str, text_col: str = "text", carry: tuple[str, ...] = ()) -> None:
     """Write the index of ``docs``; columns ``carry`` are kept with each posting, so that filters on them need no join."""
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < tasks:  # a small table in few splits would be taken apart by as few tasks
+        docs = docs.repartition(tasks)
     length = F.regexp_count(F.col(text_col), F.lit(r"[\p{L}\p{N}]+")).cast("long")
     whole = docs.withColumn("doc_len", F.coalesce(length, F.lit(0)))
     whole.drop(text_col).write.parquet(f"{path}/docs")
