@@ -22,13 +22,18 @@ def one_per_leaf(hits: DataFrame, *order: Column, deep: int = 3) -> DataFrame:
     return hits.withColumn("_n", F.row_number().over(w)).where((F.col("_n") == 1) | (paths.depth(path) < deep)).drop("_n")
 
 
-def cap_contexts(hits: DataFrame, context: str, limit: int, n_contexts: int, *order: Column) -> DataFrame:
-    """Order in which each context gives its first ``cap`` hits before any gives more; column overflow marks the rest."""
+def cap_contexts(hits: DataFrame, context: str, limit: int, n_contexts: int, *order: Column, key: str) -> DataFrame:
+    """Order in which each context gives its first ``cap`` hits before any gives more; column overflow marks the rest.
+
+    key tells hits apart. The window's limit is pushed before its sort, so tasks
+    hand on the first hits of each context only, and all hits stay in place.
+    """
     cap = max(3, -(-limit // max(1, n_contexts)))
     if limit >= 6:
         cap = min(cap, max(3, limit // 2))
     n = F.row_number().over(Window.partitionBy(context).orderBy(*order))
-    return hits.withColumn("overflow", n > cap)
+    first = hits.withColumn("_n", n).where(F.col("_n") <= cap).select(key, F.lit(True).alias("_first"))
+    return hits.join(first, key, "left").withColumn("overflow", F.col("_first").isNull()).drop("_first")
 
 
 def retain(log: DataFrame, ts: str, cutoff, most: int, *order: Column) -> DataFrame:

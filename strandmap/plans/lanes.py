@@ -16,12 +16,18 @@ from strandmap.plans.retrieval import RankProfile, content_tokens, query_terms,
 def lane_of(query: str, prefix: str | None = None, profile: RankProfile | None = None) -> tuple[Column, Column]:
     """(lane, raw score) of an object, both null where no lane finds it: path or name of the whole query, exact names of its words or phrases, name stems of roots, all tokens.
 
-    Middle-of-name stems only count below a prefix. An object takes the first lane that finds it.
+    Middle-of-name stems only count below a prefix. A profile's intents and
+    language add names, and stems below heads of paths. An object takes the first lane that finds it.
     """
     profile = profile or RankProfile()
     words = [t.word for t in query_terms(query)]
     tokens = content_tokens(query)
     aliases = [a for w in words for a in profile.aliases.get(w, [])] + query_text.alias_terms(query, profile.aliases)
+    intents = profile.intended(query)
+    aliases += [n for i in intents for n in i.names]
+    headed = [spec for i in intents for spec in i.stems]
+    if profile.language is not None:
+        headed += query_text.stem_plan(query, profile.language, profile.long_stem_heads, profile.short_stem_heads)
     candidates = [query_text.fold(c) for c in query_text.name_candidates(query)]
     name = text.fold(F.col("name"))
     root = paths.is_root(F.col("path"))
@@ -30,7 +36,7 @@ def lane_of(query: str, prefix: str | None = None, profile: RankProfile | None =
     named = [
         ("identifier", F.lit(4.0), (F.col("path") == query) | (F.col("name") == query)),
         ("name", F.lit(3.0), name.isin(*words, *candidates) | F.col("name").isin(aliases)),
-        ("stem", F.lit(2.0), root & some(F.startswith(name, F.lit(s)) for s in stems)),
+        ("stem", F.lit(2.0), root & (some(F.startswith(name, F.lit(s)) for s in stems) | some(paths.strictly_under(F.col("path"), head) & F.startswith(name, F.lit(query_text.fold(s))) for head, s in headed))),
     ]
     if prefix is not None:
         named.append(("inside", F.lit(1.5), root & some(name.contains(s) for s in stems if len(s) >= 8)))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmap.functions import paths, text
+from strandmap.plans.query_text import Language
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -113,6 +114,15 @@ class Rule:
     caps: dict[str, float] = field(default_factory=dict)  # by name of another term
 
 
+@dataclass(frozen=True)
+class Intent:
+    """What a kind of question is about: names to find outright, and stems of names to find below given heads of paths."""
+
+    query: str  # regular expression on the query
+    names: tuple[str, ...] = ()
+    stems: tuple[tuple[str, str], ...] = ()  # (head, stem)
+
+
 @dataclass(frozen=True)
 class RankProfile:
     """Weights of the re-ranking; vocabularies of a product belong here, not into code."""
@@ -142,6 +152,13 @@ class RankProfile:
     weak_words: frozenset[str] = frozenset()
     aliases: dict[str, list[str]] = field(default_factory=dict)
     rules: tuple[Rule, ...] = ()
+    intents: tuple[Intent, ...] = ()
+    language: Language | None = None  # with it, distinctive words of a query give stems below these heads
+    long_stem_heads: tuple[str, ...] = ()
+    short_stem_heads: tuple[str, ...] = ()
+
+    def intended(self, query: str) -> list[Intent]:
+        return [i for i in self.intents if re.search(i.query, query, re.IGNORECASE)]
 
 
 #: Lanes that name a hit outright, and the one that finds it by the stem of a word.

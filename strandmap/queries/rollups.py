@@ -188,7 +188,7 @@ def leaf_diversify(spark, d):
 @query("SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) > 5 AS overflow FROM documents")
 def context_cap(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    return ranking.cap_contexts(docs, "lang", 20, 4, F.desc("n_chars"), F.col("doc_id")).select("doc_id", "lang", "overflow")
+    return ranking.cap_contexts(docs, "lang", 20, 4, F.desc("n_chars"), F.col("doc_id"), key="doc_id").select("doc_id", "lang", "overflow")
 
 
 @query("SELECT o_orderkey, (SELECT count(*) FROM orders) AS total, (SELECT count(*) FROM orders) > 70 AS truncated FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 50")

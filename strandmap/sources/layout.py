@@ -42,11 +42,32 @@ def without_own_file(listed: DataFrame, objects: DataFrame) -> DataFrame:
     return listed.join(objects.select("path"), "path", "left_anti")
 
 
-def configuration(elements: DataFrame) -> DataFrame:
-    """(name, synonym, version, is_extension) of the root element Configuration; one row."""
+def configuration(elements: DataFrame, info: DataFrame | None = None) -> DataFrame:
+    """(source_rel, name, synonym, version, is_extension) of the root element Configuration; one row.
+
+    Where the file names no configuration, the elements of the export's index
+    (``info``) do: the entry Configuration.<name>.
+    """
     text = lambda tag: F.coalesce(F.max(F.when((F.col("tag") == tag) & (F.col("parent_tag") == "Properties"), F.col("text"))), F.lit(""))
     purpose = F.max((F.col("tag").isin("ConfigurationExtensionPurpose", "ObjectBelonging") & (F.col("text") != "")).cast("int")) == 1
-    return elements.where(F.col("error").isNull()).groupBy("source_rel").agg(text("Name").alias("name"), F.coalesce(F.min_by("text", F.when(F.col("tag") == "content", F.col("id"))), F.lit("")).alias("synonym"), text("Version").alias("version"), purpose.alias("is_extension"))
+    found = elements.where(F.col("error").isNull()).groupBy("source_rel").agg(text("Name").alias("name"), F.coalesce(F.min_by("text", F.when(F.col("tag") == "content", F.col("id"))), F.lit("")).alias("synonym"), text("Version").alias("version"), purpose.alias("is_extension"))
+    if info is None:
+        return found
+    entry = F.try_element_at("attributes", F.lit("name"))
+    listed = info.where(entry.rlike(r"^Configuration\.[^.]+$")).agg(F.min(F.substring(entry, 15, 1000)).alias("_listed")).withColumn("_all", F.lit(1))
+    both = found.withColumn("_all", F.lit(1)).join(F.broadcast(listed), "_all", "left")  # one row on each side
+    return both.withColumn("name", F.coalesce(F.nullif("name", F.lit("")), "_listed", F.lit(""))).drop("_all", "_listed")
+
+
+def export_root(rels: DataFrame) -> str:
+    """Folder of an export below an unpacked tree (column source_rel): the tree itself, or its only folder with a Configuration.xml; raises for none or several."""
+    tops = rels.where(F.col("source_rel").rlike(r"^([^/]+/)?Configuration\.xml$")).select(F.regexp_extract("source_rel", "^(?:([^/]+)/)?", 1).alias("top")).distinct().limit(3).collect()
+    found = sorted(r.top for r in tops)
+    if "" in found:
+        return ""
+    if len(found) != 1:
+        raise ValueError("no export found" if not found else f"several exports: {', '.join(found)}")
+    return found[0]
 
 
 def report_file(names: DataFrame) -> DataFrame:

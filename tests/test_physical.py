@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from strandmap.operators import intervals, lookup, rollups
+from strandmap import adapters
+from strandmap.operators import intervals, lookup, ranking, rollups
 from strandmap.plans import retrieval
 
 
@@ -31,3 +32,13 @@ def test_interval_join_is_an_equi_join(spark, sf):
 def test_rollup_aggregates_before_it_shuffles(spark, sf):
     stats = rollups.tool_stats(spark.read.parquet(f"{sf}/events.parquet"), "event_type", F.col("value") > 400, "value")
     assert plan(stats).count("partial_count") >= 1 and plan(stats).count("Exchange") == 1
+
+
+def test_context_cap_hands_on_first_hits_only(spark, sf):
+    hits = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "n_chars")
+    assert "WindowGroupLimit" in plan(ranking.cap_contexts(hits, "lang", 20, 4, F.desc("n_chars"), F.col("doc_id"), key="doc_id"))
+
+
+def test_stored_objects_are_pruned_by_kind_and_path(spark, sf):
+    text = plan(lookup.filter_objects(adapters.objects(spark, sf), kind="Customer", prefix="Customer.C").select("path"))
+    assert "PartitionFilters: [isnotnull(kind" in text and "StringStartsWith(path,Customer.C.)" in text and "comment" not in text

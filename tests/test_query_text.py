@@ -2,12 +2,13 @@
 
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandmap.functions import paths
 from strandmap.operators import lookup
-from strandmap.plans import graph, lanes, query_text
-from strandmap.sources import modules, xml_objects
+from strandmap.plans import graph, lanes, query_text, retrieval
+from strandmap.sources import layout, modules, xml_objects
 
 RU = query_text.Language(suffixes=("ами", "ями", "ице", "ов", "и", "ы", "а", "е"), weak=frozenset({"документ"}), process=frozenset({"распределить"}))
 
@@ -80,3 +81,29 @@ def test_bodies_are_found_after_edits(spark):
     stored = spark.createDataFrame([("m", "А", 1), ("m", "б", 4), ("m", "А", 9), ("m", "Открытая", 9), ("m", "Нет", 1)], "source_rel string, name string, line int")
     got = {(r.name, r.line): (r.found_at, r.body) for r in modules.body_from(stored, texts).collect()}
     assert got == {("А", 1): (3, "\tВозврат 1;"), ("б", 4): (6, ""), ("А", 9): (8, "\tВозврат 2;"), ("Открытая", 9): (11, "\tХ = 1;\n")}
+
+
+def test_intents_and_language_reach_the_lanes(spark):
+    rows = [("Документы.ПересортицаТоваров", "Document", "ПересортицаТоваров"), ("Константы.ВестиУчет", "Constant", "ВестиУчет"), ("Документы.Прочее", "Document", "Прочее"), ("Отчеты.ПересортицаСводно", "Report", "ПересортицаСводно"), ("РегистрыСведений.КурсыВалют", "Register", "КурсыВалют")]
+    objects = spark.createDataFrame(rows, "path string, kind string, name string").withColumn("synonym", F.lit("")).withColumn("comment", F.lit(""))
+    profile = retrieval.RankProfile(language=RU, long_stem_heads=("Документы",), short_stem_heads=("РегистрыСведений",), intents=(retrieval.Intent("настро", names=("ВестиУчет",)), retrieval.Intent("никогда", stems=(("Документы", "Проч"),))))
+    query = "настройка: что делать при «пересортице» и где курсы"
+    assert {r.path: r.lane for r in lanes.lanes(objects, query, profile=profile).collect()} == {"Документы.ПересортицаТоваров": "stem", "Константы.ВестиУчет": "name", "РегистрыСведений.КурсыВалют": "stem", "Отчеты.ПересортицаСводно": "stem"}
+    neutral = {r.path for r in lanes.lanes(objects, query).collect()}
+    assert "Константы.ВестиУчет" not in neutral
+    never = retrieval.RankProfile(intents=(retrieval.Intent("никогда", stems=(("Документы", "Проч"),)),))
+    assert [(r.path, r.lane) for r in lanes.lanes(objects, "никогда", profile=never).collect()] == [("Документы.Прочее", "stem")]
+
+
+def test_export_root_and_name(spark):
+    rels = lambda *r: spark.createDataFrame([(x,) for x in r], "source_rel string")
+    assert layout.export_root(rels("Configuration.xml", "a/Configuration.xml")) == "" and layout.export_root(rels("w/Configuration.xml", "w/x/Configuration.xml", "z.txt")) == "w"
+    for bad in (rels("x.txt"), rels("a/Configuration.xml", "b/Configuration.xml")):
+        with pytest.raises(ValueError):
+            layout.export_root(bad)
+    made = lambda text: xml_objects.nodes(spark.createDataFrame([("f", bytearray(text.encode()))], "source_rel string, content binary"))
+    info = made('<ConfigDumpInfo><ConfigVersions><Metadata name="Catalog.X" id="1"/><Metadata name="Configuration.Trade" id="2"/></ConfigVersions></ConfigDumpInfo>')
+    nameless = made("<MetaDataObject><Configuration><Properties><Version>1.2</Version></Properties></Configuration></MetaDataObject>")
+    named = made("<MetaDataObject><Configuration><Properties><Name>Own</Name></Properties></Configuration></MetaDataObject>")
+    assert [(r.name, r.version) for r in layout.configuration(nameless, info).collect()] == [("Trade", "1.2")]
+    assert layout.configuration(named, info).first().name == "Own" and layout.configuration(nameless).first().name == ""
