@@ -7,7 +7,7 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmap.llm import ann, bpe, embedding_join, licenses, minhash, mixing, pii, quality, toxicity, warc
+from strandmap.llm import alignment, ann, bpe, decision_list, embedding_join, licenses, minhash, mixing, pii, quality, toxicity, warc, whitening
 from strandmap.llm.common import shared_path, table
 
 
@@ -110,6 +110,28 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def quality_rules(spark: SparkSession, sf_dir: str) -> decision_list.DecisionList:
+    """The decision list of all documents, learned from the quality labels; rows of the held-out fold teach nothing."""
+    labels = table(spark, sf_dir, "labels").where(~toxicity.held_out())
+    return decision_list.learn(table(spark, sf_dir, "documents").select("doc_id", "text"), labels, label="quality")
+
+
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every whole text, the base rules, and the verdict of learned rules."""
+    return decision_list.judge(table(spark, sf_dir, "documents"), quality_rules(spark, sf_dir), keep=["doc_id"])
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of a byte-level and of a piece tokenizer aligned in every document, with counts of linked ids over all documents."""
+    found = alignment.align(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"), keep=["doc_id"])
+    return alignment.with_counts(found)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the four leading components of the distinct quantised vectors, whitened."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), keep=["vec_id"], components=4)
+
+
 QUERIES = {
     "op1_embedding_join": op1_embedding_join,
     "op4_warc": op4_warc,
@@ -121,6 +143,9 @@ QUERIES = {
     "op9_ann": op9_ann,
     "op2_bpe": op2_bpe,
     "op3_minhash": op3_minhash,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_alignment": op12_alignment,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL = {
