@@ -56,7 +56,7 @@ OBJECTS_SQL = """objects AS (
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (from_path, to_path, link_type), stored by type and sorted by target."""
-    path = store.once(spark, sf_dir, "links", lambda p: store.write_sorted(made_links(spark, sf_dir), p, "link_type", "to_path"))
+    path = store.once(spark, sf_dir, "links", lambda p: store.write_sorted(made_links(spark, sf_dir), p, "link_type", "to_path", "from_path"))
     return spark.read.schema("from_path string, to_path string, link_type string").parquet(path)
 
 

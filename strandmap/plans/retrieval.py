@@ -86,9 +86,10 @@ def ranked(hits: DataFrame, k: int, key: str, score: str = "raw_score") -> DataF
     return top(hits, k, key, score).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), F.col(key))))
 
 
-def fuse(legs: list[DataFrame], key: str, pool: int, k: int = RRF_K) -> DataFrame:
-    """(key, score): the sum of 1 / (k + rank) over the best ``pool`` hits of each leg."""
-    parts = reduce(DataFrame.unionByName, (ranked(leg.select(key, "raw_score"), pool, key).select(key, (1.0 / (k + F.col("rank"))).alias("s")) for leg in legs))
+def fuse(legs: list[DataFrame], key: str, pool: int, k: int = RRF_K, tie: str | None = None) -> DataFrame:
+    """(key, score): the sum of 1 / (k + rank) over the best ``pool`` hits of each leg, equal ones ranked by ``tie`` (the key unless told)."""
+    tie = tie or key
+    parts = reduce(DataFrame.unionByName, (ranked(leg.select(*{key, tie}, "raw_score"), pool, tie).select(key, (1.0 / (k + F.col("rank"))).alias("s")) for leg in legs))
     return parts.groupBy(key).agg(F.sum("s").alias("score"))
 
 

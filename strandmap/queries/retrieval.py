@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandmap.adapters import LINKS_SQL, OBJECTS_SQL, links, objects, table
 from strandmap.functions import paths, text
 from strandmap import store
-from strandmap.plans import cards, graph, index, retrieval, search
+from strandmap.plans import cards, graph, index, retrieval, search, vector_index
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -114,13 +114,19 @@ def _corpus(spark, d):
     docs = table(spark, d, "documents")
     path = F.concat(F.lit("Help."), F.col("source"), F.lit("."), F.col("doc_id").cast("string"))
     rows = docs.select(F.col("lang").alias("context"), path.alias("path"), F.lit("Help").alias("kind"), F.concat(F.lit("Doc"), F.col("doc_id").cast("string")).alias("name"), F.lit("").alias("synonym"), text.clip(F.col("text"), 200).alias("comment"), "text", "doc_id")
-    return rows.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    return rows
 
 
 def _index(spark, d) -> index.TextIndex:
     """The full-text index of all documents, built by the first query that asks for it."""
     path = store.once(spark, d, "documents-index", lambda p: index.build(_corpus(spark, d), p, "doc_id", carry=("context", "kind", "path")))
-    return index.load(spark, path, "doc_id")
+    return index.load(spark, path)
+
+
+def _vectors(spark, d) -> vector_index.VectorIndex:
+    """The vector index of all embeddings, likewise."""
+    vectors = lambda: table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return vector_index.load(spark, store.once(spark, d, "embeddings-index", lambda p: vector_index.build(vectors(), p, "doc_id")))
 
 
 @query(f"WITH {_bm25_sql(_WORDS)} SELECT doc_id, round(raw, 6) AS raw_score FROM bm ORDER BY raw DESC, doc_id LIMIT 25")
@@ -135,6 +141,63 @@ def bm25_prefix_expand(spark, d):
     return retrieval.top(hits, 25, "doc_id").select("doc_id", F.round("raw_score", 6).alias("raw_score"))
 
 
+@query(f"WITH {_bm25_sql(['th', 'on'], ('th',))} SELECT doc_id, round(raw, 6) AS raw_score FROM bm ORDER BY raw DESC, doc_id LIMIT 40")
+def bm25_short_prefix(spark, d):
+    """A prefix of two letters, which is many ranges of the dictionary."""
+    hits = _index(spark, d).bm25([retrieval.Term("th", prefix=True), retrieval.Term("on")])
+    return retrieval.top(hits, 40, "doc_id").select("doc_id", F.round("raw_score", 6).alias("raw_score"))
+
+
+_EDITED = """documents AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 10 = 3 THEN 'heon than ' || coalesce(text, '') ELSE text END AS text FROM main.documents WHERE doc_id % 10 <> 4 OR doc_id IS NULL)"""
+
+
+def _edited_index(spark, d, p) -> None:
+    """The index of all documents, then an edit of a tenth of them and the removal of another tenth."""
+    corpus = _corpus(spark, d)
+    built = index.build(corpus, p, "doc_id", carry=("context", "kind", "path"))
+    changed = corpus.where("doc_id % 10 = 3").withColumn("text", F.concat(F.lit("heon than "), F.coalesce("text", F.lit(""))))
+    index.update(built, changed, corpus.where("doc_id % 10 = 4").select("doc_id"))
+
+
+@query(f"WITH {_EDITED}, {_bm25_sql(_WORDS)} SELECT doc_id, round(raw, 6) AS raw_score FROM bm ORDER BY raw DESC, doc_id LIMIT 40")
+def bm25_after_edits(spark, d):
+    """Full text over an index that has been edited: base, a segment of changes, tombstones."""
+    path = store.once(spark, d, "documents-edited-index", lambda p: _edited_index(spark, d, p))
+    hits = index.load(spark, path, 2).bm25(retrieval.query_terms("Than heon thing"))
+    return retrieval.top(hits, 40, "doc_id").select("doc_id", F.round("raw_score", 6).alias("raw_score"))
+
+
+@query(f"WITH {_EDITED}, {_bm25_sql(_WORDS)} SELECT doc_id, round(raw, 6) AS raw_score FROM bm ORDER BY raw DESC, doc_id LIMIT 40")
+def bm25_after_compaction(spark, d):
+    """The same when the segments have been merged."""
+    path = store.once(spark, d, "documents-edited-index", lambda p: _edited_index(spark, d, p))
+    merged = store.once(spark, d, "documents-merged", lambda p: spark.createDataFrame([(index.compact(index.load(spark, path, 2)).live.generation,)], "g int").write.parquet(p))
+    hits = index.load(spark, path, spark.read.parquet(merged).first().g).bm25(retrieval.query_terms("Than heon thing"))
+    return retrieval.top(hits, 40, "doc_id").select("doc_id", F.round("raw_score", 6).alias("raw_score"))
+
+
+def _chunks(spark, d):
+    docs = _corpus(spark, d).where("text IS NOT NULL")
+    pieces = docs.select("context", "path", "kind", "name", "synonym", "doc_id", F.posexplode(text.windows(F.col("text"), 1100, 130)).alias("ord", "text"))
+    return pieces.withColumn("chunk", F.col("doc_id") * 10_000 + F.col("ord")).withColumn("comment", F.lit("")).drop("ord", "doc_id")
+
+
+@query(
+    f"""WITH {_COVER[5:]}, d AS (SELECT doc_id, doc_id * 10000 + ord AS chunk, regexp_extract_all(replace(lower(substring(text, ord * 970 + 1, 1100)), 'ё', 'е'), '[\\p{{L}}\\p{{N}}]+') AS t FROM c WHERE text IS NOT NULL),
+f AS (SELECT doc_id, chunk, len(t)::DOUBLE AS l, len(list_filter(t, lambda x: starts_with(x, 'heon')))::DOUBLE AS tf0, len(list_filter(t, lambda x: starts_with(x, 'th')))::DOUBLE AS tf1 FROM d),
+s AS (SELECT count(*) AS n, avg(l) AS a, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1 FROM f),
+bm AS (SELECT doc_id, chunk, ln(1::DOUBLE + (n - df0 + 0.5::DOUBLE) / (df0 + 0.5::DOUBLE)) * tf0 * 2.2::DOUBLE / (tf0 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a)) + ln(1::DOUBLE + (n - df1 + 0.5::DOUBLE) / (df1 + 0.5::DOUBLE)) * tf1 * 2.2::DOUBLE / (tf1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a)) AS raw FROM f, s WHERE tf0 > 0 OR tf1 > 0),
+best AS (SELECT doc_id, chunk, raw FROM bm QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY raw DESC, chunk) = 1),
+hits AS (SELECT doc_id, chunk, raw, row_number() OVER (ORDER BY raw DESC, chunk) AS r FROM best QUALIFY r <= 50)
+SELECT r::INTEGER AS rank, 'Help.' || source || '.' || doc_id AS path, round(-2.6::DOUBLE + (1.0::DOUBLE / (60 + r)) / max(1.0::DOUBLE / (60 + r)) OVER (), 6) AS score FROM hits JOIN documents USING (doc_id) WHERE r <= 20"""
+)
+def chunked_search(spark, d):
+    """Search over windows of the texts: an object has the rank of its best chunk, and prefixes may have two letters."""
+    path = store.once(spark, d, "chunks-index", lambda p: index.build(_chunks(spark, d), p, "chunk", carry=("context", "kind", "path")))
+    hits = search.search(index.load(spark, path), "heon th", k=20, pool=50, with_lanes=False, expand_from=2, profile=retrieval.RankProfile(kind_boost={}))
+    return hits.select("rank", "path", F.round("score", 6).alias("score"))
+
+
 def _query_vector(spark, d) -> list[float]:
     return [float(x) for x in table(spark, d, "embeddings").where("vec_id = 7").select("embedding").first()[0]]
 
@@ -144,6 +207,13 @@ _COS = "cos AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELE
 
 @query(f"WITH {_COS} SELECT vec_id, round(raw, 6) AS raw_score FROM cos ORDER BY raw DESC, vec_id LIMIT 20")
 def cosine_topk(spark, d):
+    hits = _vectors(spark, d).search(_query_vector(spark, d), 20)
+    return hits.select(F.col("doc_id").alias("vec_id"), F.round("raw_score", 6).alias("raw_score"))
+
+
+@query(f"WITH {_COS} SELECT vec_id, round(raw, 6) AS raw_score FROM cos ORDER BY raw DESC, vec_id LIMIT 20")
+def cosine_scan(spark, d):
+    """The same without an index, over all vectors."""
     hits = retrieval.cosine(table(spark, d, "embeddings"), _query_vector(spark, d))
     return retrieval.top(hits, 20, "vec_id").select("vec_id", F.round("raw_score", 6).alias("raw_score"))
 
@@ -156,7 +226,7 @@ SELECT doc_id, round(sum(1.0::DOUBLE / (60 + r)), 6) AS score FROM (SELECT * FRO
 )
 def rrf_hybrid(spark, d):
     lexical = _index(spark, d).bm25(retrieval.query_terms("than heon thing"))
-    vector = retrieval.cosine(table(spark, d, "embeddings"), _query_vector(spark, d)).withColumnRenamed("vec_id", "doc_id")
+    vector = _vectors(spark, d).search(_query_vector(spark, d), 80)
     return retrieval.fuse([lexical, vector], "doc_id", 80).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -200,7 +270,7 @@ SELECT {columns} FROM (SELECT *, row_number() OVER (ORDER BY score DESC, raw DES
 
 @query(_search_sql(_WORDS, "rank, context, path, round(score, 6) AS score", vector=True))
 def semantic_search(spark, d):
-    hits = search.search(_index(spark, d), "than heon thing", k=20, vector=_query_vector(spark, d))
+    hits = search.search(_index(spark, d), "than heon thing", k=20, vector=_query_vector(spark, d), vectors=_vectors(spark, d))
     return hits.select("rank", "context", "path", F.round("score", 6).alias("score"))
 
 
