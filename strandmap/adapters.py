@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmap import store
+from strandmap.operators import lookup
+from strandmap.plans import substring_index
+from strandmap.plans.substring_index import SubstringIndex
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +46,20 @@ def made_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def object_substrings(spark: SparkSession, sf_dir: str) -> SubstringIndex:
+    """The substring index of the objects' names, comments and paths."""
+    # Orders and lines alike have paths of their own, so the path is the key.
+    path = store.once(spark, sf_dir, "object-substrings", lambda p: substring_index.build(objects(spark, sf_dir), p, "path", lookup.haystack(), ["kind", "name", "comment"]))
+    return substring_index.load(spark, path)
+
+
+def document_substrings(spark: SparkSession, sf_dir: str) -> SubstringIndex:
+    """The substring index of all whole texts of documents."""
+    docs = lambda: table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    path = store.once(spark, sf_dir, "document-substrings", lambda p: substring_index.build(docs(), p, "doc_id", F.col("text"), ["text"]))
+    return substring_index.load(spark, path)
+
+
 OBJECTS_SQL = """objects AS (
     SELECT 'Region.' || r_name AS path, 'Region' AS kind, r_name AS name, '' AS comment FROM region
     UNION ALL SELECT 'Nation.' || n_name, 'Nation', n_name, '' FROM nation

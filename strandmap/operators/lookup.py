@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandmap.functions import paths, text
+from strandmap.plans.substring_index import SubstringIndex
 from strandmap.sources.xml_objects import HEADS
 
 
@@ -70,24 +71,27 @@ def stem_roots(objects: DataFrame, stem: str, prefix: str, no_middle: tuple[str,
     return roots.where(F.lower("name").contains(stem.lower())).withColumn("stage", F.lit(1))
 
 
-def _haystack(fields: tuple[str, ...]) -> Column:
+def haystack(fields: tuple[str, ...] = ("name", "comment", "path")) -> Column:
+    """Folded fields, a line each."""
     return text.fold(F.concat_ws("\n", *fields))
 
 
-def token_search(objects: DataFrame, tokens: list[str], fields: tuple[str, ...] = ("name", "comment", "path"), prefix: str | None = None) -> DataFrame:
-    """Objects in which every token, or its stem, occurs in some field."""
+def token_search(objects: DataFrame | SubstringIndex, tokens: list[str], fields: tuple[str, ...] = ("name", "comment", "path"), prefix: str | None = None) -> DataFrame:
+    """Objects in which every token, or its stem, occurs in some field; an index of ``haystack(fields)`` reads candidates only."""
+    if isinstance(objects, SubstringIndex):  # a stem begins its token, so what holds either holds the stem
+        objects = objects.likely([t.lower()[: max(6, len(t) - 2)] for t in tokens])
     return filter_objects(objects, prefix=prefix).where(has_tokens(tokens, fields))
 
 
 def has_tokens(tokens: list[str], fields: tuple[str, ...] = ("name", "comment", "path")) -> Column:
-    hay = _haystack(fields)
+    hay = haystack(fields)
     hit = lambda t: hay.contains(t.lower()) | hay.contains(t.lower()[: max(6, len(t) - 2)])
     return reduce(lambda a, b: a & b, map(hit, tokens), F.lit(True))
 
 
 def any_token(objects: DataFrame, tokens: list[str], fields: tuple[str, ...] = ("name", "comment", "path")) -> DataFrame:
     """Objects with some token, with the number of tokens they hold."""
-    hay = _haystack(fields)
+    hay = haystack(fields)
     n = reduce(lambda a, b: a + b, (hay.contains(t.lower()).cast("int") for t in tokens), F.lit(0))
     return objects.withColumn("n_tokens", n).where("n_tokens > 0")
 
@@ -166,8 +170,9 @@ def json_number(rows: DataFrame, column: str, field: str, least: float, alias: s
     return rows.withColumn(alias, value).where(F.col(alias) >= least)
 
 
-def with_substring(rows: DataFrame, column: str, needle: str, alias: str = "place") -> DataFrame:
-    """Rows that hold a needle, pushed to the scan, with its 1-based place."""
+def with_substring(rows: DataFrame | SubstringIndex, column: str, needle: str, alias: str = "place") -> DataFrame:
+    """Rows that hold a needle, pushed to the scan, with its 1-based place; an index of the column reads candidates only."""
+    rows = rows.likely([needle]) if isinstance(rows, SubstringIndex) else rows
     return rows.where(F.col(column).contains(needle)).withColumn(alias, F.instr(column, needle).cast("long"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmap.functions import paths, text
+from strandmap.plans.substring_index import SubstringIndex
 
 # Segments of child containers.
 ATTRIBUTES, DIMENSIONS, RESOURCES, SECTIONS = "Реквизиты", "Измерения", "Ресурсы", "ТабличныеЧасти"
@@ -65,11 +66,13 @@ def required_fields(objects: DataFrame, methods: DataFrame, path: str, words: li
     return declared.unionByName(said).unionByName(added).distinct()
 
 
-def references(texts: DataFrame, needle: str, key: str, text_col: str = "text") -> DataFrame:
+def references(texts: DataFrame | SubstringIndex, needle: str, key: str, text_col: str = "text") -> DataFrame:
     """(key, nth, line, snippet) of every match of a needle, without regard to case; matches do not overlap.
 
-    Texts without the needle go before anything is split.
+    Texts without the needle go before anything is split; an index of the texts
+    reads candidates only.
     """
+    texts = texts.likely([needle]) if isinstance(texts, SubstringIndex) else texts
     low = F.lower(text_col)
     found = texts.where(low.contains(needle.lower())).select(key, F.col(text_col).alias("_text"), F.split(low, f"\\Q{needle.lower()}\\E", -1).alias("_parts"))
     n, lines = len(needle), needle.count("\n")

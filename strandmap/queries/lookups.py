@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandmap.adapters import OBJECTS_SQL, objects, table
+from strandmap.adapters import OBJECTS_SQL, document_substrings, object_substrings, objects, table
 from strandmap.functions import paths, text
 from strandmap.operators import lookup
 
@@ -94,7 +94,19 @@ _HAY = "replace(lower(name || chr(10) || comment || chr(10) || path), 'ё', 'е'
 
 @query(_O + f"SELECT path, name FROM objects WHERE (contains({_HAY}, 'part') OR contains({_HAY}, 'part')) AND contains({_HAY}, '1')")
 def token_and_search(spark, d):
-    return lookup.token_search(objects(spark, d), ["part", "1"]).select("path", "name")
+    return lookup.token_search(object_substrings(spark, d), ["part", "1"]).select("path", "name")
+
+
+@query(_O + f"SELECT path, name FROM objects WHERE contains({_HAY}, 'rder.1') AND contains({_HAY}, 'urgent')")
+def token_and_search_middle(spark, d):
+    """Tokens in the middle of paths and comments."""
+    return lookup.token_search(object_substrings(spark, d), ["rder.1", "urgent"]).select("path", "name")
+
+
+@query(_O + f"SELECT path, name FROM objects WHERE contains({_HAY}, '77')")
+def token_search_short(spark, d):
+    """A needle without three letters, which no index can help."""
+    return lookup.token_search(object_substrings(spark, d), ["77"]).select("path", "name")
 
 
 @query(
@@ -157,6 +169,12 @@ def json_predicate(spark, d):
 
 @query("SELECT doc_id, strpos(text, 'License') AS place FROM documents WHERE contains(text, 'License')")
 def substring_prefilter(spark, d):
+    return lookup.with_substring(document_substrings(spark, d), "text", "License").select("doc_id", "place")
+
+
+@query("SELECT doc_id, strpos(text, 'License') AS place FROM documents WHERE contains(text, 'License')")
+def substring_scan(spark, d):
+    """The same without an index."""
     return lookup.with_substring(table(spark, d, "documents"), "text", "License").select("doc_id", "place")
 
 

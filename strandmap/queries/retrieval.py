@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandmap.adapters import LINKS_SQL, OBJECTS_SQL, links, objects, table
+from strandmap.adapters import LINKS_SQL, OBJECTS_SQL, document_substrings, links, objects, table
 from strandmap.functions import paths, text
 from strandmap import store
 from strandmap.plans import cards, graph, index, retrieval, search, vector_index
@@ -64,7 +64,7 @@ SELECT doc_id, nth, (1 + length(left(text, pos)) - length(replace(left(text, pos
     SELECT doc_id, text, nth, list_sum(list_transform(s[1:nth], lambda x: length(x)))::BIGINT + (nth - 1) * 3 AS pos FROM e)"""
 )
 def code_references(spark, d):
-    return cards.references(table(spark, d, "documents"), "the", "doc_id").select("doc_id", "nth", F.col("line").cast("int").alias("line"))
+    return cards.references(document_substrings(spark, d), "the", "doc_id").select("doc_id", "nth", F.col("line").cast("int").alias("line"))
 
 
 @query("SELECT page_id, type_list, preview FROM (SELECT page_id, array_to_string(string_split(url, '/')[1:3], ', ') || CASE WHEN len(string_split(url, '/')) > 3 THEN ', …' ELSE '' END AS type_list, CASE WHEN length(f) > 60 THEN rtrim(substring(f, 1, 60)) || '…' ELSE f END AS preview FROM (SELECT *, trim(regexp_replace(html, '\\s+', ' ', 'g')) AS f FROM pages))".replace("\\\\", "\\"))
