@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandmap import ingest
+from strandmap import ingest, repository, store
 from strandmap.adapters import table
 from strandmap.functions import refs
 from strandmap.sources import help_html, modules, text_report, xml_objects
@@ -201,14 +201,14 @@ c AS (SELECT page_id, ord, strpos(lower(part), '</h1>') AS c, part FROM e),
 s AS (SELECT page_id, ord, {_PLAIN.format("CASE WHEN ord > 0 AND c > 0 THEN part[c + 5:] ELSE part END")} AS body FROM c)"""
 
 
-@query(
-    f"""WITH {_SECTIONS},
+_PASSAGES = f"""{_SECTIONS},
 w AS (SELECT page_id, ord, list_transform(string_split(replace(body, '. ', '.' || chr(1)), chr(1)), lambda x: [x]) AS sentences, body FROM s WHERE body <> ''),
 k AS (SELECT page_id, ord, CASE WHEN length(body) <= 2600 THEN [body] ELSE list_reduce(sentences, lambda done, x: CASE WHEN length(done[-1]) + 1 + length(x[1]) <= 2600 THEN list_concat(done[:-2], [done[-1] || ' ' || x[1]]) ELSE list_concat(done, x) END) END AS pieces FROM w),
 n AS (SELECT page_id, ord, unnest(range(0, len(pieces))) AS piece, unnest(pieces) AS body FROM k),
-r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord, piece) - 1 AS i FROM n)
-SELECT 'Help.Page.P' || page_id || CASE WHEN i = 0 THEN '' ELSE '.' || i END AS path, md5(body) AS body FROM r"""
-)
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord, piece) - 1 AS i FROM n)"""
+
+
+@query(f"WITH {_PASSAGES} SELECT 'Help.Page.P' || page_id || CASE WHEN i = 0 THEN '' ELSE '.' || i END AS path, md5(body) AS body FROM r")
 def help_passages(spark, d):
     pages = table(spark, d, "pages").withColumn("owner", F.concat(F.lit("Page.P"), F.col("page_id").cast("string")))
     return help_html.passages(pages, "page_id", "owner").select("path", F.md5("body").alias("body"))
@@ -225,3 +225,62 @@ def normalize_refs(spark, d):
 def form_module_roles(spark, d):
     rows = spark.createDataFrame([("Catalogs/A/Ext/ObjectModule.bsl",), ("Catalogs/A/Forms/F/Ext/Form/Module.bsl",), ("CommonModules/M/Ext/Module.bsl",)], "rel string")
     return rows.select("rel", modules.role_of(F.col("rel")).alias("role"))
+
+
+def _files(spark, d, edited: bool):
+    """An export made of the tables: a catalog a part, a module a document, a help page a page. Edited, a tenth of the parts is gone and the comments of small ones are others."""
+    part = table(spark, d, "part").select("p_partkey", "p_type", "p_size")
+    comment = F.when(F.lit(edited) & (F.col("p_size") < 10), "edited").otherwise(F.col("p_type"))
+    xml = F.concat(F.lit("<MetaDataObject><Catalog><Properties><Name>P"), "p_partkey", F.lit("</Name><Comment>"), comment, F.lit("</Comment></Properties></Catalog></MetaDataObject>"))
+    catalogs = part.select(F.concat(F.lit("Catalogs/P"), "p_partkey", F.lit(".xml")).alias("source_rel"), xml.alias("text"), F.when(F.lit(edited) & (F.col("p_size") < 10), 1).otherwise(0).alias("mtime"))
+    catalogs = catalogs.join(part.where("p_partkey % 10 = 0").select(F.concat(F.lit("Catalogs/P"), "p_partkey", F.lit(".xml")).alias("source_rel")), "source_rel", "left_anti") if edited else catalogs
+    code = F.concat(F.lit("Процедура D"), "doc_id", F.lit("() Экспорт\n"), F.translate("text", '"(/#', "    "), F.lit("\nКонецПроцедуры\nФункция Вторая()\n\tD"), "doc_id", F.lit("();\nКонецФункции\n"))
+    coded = table(spark, d, "documents").select(F.concat(F.lit("CommonModules/M"), "doc_id", F.lit("/Ext/Module.bsl")).alias("source_rel"), code.alias("text"), F.lit(0).alias("mtime"))
+    pages = table(spark, d, "pages").select(F.concat(F.lit("Catalogs/Page"), "page_id", F.lit("/Ext/Help/ru.html")).alias("source_rel"), F.col("html").alias("text"), F.lit(0).alias("mtime"))
+    rows = catalogs.unionByName(coded).unionByName(pages).where("source_rel IS NOT NULL AND text IS NOT NULL")
+    return rows.select("source_rel", F.encode("text", "UTF-8").alias("content"), F.col("mtime").cast("long"), F.octet_length("text").cast("long").alias("size"))
+
+
+def _export(spark, d) -> tuple[repository.Repository, repository.Repository]:
+    """The export as it was and as it is edited: two generations of a stored repository."""
+
+    def build(root: str) -> None:
+        first = repository.update(repository.open_at(spark, root), _files(spark, d, False))
+        repository.update(first, _files(spark, d, True))
+
+    root = store.once(spark, d, "export", build)
+    return repository.open_at(spark, root, 2), repository.open_at(spark, root, 3)
+
+
+_LINES = r"""m AS (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS lines, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)"""
+
+
+@query(
+    f"""WITH {_PASSAGES} SELECT CASE WHEN p_partkey % 10 = 0 THEN 'deleted' WHEN p_size < 10 THEN 'changed' ELSE 'unchanged' END AS item, count(*) AS n FROM (SELECT p_partkey, p_size FROM part UNION ALL SELECT 1, 99 FROM r) GROUP BY 1"""
+)
+def export_changes(spark, d):
+    """What an update of a tenth of an export's files changes, by path: catalogs and help passages."""
+    before, after = _export(spark, d)
+    return repository.changes(before, after).groupBy(F.col("status").alias("item")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {_LINES} SELECT 'ОбщиеМодули.M' || doc_id || '.Методы.Module.D' || doc_id AS path, 'Procedure' AS kind, true AS export, 1 AS line, len(lines) + 2 AS end_line FROM m
+UNION ALL SELECT 'ОбщиеМодули.M' || doc_id || '.Методы.Module.Вторая', 'Function', false, len(lines) + 3, len(lines) + 5 FROM m"""
+)
+def export_methods(spark, d):
+    """Methods of the modules of an export, whose bodies are whole documents."""
+    rows = _export(spark, d)[1].methods
+    return rows.select("path", "kind", "export", "line", F.col("end_line").cast("long").alias("end_line"))
+
+
+@query("SELECT 'ОбщиеМодули.M' || doc_id || '.Методы.Module.Вторая' AS from_path, 'ОбщиеМодули.M' || doc_id || '.Методы.Module.D' || doc_id AS to_path FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL")
+def export_calls(spark, d):
+    """Calls between the methods of an export, by names that are unique in it."""
+    return _export(spark, d)[1].links.where("link_type = 'calls'").select("from_path", "to_path")
+
+
+@query(f"WITH {_PASSAGES} SELECT 'Help.Справочники.Page' || page_id || CASE WHEN i = 0 THEN '' ELSE '.' || i END AS path, md5(body) AS body FROM r")
+def export_help(spark, d):
+    """Help passages of an export."""
+    return _export(spark, d)[1].objects.where("kind = 'Help'").select("path", F.md5("comment").alias("body"))
