@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strandmap import store
 from strandmap.operators import lookup
-from strandmap.plans import substring_index
+from strandmap.plans import adjacency, substring_index
+from strandmap.plans.adjacency import Adjacency
 from strandmap.plans.substring_index import SubstringIndex
 
 
@@ -99,6 +100,11 @@ def made_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def walkable_links(spark: SparkSession, sf_dir: str) -> Adjacency:
+    """The links in both directions, in buckets."""
+    return adjacency.load(spark, store.once(spark, sf_dir, "adjacency", lambda p: adjacency.build(links(spark, sf_dir), p)))
+
+
 LINKS_SQL = """links AS (
     SELECT 'Nation.' || n_name AS from_path, 'Region.' || r_name AS to_path, 'composition' AS link_type
     FROM nation JOIN region ON n_regionkey = r_regionkey

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandmap.adapters import LINKS_SQL, OBJECTS_SQL, document_substrings, links, objects, table
+from strandmap.adapters import LINKS_SQL, OBJECTS_SQL, document_substrings, links, objects, table, walkable_links
 from strandmap.functions import paths, text
 from strandmap import store
 from strandmap.plans import cards, graph, index, retrieval, search, vector_index
@@ -295,7 +295,7 @@ SELECT l.from_path AS path, l.link_type, (min(f.d) + 1)::INTEGER AS depth FROM f
 
 @query(_bfs_sql("Region.EUROPE", 3))
 def impact_bfs(spark, d):
-    return graph.impact(links(spark, d), "Region.EUROPE", 3)
+    return graph.impact(walkable_links(spark, d), "Region.EUROPE", 3)
 
 
 @query(
@@ -303,7 +303,30 @@ def impact_bfs(spark, d):
 SELECT node AS path, min(d)::INTEGER AS depth FROM f WHERE node <> 'Order.1' GROUP BY node"""
 )
 def call_chain_bfs(spark, d):
-    return graph.reach(links(spark, d), "Order.1", 4)
+    return graph.reach(walkable_links(spark, d), "Order.1", 4)
+
+
+@query(
+    f"""WITH RECURSIVE {LINKS_SQL}, f(node, d) AS (SELECT 'Customer.Customer#000000001', 0 UNION SELECT l.to_path, f.d + 1 FROM f JOIN links l ON l.from_path = f.node WHERE f.d < 3),
+firsts AS (SELECT node, min(d) AS d FROM f GROUP BY node)
+SELECT l.to_path AS path, l.link_type, (min(f.d) + 1)::INTEGER AS depth FROM firsts f JOIN links l ON l.from_path = f.node WHERE f.d < 3 GROUP BY ALL"""
+)
+def impact_up(spark, d):
+    return graph.impact(walkable_links(spark, d), "Customer.Customer#000000001", 3, down=False)
+
+
+@query(
+    f"""WITH {LINKS_SQL}, one AS (SELECT n_name AS n, r_name AS r, row_number() OVER (PARTITION BY r_name ORDER BY n_name) AS i FROM nation JOIN region ON n_regionkey = r_regionkey),
+pair AS (SELECT a.n AS a, b.n AS b, a.r FROM one a JOIN one b ON a.r = b.r AND a.i = 1 AND b.i = 2 WHERE a.r = 'ASIA')
+SELECT 1::INTEGER AS hop, 'Nation.' || a AS from_object, 'Region.' || r AS to_object, 'composition' AS link_type, 'forward' AS direction FROM pair
+UNION ALL SELECT 2, 'Region.' || r, 'Nation.' || b, 'composition', 'backward' FROM pair"""
+)
+def path_over_objects(spark, d):
+    """A path of two hops between objects that no link joins."""
+    region = table(spark, d, "region").where("r_name = 'ASIA'").select(F.col("r_regionkey").alias("n_regionkey"))
+    a, b = (r.n_name for r in table(spark, d, "nation").join(region, "n_regionkey").orderBy("n_name").select("n_name").limit(2).collect())
+    found = graph.path_between(walkable_links(spark, d), f"Nation.{a}", f"Nation.{b}")
+    return found.select("hop", "from_object", "to_object", "link_type", "direction")
 
 
 @query(_L + "SELECT from_path, to_path, link_type AS types, substring(from_path, 9) AS field FROM links WHERE starts_with(from_path, 'Order.1.') AND to_path = (SELECT min(to_path) FROM links WHERE starts_with(from_path, 'Order.1.') AND link_type = 'movements')")
