@@ -250,6 +250,19 @@ def _days(key: bytes) -> np.ndarray:
     return np.random.default_rng(seed).permutation((LAST_DAY - FIRST_DAY).days + 1)
 
 
+# Letters that initials may be, by script.
+_LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+
+
+@lru_cache(maxsize=16)
+def _initials(key: bytes, script: str) -> dict[str, str]:
+    """A permutation of the letters that the key draws, without a letter that stays itself, so different initials stay different."""
+    letters = _LETTERS[script]
+    seed = int.from_bytes(hmac.new(key, f"initials|{script}".encode(), hashlib.sha256).digest(), "big")
+    ring = [letters[i] for i in np.random.default_rng(seed).permutation(len(letters)).tolist()]
+    return dict(zip(ring, ring[1:] + ring[:1], strict=True))
+
+
 def _canonical(kind: str, value: str, text: str, at: int) -> str | None:
     """What all ways to write an entity have in common; None if a check tells that it is none."""
     if kind == "email":
@@ -271,6 +284,8 @@ def _canonical(kind: str, value: str, text: str, at: int) -> str | None:
             return ipaddress.IPv6Address(value).exploded if any(c.isdigit() for c in value) else None
         except ValueError:
             return None
+    if kind == "card" and len(value) != 16 and value.isdigit() and not luhn(value):
+        return None  # neither the usual length nor a card's checksum: a time, the number of a book
     if kind == "phone" and value[0] == "+":
         country = re.match(r"\+\d+", value).group()
         return f"{country if len(country) <= 4 and len(country) < len(value) else '+'}|{re.sub(r'[^0-9]', '', value)}"
@@ -395,6 +410,8 @@ def surrogate(key: bytes, kind: str, canonical: str, draw: int = 0) -> str:
         return _digits(s, len(canonical) + wide)
     gender, _, word = canonical.partition(":")
     script = _script(word)
+    if len(word) == 1:
+        return f"{gender}:{_initials(key, script).get(word, word)}"
     if kind == "surname":
         endings = _SURNAME_ENDINGS[(script, gender)]
     else:
@@ -427,8 +444,8 @@ def render(kind: str, written: str, canonical: str) -> str:
         return new.upper() if written.upper() == written and written.lower() != written else new
     if kind in _NAME_KINDS:
         word = canonical.partition(":")[2]
-        if len(written) == 1:  # an initial stays one, and is another letter
-            return next(c for c in word if c != written.lower()).upper()
+        if len(written) == 1:  # an initial stays one
+            return word.upper()
         return word.upper() if len(written) > 1 and written.isupper() else word.capitalize()
     digits = iter(canonical.rpartition("|")[2])
     out = "".join(next(digits, "0") if c.isdigit() else c for c in written)
@@ -438,19 +455,29 @@ def render(kind: str, written: str, canonical: str) -> str:
 _HAS_DIGIT_OR_AT = np.zeros(256, bool)
 _HAS_DIGIT_OR_AT[48:58] = True
 _HAS_DIGIT_OR_AT[ord("@")] = True
+_IS_HEX = np.zeros(256, bool)
+_IS_HEX[[*range(48, 58), *range(65, 71), *range(97, 103)]] = True
+# What access keys without a digit begin with.
+_KEY_BYTES = [b"sk-", b"AKIA", b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_", b"xox", b"AIza", b"eyJ"]
 
 
 def _suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows that may hold an entity: they have a digit, an @ or a title. All others are clean."""
-    mark = np.flatnonzero(_HAS_DIGIT_OR_AT[data])
+    """Rows that may hold an entity: a digit, an @, a title, what a key begins with, or 32 hexadecimal digits in a row.
+
+    Every type but these has a digit in its pattern: ``find`` has nothing for other rows.
+    """
     raw = data.tobytes()
-    places = [mark]
-    for title in _TITLE_BYTES:
-        at, found = raw.find(title), []
+    places = [np.flatnonzero(_HAS_DIGIT_OR_AT[data])]
+    for word in (*_TITLE_BYTES, *_KEY_BYTES):
+        at, found = raw.find(word), []
         while at >= 0:
             found.append(at)
-            at = raw.find(title, at + 1)
+            at = raw.find(word, at + 1)
         places.append(np.array(found, np.int64))
+    # A run may go on over the end of a row; one of 32 within a row holds a multiple of 16 of the run.
+    stops = np.concatenate([[-1], np.flatnonzero(~_IS_HEX[data]), [len(data)]])
+    for i in np.flatnonzero(np.diff(stops) > 32).tolist():
+        places.append(np.arange(stops[i] + 1, stops[i + 1], 16))
     return np.unique(np.searchsorted(offsets, np.concatenate(places), side="right") - 1)
 
 
@@ -485,11 +512,13 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """(type, canonical, draw, surrogate): distinct surrogates, none of which is an entity itself.
 
     entities: distinct (type, canonical). Of several with one surrogate the
-    smallest stays and the others draw again. Days of birth are too few to
-    avoid each other's: they are permuted, so they stay distinct, but the
-    surrogate of one may be another's day.
+    smallest stays and the others draw again. Days of birth and initials are too
+    few to avoid each other's: they are permuted, so they stay distinct, but the
+    surrogate of one may be another's.
     """
     schema = "type string, canonical string, draw int, surrogate string"
+    # Initials are a letter behind their gender.
+    _permuted = (F.col("type") == "birthdate") | (F.col("type").isin(*_NAME_KINDS) & (F.length(F.substring_index("canonical", ":", -1)) == 1))
     taken = entities.select("type", F.col("canonical").alias("surrogate"))
     new = stored(entities.select("type", "canonical", F.lit(0).alias("draw")).mapInArrow(lean(_draw(key)), schema), "surrogates")
     settled = None
@@ -500,7 +529,7 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
         used = used.join(drawn, ["type", "surrogate"], "left_semi").distinct().withColumn("_used", F.lit(True))
         winners = new.groupBy("type", "surrogate").agg(F.min("canonical").alias("winner"))
         judged = new.join(winners, ["type", "surrogate"]).join(used, ["type", "surrogate"], "left")
-        judged = stored(judged.select("type", "canonical", "draw", "surrogate", ((F.col("type") != "birthdate") & ((F.col("canonical") != F.col("winner")) | F.col("_used").isNotNull())).alias("bad")), "judged")
+        judged = stored(judged.select("type", "canonical", "draw", "surrogate", (~_permuted & ((F.col("canonical") != F.col("winner")) | F.col("_used").isNotNull())).alias("bad")), "judged")
         good = judged.where("not bad").drop("bad")
         settled = good if settled is None else settled.unionByName(good)
         bad = judged.where("bad").select("type", "canonical", (F.col("draw") + 1).alias("draw"))
