@@ -47,6 +47,11 @@ def made_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def object_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objects sorted by their folded names."""
+    return spark.read.parquet(store.once(spark, sf_dir, "object-names", lambda p: lookup.write_names(objects(spark, sf_dir), p)))
+
+
 def object_substrings(spark: SparkSession, sf_dir: str) -> SubstringIndex:
     """The substring index of the objects' names, comments and paths."""
     # Orders and lines alike have paths of their own, so the path is the key.

@@ -91,7 +91,7 @@ class Engine:
             links = self._in(self.links, context)
             outgoing = links.where(F.col("from_path").isin(self._spellings(path))).select("link_type", F.col("to_path").alias("other"), F.lit("out").alias("direction"))
             incoming = graph.named_usages(links, self._spellings(path)).select("link_type", F.col("from_path").alias("other"), F.lit("in").alias("direction"))
-            out["links"] = outgoing.unionByName(incoming).groupBy("direction", "link_type").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("other")), 1, 50).alias("first"))
+            out["links"] = rollups.with_first(outgoing.unionByName(incoming), ["direction", "link_type"], "other", 50)
         if level == "full":
             out |= {"structure": self.get_structure(context, path), "children": self._in(self.objects, context).where(paths.strictly_under(F.col("path"), path))}
         return out

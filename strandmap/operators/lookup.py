@@ -45,9 +45,24 @@ def by_paths(objects: DataFrame, wanted: list[str]) -> DataFrame:
     return objects.where(F.col("path").isin(wanted))
 
 
+def write_names(objects: DataFrame, path: str) -> None:
+    """Store objects once more, sorted by their folded names (column folded), so that lookups by name skip files and row groups."""
+    rows = objects.withColumn("folded", text.fold(F.col("name")))
+    # The path parts names that many objects have.
+    rows.repartitionByRange("folded", "path").sortWithinPartitions("folded", "path").write.parquet(path)
+
+
+def named(objects: DataFrame, names: list[str]) -> DataFrame:
+    """Objects with one of some names; frames of ``write_names`` are pruned by the folded ones."""
+    if "folded" in objects.columns:
+        objects = objects.where(F.col("folded").isin(sorted({n.lower().replace("ё", "е") for n in names}))).drop("folded")
+    return objects.where(F.col("name").isin(names))
+
+
 def exact_names(objects: DataFrame, names: list[str], prefix: str | None = None) -> DataFrame:
-    """Objects named as requested, in the variants of ``name_variants``, with the ordinal of the request."""
-    found = filter_objects(objects, prefix=prefix).join(_requests(objects.sparkSession, names), "name")
+    """Objects named as requested, in the variants of ``name_variants``, with the ordinal of the request; names are pushed to the scan."""
+    wanted = list(dict.fromkeys(v for n in names for v in name_variants(n)))
+    found = filter_objects(named(objects, wanted), prefix=prefix).join(_requests(objects.sparkSession, names), "name")
     best = Window.partitionBy("path").orderBy("ordinal")
     return found.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
@@ -109,8 +124,12 @@ def token_score(tokens: list[str]) -> Column:
     return score
 
 
-def identifier(objects: DataFrame, query: str) -> DataFrame:
-    """Objects by path, else by name: stage 0 or 1, the better one alone for each path."""
+def identifier(objects: DataFrame, query: str, names: DataFrame | None = None) -> DataFrame:
+    """Objects by path, else by name: stage 0 or 1, the better one alone for each path; with ``names`` (see ``write_names``) both lookups skip files."""
+    if names is not None:
+        by_path = objects.where(F.col("path") == query).withColumn("stage", F.lit(0))
+        by_name = named(names, [query]).where(F.col("path") != query).withColumn("stage", F.lit(1))
+        return by_path.unionByName(by_name.select(*by_path.columns))
     found = objects.where((F.col("path") == query) | (F.col("name") == query))
     return found.withColumn("stage", F.when(F.col("path") == query, 0).otherwise(1))
 

@@ -61,3 +61,10 @@ def sessions(events: DataFrame, keys: list[str], ts: str, gap: str) -> DataFrame
     """Runs of events of a key without a longer pause than the gap."""
     out = events.groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n"), F.max(ts).alias("last_ts"))
     return out.select(*keys, F.col("w.start").alias("first_ts"), "last_ts", "n")
+
+
+def with_first(rows: DataFrame, by: list[str], value: str, most: int) -> DataFrame:
+    """(by, n, first): rows of each group, and its first ``most`` distinct values; no more than these are gathered."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(value))
+    first = rows.select(*by, value).distinct().withColumn("_n", place).where(F.col("_n") <= most)
+    return rows.groupBy(*by).agg(F.count("*").alias("n")).join(first.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("first")), by)

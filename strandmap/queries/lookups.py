@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandmap.adapters import OBJECTS_SQL, document_substrings, object_substrings, objects, table
+from strandmap.adapters import OBJECTS_SQL, document_substrings, object_names, object_substrings, objects, table
 from strandmap.functions import paths, text
 from strandmap.operators import lookup
 
@@ -68,7 +68,7 @@ variants AS (SELECT name, min(i) AS ordinal FROM (
 SELECT path, name, min(ordinal)::INTEGER AS ordinal FROM objects JOIN variants USING (name) GROUP BY ALL"""
 )
 def exact_name_variants(spark, d):
-    return lookup.exact_names(objects(spark, d), _NAMES).select("path", "name", "ordinal")
+    return lookup.exact_names(object_names(spark, d), _NAMES).select("path", "name", "ordinal")
 
 
 @query(
@@ -138,8 +138,8 @@ def token_score(spark, d):
 
 @query(_O + "SELECT path, CASE WHEN path = 'Nation.PERU' THEN 0 ELSE 1 END AS stage FROM objects WHERE path = 'Nation.PERU' OR name = 'Nation.PERU' UNION ALL SELECT path, 1 FROM objects WHERE name = 'Supplier#000000002'")
 def identifier_lane(spark, d):
-    o = objects(spark, d)
-    return lookup.identifier(o, "Nation.PERU").unionByName(lookup.identifier(o, "Supplier#000000002")).select("path", "stage")
+    o, names = objects(spark, d), object_names(spark, d)
+    return lookup.identifier(o, "Nation.PERU", names).unionByName(lookup.identifier(o, "Supplier#000000002", names)).select("path", "stage")
 
 
 @query(_O + "SELECT path, CASE WHEN name LIKE '%#000000012' OR name = '000000012' THEN 0 ELSE 1 END AS rank FROM objects WHERE kind = 'Customer' AND name LIKE '%000000012'")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def write_snapshot(frame: DataFrame, path: str, by: str = "entity_id", sort: str = "path") -> None:
-    """Replace the partitions of the entities in ``frame`` and no others; rows are sorted within files, so scans skip."""
-    frame.repartition(by).sortWithinPartitions(by, sort).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    """Replace the partitions of the entities in ``frame`` and no others; rows are dealt and sorted by ranges, so a large entity is many files and scans skip."""
+    frame.repartitionByRange(by, sort).sortWithinPartitions(by, sort).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def append_log(events: DataFrame, path: str) -> None:

@@ -42,3 +42,17 @@ def test_context_cap_hands_on_first_hits_only(spark, sf):
 def test_stored_objects_are_pruned_by_kind_and_path(spark, sf):
     text = plan(lookup.filter_objects(adapters.objects(spark, sf), kind="Customer", prefix="Customer.C").select("path"))
     assert "PartitionFilters: [isnotnull(kind" in text and "StringStartsWith(path,Customer.C.)" in text and "comment" not in text
+
+
+def test_names_are_pruned_by_their_folded_form(spark, sf):
+    text = plan(lookup.exact_names(adapters.object_names(spark, sf), ["germany", "FRANCE"]).select("path"))
+    assert "In(folded, [france,germany])" in text and "In(name, [" in text and "comment" not in text
+    text = plan(lookup.identifier(adapters.objects(spark, sf), "Nation.PERU", adapters.object_names(spark, sf)).select("path"))
+    assert "EqualTo(folded,nation.peru)" in text and "EqualTo(path,Nation.PERU)" in text
+
+
+def test_first_values_are_bounded(spark):
+    rows = spark.range(3000).selectExpr("id % 2 AS g", "concat('v', id % 500) AS v")
+    found = rollups.with_first(rows, ["g"], "v", 3)
+    assert {(r.g, r.n, tuple(r["first"])) for r in found.collect()} == {(0, 1500, ("v0", "v10", "v100")), (1, 1500, ("v1", "v101", "v103"))}
+    assert "WindowGroupLimit" in plan(found)
