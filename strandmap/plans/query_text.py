@@ -1,26 +1,37 @@
 """What a question's wording tells about names: stems, quoted and typed names, candidates, aliases.
 
 All of it runs on one short string in the driver and ends as literals in a plan.
-Suffixes and word lists belong to a language, which is a parameter.
+The stemmer and word lists belong to a language, which is a parameter.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from heapq import nlargest
+
+from strandmap.functions import stemmer
 
 _WORD = re.compile(r"[^\W_]+")
 _QUOTED = re.compile(r"«([^»]{2,80})»|\"([^\"]{2,80})\"|“([^”]{2,80})”")
 
 
+#: Letters that a stem has at least to find names by, and from which on it is long.
+LEAST_STEM, LONG_STEM = 4, 8
+
+
 @dataclass(frozen=True)
 class Language:
-    """Endings that an inflected word may lose, words too common to name anything, and words of processes rather than things."""
+    """How words are stemmed, words too common to name anything, and words of processes rather than things."""
 
-    suffixes: tuple[str, ...] = ()
     weak: frozenset[str] = frozenset()
     process: frozenset[str] = frozenset()
+    stem: Callable[[str], str] = stemmer.russian
+
+    def passes_over(self, word: str) -> bool:
+        """Whether a word, in any form, names nothing by itself."""
+        return self.stem(fold(word)) in {self.stem(fold(w)) for w in self.weak | self.process}
 
 
 def fold(text: str) -> str:
@@ -31,14 +42,10 @@ def words(query: str) -> list[str]:
     return list(dict.fromkeys(_WORD.findall(fold(query))))
 
 
-def inflection_stem(token: str, language: Language, least: int = 5, most: int = 12) -> str:
-    """The token without its longest known ending, which leaves more than four letters, cut to ``most``, capitalised; empty if too short."""
-    word = fold(token)
-    if len(word) < least:
-        return ""
-    ending = next((s for s in sorted(language.suffixes, key=len, reverse=True) if word.endswith(s) and len(word) > len(s) + 4), "")
-    stem = word[: len(word) - len(ending)][:most]
-    return stem[0].upper() + stem[1:] if len(stem) >= least else ""
+def name_stem(token: str, language: Language) -> str:
+    """The stem of a word as a name would begin with it; empty if it is too short to tell names apart."""
+    stem = language.stem(fold(token))
+    return stem.capitalize() if len(stem) >= LEAST_STEM else ""
 
 
 def quoted(query: str) -> list[str]:
@@ -88,16 +95,23 @@ def alias_terms(query: str, aliases: Mapping[str, list[str]]) -> list[str]:
     return list(dict.fromkeys(found))
 
 
+def _evidence(query: str, language: Language) -> dict[str, float]:
+    """What speaks for each stem of a query: that a quoted span, or one in brackets, has a word of that stem, and its length."""
+    marks = [(3.0, quoted(query)), (2.0, bracketed(query))]
+    told = {stem: weight for weight, spans in reversed(marks) for span in spans for stem in (name_stem(w, language) for w in words(span))}
+    stems = dict.fromkeys(name_stem(w, language) for w in words(query) if not language.passes_over(w))
+    return {s: told.get(s, 0.0) + min(len(s), 20) / 20 for s in stems if s}
+
+
 def stem_plan(query: str, language: Language, long_trees: tuple[str, ...], short_trees: tuple[str, ...], quota: int = 2) -> list[tuple[str, str]]:
-    """(tree, stem) pairs to look for: words in quotes first, then those in brackets, then longer ones.
+    """(tree, stem) pairs to look for, those with most evidence first.
 
-    Stems of eight letters or more go to the long trees, shorter ones to the
-    short trees, ``quota`` of each, so neither kind crowds the other out.
+    Long stems are looked for in the long trees, others in the short trees, and
+    each kind has ``quota`` stems, so neither crowds the other out.
     """
-    in_quotes, in_brackets = (" ".join(map(fold, f(query))) for f in (quoted, bracketed))
-    near = lambda t, blob: any(w.startswith(t[:5]) or t.startswith(w[:5]) for w in _WORD.findall(blob) if len(w) >= 3)
-    tokens = [t for t in words(query) if len(t) >= 5 and t not in language.weak and t not in language.process]
-    tokens.sort(key=lambda t: (-near(t, in_quotes), -near(t, in_brackets), -len(t)))
-    stems = [s for s in dict.fromkeys(inflection_stem(t, language) for t in tokens) if s and fold(s) not in language.process]
-    chosen = [s for s in stems if len(s) >= 8][:quota] + [s for s in stems if len(s) < 8][:quota]
-    return [(tree, s) for s in stems if s in chosen for tree in (long_trees if len(s) >= 8 else short_trees)]
+    worth = _evidence(query, language)
+    plan = []
+    for trees, fits in ((long_trees, lambda s: len(s) >= LONG_STEM), (short_trees, lambda s: len(s) < LONG_STEM)):
+        plan += [(worth[s], s, trees) for s in nlargest(quota, filter(fits, worth), key=worth.__getitem__)]
+    plan.sort(key=lambda p: -p[0])
+    return [(tree, stem) for _, stem, trees in plan for tree in trees]

@@ -10,12 +10,13 @@ from strandmap.operators import lookup
 from strandmap.plans import graph, lanes, query_text, retrieval
 from strandmap.sources import layout, modules, xml_objects
 
-RU = query_text.Language(suffixes=("ами", "ями", "ице", "ов", "и", "ы", "а", "е"), weak=frozenset({"документ"}), process=frozenset({"распределить"}))
+RU = query_text.Language(weak=frozenset({"документ", "где", "что"}), process=frozenset({"распределить"}))
 
 
 def test_stems():
-    assert query_text.inflection_stem("пересортице", RU) == "Пересорт" and query_text.inflection_stem("курсы", RU) == "Курсы"
-    assert query_text.inflection_stem("цена", RU) == "" and query_text.inflection_stem("инвентаризациями", RU) == "Инвентаризац"
+    assert query_text.name_stem("пересортице", RU) == "Пересортиц" and query_text.name_stem("Курсы", RU) == "Курс"
+    assert query_text.name_stem("цена", RU) == "" and query_text.name_stem("инвентаризациями", RU) == "Инвентаризац"
+    assert RU.passes_over("документами") and not RU.passes_over("курсы") and query_text.Language(stem=lambda w: w[:3]).stem("abcd") == "abc"
 
 
 def test_quoted_and_typed_names():
@@ -30,8 +31,13 @@ def test_quoted_and_typed_names():
 def test_aliases_and_stem_plan():
     aliases = {"остат": ["StockReport"], "валовая прибыль": ["Margin"], "нет": ["Never"]}
     assert query_text.alias_terms("Остатки и валовая прибыль", aliases) == ["StockReport", "Margin"]
-    plan = query_text.stem_plan("распределить документ по курсы «пересортице» инвентаризациями статусы", RU, ("Документы", "Регистры"), ("Сведения",))
-    assert plan == [("Документы", "Пересорт"), ("Регистры", "Пересорт"), ("Документы", "Инвентаризац"), ("Регистры", "Инвентаризац"), ("Сведения", "Статус"), ("Сведения", "Курсы")]
+    trees = (("Документы", "Регистры"), ("Сведения",))
+    plan = query_text.stem_plan("распределить документы по курсам «пересортице» инвентаризациями статусы", RU, *trees)
+    assert plan == [("Документы", "Пересортиц"), ("Регистры", "Пересортиц"), ("Документы", "Инвентаризац"), ("Регистры", "Инвентаризац"), ("Сведения", "Статус"), ("Сведения", "Курс")]
+    # A word in another form of a quoted or bracketed one comes before longer words; each kind keeps its quota.
+    plan = query_text.stem_plan("номенклатуры, контрагенты и соглашения: пересортицей (контрагентов) «пересортица»", RU, *trees, quota=2)
+    assert [s for t, s in plan if t == "Документы"] == ["Пересортиц", "Контрагент"]
+    assert query_text.stem_plan("где что", RU, *trees) == []
 
 
 def test_phrases_reach_the_name_lane(spark):
