@@ -51,11 +51,16 @@ def lanes(objects: DataFrame, query: str, prefix: str | None = None, profile: Ra
     return rows.withColumn("raw_score", score)
 
 
-def strong(hits: DataFrame, query: str) -> bool:
-    """Whether two root hits or more each cover two content tokens: then help pages add nothing."""
+def strong_hits(hits: DataFrame, query: str, most: int) -> int:
+    """How many roots among the hits, help pages aside, cover two content words of the query or its only one; counts to ``most``."""
     tokens = content_tokens(query)
     n = reduce(lambda a, b: a + b, (text.fold(F.concat_ws(" ", "name", "path")).contains(t).cast("int") for t in tokens), F.lit(0))
-    return hits.where(paths.is_root(F.col("path")) & (F.col("kind") != "Help") & (n >= 2)).limit(2).count() == 2
+    return hits.where(paths.is_root(F.col("path")) & (F.col("kind") != "Help") & (n >= min(2, max(1, len(tokens))))).limit(most).count()
+
+
+def strong(hits: DataFrame, query: str) -> bool:
+    """Whether two root hits or more are strong: then help pages add nothing."""
+    return strong_hits(hits, query, 2) == 2
 
 
 def find(objects: DataFrame, query: str, prefix: str | None = None, limit: int = 20, profile: RankProfile | None = None) -> DataFrame:

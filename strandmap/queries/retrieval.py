@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandmap.adapters import LINKS_SQL, OBJECTS_SQL, document_substrings, links, objects, table, walkable_links
 from strandmap.functions import paths, text
 from strandmap import store
-from strandmap.plans import cards, graph, index, retrieval, search, vector_index
+from strandmap.plans import cards, graph, index, retrieval, search, staged, vector_index
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -378,3 +378,26 @@ SELECT role, section, name, CASE WHEN count(*) = 2 THEN 'both' WHEN min(o) = 'O1
 )
 def compare_objects(spark, d):
     return cards.compare(_items(spark, d), "Документы.O1", "Документы.O2")
+
+
+def _staged(spark, d, query: str):
+    o = objects(spark, d).withColumn("synonym", F.lit(""))
+    pages = _corpus(spark, d).select("path", "kind", "name", "comment", "synonym")
+    found = staged.recall(o, query, help_pages=pages)
+    return found.hits.select("path", "lane").withColumn("stages", F.lit(",".join(found.stages)))
+
+
+@query(_O + "SELECT path, 'stem' AS lane, 'names,stems' AS stages FROM objects WHERE length(path) - length(replace(path, '.', '')) = 1 AND (starts_with(lower(name), 'custom') OR starts_with(lower(name), '000000'))")
+def staged_without_help(spark, d):
+    """A question that names enough roots: token search and help pages are skipped."""
+    return _staged(spark, d, "customer 00000001")
+
+
+@query(
+    f"""WITH {OBJECTS_SQL}, help AS (SELECT 'Help.' || source || '.' || doc_id AS path, replace(lower('Doc' || doc_id || chr(10) || substring(text, 1, 200) || chr(10) || 'Help.' || source || '.' || doc_id), 'ё', 'е') AS hay FROM documents),
+named AS (SELECT path, replace(lower(name || chr(10) || comment || chr(10) || path), 'ё', 'е') AS hay FROM objects)
+SELECT path, 'tokens' AS lane, 'names,stems,tokens,help' AS stages FROM (SELECT * FROM help UNION ALL SELECT * FROM named) WHERE contains(hay, 'heon') AND contains(hay, 'than')"""
+)
+def staged_with_help(spark, d):
+    """A question whose words no object has: all stages run, help pages last."""
+    return _staged(spark, d, "heon than")
