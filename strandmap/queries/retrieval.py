@@ -117,13 +117,13 @@ def _corpus(spark, d):
     return rows
 
 
-def _index(spark, d) -> index.TextIndex:
+def documents_index(spark, d) -> index.TextIndex:
     """The full-text index of all documents, built by the first query that asks for it."""
     path = store.once(spark, d, "documents-index", lambda p: index.build(_corpus(spark, d), p, "doc_id", carry=("context", "kind", "path")))
     return index.load(spark, path)
 
 
-def _vectors(spark, d) -> vector_index.VectorIndex:
+def vectors_index(spark, d) -> vector_index.VectorIndex:
     """The vector index of all embeddings, likewise."""
     vectors = lambda: table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     return vector_index.load(spark, store.once(spark, d, "embeddings-index", lambda p: vector_index.build(vectors(), p, "doc_id")))
@@ -131,20 +131,20 @@ def _vectors(spark, d) -> vector_index.VectorIndex:
 
 @query(f"WITH {_bm25_sql(_WORDS)} SELECT doc_id, round(raw, 6) AS raw_score FROM bm ORDER BY raw DESC, doc_id LIMIT 25")
 def bm25_topk(spark, d):
-    hits = _index(spark, d).bm25(retrieval.query_terms("Than heon thing"))
+    hits = documents_index(spark, d).bm25(retrieval.query_terms("Than heon thing"))
     return retrieval.top(hits, 25, "doc_id").select("doc_id", F.round("raw_score", 6).alias("raw_score"))
 
 
 @query(f"WITH {_bm25_sql(['thatha', 'on'], ('thatha',))} SELECT doc_id, round(raw, 6) AS raw_score FROM bm ORDER BY raw DESC, doc_id LIMIT 25")
 def bm25_prefix_expand(spark, d):
-    hits = _index(spark, d).bm25(retrieval.query_terms("thatha on", expand_from=6))
+    hits = documents_index(spark, d).bm25(retrieval.query_terms("thatha on", expand_from=6))
     return retrieval.top(hits, 25, "doc_id").select("doc_id", F.round("raw_score", 6).alias("raw_score"))
 
 
 @query(f"WITH {_bm25_sql(['th', 'on'], ('th',))} SELECT doc_id, round(raw, 6) AS raw_score FROM bm ORDER BY raw DESC, doc_id LIMIT 40")
 def bm25_short_prefix(spark, d):
     """A prefix of two letters, which is many ranges of the dictionary."""
-    hits = _index(spark, d).bm25([retrieval.Term("th", prefix=True), retrieval.Term("on")])
+    hits = documents_index(spark, d).bm25([retrieval.Term("th", prefix=True), retrieval.Term("on")])
     return retrieval.top(hits, 40, "doc_id").select("doc_id", F.round("raw_score", 6).alias("raw_score"))
 
 
@@ -207,7 +207,7 @@ _COS = "cos AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELE
 
 @query(f"WITH {_COS} SELECT vec_id, round(raw, 6) AS raw_score FROM cos ORDER BY raw DESC, vec_id LIMIT 20")
 def cosine_topk(spark, d):
-    hits = _vectors(spark, d).search(_query_vector(spark, d), 20)
+    hits = vectors_index(spark, d).search(_query_vector(spark, d), 20)
     return hits.select(F.col("doc_id").alias("vec_id"), F.round("raw_score", 6).alias("raw_score"))
 
 
@@ -225,8 +225,8 @@ l2 AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY raw DESC, vec_id) AS
 SELECT doc_id, round(sum(1.0::DOUBLE / (60 + r)), 6) AS score FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY doc_id"""
 )
 def rrf_hybrid(spark, d):
-    lexical = _index(spark, d).bm25(retrieval.query_terms("than heon thing"))
-    vector = _vectors(spark, d).search(_query_vector(spark, d), 80)
+    lexical = documents_index(spark, d).bm25(retrieval.query_terms("than heon thing"))
+    vector = vectors_index(spark, d).search(_query_vector(spark, d), 80)
     return retrieval.fuse([lexical, vector], "doc_id", 80).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -270,18 +270,18 @@ SELECT {columns} FROM (SELECT *, row_number() OVER (ORDER BY score DESC, raw DES
 
 @query(_search_sql(_WORDS, "rank, context, path, round(score, 6) AS score", vector=True))
 def semantic_search(spark, d):
-    hits = search.search(_index(spark, d), "than heon thing", k=20, vector=_query_vector(spark, d), vectors=_vectors(spark, d))
+    hits = search.search(documents_index(spark, d), "than heon thing", k=20, vector=_query_vector(spark, d), vectors=vectors_index(spark, d))
     return hits.select("rank", "context", "path", F.round("score", 6).alias("score"))
 
 
 @query(_search_sql(_WORDS, "rank, path, round(score, 6) AS score", where="source = 'src3'"))
 def help_search(spark, d):
-    return search.search(_index(spark, d), "than heon thing", k=20, prefix="Help.src3", kind="Help").select("rank", "path", F.round("score", 6).alias("score"))
+    return search.search(documents_index(spark, d), "than heon thing", k=20, prefix="Help.src3", kind="Help").select("rank", "path", F.round("score", 6).alias("score"))
 
 
 @query(_search_sql(["than", "heon", "la"], "rank, context, path, round(score, 6) AS score", where="lang IN ('en', 'fr')"))
 def federated_search(spark, d):
-    hits = search.search(_index(spark, d), "than heon la", k=20, contexts=["en", "fr"])
+    hits = search.search(documents_index(spark, d), "than heon la", k=20, contexts=["en", "fr"])
     return hits.select("rank", "context", "path", F.round("score", 6).alias("score"))
 
 
