@@ -63,7 +63,8 @@ def search(corpus: DataFrame | TextIndex, query: str, k: int = 20, vector: list[
         if vectors is None:
             near = cosine(rows, vector)
         else:
-            found = vectors.search(vector, pool, rows.select(F.col("_row").alias(vectors.key)) if filtered else None)
+            # A vector that stands for none of the rows takes no place in the pool.
+            found = vectors.search(vector, pool, rows.select(F.col("_row").alias(vectors.key)))
             near = rows.join(F.broadcast(found.withColumnRenamed(vectors.key, "_row")), "_row")  # the pool's rows
         legs.append(top(_best_chunk(near), pool, "_row"))
     fused = F.broadcast(fuse(legs, "_key", pool, tie="_row"))  # some hundred rows
