@@ -32,6 +32,9 @@ PLACES, BAND = 128, 4
 ESTIMATE = 0.6
 #: Rows of a bucket that one tile holds on a side, and elements of their sets.
 TILE, TILE_ELEMENTS = 512, 4_000_000
+#: Tiles of one row that meet its set in one task: a square of tiles has this many on a side.
+SQUARE_BITS = 5
+SQUARE = 1 << SQUARE_BITS
 #: Ids that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 _SLICE = 1_000_000
@@ -215,6 +218,19 @@ def _tiles(labelled: DataFrame) -> DataFrame:
     return rows.withColumn("t", F.explode(tiles)).select("bucket", "band", "t.x", "t.y", "t.side", "a", "component", "n")
 
 
+def deal_sets(tiles: DataFrame, payload: DataFrame) -> DataFrame:
+    """``tiles`` with the payload of their a, and no crowd of tiles of one a in one task.
+
+    A stray row of a bucket with a large component is in a tile for each piece
+    of it, in up to all bands. Its tiles are cut into squares of ``SQUARE`` by
+    ``SQUARE``, of which a row touches ``SQUARE`` tiles a band at the most, and
+    the payload is sent once a square.
+    """
+    square = F.xxhash64(F.shiftright("x", SQUARE_BITS), F.shiftright("y", SQUARE_BITS))
+    tiles = tiles.withColumn("piece", square)
+    return tiles.join(_dealt(tiles, payload), ["a", "piece"]).drop("piece")
+
+
 def _tile_links(percent: int, estimate: float):
     """Links between different components of a tile, tested on full sets.
 
@@ -297,7 +313,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     tiles = stored(_tiles(labelled), "tiles")
     sets = full_sets(docs, tiles.select(F.col("a").alias("doc_id")).distinct(), width).toDF("a", "elements")
     payload = sets.join(classes.select("a", "signature"), "a")
-    dealt = tiles.join(payload, "a").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    dealt = deal_sets(tiles, payload).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     more = stored(dealt.mapInArrow(lean(_tile_links(percent, ESTIMATE)), "a long, b long").distinct(), "more")
     groups = connected_components(links.unionByName(more)).withColumnRenamed("node", "a")
 
