@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmap.llm.common import lean, maybe_broadcast, ship, stored
+from strandmap.llm.common import fits, lean, maybe_broadcast, meet, ship, stored
 
 #: Documents of one piece of rounding, Newton steps at most, and the decrease, in shares of all tokens, that ends them.
 PIECE, STEPS, TOLERANCE = 2048, 40, 1e-12
 #: Groups of the second constraint at most: its Newton system is solved on the driver.
 MOST_CLASSES = 64
+#: Rows alike in id, source and size that go to one piece together, and sources whose plan is broadcast at most.
+ALIKE, BROADCAST_SOURCES = 256, 100_000
 #: Words from which on a document belongs to the next length class, and how far, in shares of all tokens for a unit of
 #: its multiplier, a class may stay from its share.
 LENGTHS, SLACK = (64, 256, 1024, 4096), 0.02
@@ -230,8 +232,9 @@ def round_rates(rates: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _round_piece(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.loc[pdf.index.repeat(pdf["alike"])]
     pdf = pdf.sort_values(["size", "no_id", "doc_id"], ascending=[False, True, True], kind="stable")
-    return pdf.assign(copies=round_rates(pdf["rate"].to_numpy(), pdf["size"].to_numpy())).drop(columns=["key", "piece"])
+    return pdf.assign(copies=round_rates(pdf["rate"].to_numpy(), pdf["size"].to_numpy())).drop(columns=["key", "piece", "alike"])
 
 
 def mix(docs: DataFrame, weights: list[float], share: float = 1.5, cap: float = 2.0, text: str = "text") -> DataFrame:
@@ -266,15 +269,19 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, cap: float =
     of_length = {r.key: r.multiplier for r in multipliers["length"].collect()}
     mu = F.element_at(F.array(*(F.lit(of_length.get(i, 0.0)) for i in range(len(LENGTHS) + 1))), length_class(F.col("size")) + 1)
     pieces = F.ceil(F.col("source_rows") / PIECE).cast("long")
-    plan = totals.join(multipliers["key"], "key", "left").select(F.col("source").alias("_source"), "key", "source_size", "target", F.when(~free, _FULL).otherwise(F.coalesce("multiplier", F.lit(0.0))).alias("own"), free.alias("free"), pieces.alias("pieces"))
-    plan = maybe_broadcast(stored(plan, "mix-plan"), 100_000)
+    plan = totals.join(multipliers["key"], "key", "left").select("key", "source_size", "target", F.when(~free, _FULL).otherwise(F.coalesce("multiplier", F.lit(0.0))).alias("own"), free.alias("free"), pieces.alias("pieces"), "source_rows")
+    plan = stored(plan, "mix-plan")
     rate = F.when(F.col("free"), cap * _sigmoid(F.col("own") + mu)).otherwise(F.lit(float(cap)))
-    tilted = rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("rate", rate).drop("_source", "own", "free")
-    tilted = tilted.withColumn("piece", F.pmod(F.xxhash64("doc_id", "size"), F.col("pieces"))).drop("pieces")
+    # Rows alike, such as those without an id, are counted before they move, and dealt in bounded lots.
+    lots = rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m")).withColumn("key", key)
+    last = F.ceil(F.col("m") / ALIKE).cast("long") - 1
+    lots = lots.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("alike", F.least(F.lit(ALIKE), F.col("m") - F.col("lot") * ALIKE).cast("int")).drop("m")
+    planned = lots.join(F.broadcast(plan), "key") if fits(plan, BROADCAST_SOURCES) else meet(lots, plan, ["key"], "source_rows")
+    tilted = planned.withColumn("rate", rate).withColumn("piece", F.pmod(F.xxhash64("doc_id", "size", "lot"), F.col("pieces")))
     # pandas would make long ids beside nulls floats.
     tilted = tilted.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("long")))
     schema = "doc_id long, no_id boolean, source string, size long, source_size long, target double, rate double, copies long"
-    out = tilted.select("doc_id", "no_id", "source", "size", "key", "piece", "source_size", "target", "rate").groupBy("key", "piece").applyInPandas(_round_piece, schema)
+    out = tilted.select("doc_id", "no_id", "source", "size", "key", "piece", "source_size", "target", "rate", "alike").groupBy("key", "piece").applyInPandas(_round_piece, schema)
     out = out.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
