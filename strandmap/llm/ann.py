@@ -23,11 +23,13 @@ from strandmap.llm.vectors import matrix, runs, usable, width_of
 
 #: Rows that fit the index for each part, and bounds on their number, whatever the size of the table.
 ROWS_A_PART, LEAST_FIT, MOST_FIT = 64, 4096, 65_536
+#: Bytes of the rows that fit the index, as doubles, on the driver.
+FIT_BYTES = 256 * 1024 * 1024
 #: Rows of a part on average, and bounds on the number of parts: small tables are cut into parts too.
 PART_ROWS, LEAST_PARTS, MOST_PARTS = 4096, 8, 1024
 #: Candidates of one piece of a part.
 PIECE = 4096
-_GRAPH_NEIGHBOURS, _HELD_OUT = 10, 256
+_GRAPH_NEIGHBOURS, _HELD_OUT, _LEAST_HELD = 10, 256, 16
 
 
 @dataclass
@@ -111,21 +113,27 @@ def balanced_parts(x: np.ndarray, neighbours: np.ndarray, n_parts: int) -> np.nd
 
 
 def fit_router(x: np.ndarray, n_parts: int, recall: float, k: int, seed: int = 7) -> Router:
-    """Fit on a sample ``x``; n_parts is a power of two.
+    """Fit on a sample ``x``; n_parts is a power of two, halved until a part has four rows of the sample.
 
     A quarter of the sample, ``_HELD_OUT`` rows at most, is set aside first: graph,
     parts and network never see it, and it tells how many parts a query visits.
-    A sample too small to fit on leaves the network as drawn and visits all parts.
+    So a small sample has fewer parts, fitted all the same, down to two of two
+    rows; three rows or fewer are one part. Fewer than ``_LEAST_HELD`` rows set
+    aside tell too little, so all parts are visited, in the network's order.
     """
     rng = np.random.default_rng(seed)
     width = x.shape[1]
+    while n_parts > 2 and len(x) - len(x) // 4 < 4 * n_parts:
+        n_parts //= 2
+    if len(x) < 4:
+        n_parts = 1
     aside = np.zeros(len(x), bool)
     aside[rng.choice(len(x), min(_HELD_OUT, len(x) // 4), replace=False)] = True
     held, x = x[aside], x[~aside]
     mean, scale = (x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)) if len(x) else (np.zeros(width), np.ones(width))
     hidden = max(64, n_parts)
     router = Router(mean, scale, rng.normal(0, math.sqrt(2 / width), (width, hidden)), np.zeros(hidden), rng.normal(0, math.sqrt(1 / hidden), (hidden, n_parts)), np.zeros(n_parts), n_parts)
-    if n_parts == 1 or len(x) < 4 * n_parts:
+    if n_parts == 1:  # nothing to route
         return router
     near = _nearest(x, x, min(_GRAPH_NEIGHBOURS, len(x) - 1), own=True)
     label = balanced_parts(x, near, n_parts)
@@ -160,14 +168,17 @@ def fit_router(x: np.ndarray, n_parts: int, recall: float, k: int, seed: int = 7
     place = np.argsort(router.parts(held, n_parts), axis=1)  # of each part in a query's order
     place = np.take_along_axis(place, home[true], axis=1)
     reached = [(place < n).mean() for n in range(1, n_parts + 1)]
-    router.probes = next((n for n, r in enumerate(reached, 1) if r >= recall), n_parts)
+    if len(held) >= _LEAST_HELD:
+        router.probes = next((n for n, r in enumerate(reached, 1) if r >= recall), n_parts)
     return router
 
 
 def _assign(router: Router, width: int):
     def run(batches):
         for batch in batches:
-            x, _ = matrix(batch.column("v"), width)
+            x, lengths = matrix(batch.column("v"), width)
+            once = np.sort(_once(batch.column("id").to_numpy(), x, lengths, np.arange(len(x))))
+            batch, x = batch.take(pa.array(once)), x[once]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(router.parts(x, 1)[:, 0].astype(np.int64))], names=["id", "v", "part"])
 
     return run
@@ -231,8 +242,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     do rows with a null id; vectors of another length than the query's are no
     candidates. Repeated rows count once; of an id's different vectors the
     nearest counts. Empty tables give no rows. The index is fitted on
-    ``ROWS_A_PART`` rows for each part, between ``LEAST_FIT`` and ``MOST_FIT``,
-    places every row, and visits as many parts as ``recall`` takes on the rows
+    ``ROWS_A_PART`` rows for each part, between ``LEAST_FIT`` and ``MOST_FIT``
+    and within ``FIT_BYTES``, places every row, and visits as many parts as ``recall`` takes on the rows
     that were set aside.
     """
     spark = vectors.sparkSession
@@ -244,10 +255,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     width = max(shape.width or 1, wide)
     n_parts = 2 ** round(math.log2(min(MOST_PARTS, max(LEAST_PARTS, shape.n / PART_ROWS))))
     fitted = min(MOST_FIT, max(LEAST_FIT, ROWS_A_PART * n_parts))
-    sample = rows.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id", "v").limit(fitted).collect()
-    x = np.zeros((len(sample), width))
-    for i, r in enumerate(sample):
-        x[i, : len(r.v)] = r.v
+    fitted = max(4, min(fitted, FIT_BYTES // (8 * width)))
+    sample = rows.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id", "v").limit(fitted).select("v").toArrow()
+    x, _ = matrix(sample["v"], width)
     router = fit_router(x, n_parts, recall, k)
     rows, asked = (df.repartition(max(2, math.ceil(shape.n / 20_000))) for df in (rows, asked))
     schema = f"id long, v array<{kind}>, part long"
@@ -255,7 +265,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     routed = asked.mapInArrow(lean(_route(router, width)), schema)
     # One row a part.
     pieces = F.broadcast(placed.groupBy("part").agg(F.ceil(F.count("*") / PIECE).cast("long").alias("pieces")))
-    candidates = placed.join(pieces, "part").select("id", "v", "part", F.pmod(F.xxhash64("id"), "pieces").alias("piece"), F.lit(0).alias("side"))
+    candidates = placed.join(pieces, "part").select("id", "v", "part", F.pmod(F.xxhash64("id", "v"), "pieces").alias("piece"), F.lit(0).alias("side"))
     sent = routed.join(pieces, "part").select("id", "v", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(1).alias("side"))
     dealt = candidates.unionByName(sent).repartition("part", "piece").sortWithinPartitions("part", "piece")
     found = dealt.mapInArrow(lean(_rerank(width, k)), "query_id long, vec_id long, score double")

@@ -204,6 +204,17 @@ def test_tiles_compare_whole_elements():
         assert sum(b.num_rows for b in minhash._tile_links(80, 0.6)([batch])) == linked
 
 
+def test_tiles_of_a_stray_row_meet_its_set_in_squares(spark, monkeypatch):
+    """A row of 3,000 tiles in each of two buckets: the payload goes to many keys, each with a bounded number of tiles."""
+    tiles = [(b, 0, -1 - x, 3, 1, 7, 7, 9) for b in (10, 11) for x in range(3000)] + [(10, 0, -1, 3, 0, 8, 8, 9)]
+    df = spark.createDataFrame(tiles, "bucket long, band int, x long, y long, side int, a long, component long, n long")
+    payload = spark.createDataFrame([(7, b"seven"), (8, b"eight"), (9, b"nine")], "a long, elements binary")
+    out = minhash.deal_sets(df, payload)
+    assert sorted(map(tuple, out.drop("elements").select(df.columns).collect())) == sorted(tiles) and out.where("(a = 7) != (elements = cast('seven' as binary))").count() == 0
+    monkeypatch.setattr(minhash, "_dealt", lambda pairs, payload: pairs.groupBy("a", "piece").count())
+    assert minhash.deal_sets(df, payload).agg(F.max("count")).first()[0] <= 2 * minhash.SQUARE
+
+
 def test_meet_equals_a_join(spark, monkeypatch):
     monkeypatch.setattr(common, "CROWD", 3)
     rows = spark.createDataFrame([(i % 7 if i < 40 else 100 + i, i) for i in range(60)] + [(None, -1)], "k long, v long")
@@ -516,6 +527,24 @@ def test_repeat_with_clashing_columns(spark):
     assert mixing.repeat(df.limit(0), mixing.mix(df.limit(0), [1])).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_mixing_deals_rows_alike_over_pieces(spark, monkeypatch, broadcast):
+    """A crowd without ids and of one size is counted, cut into lots and mixed as any other rows."""
+    monkeypatch.setattr(mixing, "PIECE", 50)
+    monkeypatch.setattr(mixing, "ALIKE", 8)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+    monkeypatch.setattr(common, "CROWD", 100)
+    rows = [(None, "w w w w", "en", "hot", 1)] * 900 + [(i, "w " * (i % 9), "en", "cold", 1) for i in range(90)] + [(None, None, "en", None, 0)] * 60
+    df = spark.createDataFrame(rows, DOCS)
+    out = mixing.mix(df, [5, 2, 1]).collect()
+    assert len(out) == len(rows) and sum(r.doc_id is None for r in out) == 960
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mix(df.repartition(5), [5, 2, 1]).collect()))
+    for source in ("hot", "cold"):
+        mine = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 45 and all(0 <= r.taken <= 2 * r.size for r in mine)
+    assert mixing.repeat(df, mixing.mix(df, [5, 2, 1])).count() == sum(r.copies for r in out)
+
+
 def test_places_of_sources(spark):
     names = [f"h{i * 7919 % 1000}" for i in range(1000)] + ["Z", "é", "", None]
     df = spark.createDataFrame([(n, 1) for n in names], "source string, source_size long").repartition(7)
@@ -725,6 +754,37 @@ def test_ann_edge_cases(spark):
     assert ann.nearest(df, df.limit(0)).count() == 0 and ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [4, 7, 12, 30, 42])
+def test_ann_fits_parts_to_few_rows(spark, monkeypatch, n):
+    made = []
+    fit = ann.fit_router
+    monkeypatch.setattr(ann, "fit_router", lambda *a: made.append(fit(*a)) or made[-1])
+    x = np.random.default_rng(n).normal(size=(n, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, df).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert made[0].w2.shape[1] >= 2 and (n < 30 or len(set(made[0].parts(x, 1)[:, 0].tolist())) >= 2)
+    assert {q: [v for _, v in sorted(g)] for q, g in got.items()} == {q: brute_nearest(x, q, min(10, n - 1)) for q in range(n)}
+
+
+def test_ann_with_a_crowd_of_one_id(spark, monkeypatch):
+    """An id's different vectors are spread over pieces, equal rows count once."""
+    monkeypatch.setattr(ann, "PIECE", 40)
+    x = np.random.default_rng(5).normal(size=(400, 4))
+    rows = [(7, x[i % 150].tolist()) for i in range(300)] + [(1000 + i, x[i].tolist()) for i in range(150, 400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), recall=1.0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    ids = np.array([i for i, _ in rows])
+    v = np.array([e for _, e in rows])
+    for q in {i for i in ids.tolist() if i % 50 == 0}:
+        d = np.sqrt(((v - v[np.flatnonzero(ids == q)[0]]) ** 2).sum(axis=1))
+        best = sorted((d[ids == i].min(), i) for i in set(ids.tolist()) - {q})[:10]
+        assert len({i for _, i, _ in got[q]} & {i for _, i in best}) >= 9
+
+
 def test_balanced_bisection():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(100, 4)), rng.normal(size=(100, 4)) + 6])
