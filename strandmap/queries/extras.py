@@ -9,7 +9,6 @@ from strandmap.adapters import OBJECTS_SQL, links, objects, table
 from strandmap.functions import embed, text
 from strandmap.operators import intervals, relations
 from strandmap.plans import graph, lanes
-from strandmap.queries.parsers import golden
 from strandmap.sources import layout, sinks
 
 QUERIES: dict = {}
@@ -105,20 +104,16 @@ def path_by_name(spark, d):
     return graph.resolve_name(objects(spark, d), part.unionByName(table(spark, d, "nation").select(F.col("n_name").alias("name"))))
 
 
-@query(
-    golden(
-        "rel VARCHAR, class VARCHAR, path VARCHAR",
-        ("Catalogs/A.xml", "object", "Справочники.A"),
-        ("Catalogs/A/Forms/F/Ext/Form.xml", "form", "Справочники.A.Формы.F"),
-        ("Reports/R/Templates/T/Ext/Template.xml", "template", "Отчеты.R.Макеты.T"),
-        ("Documents/D/Ext/Help/ru.html", "help", "Документы.D"),
-        ("CommonModules/M/Ext/Module.bsl", "module", "ОбщиеМодули.M"),
-        ("Configuration.xml", "object", ""),
-        ("ConfigDumpInfo.xml", "info", ""),
-        ("x.png", "other", ""),
-    )
-)
+_FILES = (
+    ("Catalogs/P", ".xml", "object", "Справочники.P", ""), ("Catalogs/P", "/Forms/F/Ext/Form.xml", "form", "Справочники.P", ".Формы.F"), ("Reports/P", "/Templates/T/Ext/Template.xml", "template", "Отчеты.P", ".Макеты.T"),
+    ("Documents/P", "/Ext/Help/ru.html", "help", "Документы.P", ""), ("CommonModules/P", "/Ext/Module.bsl", "module", "ОбщиеМодули.P", ""),
+)
+
+
+@query("SELECT a || p_partkey || b AS rel, class, p || p_partkey || q AS path FROM part, (VALUES " + ", ".join(map(str, _FILES)) + ") t(a, b, class, p, q) UNION ALL SELECT p_partkey || '.png', 'other', '' FROM part")
 def file_classes(spark, d):
-    rels = ["Catalogs/A.xml", "Catalogs/A/Forms/F/Ext/Form.xml", "Reports/R/Templates/T/Ext/Template.xml", "Documents/D/Ext/Help/ru.html", "CommonModules/M/Ext/Module.bsl", "Configuration.xml", "ConfigDumpInfo.xml", "x.png"]
-    rows = spark.createDataFrame([(r,) for r in rels], "rel string")
+    """Classes and owners of six files a part."""
+    key = F.col("p_partkey").cast("string")
+    rels = F.array(*(F.concat(F.lit(a), key, F.lit(b)) for a, b, *_ in _FILES), F.concat(key, F.lit(".png")))
+    rows = table(spark, d, "part").select(F.explode(rels).alias("rel"))
     return rows.select("rel", layout.file_class(F.col("rel")).alias("class"), layout.owner_path(F.col("rel")).alias("path"))

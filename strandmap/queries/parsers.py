@@ -1,4 +1,4 @@
-"""Parsers over small inline files and over the pages of the test tables."""
+"""Parsers over files that Spark makes of the test tables: reports, modules, descriptions and help pages."""
 
 from __future__ import annotations
 
@@ -23,155 +23,98 @@ def query(sql: str | None = None):
     return add
 
 
-def golden(columns: str, *rows: tuple) -> str:
-    """SQL for rows written out by hand; columns come as "name TYPE, name TYPE"."""
-    word = lambda v: "NULL" if v is None else str(v) if isinstance(v, (bool, int, float)) else "'" + v.replace("'", "''") + "'"
-    names = [c.split() for c in columns.split(", ")]
-    return "SELECT " + ", ".join(f"{n}::{t} AS {n}" for n, t in names) + " FROM (VALUES " + ", ".join(f"({', '.join(map(word, r))})" for r in rows) + f") t({', '.join(n for n, _ in names)})"
-
-
-REPORT = """заголовок до первого узла
-- Справочники.Товары
-	Имя: "Товары"
-	Синоним: "Товары и услуги"
-	Тип:
-		"СправочникСсылка.Единицы"
-		"Строка"
-	Пусто:
-
-- Справочники.Товары.Реквизиты.Единица
-	Имя: "Единица"
-	Тип:
-		"СправочникСсылка.Единицы"
-- Документы.Продажа
-	Движения:
-		"РегистрНакопления.Продажи"
-"""
-
-MODULE = """#Область Служебные
-// Возвращает сумму.
-&НаСервере
-Функция Итог(Знач А,
-             Б = 1) Экспорт
-	Т = "текст
-	|КонецФункции внутри строки ""и"" Вызов(";
-	Возврат Сумма(А, Б); // КонецФункции Коммент(
-КонецФункции
-#Область Внутри
-Процедура Пустая() КонецПроцедуры
-Procedure Run() Export
-	Итог(1, 2);
-	Run();
-EndProcedure
-#КонецОбласти
-Функция Сумма(А, Б)
-	Возврат А + Б;
-КонецФункции
-#КонецОбласти
-Процедура Незакрытая()
-	Сумма(1, 2);
-"""
-
-XML = """<?xml version="1.0" encoding="UTF-8"?>
-<MetaDataObject xmlns="http://v8.1c.ru/8.3/MDClasses" xmlns:v8="http://v8.1c.ru/8.1/data/core">
-<Document uuid="1"><Properties><Name>Продажа</Name>
-<Synonym><v8:item><v8:lang>ru</v8:lang><v8:content>Продажа товаров</v8:content></v8:item></Synonym><Comment>важно</Comment>
-<ObjectBelonging>Adopted</ObjectBelonging><ExtendedConfigurationObject>base-1</ExtendedConfigurationObject>
-<RegisterRecords><Item>AccumulationRegister.Продажи</Item></RegisterRecords></Properties>
-<ChildObjects>
-<Attribute><Properties><Name>Клиент</Name><Type><v8:Type>cfg:CatalogRef.Клиенты</v8:Type><v8:Type>xs:string</v8:Type><v8:StringQualifiers><v8:Length>10</v8:Length></v8:StringQualifiers></Type><FillChecking>ShowError</FillChecking></Properties></Attribute>
-<TabularSection><Properties><Name>Товары</Name></Properties><ChildObjects>
-<Attribute><Properties><Name>Цена</Name><Type><v8:Type>xs:decimal</v8:Type></Type></Properties></Attribute></ChildObjects></TabularSection>
-</ChildObjects></Document></MetaDataObject>"""
-
-
-def report_lines(spark, text: str = REPORT, name: str = "a.txt"):
-    return text_report.read_lines(spark.createDataFrame([(name, bytearray(text.encode()))], "source_rel string, content binary"))
-
-
-def module_lines(spark, text: str = MODULE):
-    return modules.lines_of(spark.createDataFrame([("m.bsl", "ОбщиеМодули.М", "Module", text)], "source_rel string, parent_path string, module_role string, text string"))
-
-
-def xml_nodes(spark, *texts: str):
-    rows = [(f"f{i}.xml", bytearray(t.encode())) for i, t in enumerate(texts or (XML,))]
-    return xml_objects.nodes(spark.createDataFrame(rows, "source_rel string, content binary"))
+def _report_lines(spark, d):
+    """Reports of parts, one a brand: a node, three properties and a quoted list for each part."""
+    node = lambda *parts: F.concat(*(F.lit(p) if p.startswith(("-", "\t", "\"")) else F.col(p).cast("string") for p in parts))
+    lines = [
+        node("- Справочники.P", "p_partkey"), node('\tИмя: "P', "p_partkey", '"'), node('\tСиноним: "', "p_name", '"'), F.lit("\tТип:"), node('\t\t"СправочникСсылка.T', "p_size", '"'), F.lit('\t\t"Строка"'),
+        F.lit("\tПусто:"), F.lit(""),
+    ]
+    part = table(spark, d, "part").select("p_brand", "p_partkey", F.posexplode(F.array(*lines)).alias("i", "value"))
+    return part.select(F.col("p_brand").alias("source_rel"), (F.col("p_partkey") * len(lines) + F.col("i")).alias("line"), "value")
 
 
-@query(
-    golden(
-        "path VARCHAR, kind VARCHAR, name VARCHAR, synonym VARCHAR, n_props INTEGER",
-        ("Справочники.Товары", "Справочники", "Товары", "Товары и услуги", 4),
-        ("Справочники.Товары.Реквизиты.Единица", "Реквизиты", "Единица", "", 2),
-        ("Документы.Продажа", "Документы", "Продажа", "", 1),
-    )
-)
+@query("SELECT 'Справочники.P' || p_partkey AS path, 'Справочники' AS kind, 'P' || p_partkey AS name, p_name AS synonym, 4 AS n_props FROM part")
 def report_nodes(spark, d):
-    rows = text_report.report_objects(text_report.parse_nodes(report_lines(spark)))
+    """Nodes of the reports of all parts."""
+    rows = text_report.report_objects(text_report.parse_nodes(_report_lines(spark, d)))
     return rows.select("path", "kind", "name", "synonym", F.size("props").alias("n_props"))
 
 
 @query(
-    golden(
-        "from_path VARCHAR, to_ref VARCHAR, link_type VARCHAR, to_path VARCHAR",
-        ("Справочники.Товары", "СправочникСсылка.Единицы", "type", "Справочники.Единицы"),
-        ("Справочники.Товары", "Строка", "type", None),
-        ("Справочники.Товары.Реквизиты.Единица", "СправочникСсылка.Единицы", "type", "Справочники.Единицы"),
-        ("Документы.Продажа", "РегистрНакопления.Продажи", "movements", "РегистрыНакопления.Продажи"),
-    )
+    """SELECT 'Справочники.P' || p_partkey AS from_path, 'СправочникСсылка.T' || p_size AS to_ref, 'type' AS link_type, 'Справочники.T' || p_size AS to_path FROM part
+UNION ALL SELECT 'Справочники.P' || p_partkey, 'Строка', 'type', NULL FROM part"""
 )
 def report_links(spark, d):
-    return text_report.report_links(text_report.parse_nodes(report_lines(spark))).withColumn("to_path", refs.canonical(F.col("to_ref")))
+    """Links of the reports of all parts; types of values have no path."""
+    return text_report.report_links(text_report.parse_nodes(_report_lines(spark, d))).withColumn("to_path", refs.canonical(F.col("to_ref")))
 
 
-_M = "ОбщиеМодули.М.Методы.Module."
+def _module_lines(spark, d):
+    """A module a document: the whole text is the remark of its first function, which stands in a region."""
+    doc, text = F.col("doc_id").cast("string"), F.regexp_replace("text", r"\r?\n", "\n// ")
+    code = F.concat(
+        F.lit("#Область R"), doc, F.lit("\n// "), text, F.lit("\n&НаСервере\nФункция F"), doc, F.lit("(Знач А,\n\tБ = 1) Экспорт\n\tТ = \"Вызов(\"; // Коммент(\n\tВозврат G"), doc,
+        F.lit("(А);\nКонецФункции\n#КонецОбласти\nProcedure G"), doc, F.lit("()\n\tG"), doc, F.lit("();\n\tF"), doc, F.lit("(1, 2);\nEndProcedure\n"),
+    )
+    docs = table(spark, d, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    rel = F.concat(F.lit("CommonModules/M"), doc, F.lit("/Ext/Module.bsl"))
+    return modules.lines_of(docs.select(rel.alias("source_rel"), F.concat(F.lit("ОбщиеМодули.M"), doc).alias("parent_path"), modules.role_of(rel).alias("module_role"), code.alias("text")))
 
 
 @query(
-    golden(
-        "path VARCHAR, kind VARCHAR, export BOOLEAN, region VARCHAR, line INTEGER, end_line INTEGER, comment VARCHAR, calls VARCHAR",
-        (_M + "Итог", "Function", True, "Служебные", 4, 9, "Возвращает сумму.", "Сумма"),
-        (_M + "Пустая", "Procedure", False, "Внутри", 11, 11, "", ""),
-        (_M + "Run", "Procedure", True, "Внутри", 12, 15, "", "Run,Итог"),
-        (_M + "Сумма", "Function", False, "Служебные", 17, 19, "", ""),
-        (_M + "Незакрытая", "Procedure", False, "", 21, 23, "", "Сумма"),
-    )
+    r"""WITH m AS (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS lines FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)
+SELECT 'ОбщиеМодули.M' || doc_id || '.Методы.Module.F' || doc_id AS path, 'Function' AS kind, true AS export, 'R' || doc_id AS region, len(lines) + 3 AS line, len(lines) + 7 AS end_line,
+    md5(array_to_string(list_transform(lines, lambda x: rtrim(x, ' ')), chr(10))) AS comment, 'G' || doc_id AS calls FROM m
+UNION ALL SELECT 'ОбщиеМодули.M' || doc_id || '.Методы.Module.G' || doc_id, 'Procedure', false, '', len(lines) + 9, len(lines) + 12, md5(''), 'F' || doc_id || ',G' || doc_id FROM m"""
 )
 def module_parse(spark, d):
-    found = modules.methods(module_lines(spark))
-    return found.select("path", "kind", "export", "region", "line", "end_line", "comment", F.array_join("calls", ",").alias("calls"))
+    """Methods of modules whose remarks are whole documents: headers over lines, strings and remarks masked, regions."""
+    found = modules.methods(_module_lines(spark, d))
+    return found.select("path", "kind", "export", "region", F.col("line").cast("long").alias("line"), F.col("end_line").cast("long").alias("end_line"), F.md5("comment").alias("comment"), F.array_join("calls", ",").alias("calls"))
 
 
-@query(golden("status VARCHAR, n BIGINT", ("self", 1), ("resolved", 3)))
+@query("SELECT status, count(*) AS n FROM documents, (VALUES ('self'), ('resolved'), ('resolved')) t(status) WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY status")
 def module_calls(spark, d):
-    found = modules.methods(module_lines(spark))
+    """Calls of the same modules by what became of them."""
+    found = modules.methods(_module_lines(spark, d))
     return ingest.call_links(modules.pending_calls(found), found)[1]
 
 
+def _xml_files(spark, d):
+    """A document's description for each part, with a register, an attribute of a reference type and a table of one column."""
+    key = F.col("p_partkey").cast("string")
+    head = '<?xml version="1.0" encoding="UTF-8"?><MetaDataObject xmlns:v8="http://v8.1c.ru/8.3/data/core"><Document><Properties><Name>P'
+    child = lambda tag, name, *inner: [F.lit(f"<{tag}><Properties><Name>{name}</Name><Type><v8:Type>"), *inner, F.lit(f"</v8:Type></Type></Properties></{tag}>")]
+    text = F.concat(
+        F.lit(head), key, F.lit("</Name><Synonym><v8:item><v8:lang>ru</v8:lang><v8:content>"), F.col("p_name"), F.lit("</v8:content></v8:item></Synonym><Comment>"), F.col("p_type"),
+        F.lit("</Comment><RegisterRecords><Item>AccumulationRegister.R"), F.col("p_size").cast("string"), F.lit("</Item></RegisterRecords></Properties><ChildObjects>"),
+        *child("Attribute", "Owner", F.lit("cfg:CatalogRef.C"), F.col("p_size").cast("string")),
+        F.lit("<TabularSection><Properties><Name>Rows</Name></Properties><ChildObjects>"), *child("Attribute", "Price", F.lit("xs:decimal")), F.lit("</ChildObjects></TabularSection></ChildObjects></Document></MetaDataObject>"),
+    )
+    return table(spark, d, "part").select(F.concat(F.lit("Documents/P"), key, F.lit(".xml")).alias("source_rel"), F.encode(text, "UTF-8").alias("content"))
+
+
 @query(
-    golden(
-        "path VARCHAR, kind VARCHAR, name VARCHAR, synonym VARCHAR, comment VARCHAR, belong VARCHAR, base_object VARCHAR, props VARCHAR",
-        ("Документы.Продажа", "Document", "Продажа", "Продажа товаров", "важно", "Adopted", "base-1", "ExtendedConfigurationObject=base-1;ObjectBelonging=Adopted;RegisterRecords=AccumulationRegister.Продажи"),
-        ("Документы.Продажа.Реквизиты.Клиент", "Attribute", "Клиент", "", "", "Own", "", "FillChecking=ShowError;Type=cfg:CatalogRef.Клиенты|xs:string(Length=10)"),
-        ("Документы.Продажа.ТабличныеЧасти.Товары", "TabularSection", "Товары", "", "", "Own", "", ""),
-        ("Документы.Продажа.ТабличныеЧасти.Товары.Реквизиты.Цена", "TabularSectionAttribute", "Цена", "", "", "Own", "", "Type=xs:decimal"),
-    )
+    """SELECT 'Документы.P' || p_partkey || s AS path, kind, CASE kind WHEN 'Document' THEN 'P' || p_partkey ELSE name END AS name, CASE kind WHEN 'Document' THEN p_name ELSE '' END AS synonym,
+    CASE kind WHEN 'Document' THEN p_type ELSE '' END AS comment, replace(props, '?', p_size::VARCHAR) AS props
+FROM part, (VALUES ('', 'Document', '', 'RegisterRecords=AccumulationRegister.R?'), ('.Реквизиты.Owner', 'Attribute', 'Owner', 'Type=cfg:CatalogRef.C?'),
+    ('.ТабличныеЧасти.Rows', 'TabularSection', 'Rows', ''), ('.ТабличныеЧасти.Rows.Реквизиты.Price', 'TabularSectionAttribute', 'Price', 'Type=xs:decimal')) t(s, kind, name, props)"""
 )
 def xml_parse(spark, d):
-    found = xml_objects.objects(xml_nodes(spark))
+    """Objects in the descriptions of all parts."""
+    found = xml_objects.objects(xml_objects.nodes(_xml_files(spark, d)))
     entries = F.transform(F.array_sort(F.map_entries("props")), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|")))
-    return found.select("path", "kind", "name", "synonym", "comment", "belong", "base_object", F.array_join(entries, ";").alias("props"))
+    return found.select("path", "kind", "name", "synonym", "comment", F.array_join(entries, ";").alias("props"))
 
 
 @query(
-    golden(
-        "from_path VARCHAR, to_ref VARCHAR, link_type VARCHAR, to_path VARCHAR",
-        ("Документы.Продажа", "AccumulationRegister.Продажи", "movements", "РегистрыНакопления.Продажи"),
-        ("Документы.Продажа.Реквизиты.Клиент", "CatalogRef.Клиенты", "type", "Справочники.Клиенты"),
-    )
+    """SELECT 'Документы.P' || p_partkey AS from_path, 'AccumulationRegister.R' || p_size AS to_ref, 'movements' AS link_type, 'РегистрыНакопления.R' || p_size AS to_path FROM part
+UNION ALL SELECT 'Документы.P' || p_partkey || '.Реквизиты.Owner', 'CatalogRef.C' || p_size, 'type', 'Справочники.C' || p_size FROM part"""
 )
 def xml_links(spark, d):
-    return xml_objects.links(xml_nodes(spark)).withColumn("to_path", refs.canonical(F.col("to_ref")))
+    """Links in the descriptions of all parts."""
+    return xml_objects.links(xml_objects.nodes(_xml_files(spark, d))).withColumn("to_path", refs.canonical(F.col("to_ref")))
 
 
 _VISIBLE = r"regexp_replace(html, '<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'gsi')"
@@ -221,10 +164,14 @@ def normalize_refs(spark, d):
     return made.select("ref", refs.canonical(F.col("ref")).alias("path"))
 
 
-@query(golden("rel VARCHAR, role VARCHAR", ("Catalogs/A/Ext/ObjectModule.bsl", "ObjectModule"), ("Catalogs/A/Forms/F/Ext/Form/Module.bsl", "FormModule"), ("CommonModules/M/Ext/Module.bsl", "Module")))
+_MODULES = (("Catalogs/P", "/Ext/ObjectModule.bsl", "ObjectModule"), ("Catalogs/P", "/Forms/F/Ext/Form/Module.bsl", "FormModule"), ("CommonModules/P", "/Ext/Module.bsl", "Module"))
+
+
+@query("SELECT a || p_partkey || b AS rel, role FROM part, (VALUES " + ", ".join(map(str, _MODULES)) + ") t(a, b, role)")
 def form_module_roles(spark, d):
-    rows = spark.createDataFrame([("Catalogs/A/Ext/ObjectModule.bsl",), ("Catalogs/A/Forms/F/Ext/Form/Module.bsl",), ("CommonModules/M/Ext/Module.bsl",)], "rel string")
-    return rows.select("rel", modules.role_of(F.col("rel")).alias("role"))
+    """Roles of three module files a part."""
+    rels = F.explode(F.array(*(F.concat(F.lit(a), F.col("p_partkey").cast("string"), F.lit(b)) for a, b, _ in _MODULES)))
+    return table(spark, d, "part").select(rels.alias("rel")).select("rel", modules.role_of(F.col("rel")).alias("role"))
 
 
 def _files(spark, d, edited: bool):

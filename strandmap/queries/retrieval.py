@@ -91,11 +91,6 @@ def passages(spark, d):
     return each.select(F.concat(F.col("doc_id").cast("string"), suffix).alias("id"), F.md5(F.concat_ws("\n", "meta", "piece")).alias("h"))
 
 
-# Names under which the queries over whole texts were first known.
-for _name, _same in (("chunk_windows_whole", chunk_windows), ("passages_whole", passages)):
-    QUERIES[_name], ORACLE_SQL[_name] = _same, ORACLE_SQL[_same.__name__]
-
-
 def _bm25_sql(words: list[str], prefix: tuple[str, ...] = (), where: str = "true") -> str:
     tf = [f"len(list_filter(t, lambda x: {'starts_with(x, ' + repr(w) + ')' if w in prefix else 'x = ' + repr(w)}))" for w in words]
     cols = ", ".join(f"{e}::DOUBLE AS tf{i}" for i, e in enumerate(tf))

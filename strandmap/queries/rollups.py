@@ -81,11 +81,6 @@ def tags_all(spark, d):
     return rollups.with_tags(table(spark, d, "events"), "event_type", "user_id", ["error", "purchase"], all_of=True)
 
 
-# Names under which the queries over all events were first known.
-for _name, _same in (("tags_any_whole", tags_any), ("tags_all_whole", tags_all)):
-    QUERIES[_name], ORACLE_SQL[_name] = _same, ORACLE_SQL[_same.__name__]
-
-
 @query("SELECT n_name AS tag, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n FROM nation")
 def tag_usage_count(spark, d):
     used = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))

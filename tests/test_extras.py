@@ -4,12 +4,17 @@ from strandmap.functions import embed
 from strandmap.limits import PRESETS, Limits
 from strandmap.operators import intervals
 from strandmap.plans import lanes
-from strandmap.queries import extras, parsers
+from strandmap.queries import extras
 from strandmap.sources import layout, sinks
+from tests import samples
 
 
 def test_layout(spark, sf):
-    rows = {r.rel: (r["class"], r.path) for r in extras.file_classes(spark, sf).collect()}
+    rels = ["Catalogs/A.xml", "Catalogs/A/Forms/F/Ext/Form.xml", "Reports/R/Templates/T/Ext/Template.xml", "Documents/D/Ext/Help/ru.html", "CommonModules/M/Ext/Module.bsl", "Configuration.xml", "ConfigDumpInfo.xml", "x.png"]
+    found = spark.createDataFrame([(r,) for r in rels], "rel string").select("rel", layout.file_class(F.col("rel")).alias("class"), layout.owner_path(F.col("rel")).alias("path"))
+    rows = {r.rel: (r["class"], r.path) for r in found.collect()}
+    assert rows["Reports/R/Templates/T/Ext/Template.xml"] == ("template", "Отчеты.R.Макеты.T") and rows["Documents/D/Ext/Help/ru.html"] == ("help", "Документы.D") and rows["CommonModules/M/Ext/Module.bsl"] == ("module", "ОбщиеМодули.M")
+    assert rows["Configuration.xml"] == ("object", "") and rows["ConfigDumpInfo.xml"] == ("info", "") and rows["x.png"] == ("other", "")
     assert rows["Catalogs/A.xml"] == ("object", "Справочники.A") and rows["Catalogs/A/Forms/F/Ext/Form.xml"] == ("form", "Справочники.A.Формы.F")
     assert rows["Reports/R/Templates/T/Ext/Template.xml"] == ("template", "Отчеты.R.Макеты.T") and rows["Documents/D/Ext/Help/ru.html"] == ("help", "Документы.D")
     assert rows["CommonModules/M/Ext/Module.bsl"] == ("module", "ОбщиеМодули.M") and rows["ConfigDumpInfo.xml"][0] == "info" and rows["x.png"] == ("other", "")
@@ -17,7 +22,7 @@ def test_layout(spark, sf):
 
 def test_configuration(spark):
     xml = "<MetaDataObject><Configuration><Properties><Name>Base</Name><Synonym><item><content>База</content></item></Synonym><Version>1.2</Version><ConfigurationExtensionPurpose>{}</ConfigurationExtensionPurpose></Properties></Configuration></MetaDataObject>"
-    rows = layout.configuration(parsers.xml_nodes(spark, xml.format(""), xml.format("Patch"))).orderBy("source_rel").collect()
+    rows = layout.configuration(samples.xml_nodes(spark, xml.format(""), xml.format("Patch"))).orderBy("source_rel").collect()
     assert [(r.name, r.synonym, r.version, r.is_extension) for r in rows] == [("Base", "База", "1.2", False), ("Base", "База", "1.2", True)]
 
 

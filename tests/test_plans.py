@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from strandmap.engine import Engine
 from strandmap.plans import index, search
 from strandmap.plans import cards, graph, retrieval
-from strandmap.queries import parsers
 from strandmap.sources import modules
 from strandmap.streaming import telemetry
+from tests import samples
 
 
 def _links(spark, *rows):
@@ -45,8 +45,8 @@ def test_fuse_is_symmetric(spark):
 
 
 def test_references_and_enclosing_methods(spark):
-    found = modules.methods(parsers.module_lines(spark))
-    texts = spark.createDataFrame([("m.bsl", parsers.MODULE)], "source_rel string, text string")
+    found = modules.methods(samples.module_lines(spark))
+    texts = spark.createDataFrame([("m.bsl", samples.MODULE)], "source_rel string, text string")
     refs = cards.references(texts, "сумма(", "source_rel")
     assert [r.line for r in refs.orderBy("line").collect()] == [8, 17, 22]
     owners = cards.enclosing(refs.select("source_rel", "line", "nth"), found)
@@ -65,7 +65,7 @@ def test_engine(spark):
     tags = spark.createDataFrame([("all", "base"), ("all", "ext")], "tag string, name string")
     objects = spark.createDataFrame([("base", "Справочники.Товары", "Catalog", "Товары", "", "goods"), ("base", "Справочники.Товары.Реквизиты.Цена", "Attribute", "Цена", "", ""), ("ext", "Документы.Заказ", "Document", "Заказ", "", "goods order")], "context string, path string, kind string, name string, synonym string, comment string")
     links = spark.createDataFrame([("base", "Документы.Заказ.Реквизиты.Товар", "Справочники.Товары", "type")], "context string, from_path string, to_path string, link_type string")
-    methods = modules.methods(parsers.module_lines(spark)).withColumn("context", F.lit("base"))
+    methods = modules.methods(samples.module_lines(spark)).withColumn("context", F.lit("base"))
     e = Engine(contexts, tags, objects, links, methods, objects.withColumn("text", F.concat_ws(" ", "name", "comment")))
     assert {r.path for r in e.search_metadata("tag:all", "goods").collect()} == {"Справочники.Товары", "Документы.Заказ"}
     assert [r.path for r in e.search_metadata("base", "goods").collect()] == ["Справочники.Товары"]

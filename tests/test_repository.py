@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strandmap import ingest, repository
 from strandmap.plans import index, retrieval, segments
-from strandmap.queries import parsers
+from tests import samples
 from tests.test_ingest import catalog
 
 HELP = "<html><body>Intro text<h1>First</h1>About goods<h2>Second</h2>More</body></html>"
@@ -26,7 +26,7 @@ TREE = {
     "Catalogs/Kept/Ext/Help/ru.html": (HELP, 0),
     "Catalogs/Kept/Forms/F/Ext/Form.xml": (FORM, 0),
     "Reports/R/Templates/T/Ext/Template.xml": (SCHEMA, 0),
-    "CommonModules/M/Ext/Module.bsl": ("﻿" + parsers.MODULE, 0),
+    "CommonModules/M/Ext/Module.bsl": ("﻿" + samples.MODULE, 0),
     "CommonModules/Other/Ext/Module.bsl": ("Процедура Один()\n\tЧужая();\nКонецПроцедуры\n", 0),
     "readme.png": ("x", 0),
 }

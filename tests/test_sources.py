@@ -2,8 +2,8 @@ from pyspark.sql import functions as F
 
 from strandmap import ingest
 from strandmap.functions import paths, refs, text
-from strandmap.queries import parsers
 from strandmap.sources import binary_forms, help_html, modules, text_report, xml_objects
+from tests import samples
 
 
 def test_decode():
@@ -14,7 +14,7 @@ def test_decode():
 
 
 def test_report(spark):
-    parsed = text_report.parse_nodes(parsers.report_lines(spark)).cache()
+    parsed = text_report.parse_nodes(samples.report_lines(spark)).cache()
     rows = {r.path: r for r in text_report.report_objects(parsed).collect()}
     assert rows["Справочники.Товары"].props["Тип"] == ["СправочникСсылка.Единицы", "Строка"]
     assert rows["Справочники.Товары"].props["Пусто"] == []
@@ -26,12 +26,12 @@ def test_report(spark):
 
 
 def test_repeated_report_node_last_wins(spark):
-    twice = parsers.report_lines(spark, "- A.B\n\tИмя: \"one\"\n- A.B\n\tИмя: \"two\"\n")
+    twice = samples.report_lines(spark, "- A.B\n\tИмя: \"one\"\n- A.B\n\tИмя: \"two\"\n")
     assert [r.name for r in text_report.report_objects(text_report.parse_nodes(twice)).collect()] == ["two"]
 
 
 def test_modules(spark):
-    found = {r.name: r for r in modules.methods(parsers.module_lines(spark)).collect()}
+    found = {r.name: r for r in modules.methods(samples.module_lines(spark)).collect()}
     assert set(found) == {"Итог", "Пустая", "Run", "Сумма", "Незакрытая"}
     total = found["Итог"]
     assert (total.kind, total.export, total.region, total.comment, total.line, total.end_line) == ("Function", True, "Служебные", "Возвращает сумму.", 4, 9)
@@ -41,7 +41,7 @@ def test_modules(spark):
 
 
 def test_xml(spark):
-    nodes = parsers.xml_nodes(spark, parsers.XML, "<broken", "<MetaDataObject><Role><Properties/></Role></MetaDataObject>").cache()
+    nodes = samples.xml_nodes(spark, samples.XML, "<broken", "<MetaDataObject><Role><Properties/></Role></MetaDataObject>").cache()
     assert {r.path for r in xml_objects.objects(nodes).collect()} == {"Документы.Продажа", "Документы.Продажа.Реквизиты.Клиент", "Документы.Продажа.ТабличныеЧасти.Товары", "Документы.Продажа.ТабличныеЧасти.Товары.Реквизиты.Цена"}
     assert {tuple(r) for r in xml_objects.rejected(nodes).collect()} == {("f1.xml", "malformed"), ("f2.xml", "no_name")}
     assert ["cfg:CatalogRef.Клиенты", "xs:string(Length=10)"] in [r.types for r in xml_objects.types(nodes).collect()]
@@ -51,7 +51,7 @@ def test_form_schema_and_sheet(spark):
     form = "<Form><Events><Event name='a'>X</Event></Events><ChildItems><InputField/><InputField/><Group><ChildItems><Button/></ChildItems></Group></ChildItems><Commands><Command/></Commands></Form>"
     schema = "<DataCompositionSchema><dataSet><field><dataPath>A</dataPath><field>A</field></field></dataSet><dataSet><field><dataPath>A</dataPath><field>A</field></field><field><dataPath>B</dataPath><field>C</field></field></dataSet></DataCompositionSchema>"
     sheet = "<document><columns><size>7</size></columns><rowsItem/><rowsItem><row><c><parameter>P</parameter></c></row></rowsItem></document>"
-    nodes = parsers.xml_nodes(spark, form, schema, sheet).cache()
+    nodes = samples.xml_nodes(spark, form, schema, sheet).cache()
     f = xml_objects.form_summary(nodes.where("source_rel = 'f0.xml'")).first()
     assert f.element_types == {"InputField": 2, "Group": 1, "Button": 1} and (f.commands, f.events) == (1, 1)
     assert {(r.data_path, r.field) for r in xml_objects.schema_fields(nodes.where("source_rel = 'f1.xml'")).collect()} == {("A", "A"), ("B", "C")}
@@ -129,3 +129,40 @@ def test_living_methods(spark):
     methods = spark.createDataFrame([("A.X.Формы.F.Методы.Form.M", "A.X.Формы.F"), ("A.X.Методы.Object.N", "A.X"), ("A.Gone.Методы.Object.P", "A.Gone")], "path string, parent_path string")
     objects = spark.createDataFrame([("A.X",)], "path string")
     assert {r.parent_path for r in ingest.living_methods(methods, objects).collect()} == {"A.X.Формы.F", "A.X"}
+
+
+def test_sample_module(spark):
+    """Headers over lines, strings and remarks with keywords, nested regions, an end left out."""
+    rows = modules.methods(samples.module_lines(spark)).collect()
+    got = {(r.name, r.kind, r.export, r.region, r.line, r.end_line, r.comment, ",".join(r.calls)) for r in rows}
+    assert got == {
+        ("Итог", "Function", True, "Служебные", 4, 9, "Возвращает сумму.", "Сумма"),
+        ("Пустая", "Procedure", False, "Внутри", 11, 11, "", ""),
+        ("Run", "Procedure", True, "Внутри", 12, 15, "", "Run,Итог"),
+        ("Сумма", "Function", False, "Служебные", 17, 19, "", ""),
+        ("Незакрытая", "Procedure", False, "", 21, 23, "", "Сумма"),
+    }
+
+
+def test_sample_report_and_description(spark):
+    parsed = text_report.parse_nodes(samples.report_lines(spark))
+    assert {(r.path, r.kind, r.name, r.synonym, len(r.props)) for r in text_report.report_objects(parsed).collect()} == {
+        ("Справочники.Товары", "Справочники", "Товары", "Товары и услуги", 4),
+        ("Справочники.Товары.Реквизиты.Единица", "Реквизиты", "Единица", "", 2),
+        ("Документы.Продажа", "Документы", "Продажа", "", 1),
+    }
+    links = text_report.report_links(parsed).withColumn("to_path", refs.canonical(F.col("to_ref")))
+    assert {(r.from_path, r.link_type, r.to_path) for r in links.collect()} == {
+        ("Справочники.Товары", "type", "Справочники.Единицы"),
+        ("Справочники.Товары", "type", None),
+        ("Справочники.Товары.Реквизиты.Единица", "type", "Справочники.Единицы"),
+        ("Документы.Продажа", "movements", "РегистрыНакопления.Продажи"),
+    }
+    nodes = samples.xml_nodes(spark).cache()
+    assert {(r.path, r.kind, r.synonym, r.comment, r.belong, r.base_object) for r in xml_objects.objects(nodes).collect()} == {
+        ("Документы.Продажа", "Document", "Продажа товаров", "важно", "Adopted", "base-1"),
+        ("Документы.Продажа.Реквизиты.Клиент", "Attribute", "", "", "Own", ""),
+        ("Документы.Продажа.ТабличныеЧасти.Товары", "TabularSection", "", "", "Own", ""),
+        ("Документы.Продажа.ТабличныеЧасти.Товары.Реквизиты.Цена", "TabularSectionAttribute", "", "", "Own", ""),
+    }
+    assert {(r.from_path, r.to_ref, r.link_type) for r in xml_objects.links(nodes).collect()} == {("Документы.Продажа", "AccumulationRegister.Продажи", "movements"), ("Документы.Продажа.Реквизиты.Клиент", "CatalogRef.Клиенты", "type")}
