@@ -51,10 +51,10 @@ def report_links(spark, d):
 
 
 def _module_lines(spark, d):
-    """A module a document: the whole text is the remark of its first function, which stands in a region."""
+    """A module a document: the whole text is the remark of its first function, which stands in a region behind an end that closes nothing."""
     doc, text = F.col("doc_id").cast("string"), F.regexp_replace("text", r"\r?\n", "\n// ")
     code = F.concat(
-        F.lit("#Область R"), doc, F.lit("\n// "), text, F.lit("\n&НаСервере\nФункция F"), doc, F.lit("(Знач А,\n\tБ = 1) Экспорт\n\tТ = \"Вызов(\"; // Коммент(\n\tВозврат G"), doc,
+        F.lit("#КонецОбласти\n#Область R"), doc, F.lit("\n// "), text, F.lit("\n&НаСервере\nФункция F"), doc, F.lit("(Знач А,\n\tБ = 1) Экспорт\n\tТ = \"Вызов(\"; // Коммент(\n\tВозврат G"), doc,
         F.lit("(А);\nКонецФункции\n#КонецОбласти\nProcedure G"), doc, F.lit("()\n\tG"), doc, F.lit("();\n\tF"), doc, F.lit("(1, 2);\nEndProcedure\n"),
     )
     docs = table(spark, d, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -64,9 +64,9 @@ def _module_lines(spark, d):
 
 @query(
     r"""WITH m AS (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS lines FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)
-SELECT 'ОбщиеМодули.M' || doc_id || '.Методы.Module.F' || doc_id AS path, 'Function' AS kind, true AS export, 'R' || doc_id AS region, len(lines) + 3 AS line, len(lines) + 7 AS end_line,
+SELECT 'ОбщиеМодули.M' || doc_id || '.Методы.Module.F' || doc_id AS path, 'Function' AS kind, true AS export, 'R' || doc_id AS region, len(lines) + 4 AS line, len(lines) + 8 AS end_line,
     md5(array_to_string(list_transform(lines, lambda x: rtrim(x, ' ')), chr(10))) AS comment, 'G' || doc_id AS calls FROM m
-UNION ALL SELECT 'ОбщиеМодули.M' || doc_id || '.Методы.Module.G' || doc_id, 'Procedure', false, '', len(lines) + 9, len(lines) + 12, md5(''), 'F' || doc_id || ',G' || doc_id FROM m"""
+UNION ALL SELECT 'ОбщиеМодули.M' || doc_id || '.Методы.Module.G' || doc_id, 'Procedure', false, '', len(lines) + 10, len(lines) + 13, md5(''), 'F' || doc_id || ',G' || doc_id FROM m"""
 )
 def module_parse(spark, d):
     """Methods of modules whose remarks are whole documents: headers over lines, strings and remarks masked, regions."""

@@ -39,14 +39,17 @@ def methods(lines: DataFrame) -> DataFrame:
     that is missing, or to the end of the file. The header goes on until its
     parentheses close. The doc comment is the run of comment lines right above,
     annotations between them left out. The region is the innermost open one: the last opened
-    among lines of the same depth.
+    among lines of the same depth. Ends of regions that no region precedes count
+    for nothing, and a region that is left open lasts to the end of the file.
     """
     by_line = Window.partitionBy("source_rel").orderBy("line")
     so_far = by_line.rowsBetween(Window.unboundedPreceding, 0)
     code = F.col("code")
     opens, closes = code.rlike(REGION), code.rlike(END_REGION)
     rows = lines.withColumn("is_begin", code.rlike(BEGIN)).withColumn("is_end", code.rlike(END))
-    rows = rows.withColumn("depth", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(so_far))
+    # An end without its region closes nothing: the count is held at zero by its own lowest point so far.
+    rows = rows.withColumn("_sum", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(so_far))
+    rows = rows.withColumn("depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(so_far))).drop("_sum")
     same_depth = Window.partitionBy("source_rel", "depth").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("region", F.when(F.col("depth") > 0, F.last(F.when(opens, F.struct(F.regexp_extract(code, REGION, 1).alias("name"), F.col("line").alias("at"))), ignorenulls=True).over(same_depth)))
     rows = rows.withColumn("method", F.sum(F.col("is_begin").cast("int")).over(so_far))

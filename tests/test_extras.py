@@ -4,7 +4,6 @@ from strandmap.functions import embed
 from strandmap.limits import PRESETS, Limits
 from strandmap.operators import intervals
 from strandmap.plans import lanes
-from strandmap.queries import extras
 from strandmap.sources import layout, sinks
 from tests import samples
 

@@ -166,3 +166,10 @@ def test_sample_report_and_description(spark):
         ("Документы.Продажа.ТабличныеЧасти.Товары.Реквизиты.Цена", "TabularSectionAttribute", "", "", "Own", ""),
     }
     assert {(r.from_path, r.to_ref, r.link_type) for r in xml_objects.links(nodes).collect()} == {("Документы.Продажа", "AccumulationRegister.Продажи", "movements"), ("Документы.Продажа.Реквизиты.Клиент", "CatalogRef.Клиенты", "type")}
+
+
+def test_ends_without_a_region(spark):
+    """Stray ends at the start and between regions shift nothing behind them; a region left open lasts."""
+    end, sub = "#КонецОбласти", "Процедура {}()\nКонецПроцедуры"
+    text = "\n".join([end, end, sub.format("A"), "#Область X", sub.format("B"), "#Область Y", sub.format("C"), end, sub.format("D"), end, end, sub.format("E"), "#Region Z", sub.format("F")])
+    assert {r.name: r.region for r in modules.methods(samples.module_lines(spark, text)).collect()} == {"A": "", "B": "X", "C": "Y", "D": "X", "E": "", "F": "Z"}
