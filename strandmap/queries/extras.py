@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
-from strandmap import ingest
+from strandmap import ingest, store
 from strandmap.adapters import OBJECTS_SQL, links, objects, table
 from strandmap.functions import embed, text
 from strandmap.operators import intervals, relations
 from strandmap.plans import graph, lanes
 from strandmap.sources import layout, sinks
+from strandmap.streaming import stateful, telemetry
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -117,3 +120,35 @@ def file_classes(spark, d):
     rels = F.array(*(F.concat(F.lit(a), key, F.lit(b)) for a, b, *_ in _FILES), F.concat(key, F.lit(".png")))
     rows = table(spark, d, "part").select(F.explode(rels).alias("rel"))
     return rows.select("rel", layout.file_class(F.col("rel")).alias("class"), layout.owner_path(F.col("rel")).alias("path"))
+
+
+def _replayed(spark, d, name, job):
+    """A job over the events as a stream of their files, kept as Parquet; what the last watermark hasn't passed is still to come."""
+
+    def run(path):
+        schema = table(spark, d, "events").schema
+        # A pattern, as the table may be one file: a source without one has to be a folder.
+        stateful.drain(spark, lambda: job(telemetry.events(spark, f"{d}/events.parque[t]", schema, files_per_trigger=64)), path, f"{path}-state")
+
+    return spark.read.parquet(store.once(spark, d, name, run))
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'error'), n AS (
+SELECT event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM e WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM e))
+SELECT event_id, nth::INTEGER AS nth, CASE WHEN nth <= 8 THEN 'shown' ELSE 'suppressed' END AS state FROM n WHERE nth <= 9"""
+)
+def error_suppression_stream(spark, d):
+    found = _replayed(spark, d, "suppressed", lambda s: stateful.suppress_repeats(s.where("event_type = 'error'"), ["user_id"]))
+    return found.select("event_id", "nth", "state")
+
+
+@query(
+    """WITH k AS (SELECT unnest(['click', 'error', 'view']) AS event_type), f AS (SELECT * FROM events JOIN k USING (event_type) WHERE ts >= TIMESTAMP '2024-01-05'),
+b AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', (SELECT date_trunc('minute', max(ts) - INTERVAL 10 MINUTE) - INTERVAL 1 MINUTE FROM f), INTERVAL 1 MINUTE)) AS bucket),
+e AS (SELECT date_trunc('minute', ts) AS bucket, event_type, count(*) AS n FROM f GROUP BY ALL)
+SELECT bucket::TIMESTAMP AS bucket, event_type, coalesce(n, 0)::BIGINT AS n FROM b CROSS JOIN k LEFT JOIN e USING (bucket, event_type)"""
+)
+def timeline_stream(spark, d):
+    job = lambda s: stateful.filled_timeline(s, "event_type", ["click", "error", "view"], dt.datetime(2024, 1, 5))
+    return _replayed(spark, d, "minutes", job).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
