@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandmap.operators.relations import fill_forward
+from strandmap.operators.scans import running_sums
+from strandmap.session import cut
+
 # Keywords in both languages.
 BEGIN = r"(?iu)^\s*(?:Асинх\s+|Async\s+)?(Процедура|Функция|Procedure|Function)\s+([\p{L}_][\p{L}\p{N}_]*)\s*\("
 END = r"(?iu)^\s*(?:КонецПроцедуры|КонецФункции|EndProcedure|EndFunction)(?![\p{L}\p{N}_])"
@@ -32,7 +36,25 @@ def lines_of(modules: DataFrame) -> DataFrame:
     return rows.withColumn("line", F.col("line") + 1).withColumn("code", mask(F.col("raw")))
 
 
-def methods(lines: DataFrame) -> DataFrame:
+def regions(lines: DataFrame, piece: int = 50_000) -> DataFrame:
+    """(source_rel, line, region (name, at)) of the headers of methods that lie in a region: the innermost open one.
+
+    Only lines that open or close a region or begin a method count, and are
+    computed once; depths and names go by pieces of a file's lines.
+    """
+    code = F.col("code")
+    opens, closes = code.rlike(REGION), code.rlike(END_REGION)
+    likely = F.col("raw").contains("#") | F.col("raw").contains("(")  # spares other lines the masking
+    marks = lines.where(likely).where(opens | closes | code.rlike(BEGIN))
+    name = F.when(opens, F.struct(F.regexp_extract(code, REGION, 1).alias("name"), F.col("line").alias("at")))
+    marks = cut(marks.select("source_rel", "line", F.when(opens, 1).when(closes, -1).otherwise(0).alias("step"), name.alias("opened")))
+    deep = running_sums(marks, ["source_rel"], "line", {"depth": F.col("step")}, floored=["depth"], piece=piece).where("depth > 0")
+    # Among lines of one depth the last that was opened is the one that is open: a deeper one has another depth.
+    filled = fill_forward(deep, ["source_rel", "depth"], "line", {"region": F.col("opened")}, piece=piece)
+    return filled.where("step = 0").select("source_rel", "line", "region")
+
+
+def methods(lines: DataFrame, piece: int = 50_000) -> DataFrame:
     """One row a method: path, kind, export, signature, doc comment, body, region, line, calls.
 
     A method runs from its header to its end keyword, to the next header where
@@ -41,22 +63,16 @@ def methods(lines: DataFrame) -> DataFrame:
     annotations between them left out. The region is the innermost open one: the last opened
     among lines of the same depth. Ends of regions that no region precedes count
     for nothing, and a region that is left open lasts to the end of the file.
+    A file goes in pieces of so many lines; a method's own lines are one group,
+    as its body becomes one row.
     """
-    by_line = Window.partitionBy("source_rel").orderBy("line")
-    so_far = by_line.rowsBetween(Window.unboundedPreceding, 0)
     code = F.col("code")
-    opens, closes = code.rlike(REGION), code.rlike(END_REGION)
-    rows = lines.withColumn("is_begin", code.rlike(BEGIN)).withColumn("is_end", code.rlike(END))
-    # An end without its region closes nothing: the count is held at zero by its own lowest point so far.
-    rows = rows.withColumn("_sum", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(so_far))
-    rows = rows.withColumn("depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(so_far))).drop("_sum")
-    same_depth = Window.partitionBy("source_rel", "depth").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("region", F.when(F.col("depth") > 0, F.last(F.when(opens, F.struct(F.regexp_extract(code, REGION, 1).alias("name"), F.col("line").alias("at"))), ignorenulls=True).over(same_depth)))
-    rows = rows.withColumn("method", F.sum(F.col("is_begin").cast("int")).over(so_far))
-    # Comments: a run is broken by lines that are neither comments, annotations nor blank.
+    rows = lines.withColumn("is_begin", F.col("raw").contains("(") & code.rlike(BEGIN)).withColumn("is_end", code.rlike(END))
+    # Comments: a run is broken by lines that are neither comments, annotations nor blank; a line's own break counts behind it.
     trimmed = F.trim("raw")
     remark, annotation = trimmed.startswith("//"), trimmed.startswith("&") | (trimmed == "")
-    rows = rows.withColumn("run", F.sum((~(remark | annotation)).cast("int")).over(by_line.rowsBetween(Window.unboundedPreceding, -1)))
+    breaks = (~(remark | annotation)).cast("int")
+    rows = running_sums(rows, ["source_rel"], "line", {"method": F.col("is_begin").cast("int"), "run": breaks}, piece=piece).withColumn("run", F.col("run") - breaks)
     remarks = rows.where(remark).groupBy("source_rel", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.regexp_replace(trimmed, r"^//\s?", "").alias("t")))), lambda s: s["t"]), "\n").alias("comment"))
     inside = rows.where("method > 0")
     in_method = Window.partitionBy("source_rel", "method").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,9 +86,9 @@ def methods(lines: DataFrame) -> DataFrame:
     out = inside.groupBy("source_rel", "parent_path", "module_role", "method").agg(
         F.min("line").cast("int").alias("line"), F.max("line").cast("int").alias("end_line"), text("raw", F.col("in_header")).alias("signature"), text("code", F.col("in_header")).alias("header"),
         text("raw", ~F.col("in_header") & ~F.col("is_end")).alias("body"), text("code", ~F.col("in_header") & ~F.col("is_end")).alias("masked"),
-        F.min_by("run", "line").alias("run"), F.min_by("region", "line").alias("region"),
+        F.min_by("run", "line").alias("run"),
     )
-    out = out.join(remarks, ["source_rel", "run"], "left")
+    out = out.join(remarks, ["source_rel", "run"], "left").join(regions(lines, piece), ["source_rel", "line"], "left")
     name = F.regexp_extract("header", BEGIN, 2)
     word = F.lower(F.regexp_extract("header", BEGIN, 1))
     return out.select(

@@ -1,7 +1,10 @@
+import random
+
 from pyspark.sql import functions as F
 
 from strandmap import ingest
 from strandmap.functions import paths, refs, text
+from strandmap.operators import scans
 from strandmap.sources import binary_forms, help_html, modules, text_report, xml_objects
 from tests import samples
 
@@ -173,3 +176,32 @@ def test_ends_without_a_region(spark):
     end, sub = "#КонецОбласти", "Процедура {}()\nКонецПроцедуры"
     text = "\n".join([end, end, sub.format("A"), "#Область X", sub.format("B"), "#Область Y", sub.format("C"), end, sub.format("D"), end, end, sub.format("E"), "#Region Z", sub.format("F")])
     assert {r.name: r.region for r in modules.methods(samples.module_lines(spark, text)).collect()} == {"A": "", "B": "X", "C": "Y", "D": "X", "E": "", "F": "Z"}
+    pieces = modules.methods(samples.module_lines(spark, text), piece=3).collect()
+    assert {r.name: r.region for r in pieces} == {"A": "", "B": "X", "C": "Y", "D": "X", "E": "", "F": "Z"}
+
+
+def test_running_sums_in_pieces(spark):
+    """Any cut into pieces gives the sums of one pass, also floored ones, for null keys and for groups that begin late."""
+    draw = random.Random(5)
+    rows = [(k, i, draw.choice([1, -1, -1, 0, None])) for k in ("a", "b", None) for i in range(7 if k == "b" else 0, 60) if i % 9]
+    frame = spark.createDataFrame(rows, "k string, line int, step int")
+    want = {}
+    for k in ("a", "b", None):
+        depth = total = 0
+        for _, i, step in (r for r in rows if r[0] == k):
+            total += step or 0
+            depth = max(0, depth + (step or 0))
+            want[k, i] = (depth, total)
+    for piece in (1, 4, 17, 1000):
+        got = scans.running_sums(frame, ["k"], "line", {"depth": F.col("step"), "total": F.col("step")}, floored=["depth"], piece=piece)
+        assert {(r.k, r.line): (r.depth, r.total) for r in got.collect()} == want and got.columns == ["k", "line", "step", "depth", "total"]
+    assert scans.running_sums(frame.limit(0), ["k"], "line", {"depth": F.col("step")}).count() == 0
+
+
+def test_module_of_many_pieces(spark, sf):
+    """A file of all documents, each in a region of its own and behind a stray end, cut into pieces of 50 lines."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL").orderBy("doc_id").limit(60).collect()
+    text = "\n".join(f"#EndRegion\n#Region R{d.doc_id}\n" + "\n".join("// " + x for x in d.text.splitlines()) + f"\nProcedure P{d.doc_id}()\nEndProcedure\n#EndRegion" for d in docs)
+    rows = modules.methods(samples.module_lines(spark, text), piece=50).select("name", "region", "comment").collect()
+    assert {(r.name, r.region) for r in rows} == {(f"P{d.doc_id}", f"R{d.doc_id}") for d in docs} and len(rows) == len(docs)
+    assert {r.name: r.comment.split() for r in rows} == {f"P{d.doc_id}": d.text.split() for d in docs}
