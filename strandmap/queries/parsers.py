@@ -95,6 +95,12 @@ def _xml_files(spark, d):
     return table(spark, d, "part").select(F.concat(F.lit("Documents/P"), key, F.lit(".xml")).alias("source_rel"), F.encode(text, "UTF-8").alias("content"))
 
 
+def _xml_elements(spark, d):
+    """Elements of the descriptions, parsed once for all joins over them; a small table's one split is dealt out before."""
+    path = store.once(spark, d, "xml-elements", lambda p: xml_objects.nodes(_xml_files(spark, d).repartition("source_rel")).write.parquet(p))
+    return spark.read.parquet(path)
+
+
 @query(
     """SELECT 'Документы.P' || p_partkey || s AS path, kind, CASE kind WHEN 'Document' THEN 'P' || p_partkey ELSE name END AS name, CASE kind WHEN 'Document' THEN p_name ELSE '' END AS synonym,
     CASE kind WHEN 'Document' THEN p_type ELSE '' END AS comment, replace(props, '?', p_size::VARCHAR) AS props
@@ -114,7 +120,7 @@ UNION ALL SELECT 'Документы.P' || p_partkey || '.Реквизиты.Own
 )
 def xml_links(spark, d):
     """Links in the descriptions of all parts."""
-    return xml_objects.links(xml_objects.nodes(_xml_files(spark, d))).withColumn("to_path", refs.canonical(F.col("to_ref")))
+    return xml_objects.links(_xml_elements(spark, d)).withColumn("to_path", refs.canonical(F.col("to_ref")))
 
 
 _VISIBLE = r"regexp_replace(html, '<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'gsi')"

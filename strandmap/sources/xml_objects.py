@@ -17,6 +17,9 @@ HEADS = {"Catalog": "Справочники", "Document": "Документы",
 # Properties whose items are links, and their link types.
 LINK_PROPERTIES = {"RegisterRecords": "movements", "BasedOn": "based_on", "Content": "composition"}
 
+#: Rows of elements in a batch that leaves Python at least, but for the last.
+BATCH = 10_000
+
 _NODES = "source_rel string, id int, parent int, tag string, parent_tag string, text string, ancestors array<int>, attributes map<string,string>, error string"
 
 
@@ -45,14 +48,20 @@ class _Bytes:
 
 def _rows(batches):
     schema = pa.schema([("source_rel", pa.string()), ("id", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("parent_tag", pa.string()), ("text", pa.string()), ("ancestors", pa.list_(pa.int32())), ("attributes", pa.map_(pa.string(), pa.string())), ("error", pa.string())])
+    record = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    held = []
     for batch in batches:
         for rel, content in zip(batch.column(0), batch.column(1), strict=True):
             rel = rel.as_py()
             try:
-                rows = [(rel, *r, None) for r in _flatten(content.as_py() or b"")]
+                held += [(rel, *r, None) for r in _flatten(content.as_py() or b"")]
             except ET.ParseError as e:
-                rows = [(rel, -1, -1, "", "", "", [], [], str(e))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                held.append((rel, -1, -1, "", "", "", [], [], str(e)))
+            if len(held) >= BATCH:
+                yield record(held)
+                held = []
+    if held:
+        yield record(held)
 
 
 def nodes(files: DataFrame) -> DataFrame:
@@ -69,11 +78,15 @@ def rejected(elements: DataFrame) -> DataFrame:
     return broken.unionByName(files.join(named, "source_rel", "left_anti").withColumn("reason", F.lit("no_name")))
 
 
+def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by sorting: elements grow with their export, and sizes guessed from packed files would send them all to the driver for a broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _properties(elements: DataFrame) -> DataFrame:
-    """(source_rel, object, id, tag, text): the properties of each object element."""
-    holders = elements.where("tag = 'Properties'").select("source_rel", F.col("id").alias("holder"), F.col("parent").alias("object"))
-    direct = elements.where("parent_tag = 'Properties'").withColumnRenamed("parent", "holder")
-    return direct.join(holders, ["source_rel", "holder"]).select("source_rel", "object", "id", "tag", "text")
+    """(source_rel, object, id, tag, text): the properties of each object element, which holds their parent."""
+    owner = F.coalesce(F.try_element_at("ancestors", F.lit(-2)), F.lit(-1))
+    return elements.where("parent_tag = 'Properties'").select("source_rel", owner.alias("object"), "id", "tag", "text")
 
 
 def properties(elements: DataFrame) -> DataFrame:
@@ -84,7 +97,8 @@ def properties(elements: DataFrame) -> DataFrame:
     """
     plain = _properties(elements).where(~F.col("tag").isin("Name", "Synonym", "Comment", "Type")).select("source_rel", "object", "tag", F.col("id").alias("holder"), "text")
     own = plain.where("text <> ''").select("source_rel", "object", "tag", F.col("holder").alias("id"), "text")
-    nested = elements.where("text <> ''").select("source_rel", "id", "text", F.explode("ancestors").alias("holder")).join(plain.drop("text"), ["source_rel", "holder"])
+    nested = elements.where("text <> ''").select("source_rel", "id", "text", F.explode("ancestors").alias("holder"))
+    nested = _joined(nested, plain.drop("text"), ["source_rel", "holder"])
     values = own.unionByName(nested.select("source_rel", "object", "tag", "id", "text")).groupBy("source_rel", "object", "tag").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda s: s["text"]).alias("values"))
     typed = types(elements).select("source_rel", "object", F.lit("Type").alias("tag"), F.col("types").alias("values"))
     return values.unionByName(typed).groupBy("source_rel", "object").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "values")))).alias("props"))
@@ -94,14 +108,13 @@ def _named(elements: DataFrame) -> DataFrame:
     """Object elements with their names."""
     wanted = elements.where((F.col("tag").isin(*HEADS) & (F.col("parent_tag") == "MetaDataObject")) | (F.col("tag").isin(*CHILD_SEGMENTS) & (F.col("parent_tag") == "ChildObjects")))
     names = _properties(elements).where("tag = 'Name' and text <> ''").groupBy("source_rel", F.col("object").alias("id")).agg(F.first("text").alias("name"))
-    return wanted.join(names, ["source_rel", "id"])
+    return _joined(wanted, names, ["source_rel", "id"])
 
 
-def objects(elements: DataFrame) -> DataFrame:
-    """(source_rel, id, path, kind, name, synonym, comment, belong, base_object, props): the objects of each file and their children.
+def paths(elements: DataFrame) -> DataFrame:
+    """(source_rel, id, path, kind, name): the objects of each file and their children.
 
-    belong is Own unless the file says otherwise; base_object is what an adopted
-    object extends. A path joins the segments of an element and of those that hold it; columns
+    A path joins the segments of an element and of those that hold it; columns
     of table sections get a kind of their own.
     """
     found = _named(elements)
@@ -109,17 +122,26 @@ def objects(elements: DataFrame) -> DataFrame:
     segments = F.create_map(*(F.lit(x) for kv in CHILD_SEGMENTS.items() for x in kv))
     label = F.concat_ws(".", F.when(F.col("parent_tag") == "MetaDataObject", heads[F.col("tag")]).otherwise(segments[F.col("tag")]), "name")
     labelled = found.select("source_rel", F.col("id").alias("step"), label.alias("label"), F.col("tag").alias("step_tag"))
-    chain = found.select("source_rel", "id", "tag", "name", F.explode(F.concat("ancestors", F.array("id"))).alias("step")).join(labelled, ["source_rel", "step"])
+    chain = _joined(found.select("source_rel", "id", "tag", "name", F.explode(F.concat("ancestors", F.array("id"))).alias("step")), labelled, ["source_rel", "step"])
     out = chain.groupBy("source_rel", "id", "tag", "name").agg(F.array_sort(F.collect_list(F.struct("step", "label", "step_tag"))).alias("c"))
     kind = F.when((F.col("tag") == "Attribute") & F.exists("c", lambda s: s["step_tag"] == "TabularSection"), "TabularSectionAttribute").otherwise(F.col("tag"))
+    return out.select("source_rel", "id", F.array_join(F.transform("c", lambda s: s["label"]), ".").alias("path"), kind.alias("kind"), "name")
+
+
+def objects(elements: DataFrame) -> DataFrame:
+    """(source_rel, id, path, kind, name, synonym, comment, belong, base_object, props): the objects of each file and their children.
+
+    belong is Own unless the file says otherwise; base_object is what an adopted
+    object extends.
+    """
     props = _properties(elements).where(F.col("tag") == "Comment").select("source_rel", F.col("object").alias("id"), F.col("text").alias("comment"))
     items = elements.where("tag = 'content' and parent_tag = 'item'").select("source_rel", "id", "text", "ancestors")
     synonyms = _properties(elements).where("tag = 'Synonym'").select("source_rel", F.col("object"), F.col("id").alias("holder"))
-    held = items.select("source_rel", "id", "text", F.explode("ancestors").alias("holder")).join(synonyms, ["source_rel", "holder"])
+    held = items.select("source_rel", "id", "text", F.explode("ancestors").alias("holder"))
+    held = _joined(held, synonyms, ["source_rel", "holder"])
     synonym = held.groupBy("source_rel", F.col("object").alias("id")).agg(F.min_by("text", held["id"]).alias("synonym"))
-    out = out.select("source_rel", "id", F.array_join(F.transform("c", lambda s: s["label"]), ".").alias("path"), kind.alias("kind"), "name")
-    out = out.join(synonym, ["source_rel", "id"], "left").join(props, ["source_rel", "id"], "left")
-    out = out.join(properties(elements).withColumnRenamed("object", "id"), ["source_rel", "id"], "left")
+    out = _joined(_joined(paths(elements), synonym, ["source_rel", "id"], "left"), props, ["source_rel", "id"], "left")
+    out = _joined(out, properties(elements).withColumnRenamed("object", "id"), ["source_rel", "id"], "left")
     first = lambda tag, default: F.coalesce(F.get(F.try_element_at("props", F.lit(tag)), F.lit(0)), F.lit(default))
     return out.select(
         "source_rel", "id", "path", "kind", "name", F.coalesce("synonym", F.lit("")).alias("synonym"), F.coalesce("comment", F.lit("")).alias("comment"),
@@ -130,7 +152,8 @@ def objects(elements: DataFrame) -> DataFrame:
 def types(elements: DataFrame) -> DataFrame:
     """(source_rel, object, types): types of each object in order, qualifiers in brackets after the type before them."""
     holder = _properties(elements).where("tag = 'Type'").select("source_rel", "object", F.col("id").alias("holder"))
-    inside = elements.select("source_rel", "id", "tag", "parent_tag", "parent", "text", F.explode("ancestors").alias("holder")).join(holder, ["source_rel", "holder"])
+    inside = elements.select("source_rel", "id", "tag", "parent_tag", "parent", "text", F.explode("ancestors").alias("holder"))
+    inside = _joined(inside, holder, ["source_rel", "holder"])
     w = Window.partitionBy("source_rel", "object").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     is_type = (F.col("tag") == "Type") & (F.col("parent_tag") == "Type")
     marked = inside.withColumn("at", F.last(F.when(is_type, F.col("id")), ignorenulls=True).over(w)).where(F.col("at").isNotNull())
@@ -141,14 +164,14 @@ def types(elements: DataFrame) -> DataFrame:
 
 def links(elements: DataFrame) -> DataFrame:
     """(from_path, to_ref, link_type): reference types and the items of link properties, each once."""
-    paths = objects(elements).select("source_rel", F.col("id").alias("object"), F.col("path").alias("from_path"))
+    owners = paths(elements).select("source_rel", F.col("id").alias("object"), F.col("path").alias("from_path"))
     typed = types(elements).select("source_rel", "object", F.explode("types").alias("t")).where(F.col("t").contains("Ref."))
     typed = typed.select("source_rel", "object", F.regexp_replace(F.regexp_replace("t", r"\(.*$", ""), r"^\w+:", "").alias("to_ref"), F.lit("type").alias("link_type"))
     kinds = F.create_map(*(F.lit(x) for kv in LINK_PROPERTIES.items() for x in kv))
     holder = _properties(elements).where(F.col("tag").isin(*LINK_PROPERTIES)).select("source_rel", "object", F.col("id").alias("holder"), kinds[F.col("tag")].alias("link_type"))
     items = elements.where("text <> ''").select("source_rel", F.col("text").alias("to_ref"), F.explode("ancestors").alias("holder"))
-    listed = items.join(holder, ["source_rel", "holder"]).select("source_rel", "object", "to_ref", "link_type")
-    return typed.unionByName(listed).join(paths, ["source_rel", "object"]).select("from_path", "to_ref", "link_type").distinct()
+    listed = _joined(items, holder, ["source_rel", "holder"]).select("source_rel", "object", "to_ref", "link_type")
+    return _joined(typed.unionByName(listed), owners, ["source_rel", "object"]).select("from_path", "to_ref", "link_type").distinct()
 
 
 def form_summary(elements: DataFrame, most: int = 120) -> DataFrame:

@@ -205,3 +205,12 @@ def test_module_of_many_pieces(spark, sf):
     rows = modules.methods(samples.module_lines(spark, text), piece=50).select("name", "region", "comment").collect()
     assert {(r.name, r.region) for r in rows} == {(f"P{d.doc_id}", f"R{d.doc_id}") for d in docs} and len(rows) == len(docs)
     assert {r.name: r.comment.split() for r in rows} == {f"P{d.doc_id}": d.text.split() for d in docs}
+
+
+def test_xml_joins_send_no_elements_to_the_driver(spark, sf):
+    """Descriptions are written from a small packed table, whose size says nothing of the elements'."""
+    from strandmap import catalog
+
+    for name in ("xml_links",):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "MapInArrow" not in plan, name
