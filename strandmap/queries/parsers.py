@@ -109,7 +109,7 @@ FROM part, (VALUES ('', 'Document', '', 'RegisterRecords=AccumulationRegister.R?
 )
 def xml_parse(spark, d):
     """Objects in the descriptions of all parts."""
-    found = xml_objects.objects(xml_objects.nodes(_xml_files(spark, d)))
+    found = xml_objects.objects(_xml_elements(spark, d))
     entries = F.transform(F.array_sort(F.map_entries("props")), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|")))
     return found.select("path", "kind", "name", "synonym", "comment", F.array_join(entries, ";").alias("props"))
 

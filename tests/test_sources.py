@@ -211,6 +211,6 @@ def test_xml_joins_send_no_elements_to_the_driver(spark, sf):
     """Descriptions are written from a small packed table, whose size says nothing of the elements'."""
     from strandmap import catalog
 
-    for name in ("xml_links",):
+    for name in ("xml_links", "xml_parse"):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and "MapInArrow" not in plan, name
