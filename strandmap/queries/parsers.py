@@ -24,17 +24,25 @@ def query(sql: str | None = None):
 
 
 def _report_lines(spark, d):
-    """Reports of parts, one a brand: a node, three properties and a quoted list for each part."""
-    node = lambda *parts: F.concat(*(F.lit(p) if p.startswith(("-", "\t", "\"")) else F.col(p).cast("string") for p in parts))
+    """Reports of parts, a file for each brand and thousand of keys, behind a heading: a catalog of three properties and a quoted list, its attribute, and a document that has movements alone."""
+    line = lambda *parts: F.concat(*(F.col(p).cast("string") if p.startswith("p_") else F.lit(p) for p in parts))
     lines = [
-        node("- Справочники.P", "p_partkey"), node('\tИмя: "P', "p_partkey", '"'), node('\tСиноним: "', "p_name", '"'), F.lit("\tТип:"), node('\t\t"СправочникСсылка.T', "p_size", '"'), F.lit('\t\t"Строка"'),
-        F.lit("\tПусто:"), F.lit(""),
+        line("- Справочники.P", "p_partkey"), line('\tИмя: "P', "p_partkey", '"'), line('\tСиноним: "', "p_name", '"'), line("\tТип:"), line('\t\t"СправочникСсылка.T', "p_size", '"'), line('\t\t"Строка"'),
+        line("\tПусто:"), line(""),
+        line("- Справочники.P", "p_partkey", ".Реквизиты.Единица"), line('\tИмя: "Единица"'), line("\tТип:"), line('\t\t"СправочникСсылка.T', "p_size", '"'),
+        line("- Документы.D", "p_partkey"), line("\tДвижения:"), line('\t\t"РегистрНакопления.R', "p_size", '"'),
     ]
-    part = table(spark, d, "part").select("p_brand", "p_partkey", F.posexplode(F.array(*lines)).alias("i", "value"))
-    return part.select(F.col("p_brand").alias("source_rel"), (F.col("p_partkey") * len(lines) + F.col("i")).alias("line"), "value")
+    file = F.concat_ws("/", "p_brand", F.floor(F.col("p_partkey") / 1000).cast("string"))
+    told = table(spark, d, "part").groupBy(file.alias("source_rel")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", F.array_join(F.array(*lines), "\n").alias("text")))).alias("nodes"))
+    text = F.concat(F.lit("заголовок до первого узла\n"), F.array_join(F.transform("nodes", lambda n: n["text"]), "\n"))
+    return text_report.read_lines(told.select("source_rel", F.encode(text, "UTF-8").alias("content")))
 
 
-@query("SELECT 'Справочники.P' || p_partkey AS path, 'Справочники' AS kind, 'P' || p_partkey AS name, p_name AS synonym, 4 AS n_props FROM part")
+@query(
+    """SELECT 'Справочники.P' || p_partkey AS path, 'Справочники' AS kind, 'P' || p_partkey AS name, p_name AS synonym, 4 AS n_props FROM part
+UNION ALL SELECT 'Справочники.P' || p_partkey || '.Реквизиты.Единица', 'Реквизиты', 'Единица', '', 2 FROM part
+UNION ALL SELECT 'Документы.D' || p_partkey, 'Документы', 'D' || p_partkey, '', 1 FROM part"""
+)
 def report_nodes(spark, d):
     """Nodes of the reports of all parts."""
     rows = text_report.report_objects(text_report.parse_nodes(_report_lines(spark, d)))
@@ -43,7 +51,9 @@ def report_nodes(spark, d):
 
 @query(
     """SELECT 'Справочники.P' || p_partkey AS from_path, 'СправочникСсылка.T' || p_size AS to_ref, 'type' AS link_type, 'Справочники.T' || p_size AS to_path FROM part
-UNION ALL SELECT 'Справочники.P' || p_partkey, 'Строка', 'type', NULL FROM part"""
+UNION ALL SELECT 'Справочники.P' || p_partkey, 'Строка', 'type', NULL FROM part
+UNION ALL SELECT 'Справочники.P' || p_partkey || '.Реквизиты.Единица', 'СправочникСсылка.T' || p_size, 'type', 'Справочники.T' || p_size FROM part
+UNION ALL SELECT 'Документы.D' || p_partkey, 'РегистрНакопления.R' || p_size, 'movements', 'РегистрыНакопления.R' || p_size FROM part"""
 )
 def report_links(spark, d):
     """Links of the reports of all parts; types of values have no path."""

@@ -73,7 +73,7 @@ def parse_nodes(lines: DataFrame) -> DataFrame:
 def report_objects(parsed: DataFrame) -> DataFrame:
     """(path, kind, name, synonym, comment, props); of repeated paths the last counts; the kind follows from the last container."""
     props = parsed.where(F.col("key").isNotNull()).groupBy("source_rel", "path", "node_line").agg(F.map_from_entries(F.collect_list(F.struct("key", "values"))).alias("props"))
-    nodes = parsed.where(F.col("key").isNull()).select("source_rel", "path", "node_line").join(props, ["source_rel", "path", "node_line"], "left")
+    nodes = parsed.where(F.col("key").isNull()).select("source_rel", "path", "node_line").join(props.hint("merge"), ["source_rel", "path", "node_line"], "left")
     last = nodes.groupBy("path").agg(F.max_by(F.struct("props", "source_rel"), F.struct("source_rel", "node_line")).alias("n"))
     first = lambda key: F.coalesce(F.get(F.try_element_at(F.col("props"), F.lit(key)), F.lit(0)), F.lit(""))
     out = last.select("path", F.col("n.props").alias("props"), F.col("n.source_rel").alias("source_rel"))

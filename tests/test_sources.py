@@ -214,3 +214,12 @@ def test_xml_joins_send_no_elements_to_the_driver(spark, sf):
     for name in ("xml_links", "xml_parse"):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and "MapInArrow" not in plan, name
+
+
+def test_report_queries_tell_every_shape_of_node(spark, sf):
+    """Of each part a catalog, its attribute and a document with movements, from files behind a heading."""
+    from strandmap import catalog
+
+    n = spark.read.parquet(f"{sf}/part.parquet").count()
+    shapes = catalog.QUERIES["report_nodes"](spark, sf).groupBy("kind", "n_props").count().collect()
+    assert {tuple(r) for r in shapes} == {("Справочники", 4, n), ("Реквизиты", 2, n), ("Документы", 1, n)}
