@@ -223,3 +223,5 @@ def test_report_queries_tell_every_shape_of_node(spark, sf):
     n = spark.read.parquet(f"{sf}/part.parquet").count()
     shapes = catalog.QUERIES["report_nodes"](spark, sf).groupBy("kind", "n_props").count().collect()
     assert {tuple(r) for r in shapes} == {("Справочники", 4, n), ("Реквизиты", 2, n), ("Документы", 1, n)}
+    kinds = catalog.QUERIES["report_links"](spark, sf).groupBy("link_type", F.col("to_path").isNull().alias("plain")).count().collect()
+    assert {tuple(r) for r in kinds} == {("type", False, 2 * n), ("type", True, n), ("movements", False, n)}
