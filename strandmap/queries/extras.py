@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from strandmap import ingest, store
-from strandmap.adapters import OBJECTS_SQL, links, objects, table
+from strandmap.adapters import OBJECTS_SQL, made_links, objects, table
 from strandmap.functions import embed, text
 from strandmap.operators import intervals, relations
 from strandmap.plans import graph, lanes
@@ -94,7 +94,7 @@ def embedded_passages(spark, d):
 
 @query("SELECT n_from, count(*) AS n FROM (SELECT to_path, count(*) AS n_from FROM (SELECT 'Customer.' || c_name AS from_path, 'Nation.' || n_name AS to_path FROM customer JOIN nation ON c_nationkey = n_nationkey) GROUP BY to_path) GROUP BY n_from")
 def usage_histogram(spark, d):
-    e = links(spark, d).where(F.col("from_path").startswith("Customer."))
+    e = made_links(spark, d).where(F.col("from_path").startswith("Customer."))
     return e.groupBy("to_path").agg(F.count("*").alias("n_from")).groupBy("n_from").agg(F.count("*").alias("n"))
 
 

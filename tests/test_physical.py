@@ -63,7 +63,7 @@ def test_whole_searches_store_nothing(spark, sf, monkeypatch):
     from strandmap import catalog, store
 
     monkeypatch.setattr(store, "once", lambda *a: 1 / 0)
-    for name in ("token_search_short", "token_and_search_middle", "orphan_links_anti", "token_and_search", "links_semi"):
+    for name in ("token_search_short", "token_and_search_middle", "orphan_links_anti", "token_and_search", "links_semi", "usage_histogram"):
         assert catalog.QUERIES[name](spark, sf).columns
 
 
