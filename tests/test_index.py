@@ -253,3 +253,12 @@ def test_crowded_values_are_many_files(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(list((tmp_path / "l/kind=type").glob("*.parquet"))) > 1
+
+
+def test_words_are_counted_where_their_text_is(spark):
+    """Texts are shuffled once by key; words are neither shuffled before they are counted nor sorted."""
+    docs = spark.createDataFrame([(1, "a b a", "x"), (2, None, "y"), (3, "b", None)], "doc_id long, text string, kind string")
+    counts = index._counts(docs, "doc_id", "text", ["kind"])
+    text = counts._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange ") == 1 and "SortAggregate" not in text
+    assert {tuple(r[c] for c in ("term", "doc_id", "tf", "doc_len", "kind")) for r in counts.collect()} == {("a", 1, 2, 3, "x"), ("b", 1, 1, 3, "x"), ("b", 3, 1, 1, None)}
