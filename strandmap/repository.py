@@ -26,7 +26,7 @@ _SCHEMAS = {
     "stamps": "source_rel string, mtime long, size long, class string",
     "objects": "source_rel string, seq long, path string, kind string, name string, synonym string, comment string, belong string, base_object string, props map<string,array<string>>, structure string, content_hash string",
     "links": "source_rel string, from_path string, to_ref string, to_path string, link_type string",
-    "methods": "source_rel string, path string, parent_path string, module_role string, name string, kind string, export boolean, signature string, comment string, body string, region string, line int, end_line int",
+    "methods": "source_rel string, path string, parent_path string, module_role string, name string, kind string, export boolean, signature string, comment string, body string, region string, line int, end_line int, calls array<string>",
     "calls": "source_rel string, caller string, callee_name string",
     "rejected": "source_rel string, reason string",
 }
@@ -100,8 +100,7 @@ def _parsed(files: DataFrame) -> dict[str, DataFrame]:
     binary = of("binary_form").select(_FILE, owner.alias("parent_path"), F.lit("FormModule").alias("module_role"), binary_forms.extracted(F.col("content")).alias("text"))
     # Modules of earlier dumps begin with a byte order mark.
     found = modules.methods(modules.lines_of(code.unionByName(binary).withColumn("text", F.regexp_replace("text", "^﻿", ""))))
-    calls = found.select(_FILE, F.col("path").alias("caller"), F.explode("calls").alias("callee_name")).distinct()
-    return {"objects": ingest.with_hash(_as(objects, "objects").unionByName(_as(helped, "objects"))), "links": links, "methods": found, "calls": calls, "rejected": rejected}
+    return {"objects": ingest.with_hash(_as(objects, "objects").unionByName(_as(helped, "objects"))), "links": links, "methods": found, "rejected": rejected}
 
 
 def _xml_parts(described: DataFrame, forms: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -139,8 +138,10 @@ def update(now: Repository, files: DataFrame) -> Repository:
 
     def write(folder: Folder) -> dict:
         stamps = folder.put("stamps", _as(fresh, "stamps"))
-        for name, rows in _parsed(fresh).items():
-            folder.put(name, _as(rows, name))
+        told = {name: folder.put(name, _as(rows, name)) for name, rows in _parsed(fresh).items()}
+        # Calls come from the methods as they are stored, so that modules are parsed once.
+        calls = told["methods"].select(_FILE, F.col("path").alias("caller"), F.explode("calls").alias("callee_name")).distinct()
+        folder.put("calls", _as(calls, "calls"))
         return {"rows": stamps.count()}
 
     return Repository(segments.change(now.live, gone, {"rows": gone.count()}, write))

@@ -133,3 +133,12 @@ def test_repeated_paths(spark, tmp_path):
     repo = repository.update(repository.open_at(spark, str(tmp_path / "r")), files_of(spark, tree))
     assert {r.path: r.source_rel for r in repo.objects.collect()}["Справочники.Same"] == "Catalogs/B.xml"
     assert ingest.with_hash(repo.objects.where(F.col("path") == "Справочники.Same").drop("content_hash")).first().content_hash
+
+
+def test_calls_come_from_stored_methods(spark, tmp_path):
+    """Modules are parsed once: methods are stored with their calls, and calls are read from there."""
+    code = "Процедура A() Экспорт\n\tB();\n\tB();\nКонецПроцедуры\nПроцедура B()\nКонецПроцедуры\n"
+    files = spark.createDataFrame([("CommonModules/M/Ext/Module.bsl", bytearray(code.encode()), 0, len(code))], "source_rel string, content binary, mtime long, size long")
+    now = repository.update(repository.open_at(spark, str(tmp_path)), files)
+    assert {r.name: r.calls for r in now.methods.collect()} == {"A": ["B"], "B": []}
+    assert [tuple(r)[2] for r in now.part("calls").select("source_rel", "caller", "callee_name").collect()] == ["B"]
