@@ -16,5 +16,5 @@ def flagship(spark, sf_dir: str):
 
 def prepare(spark, sf_dir: str) -> None:
     """Build the stored forms that several queries read; without it the first query that needs one builds it."""
-    for build in (adapters.objects, adapters.links, adapters.object_names, adapters.object_substrings, adapters.document_substrings, adapters.walkable_links, retrieval.documents_index, retrieval.vectors_index):
+    for build in (adapters.objects, adapters.links, adapters.object_names, adapters.object_substrings, adapters.document_substrings, retrieval.documents_index, retrieval.vectors_index):
         build(spark, sf_dir)

@@ -8,12 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmap.functions import paths
-from strandmap.plans.adjacency import Adjacency
+from strandmap.plans.adjacency import BROADCAST_NODES, Adjacency, Derived
 from strandmap.session import cut
 
-#: Frontiers of up to this many nodes are broadcast to the links.
-BROADCAST_NODES = 100_000
-
 
 def _frontier(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else df
@@ -53,8 +50,8 @@ class _Scanned:
 
 
 @contextmanager
-def _walkable(links: DataFrame | Adjacency):
-    if isinstance(links, Adjacency):
+def _walkable(links: DataFrame | Adjacency | Derived):
+    if isinstance(links, (Adjacency, Derived)):
         yield links
         return
     scanned = _Scanned(links)
@@ -64,18 +61,18 @@ def _walkable(links: DataFrame | Adjacency):
         scanned.links.unpersist()  # what is found is kept in the checkpoint folder
 
 
-def _start(links: DataFrame | Adjacency, node: str) -> DataFrame:
-    spark = (links.leaving if isinstance(links, Adjacency) else links).sparkSession
-    return spark.createDataFrame([(node,)], "node string")
+def _start(links: DataFrame | Adjacency | Derived, node: str) -> DataFrame:
+    return links.sparkSession.createDataFrame([(node,)], "node string")
 
 
-def impact(links: DataFrame | Adjacency, start: str, depth: int, down: bool = True) -> DataFrame:
+def impact(links: DataFrame | Adjacency | Derived, start: str, depth: int, down: bool = True) -> DataFrame:
     """(path, link_type, depth) of the edges met from ``start``, each at its least depth.
 
     down follows links to a node and goes on from the owner of their source; up
     follows links from a node. Each step joins the whole frontier at once; nodes
     seen before are never expanded again, so cycles end. With an adjacency a
-    step reads its own buckets; other links are persisted while the steps run.
+    step reads its own buckets, derived links are read from their tables; a
+    plain frame is persisted while the steps run.
     """
     frontier = seen = _start(links, start)
     none = frontier.select(F.col("node").alias("path"), F.lit("").alias("link_type"), F.lit(0).alias("depth")).limit(0)
@@ -86,15 +83,17 @@ def impact(links: DataFrame | Adjacency, start: str, depth: int, down: bool = Tr
             met = graph.met(frontier, key)
             met = cut(met.select(F.col(other).alias("path"), "link_type").distinct().withColumn("depth", F.lit(d)))
             found = found.unionByName(met)
+            if d == depth:
+                break
             step = met.select((paths.owner(F.col("path")) if down else F.col("path")).alias("node")).distinct()
             frontier = cut(step.join(seen, "node", "left_anti"))
-            if d == depth or frontier.isEmpty():
+            if frontier.isEmpty():
                 break
             seen = seen.unionByName(frontier)
     return found.groupBy("path", "link_type").agg(F.min("depth").alias("depth"))
 
 
-def reach(links: DataFrame | Adjacency, start: str, depth: int, callers: bool = False, link_type: str | None = None) -> DataFrame:
+def reach(links: DataFrame | Adjacency | Derived, start: str, depth: int, callers: bool = False, link_type: str | None = None) -> DataFrame:
     """(path, depth) of the nodes reached from ``start``, at their first depth, without it; by links of one type, if told."""
     frontier = _start(links, start)
     seen = frontier.withColumn("depth", F.lit(0))
@@ -115,7 +114,7 @@ def reach(links: DataFrame | Adjacency, start: str, depth: int, callers: bool =
 _HOP = "hop int, from_object string, to_object string, from_path string, to_path string, link_type string, direction string"
 
 
-def path_between(links: DataFrame | Adjacency, source: str, target: str, most: int = 6) -> DataFrame:
+def path_between(links: DataFrame | Adjacency | Derived, source: str, target: str, most: int = 6) -> DataFrame:
     """A shortest path between two objects, along links of either direction: one row a hop, none if it would take more than ``most``.
 
     Both ends grow at once, the smaller frontier first; each object keeps the
@@ -177,7 +176,7 @@ def join_paths(links: DataFrame, source: str, target: str) -> DataFrame:
     return found.withColumn("container", F.when(F.size(parts) > 2, F.get(parts, F.lit(1))).otherwise(""))
 
 
-def query_paths(links: DataFrame, graph: DataFrame | Adjacency, source: str, targets: list[str], most: int = 6) -> dict[str, DataFrame]:
+def query_paths(links: DataFrame, graph: DataFrame | Adjacency | Derived, source: str, targets: list[str], most: int = 6) -> dict[str, DataFrame]:
     """How to get from an object to each of a target and its fallbacks: the fields that join them, or where no link does, a path over other objects."""
     out = {}
     for target in targets:

@@ -5,6 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandmap import adapters, store
+from strandmap.catalog import QUERIES
+from strandmap.functions import paths
 from strandmap.plans import adjacency, graph
 
 LINKS = "from_path string, to_path string, link_type string"
@@ -106,3 +109,54 @@ def test_fallbacks_and_containers(spark):
     assert {(r.field, r.container) for r in found["A.Y"].collect()} == {("ТабличныеЧасти.Rows.Реквизиты.Item", "Rows"), ("Реквизиты.Owner", "")}
     assert [(r.from_object, r.to_object, r.direction) for r in found["A.Z"].orderBy("hop").collect()] == [("A.X", "A.Y", "forward"), ("A.Y", "A.Z", "forward")]
     assert found["A.W"].count() == 0
+
+
+def headed(links):
+    return adjacency.Derived(links.withColumns({"from_head": paths.head(F.col("from_path")), "to_head": paths.head(F.col("to_path"))}))
+
+
+@pytest.mark.parametrize(("literals", "broadcast"), [(256, 100_000), (2, 100_000), (2, 2)])
+def test_walks_over_derived_links_agree(stored, monkeypatch, literals, broadcast):
+    monkeypatch.setattr(adjacency, "LITERALS", literals)
+    monkeypatch.setattr(adjacency, "BROADCAST_NODES", broadcast)
+    _, plain, _ = stored
+    made = headed(plain)
+    pick = lambda df: sorted(map(tuple, df.collect()))
+    assert pick(graph.impact(made, "A.N7", 3)) == pick(graph.impact(plain, "A.N7", 3))
+    assert pick(graph.impact(made, "A.N7", 2, down=False)) == pick(graph.impact(plain, "A.N7", 2, down=False))
+    assert pick(graph.reach(made, "A.N7", 3, callers=True, link_type="calls")) == pick(graph.reach(plain, "A.N7", 3, callers=True, link_type="calls"))
+    assert pick(graph.path_between(made, "A.N3", "A.N30", most=8)) == pick(graph.path_between(plain, "A.N3", "A.N30", most=8))
+    assert graph.impact(made, "A.N1", 0).count() == 0 and graph.reach(made, "B.Nowhere", 3).count() == 0
+
+
+def test_null_paths_meet_nothing(spark, tmp_path):
+    plain = spark.createDataFrame([("A.X", "A.Y", "type"), ("A.X", None, "type"), ("A.Y", "A.Z", "type"), (None, "A.Z", "type")], LINKS)
+    adjacency.build(plain, str(tmp_path / "l"), buckets=2)
+    want = {("A.Y", 1), (None, 1), ("A.Z", 2)}
+    for links in (plain, headed(plain), adjacency.load(spark, str(tmp_path / "l"))):
+        assert {(r.path, r.depth) for r in graph.impact(links, "A.X", 3, down=False).collect()} == want
+
+
+def test_buckets_grow_with_the_links(spark, stored, tmp_path, monkeypatch):
+    rows, plain, _ = stored
+    monkeypatch.setattr(adjacency, "BUCKET_LINKS", 4, raising=False)
+    adjacency.build(plain, str(tmp_path / "l"))
+    files = {f.name.split("_")[-1] for f in (tmp_path / "l" / "leaving").glob("part-*")}
+    assert len(rows) > 120 and len(files) > 16
+
+
+@pytest.mark.parametrize("name", ["impact_up", "impact_bfs", "call_chain_bfs", "path_over_objects"])
+def test_one_walk_stores_no_links(spark, sf, tmp_path, name):
+    (tmp_path / "sf").symlink_to(sf)
+    d = str(tmp_path / "sf")
+    QUERIES[name](spark, d).count()
+    assert not {key for key in store._BUILT if key[1] == d}
+
+
+def test_a_step_reads_the_kinds_of_its_frontier(spark, sf):
+    frontier = spark.createDataFrame([("Customer.Customer#000000001",), ("Nation.NATION_1",)], "node string")
+    near = adapters.walkable_links(spark, sf)
+    plan = near.met(frontier, "from_path")._jdf.queryExecution().optimizedPlan().toString()
+    assert "c_name" in plan and "n_name" in plan and "l_orderkey" not in plan and "o_orderkey" not in plan
+    plan = near.met(frontier, "to_path")._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" in plan and "s_name" in plan and "l_orderkey" not in plan
