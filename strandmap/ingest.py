@@ -25,11 +25,11 @@ def stamps(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select(paths.nfc(F.col("path")).alias("rel_path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
-def compare_stamps(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(rel_path, action): added, removed, parse or skip. A full join, so added files are seen too."""
+def compare_stamps(old: DataFrame, new: DataFrame, stamped: bool = False) -> DataFrame:
+    """(rel_path, action): added, removed, parse or skip; ``stamped`` adds the new mtime and size. A full join, so added files are seen too."""
     both = old.toDF("rel_path", "_m", "_s").join(new.toDF("rel_path", "mtime", "size"), "rel_path", "full_outer")
     action = F.when(F.col("_m").isNull(), "added").when(F.col("mtime").isNull(), "removed").when((F.col("_m") == F.col("mtime")) & (F.col("_s") == F.col("size")), "skip").otherwise("parse")
-    return both.select("rel_path", action.alias("action"))
+    return both.select("rel_path", action.alias("action"), *(["mtime", "size"] if stamped else []))
 
 
 def all_unchanged(actions: DataFrame) -> bool:

@@ -192,16 +192,23 @@ def form_module_roles(spark, d):
 
 def _files(spark, d, edited: bool):
     """An export made of the tables: a catalog a part, a module a document, a help page a page. Edited, a tenth of the parts is gone and the comments of small ones are others."""
-    part = table(spark, d, "part").select("p_partkey", "p_type", "p_size")
-    comment = F.when(F.lit(edited) & (F.col("p_size") < 10), "edited").otherwise(F.col("p_type"))
-    xml = F.concat(F.lit("<MetaDataObject><Catalog><Properties><Name>P"), "p_partkey", F.lit("</Name><Comment>"), comment, F.lit("</Comment></Properties></Catalog></MetaDataObject>"))
-    catalogs = part.select(F.concat(F.lit("Catalogs/P"), "p_partkey", F.lit(".xml")).alias("source_rel"), xml.alias("text"), F.when(F.lit(edited) & (F.col("p_size") < 10), 1).otherwise(0).alias("mtime"))
-    catalogs = catalogs.join(part.where("p_partkey % 10 = 0").select(F.concat(F.lit("Catalogs/P"), "p_partkey", F.lit(".xml")).alias("source_rel")), "source_rel", "left_anti") if edited else catalogs
-    code = F.concat(F.lit("Процедура D"), "doc_id", F.lit("() Экспорт\n"), F.translate("text", '"(/#', "    "), F.lit("\nКонецПроцедуры\nФункция Вторая()\n\tD"), "doc_id", F.lit("();\nКонецФункции\n"))
-    coded = table(spark, d, "documents").select(F.concat(F.lit("CommonModules/M"), "doc_id", F.lit("/Ext/Module.bsl")).alias("source_rel"), code.alias("text"), F.lit(0).alias("mtime"))
-    pages = table(spark, d, "pages").select(F.concat(F.lit("Catalogs/Page"), "page_id", F.lit("/Ext/Help/ru.html")).alias("source_rel"), F.col("html").alias("text"), F.lit(0).alias("mtime"))
-    rows = catalogs.unionByName(coded).unionByName(pages).where("source_rel IS NOT NULL AND text IS NOT NULL")
-    return rows.select("source_rel", F.encode("text", "UTF-8").alias("content"), F.col("mtime").cast("long"), F.octet_length("text").cast("long").alias("size"))
+    part = table(spark, d, "part").where("p_partkey % 10 <> 0" if edited else "p_partkey IS NOT NULL")
+    other = F.lit(edited) & (F.col("p_size") < 10)
+    xml = F.concat(F.lit("<MetaDataObject><Catalog><Properties><Name>P"), "p_partkey", F.lit("</Name><Comment>"), F.when(other, "edited").otherwise(F.col("p_type")), F.lit("</Comment></Properties></Catalog></MetaDataObject>"))
+    code = lambda text: F.concat(F.lit("Процедура D"), "doc_id", F.lit("() Экспорт\n"), text, F.lit("\nКонецПроцедуры\nФункция Вторая()\n\tD"), "doc_id", F.lit("();\nКонецФункции\n"))
+    quiet = F.col("text")
+    for sign in '"(/#':
+        quiet = F.replace(quiet, F.lit(sign), F.lit(" "))
+
+    def files(rows, rel: tuple, text, mtime=F.lit(0), as_long=None):
+        """as_long: a text of the same length that is cheaper to make."""
+        size = F.octet_length(text if as_long is None else as_long)
+        return rows.select(F.concat(*rel).alias("source_rel"), F.encode(text, "UTF-8").alias("content"), mtime.cast("long").alias("mtime"), size.cast("long").alias("size"))
+
+    catalogs = files(part, (F.lit("Catalogs/P"), "p_partkey", F.lit(".xml")), xml, F.when(other, 1).otherwise(0))
+    coded = files(table(spark, d, "documents"), (F.lit("CommonModules/M"), "doc_id", F.lit("/Ext/Module.bsl")), code(quiet), as_long=code(F.col("text")))
+    pages = files(table(spark, d, "pages"), (F.lit("Catalogs/Page"), "page_id", F.lit("/Ext/Help/ru.html")), F.col("html"))
+    return catalogs.unionByName(coded).unionByName(pages).where("source_rel IS NOT NULL AND size IS NOT NULL")
 
 
 def _export(spark, d) -> tuple[repository.Repository, repository.Repository]:

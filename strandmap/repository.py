@@ -1,5 +1,8 @@
 """An export as generations of parsed files: one update parses what is new or edited of every class of file.
 
+Contents are read once for each class that has such files, and by no join: only
+descriptions are dealt out, as small files are packed densely.
+
 The unit is a file. A generation adds a segment with all that the parsed files
 say (objects, links, methods, calls, help, forms) and tombstones of files that
 are edited or gone; a manifest makes it visible at once, so a job that dies
@@ -10,6 +13,7 @@ one are not disturbed. See ``plans.segments``.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,9 +52,11 @@ class Repository:
     @property
     def objects(self) -> DataFrame:
         """Objects, help pages and forms among them; of a path that several files tell, the last file counts."""
-        rows = self.part("objects")
-        others = [c for c in rows.columns if c != "path"]
-        last = rows.groupBy("path").agg(F.max_by(F.struct(*others), F.struct(_FILE, "seq")).alias("o"))
+        return self.objects_with(*(c for c in self.part("objects").columns if c != "path"))
+
+    def objects_with(self, *columns: str) -> DataFrame:
+        """The objects with their path and these columns; others, such as long comments, are not moved."""
+        last = self.part("objects").groupBy("path").agg(F.max_by(F.struct(*columns), F.struct(_FILE, "seq")).alias("o"))
         return last.select("path", "o.*")
 
     @property
@@ -85,40 +91,69 @@ def open_at(spark: SparkSession, root: str, generation: int | None = None) -> Re
     return Repository(segments.load(spark, root, generation))
 
 
-def _parsed(files: DataFrame) -> dict[str, DataFrame]:
-    """What files (source_rel, content, class) say, part by part."""
-    of = lambda *classes: files.where(F.col("class").isin(*classes))
+def _all(spark: SparkSession, name: str, frames: list[DataFrame]) -> DataFrame:
+    """Rows of a part out of any number of frames, objects with their hash."""
+    rows = reduce(DataFrame.unionByName, (_as(f, name) for f in frames)) if frames else spark.createDataFrame([], _SCHEMAS[name])
+    return ingest.with_hash(rows) if name == "objects" else rows
+
+
+def _parsed(files: DataFrame, classes: set[str]) -> dict[str, list[DataFrame]]:
+    """What files (source_rel, content, class) of these classes say, part by part; for other classes nothing is read."""
+    of = lambda *names: files.where(F.col("class").isin(*names))
+    said: dict[str, list[DataFrame]] = {"objects": [], "links": [], "rejected": [], "methods": []}
+
+    def add(**parts: DataFrame) -> None:
+        for name, rows in parts.items():
+            said[name].append(rows)
+
+    if "object" in classes:
+        add(**_descriptions(of("object")))
+    if "form" in classes:
+        add(**_forms(of("form")))
+    if "template" in classes:
+        add(**_templates(of("template")))
     owner = layout.owner_path(F.col(_FILE))
-    objects, links, rejected = _xml_parts(of("object"), of("form"), of("template"))
-    pages = of("help").select(_FILE, owner.alias("owner"), F.decode("content", "UTF-8").alias("html")).where("owner <> ''")
-    help_rows = help_html.passages(pages.withColumn("_key", F.struct(_FILE, "owner")), "_key", "owner")
-    place = F.regexp_extract("path", r"\.(\d+)$", 1).try_cast("long")
-    owners = pages.select(_FILE, F.concat(F.lit("Help."), "owner").alias("root"))
-    helped = help_rows.withColumn("root", F.regexp_replace("path", r"\.\d+$", "")).join(owners, "root")
-    helped = helped.select(_FILE, F.coalesce(place, F.lit(0)).alias("seq"), "path", F.lit("Help").alias("kind"), F.coalesce(F.nullif("heading", F.lit("")), F.substring_index("root", ".", -1)).alias("name"), F.col("body").alias("comment"))
-    code = of("module").select(_FILE, owner.alias("parent_path"), modules.role_of(F.col(_FILE)).alias("module_role"), F.decode("content", "UTF-8").alias("text"))
-    binary = of("binary_form").select(_FILE, owner.alias("parent_path"), F.lit("FormModule").alias("module_role"), binary_forms.extracted(F.col("content")).alias("text"))
-    # Modules of earlier dumps begin with a byte order mark.
-    found = modules.methods(modules.lines_of(code.unionByName(binary).withColumn("text", F.regexp_replace("text", "^﻿", ""))))
-    return {"objects": ingest.with_hash(_as(objects, "objects").unionByName(_as(helped, "objects"))), "links": links, "methods": found, "rejected": rejected}
-
-
-def _xml_parts(described: DataFrame, forms: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Objects, links and rejected files of XML: descriptions, forms with their structure, fields of composition schemas."""
-    elements = ingest.cut(xml_objects.nodes(described.select(_FILE, "content")))
+    if "help" in classes:
+        pages = of("help").select(_FILE, owner.alias("owner"), F.decode("content", "UTF-8").alias("html")).where("owner <> ''")
+        place = F.substring(F.col("path"), F.length(owner) + F.length(F.lit("Help..")) + 1, F.length("path")).try_cast("long")
+        name = F.coalesce(F.nullif("heading", F.lit("")), F.substring_index(owner, ".", -1))
+        add(objects=help_html.passages(pages, _FILE, "owner").select(_FILE, F.coalesce(place, F.lit(0)).alias("seq"), "path", F.lit("Help").alias("kind"), name.alias("name"), F.col("body").alias("comment")))
+    code = []
+    if "module" in classes:
+        code.append(of("module").select(_FILE, owner.alias("parent_path"), modules.role_of(F.col(_FILE)).alias("module_role"), F.decode("content", "UTF-8").alias("text")))
+    if "binary_form" in classes:
+        code.append(of("binary_form").select(_FILE, owner.alias("parent_path"), F.lit("FormModule").alias("module_role"), binary_forms.extracted(F.col("content")).alias("text")))
+    if code:
+        # Modules of earlier dumps begin with a byte order mark.
+        add(methods=modules.methods(modules.lines_of(reduce(DataFrame.unionByName, code).withColumn("text", F.regexp_replace("text", "^﻿", "")))))
+    return said
+
+
+def _descriptions(files: DataFrame) -> dict[str, DataFrame]:
+    """Objects, links and rejected files of descriptions; files are dealt out before they are parsed."""
+    elements = ingest.cut(xml_objects.nodes(files.select(_FILE, "content").repartition(_FILE)))
     objects = xml_objects.objects(elements).withColumnRenamed("id", "seq")
     belongs = objects.select(F.col("path").alias("from_path"), _FILE)
     links = xml_objects.links(elements).join(belongs, "from_path").withColumn("to_path", refs.canonical(F.col("to_ref")))
-    shapes = ingest.cut(xml_objects.nodes(forms.select(_FILE, "content")))
+    return {"objects": objects, "links": links, "rejected": xml_objects.rejected(elements)}
+
+
+def _forms(files: DataFrame) -> dict[str, DataFrame]:
+    """Forms with their structure, and broken ones."""
+    shapes = ingest.cut(xml_objects.nodes(files.select(_FILE, "content")))
     owner = layout.owner_path(F.col(_FILE))
     structures = xml_objects.form_structure(shapes).select(_FILE, F.lit(0).alias("seq"), owner.alias("path"), F.lit("Form").alias("kind"), F.substring_index(owner, ".", -1).alias("name"), "structure")
-    inner = ingest.cut(xml_objects.nodes(templates.where(F.col(_FILE).endswith(".xml")).select(_FILE, "content")))
+    return {"objects": structures, "rejected": xml_objects.rejected(shapes.where("error IS NOT NULL"))}
+
+
+def _templates(files: DataFrame) -> dict[str, DataFrame]:
+    """Fields of composition schemas, and broken templates."""
+    inner = ingest.cut(xml_objects.nodes(files.where(F.col(_FILE).endswith(".xml")).select(_FILE, "content")))
     schemas = xml_objects.classify(inner).where("kind = 'schema'").select(_FILE)
     fields = xml_objects.schema_fields(inner).join(schemas, _FILE, "left_semi").where("data_path <> ''")
-    fields = fields.select(_FILE, F.lit(0).alias("seq"), F.concat_ws(".", owner, "data_path").alias("path"), F.lit("DataCompositionField").alias("kind"), F.col("data_path").alias("name"), F.col("field").alias("synonym"))
-    every = _as(objects, "objects").unionByName(_as(structures, "objects")).unionByName(_as(fields, "objects"))
-    wrong = xml_objects.rejected(elements).unionByName(xml_objects.rejected(shapes.where("error IS NOT NULL"))).unionByName(xml_objects.rejected(inner.where("error IS NOT NULL")))
-    return every, links, wrong
+    path = F.concat_ws(".", layout.owner_path(F.col(_FILE)), "data_path")
+    fields = fields.select(_FILE, F.lit(0).alias("seq"), path.alias("path"), F.lit("DataCompositionField").alias("kind"), F.col("data_path").alias("name"), F.col("field").alias("synonym"))
+    return {"objects": fields, "rejected": xml_objects.rejected(inner.where("error IS NOT NULL"))}
 
 
 def update(now: Repository, files: DataFrame) -> Repository:
@@ -129,20 +164,25 @@ def update(now: Repository, files: DataFrame) -> Repository:
     """
     told = files.select(F.col(_FILE).alias("rel_path"), "mtime", "size")
     kept = now.part("stamps").select(F.col(_FILE).alias("rel_path"), "mtime", "size")
-    actions = ingest.cut(ingest.compare_stamps(kept, told).where("action <> 'skip'"))
+    actions = ingest.cut(ingest.compare_stamps(kept, told, stamped=True).where("action <> 'skip'").withColumn("class", layout.file_class(F.col("rel_path"))))
     if actions.isEmpty():
         return now
     gone = actions.where("action <> 'added'").select(F.col("rel_path").alias(_FILE))
-    todo = actions.where("action IN ('parse', 'added')").select(F.col("rel_path").alias(_FILE))
-    fresh = files.join(todo, _FILE, "left_semi").withColumn("class", layout.file_class(F.col(_FILE)))
+    todo = actions.where("action IN ('parse', 'added') AND rel_path IS NOT NULL").withColumnRenamed("rel_path", _FILE)
+    n = {r["class"]: r["count"] for r in todo.groupBy("class").count().collect()}  # a class is one of a few
+    fresh = files.where(F.col(_FILE).isNotNull()).withColumn("class", layout.file_class(F.col(_FILE))).where(F.col("class").isin(*n))
+    if now.live.total("rows"):  # else all files are new
+        keys = todo.select(_FILE)
+        fresh = fresh.join(F.broadcast(keys) if sum(n.values()) <= segments.BROADCAST_KEYS else keys, _FILE, "left_semi")
 
     def write(folder: Folder) -> dict:
-        stamps = folder.put("stamps", _as(fresh, "stamps"))
-        told = {name: folder.put(name, _as(rows, name)) for name, rows in _parsed(fresh).items()}
+        folder.put("stamps", _as(todo, "stamps"))
+        said = _parsed(fresh, set(n))
+        told = {name: folder.put(name, _all(files.sparkSession, name, rows)) for name, rows in said.items()}
         # Calls come from the methods as they are stored, so that modules are parsed once.
         calls = told["methods"].select(_FILE, F.col("path").alias("caller"), F.explode("calls").alias("callee_name")).distinct()
         folder.put("calls", _as(calls, "calls"))
-        return {"rows": stamps.count()}
+        return {"rows": sum(n.values())}
 
     return Repository(segments.change(now.live, gone, {"rows": gone.count()}, write))
 
@@ -162,8 +202,7 @@ def compact(now: Repository) -> Repository:
 
 def changes(before: Repository, after: Repository) -> DataFrame:
     """(path, status) of all objects between two generations: new, changed, unchanged, deleted."""
-    pick = lambda r: r.objects.select("path", "content_hash")
-    return relations.classify_merge(pick(before), pick(after).withColumn("seq", F.lit(0)))
+    return relations.classify_merge(before.objects_with("content_hash"), after.objects_with("content_hash").withColumn("seq", F.lit(0)))
 
 
 def edits(before: Repository, after: Repository) -> tuple[DataFrame, DataFrame]:

@@ -48,10 +48,10 @@ def sections(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 
 
 def passages(pages: DataFrame, key: str, owner: str, html: str = "html", most: int = 2600) -> DataFrame:
-    """(path, heading, body): Help.<owner> for the first piece, Help.<owner>.<i> for the others."""
-    found = sections(pages.select(key, owner, html), key, html).where("body <> ''")
-    each = found.select(key, "ord", "heading", F.posexplode(split_long(F.col("body"), most)).alias("piece", "body"))
-    ordered = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "piece", "heading", "body"))).alias("all"))
-    rows = ordered.join(pages.select(key, owner), key).select(owner, F.posexplode("all").alias("i", "s"))
+    """(key, path, heading, body): Help.<owner> for the first piece, Help.<owner>.<i> for the others; a key has one owner."""
+    found = sections(pages.select(F.struct(key, owner).alias("_page"), html), "_page", html).where("body <> ''")
+    each = found.select("_page", "ord", "heading", F.posexplode(split_long(F.col("body"), most)).alias("piece", "body"))
+    ordered = each.groupBy("_page").agg(F.array_sort(F.collect_list(F.struct("ord", "piece", "heading", "body"))).alias("all"))
+    rows = ordered.select("_page", F.posexplode("all").alias("i", "s"))
     suffix = F.when(F.col("i") == 0, "").otherwise(F.concat(F.lit("."), F.col("i").cast("string")))
-    return rows.select(F.concat(F.lit("Help."), F.col(owner), suffix).alias("path"), F.col("s.heading").alias("heading"), F.col("s.body").alias("body"))
+    return rows.select(F.col("_page")[key].alias(key), F.concat(F.lit("Help."), F.col("_page")[owner], suffix).alias("path"), F.col("s.heading").alias("heading"), F.col("s.body").alias("body"))

@@ -142,3 +142,16 @@ def test_calls_come_from_stored_methods(spark, tmp_path):
     now = repository.update(repository.open_at(spark, str(tmp_path)), files)
     assert {r.name: r.calls for r in now.methods.collect()} == {"A": ["B"], "B": []}
     assert [tuple(r)[2] for r in now.part("calls").select("source_rel", "caller", "callee_name").collect()] == ["B"]
+
+
+def test_an_update_parses_only_classes_that_it_edits(spark, tmp_path, monkeypatch):
+    """An edited description costs no pass over modules, help or forms, and what changed is told without moving comments."""
+    tree = {k: TREE[k] for k in ("Catalogs/Kept.xml", "Catalogs/Kept/Ext/Help/ru.html", "CommonModules/Other/Ext/Module.bsl")}
+    one = repository.update(repository.open_at(spark, str(tmp_path)), files_of(spark, tree))
+    for place, name in ((repository.modules, "methods"), (repository.help_html, "passages"), (repository.xml_objects, "form_structure"), (repository.xml_objects, "schema_fields")):
+        monkeypatch.setattr(place, name, lambda *a: 1 / 0)
+    two = repository.update(one, files_of(spark, tree | {"Catalogs/Kept.xml": (catalog("Kept", extra="<Comment>b</Comment>"), 5)}))
+    found = repository.changes(one, two)
+    assert {r.path: r.status for r in found.collect()} == {"Справочники.Kept": "changed", "Справочники.Kept.Реквизиты.Unit": "unchanged", "Help.Справочники.Kept": "unchanged", "Help.Справочники.Kept.1": "unchanged", "Help.Справочники.Kept.2": "unchanged"}
+    assert "comment" not in found._jdf.queryExecution().executedPlan().toString()
+    assert two.methods.count() == 1 and two.live.total("rows") == 3
