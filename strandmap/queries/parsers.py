@@ -196,17 +196,14 @@ def _files(spark, d, edited: bool):
     other = F.lit(edited) & (F.col("p_size") < 10)
     xml = F.concat(F.lit("<MetaDataObject><Catalog><Properties><Name>P"), "p_partkey", F.lit("</Name><Comment>"), F.when(other, "edited").otherwise(F.col("p_type")), F.lit("</Comment></Properties></Catalog></MetaDataObject>"))
     code = lambda text: F.concat(F.lit("Процедура D"), "doc_id", F.lit("() Экспорт\n"), text, F.lit("\nКонецПроцедуры\nФункция Вторая()\n\tD"), "doc_id", F.lit("();\nКонецФункции\n"))
-    quiet = F.col("text")
-    for sign in '"(/#':
-        quiet = F.replace(quiet, F.lit(sign), F.lit(" "))
 
     def files(rows, rel: tuple, text, mtime=F.lit(0), as_long=None):
         """as_long: a text of the same length that is cheaper to make."""
         size = F.octet_length(text if as_long is None else as_long)
-        return rows.select(F.concat(*rel).alias("source_rel"), F.encode(text, "UTF-8").alias("content"), mtime.cast("long").alias("mtime"), size.cast("long").alias("size"))
+        return rows.select(F.concat(*rel).alias("source_rel"), text.cast("binary").alias("content"), mtime.cast("long").alias("mtime"), size.cast("long").alias("size"))
 
     catalogs = files(part, (F.lit("Catalogs/P"), "p_partkey", F.lit(".xml")), xml, F.when(other, 1).otherwise(0))
-    coded = files(table(spark, d, "documents"), (F.lit("CommonModules/M"), "doc_id", F.lit("/Ext/Module.bsl")), code(quiet), as_long=code(F.col("text")))
+    coded = files(table(spark, d, "documents"), (F.lit("CommonModules/M"), "doc_id", F.lit("/Ext/Module.bsl")), code(F.regexp_replace("text", r'["(/#]', " ")), as_long=code(F.col("text")))
     pages = files(table(spark, d, "pages"), (F.lit("Catalogs/Page"), "page_id", F.lit("/Ext/Help/ru.html")), F.col("html"))
     return catalogs.unionByName(coded).unionByName(pages).where("source_rel IS NOT NULL AND size IS NOT NULL")
 

@@ -125,7 +125,7 @@ def _parsed(files: DataFrame, classes: set[str]) -> dict[str, list[DataFrame]]:
         code.append(of("binary_form").select(_FILE, owner.alias("parent_path"), F.lit("FormModule").alias("module_role"), binary_forms.extracted(F.col("content")).alias("text")))
     if code:
         # Modules of earlier dumps begin with a byte order mark.
-        add(methods=modules.methods(modules.lines_of(reduce(DataFrame.unionByName, code).withColumn("text", F.regexp_replace("text", "^﻿", "")))))
+        add(methods=modules.methods(modules.lines_of(reduce(DataFrame.unionByName, code).withColumn("text", F.ltrim("text", F.lit("\ufeff"))))))
     return said
 
 

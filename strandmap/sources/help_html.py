@@ -13,38 +13,52 @@ def plain(html: Column) -> Column:
     out = F.regexp_replace(html, r"<[^>]*>", " ")
     for entity, char in _ENTITIES.items():
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    # A single space is no match, as most white space is one.
+    return F.trim(F.regexp_replace(out, r"\s{2,}|[^\S ]", " "))
 
 
 def visible(html: Column) -> Column:
     """HTML without scripts, styles and comments."""
-    return F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "")
+    return F.regexp_replace(html, r"(?is)<(?:script\b.*?</script>|style\b.*?</style>|!--.*?-->)", "")
 
 
 def split_long(body: Column, most: int = 2600) -> Column:
     """Sentences (cut after '. ') packed greedily into pieces of ``most`` characters; a longer sentence stands alone."""
-    sentences = F.split(body, r"(?<=\.) ")
-    empty = F.array().cast("array<string>")
+    none = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("length"), F.lit(1).alias("at"))
 
     def pack(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        fits = (F.size(done) > 0) & (F.length(last) + 1 + F.length(s) <= most)
-        return F.when(fits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat_ws(" ", last, s)))).otherwise(F.concat(done, F.array(s)))
+        """Where pieces start; the sentences of one are joined when all places are known."""
+        long = done["length"] + 1 + F.length(s)
+        fits = (done["at"] > 1) & (long <= most)
+        starts = F.when(fits, done["starts"]).otherwise(F.array_append(done["starts"], done["at"]))
+        return F.struct(starts.alias("starts"), F.when(fits, long).otherwise(F.length(s)).alias("length"), (done["at"] + 1).alias("at"))
 
-    return F.when(F.length(body) <= most, F.array(body)).otherwise(F.aggregate(sentences, empty, pack))
+    def pieces(done: Column) -> Column:
+        stop = lambda i: F.coalesce(F.get(done["starts"], i + 1), done["at"])
+        return F.transform(done["starts"], lambda start, i: F.struct(start.alias("start"), (stop(i) - start).alias("n")))
+
+    def joined(sentences: Column) -> Column:
+        return F.transform(F.aggregate(sentences, none, pack, pieces), lambda p: F.array_join(F.slice(sentences, p["start"], p["n"]), " "))
+
+    # An array of one names the sentences, so that they are cut once.
+    return F.when(F.length(body) <= most, F.array(body)).otherwise(F.get(F.transform(F.array(F.split(body, r"(?<=\.) ")), joined), F.lit(0)))
 
 
 def sections(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """(key, ord, heading, body): text before the first heading, then one row for each of h1 to h3; h4 stays inside.
 
-    Sections without a heading and a body are left out.
+    Sections without a heading and a body are left out, before they are rows: a filter on rows would make both anew.
     """
     parts = F.split(visible(F.col(html)), r"(?i)<h[1-3]\b[^>]*>", -1)
-    each = pages.select(key, F.posexplode(parts).alias("ord", "part"))
-    closing = F.regexp_instr("part", F.lit(r"(?i)</h[1-3]>"))
-    has = (F.col("ord") > 0) & (closing > 0)
-    out = each.select(key, "ord", F.when(has, plain(F.substring("part", F.lit(1), closing - 1))).otherwise("").alias("heading"), plain(F.when(has, F.substring(F.col("part"), closing + 5, F.length("part"))).otherwise(F.col("part"))).alias("body"))
-    return out.where("heading <> '' or body <> ''")
+    closing = lambda part, i: F.when(i > 0, F.regexp_instr(part, F.lit(r"(?i)</h[1-3]>"))).otherwise(0)
+    marked = F.transform(parts, lambda part, i: F.struct(i.alias("ord"), part.alias("part"), closing(part, i).alias("closing")))
+
+    def section(m: Column) -> Column:
+        part, at = m["part"], m["closing"]
+        heading = F.when(at > 0, plain(F.substring(part, F.lit(1), at - 1))).otherwise("")
+        return F.struct(m["ord"].alias("ord"), heading.alias("heading"), plain(F.when(at > 0, F.substring(part, at + 5, F.length(part))).otherwise(part)).alias("body"))
+
+    return pages.select(key, F.inline(F.filter(F.transform(marked, section), lambda s: (s["heading"] != "") | (s["body"] != ""))))
 
 
 def passages(pages: DataFrame, key: str, owner: str, html: str = "html", most: int = 2600) -> DataFrame:

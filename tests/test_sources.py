@@ -225,3 +225,18 @@ def test_report_queries_tell_every_shape_of_node(spark, sf):
     assert {tuple(r) for r in shapes} == {("Справочники", 4, n), ("Реквизиты", 2, n), ("Документы", 1, n)}
     kinds = catalog.QUERIES["report_links"](spark, sf).groupBy("link_type", F.col("to_path").isNull().alias("plain")).count().collect()
     assert {tuple(r) for r in kinds} == {("type", False, 2 * n), ("type", True, n), ("movements", False, n)}
+
+
+def test_modules_are_cut_where_they_are_read(spark):
+    """No line or text of a module is shuffled, and a file that is told twice keeps its lines apart."""
+    rows = [("m.bsl", "M", "Module", f"#Region R\n// {said}\nProcedure A()\n\t{said}(1);\nEndProcedure\nProcedure B() Export\n\tA();\n") for said in ("one", "two")]
+    found = modules.methods(modules.lines_of(spark.createDataFrame(rows, "source_rel string, parent_path string, module_role string, text string")))
+    plan = found._jdf.queryExecution().executedPlan().initialPlan()
+
+    def shuffled(node):
+        inner = [c for i in range(node.children().size()) for c in shuffled(node.children().apply(i))]
+        return inner + ([node.output().mkString(" ")] if node.nodeName() == "Exchange" else [])
+
+    assert not any(f"{c}#" in out for out in shuffled(plan) for c in ("raw", "code", "lines", "body", "comment", "text"))
+    assert found.count() == 4 and {(r.name, r.comment, *r.calls) for r in found.collect()} == {("A", "one", "one"), ("A", "two", "two"), ("B", "", "A")}
+    assert {(r.name, r.line, r.end_line, r.region) for r in found.collect()} == {("A", 3, 5, "R"), ("B", 6, 8, "R")}
